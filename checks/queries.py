@@ -54,10 +54,13 @@ def gazetteer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalised(spark: SparkSession, folder: str) -> DataFrame:
-    """Dimensions with normalised metrics, as the reports read them."""
+    """Dimensions with the normalised metrics, written first: reports read stored tables."""
     table = metric_table(spark, folder)
     model = normalize.MetricNormalizer.standard().fit(table)
-    return table.select("id", "strategy", "department", "category").join(model.transform(table), "id", "left")
+    dims, norm = work_path(spark, "dimensions"), work_path(spark, "normalised")
+    tables.write_table(table.select("id", "strategy", "department", "category"), dims)
+    tables.write_table(model.transform(table), norm)
+    return tables.load_analysis(spark, dims, norm)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

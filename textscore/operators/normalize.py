@@ -34,11 +34,6 @@ def _number(name: str) -> Column:
     return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
 
-def _present(name: str) -> Column:
-    x = F.col(name).cast("double")
-    return F.when(~F.isnan(x), x)
-
-
 def _skew_aggregates(name: str) -> list[Column]:
     x = _number(name)
     return [
@@ -226,9 +221,10 @@ class MetricNormalizerModel(Model, _NormalizerParams):
         model = cls([Row(*r[:6]) for r in rows])
         return model._set(**json.loads(rows[0]["params"])) if rows else model
 
-    def _z(self, x: Column, kind: str, mean: float | None, scale: float | None) -> Column:
+    def _z(self, source: str, kind: str, mean: float | None, scale: float | None) -> Column:
         if mean is None or scale is None:
             return F.lit(None).cast("double")
+        x = _number(source)
         if kind.startswith("log"):
             x = F.log1p(x)
         if kind.endswith("-"):
@@ -236,13 +232,17 @@ class MetricNormalizerModel(Model, _NormalizerParams):
         return (x - F.lit(mean)) / F.lit(scale)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        scaled = [self._z(_number(s[1]), *s[2:5]).alias(s[0]) for s in self._stats]
+        scaled = {s[0]: self._z(*s[1:5]) for s in self._stats}
         chosen = self.getOrDefault("index_columns")
-        # The index reads the sources again, in another spelling of the same value. Built
-        # from the scaled columns, a later "index is not NULL" filter would make Catalyst's
-        # constraint inference try every subset of them (2^35 at worst).
-        terms = [self._z(_present(s[1]), *s[2:5]) for s in self._stats if not chosen or s[1] in chosen]
-        return df.select(*scaled, row_mean(terms).alias("overall_quality_index"), self.getOrDefault("id_col"))
+        index = row_mean([scaled[s[0]] for s in self._stats if not chosen or s[1] in chosen])
+        # The one-element explode keeps a later filter on the index above this step. Pushed
+        # below, it would meet the metrics' own definitions, and Catalyst's constraint
+        # inference would try every subset of up to 35 of them.
+        return df.select(
+            *[z.alias(name) for name, z in scaled.items()],
+            F.explode(F.array(index)).alias("overall_quality_index"),
+            self.getOrDefault("id_col"),
+        )
 
 
 def row_mean(columns: Sequence[Column]) -> Column:

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from ..functions.lexicons import ALL_METRICS
 
 
+# Texts come back as they were: quotes are doubled inside a field, blanks are kept.
+_CSV_EXACT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def _strings(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 
@@ -60,8 +64,7 @@ def read_table(
     """
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
-        # quoted texts may hold line breaks, and a quote is doubled inside them
-        reader = reader.options(header=options.get("header", True), multiLine=True, escape='"')
+        reader = reader.options(**{"header": True, "multiLine": True, **_CSV_EXACT, **options})
     if schema is not None:
         reader = reader.schema(schema)
     try:
@@ -101,7 +104,7 @@ def write_table(
     out = flat_columns(df) if fmt == "csv" else df
     writer = out.write.format(fmt).mode(mode)
     if fmt == "csv":
-        writer = writer.options(header=True, escape='"', emptyValue='""')
+        writer = writer.options(header=True, emptyValue='""', **_CSV_EXACT)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
