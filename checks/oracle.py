@@ -768,7 +768,7 @@ _answer_side = list(_free("answer"))
 _all_free = [f"{s}_{m}" for m in _answer_side for s in ("answer", "human_answer")]
 
 
-def _score_card() -> None:
+def _scored_texts(chosen) -> dict[str, str]:
     """Automatic logs as in ``normalise_auto``, over the measures of the texts themselves."""
     cols = [c for c in lex.ALL_METRICS if c in _all_free]
     flags = ", ".join(
@@ -779,19 +779,25 @@ def _score_card() -> None:
     feats = ", ".join(f"CASE WHEN yes_{c} THEN {log1p(c)} ELSE {c} END AS f_{c}" for c in cols)
     parts = scaled(cols, [], [])
     parts["work"] = f"SELECT id, {feats} FROM free, flags"
-    add(
-        "scorecard",
-        _RANK.format("scored"),
-        **ANSWERS,
-        free=_FREE,
-        flags=f"SELECT {flags}",
-        **parts,
-        norm=f"SELECT id, {index_of([c for c in cols if not c.startswith('human')])} AS overall_quality_index FROM z",
-        scored="SELECT a.id, strategy, overall_quality_index FROM answers a LEFT JOIN norm ON norm.id = a.id",
-    )
+    norm = f"SELECT id, {index_of([c for c in cols if chosen(c)])} AS overall_quality_index FROM z"
+    return {"free": _FREE, "flags": f"SELECT {flags}", **parts, "norm": norm}
 
 
-_score_card()
+add(
+    "scorecard",
+    _RANK.format("scored"),
+    **ANSWERS,
+    **_scored_texts(lambda c: not c.startswith("human")),
+    scored="SELECT a.id, strategy, overall_quality_index FROM answers a LEFT JOIN norm ON norm.id = a.id",
+)
+_CUES = "CASE WHEN doc_id % 3 = 0 THEN ' It may rise by 5%, thus we must act.' ELSE ' Sales could fall.' END"
+add(
+    "stream_scores",
+    "SELECT id, round(overall_quality_index, 6) AS overall_quality_index FROM norm",
+    answers=f"""SELECT doc_id AS id, text || {_CUES} AS answer,
+    {_CUES} || ' Perhaps we should, and will, definitely cut 20 units.' || source AS human_answer FROM documents""",
+    **_scored_texts(lambda c: True),
+)
 _h = _hedging("answer")
 add(
     "strategy_hedging",

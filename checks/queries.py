@@ -14,7 +14,7 @@ from textscore.functions.lexicons import CLOSED_CLASSES
 from textscore.operators import claims, entities, joins, normalize, quantiles, reports, sampling, similarity, surprisal
 from textscore.plans import main_metrics as main_plan
 from textscore.plans import reference_free as free_plan
-from textscore.session import work_path
+from textscore.session import spread, store, work_path
 from textscore.sources import tables
 from textscore.streaming import stream
 
@@ -37,12 +37,19 @@ def _planted(build: Callable, spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(build(planted.parquet_table(folder)))
 
 
+def _planted_texts(build: Callable, spark: SparkSession, folder: str) -> DataFrame:
+    """As :func:`_planted`, with the documents spread over all cores before the text work."""
+    spread(given(spark, folder, "documents"), "doc_id").createOrReplaceTempView("textscore_documents")
+    stored = planted.parquet_table(folder)
+    return spark.sql(build(lambda name: "textscore_documents" if name == "documents" else stored(name)))
+
+
 def answers(spark: SparkSession, folder: str) -> DataFrame:
-    return _planted(planted.answers, spark, folder)
+    return _planted_texts(planted.answers, spark, folder)
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    return _planted(planted.replies, spark, folder)
+    return _planted_texts(planted.replies, spark, folder)
 
 
 def metric_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,10 +64,9 @@ def normalised(spark: SparkSession, folder: str) -> DataFrame:
     """Dimensions with the normalised metrics, written first: reports read stored tables."""
     table = metric_table(spark, folder)
     model = normalize.MetricNormalizer.standard().fit(table)
-    dims, norm = work_path(spark, "dimensions"), work_path(spark, "normalised")
-    tables.write_table(table.select("id", "strategy", "department", "category"), dims)
+    norm = work_path(spark, "normalised")
     tables.write_table(model.transform(table), norm)
-    return tables.load_analysis(spark, dims, norm)
+    return table.select("id", "strategy", "department", "category").join(tables.read_table(spark, norm), "id", "left")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -441,7 +447,8 @@ def token_vectors(spark, folder) -> DataFrame:
 @query
 def vector_similarity(spark, folder):
     a = answers(spark, folder)
-    return rounded(similarity.greedy_similarity(a, "id", "answer", "human_answer", token_vectors(spark, folder)), 5)
+    vectors = store(token_vectors(spark, folder), "vectors")
+    return rounded(similarity.greedy_similarity(a, "id", "answer", "human_answer", vectors), 5)
 
 
 @query
@@ -569,10 +576,9 @@ def gap_radar(spark, folder):
 def scorecard(spark, folder):
     """From texts to a ranking: measures, normaliser, index, mean per strategy."""
     a = answers(spark, folder)
-    scores = free_plan.reference_free_metrics(a)
-    model = normalize.MetricNormalizer(index_columns=[c for c in free_plan.COLUMNS if not c.startswith("human")]).fit(scores)
-    joined = a.select("id", "strategy").join(model.transform(scores), "id", "left")
-    return rounded(reports.ranking(joined))
+    answer_side = [c for c in free_plan.COLUMNS if not c.startswith("human")]
+    scored = normalize.MetricNormalizer(index_columns=answer_side).fit_transform(free_plan.reference_free_metrics(a))
+    return rounded(reports.ranking(a.select("id", "strategy").join(scored, "id", "left")))
 
 
 @query
@@ -626,12 +632,19 @@ def stream_sessions(spark, folder):
 
 @query
 def stream_scores(spark, folder):
-    """Turns of conversations scored as they arrive, normalised by a model fitted on the whole table."""
-    schema = "conv_id long, turn long, role string, text string"
-    shape = lambda df: df.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("answer"), F.col("role").alias("human_answer")
-    )
-    fitted = normalize.MetricNormalizer().fit(free_plan.reference_free_metrics(shape(given(spark, folder, "conversations"))))
-    turns = stream.read_stream(spark, folder, schema, name="conversations.parquet")
-    out = _run(spark, stream.score_stream(shape(turns), fitted), "scores")
+    """Documents scored as they arrive, normalised by a model fitted on the stored table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    cues = F.when(F.col("doc_id") % 3 == 0, " It may rise by 5%, thus we must act.").otherwise(" Sales could fall.")
+
+    def shape(df):
+        return df.select(
+            F.col("doc_id").alias("id"),
+            F.concat("text", cues).alias("answer"),
+            F.concat(cues, F.lit(" Perhaps we should, and will, definitely cut 20 units."), F.col("source")).alias("human_answer"),
+        )
+
+    stored = shape(spread(given(spark, folder, "documents"), "doc_id"))
+    fitted = normalize.MetricNormalizer().fit(free_plan.reference_free_metrics(stored))
+    arriving = stream.read_stream(spark, folder, schema, name="documents.parquet")
+    out = _run(spark, stream.score_stream(shape(arriving), fitted), "scores")
     return rounded(out.select("id", "overall_quality_index"))

@@ -15,7 +15,17 @@ from .lexicons import (
     MODALS,
     UNGROUNDED_ASSERTIONS,
 )
-from .text import count_matches, find_all, let, per_word, phrase_pattern, raw_word_count, sentence_count, quantity_spans, unless_blank
+from .text import (
+    count_matches,
+    find_all,
+    let,
+    per_word,
+    phrase_pattern,
+    quantity_spans,
+    raw_word_count,
+    sentence_count,
+    unless_blank,
+)
 
 
 def causal_connective_density(text: Column, connectives: Iterable[str] = CAUSAL_CONNECTIVES) -> Column:
@@ -76,7 +86,7 @@ def modal_verb_profile(text: Column, modals: Iterable[str] = MODALS) -> Column:
     """
     modals = tuple(modals)
     found = F.struct(
-        find_all(F.lower(text), phrase_pattern(modals).replace("(?iu)", "", 1)).alias("hits"),
+        find_all(F.lower(text), phrase_pattern(modals, any_case=False)).alias("hits"),
         raw_word_count(text).alias("n"),
     )
 

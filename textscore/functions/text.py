@@ -26,10 +26,9 @@ EDGE_LEFT = rf"(?<!{TOKEN_CHAR})"
 EDGE_RIGHT = rf"(?!{TOKEN_CHAR})"
 STRIP = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
-# A terminator run that ends a sentence; the look-behind starts it at the run's
-# first mark, so long runs of marks stay linear.
-SENTENCE_END = r"(?<![.!?])[.!?]++(?:\s++|\z)"
-CLOSED_SENTENCE = r"(?<![.!?])[.!?]++\s*+\z"
+# The last mark of a run ends a sentence; looking at single marks keeps long runs linear.
+SENTENCE_END = r"[.!?](?:\s|\z)"
+CLOSED_SENTENCE = r"[.!?]\s*+\z"
 FIRST_TOKEN = rf"(?:\A|[.!?]\s+){NOT_TOKEN_CHAR}*+({TOKEN_CHAR}++)"
 
 _NUMBER = r"\d++(?:[.,]\d++)*+"
@@ -42,7 +41,8 @@ QUANTITY_PARTS = {
     "QUANTITY": rf"{_NUMBER}\s?(?:kg|km|hours|days|units)",
     "CARDINAL": _NUMBER,
 }
-QUANTITY = "|".join(QUANTITY_PARTS[label] for label in QUANTITY_LABELS)
+# The look-ahead lists every possible first character, so most positions fail at once.
+QUANTITY = "(?=[0-9$€£Q])(?:" + "|".join(QUANTITY_PARTS[label] for label in QUANTITY_LABELS) + ")"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,9 +59,25 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
-def phrase_pattern(phrases: Iterable[str]) -> str:
-    """Any of the phrases as whole words, in any case; the first listed wins at a position."""
-    return rf"(?iu){EDGE_LEFT}(?:{'|'.join(re.escape(p) for p in phrases)}){EDGE_RIGHT}"
+def _first_letters(phrases: Iterable[str]) -> str:
+    """Every character a phrase may start with when case is ignored."""
+    folded = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}  # letters that fold to ASCII
+    firsts = {p[0].lower() for p in phrases}
+    return "".join(sorted({c for f in firsts for c in f + f.upper() + folded.get(f, "")}))
+
+
+def phrase_pattern(phrases: Iterable[str], any_case: bool = True) -> str:
+    """Any of the phrases as whole words; the first listed wins at a position.
+
+    A look-ahead for the first letter, outside the case-folding group, rejects most
+    positions of a text with one table look-up.
+    """
+    phrases = tuple(phrases)
+    listed = "|".join(re.escape(p) for p in phrases)
+    if not any_case:
+        starts = "".join(sorted({p[0] for p in phrases}))
+        return rf"(?=[{re.escape(starts)}]){EDGE_LEFT}(?:{listed}){EDGE_RIGHT}"
+    return rf"(?=[{re.escape(_first_letters(phrases))}]){EDGE_LEFT}(?iu:{listed}){EDGE_RIGHT}"
 
 
 def is_blank(text: Column) -> Column:

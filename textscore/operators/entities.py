@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.annotate import labelled_spans, suffix_tag, token_ngrams
 from ..functions.lexical import balance
 from ..functions.lexicons import ENTITY_LABELS, FORMAL_TAGS, INFORMAL_TAGS
-from ..functions.text import NON_SPACE, TOKEN, let, raw_word_count, tokens
+from ..functions.text import NON_SPACE, TOKEN, raw_word_count, tokens
 from .joins import BROADCAST_BYTES, lookup
 
 
@@ -19,20 +19,17 @@ def formality_by_table(
 ) -> DataFrame:
     """Formality with a part-of-speech table (token, pos); tokens it lacks follow the suffix rule.
 
-    Tokens are counted per text before the lookup, so a repeated word travels once.
+    A text without tokens travels as one row without a token, so nothing is joined back.
     """
-    words = df.select(id_col, F.explode(tokens(F.col(text))).alias("token"))
-    counted = words.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
+    has_text = F.coalesce(F.col(text).rlike(NON_SPACE), F.lit(False)).alias("has_text")
+    words = df.select(id_col, has_text, F.explode_outer(tokens(F.col(text))).alias("token"))
     one_per_token = lexicon.groupBy("token").agg(F.min("pos").alias("pos"))
-    tagged = lookup(counted, one_per_token, ["token"], spread_by=[id_col], row_bytes=64, budget=budget)
-    tag = F.coalesce(F.col("pos"), suffix_tag(F.col("token")))
-    sums = tagged.groupBy(id_col).agg(
-        F.sum(F.when(tag.isin(*FORMAL_TAGS), F.col("n")).otherwise(0)).alias("f"),
-        F.sum(F.when(tag.isin(*INFORMAL_TAGS), F.col("n")).otherwise(0)).alias("i"),
+    tagged = lookup(words, one_per_token, ["token"], spread_by=[id_col], row_bytes=64, budget=budget)
+    tag = F.when(F.col("token").isNotNull(), F.coalesce(F.col("pos"), suffix_tag(F.col("token"))))
+    sums = tagged.groupBy(id_col, "has_text").agg(
+        F.count_if(tag.isin(*FORMAL_TAGS)).alias("f"), F.count_if(tag.isin(*INFORMAL_TAGS)).alias("i")
     )
-    texts = df.select(id_col, F.col(text).rlike(NON_SPACE).alias("has_text")).join(sums, id_col, "left")
-    score = balance(F.coalesce("f", F.lit(0)), F.coalesce("i", F.lit(0)))
-    return texts.select(id_col, F.when(F.col("has_text"), score).alias("formality_score"))
+    return sums.select(id_col, F.when(F.col("has_text"), balance(F.col("f"), F.col("i"))).alias("formality_score"))
 
 
 def entity_density_by_table(
@@ -56,19 +53,16 @@ def entity_density_by_table(
     )
     terms = terms.filter("entity <> ''").distinct().withColumn("listed", F.lit(True))
     longest = terms.agg(F.max(F.size(F.split("entity", " ")))).first()[0] or 1
+    # one row per text: its words, its spans, and the token runs that are not spans already
     spans = labelled_spans(F.col(text), labels)
-    sent = df.select(
+    sent = df.select(id_col, raw_word_count(F.col(text)).alias("words"), spans.alias("spans"), tokens(F.col(text)).alias("t"))
+    runs = sent.select(
         id_col,
-        raw_word_count(F.col(text)).alias("words"),
-        spans.alias("spans"),
-        let(tokens(F.col(text)), lambda ts: token_ngrams(ts, longest)).alias("runs"),
-    )
-    runs = sent.select(id_col, "spans", F.explode("runs").alias("entity"))
-    # a run that is already a span must not count twice
-    fresh = runs.filter(~F.array_contains("spans", F.col("entity"))).select(id_col, "entity")
-    found = lookup(fresh, terms, ["entity"], spread_by=[id_col], row_bytes=64, budget=budget).filter("listed")
-    per_text = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_terms"))
-    n = F.size("spans") + F.coalesce("n_terms", F.lit(0))
-    return sent.select(id_col, "words", "spans").join(per_text, id_col, "left").select(
-        id_col, F.try_divide(n.cast("double"), F.col("words")).alias("ner_density")
+        "words",
+        F.size("spans").alias("n_spans"),
+        F.explode_outer(F.array_except(token_ngrams(F.col("t"), longest), F.col("spans"))).alias("entity"),
     )
+    found = lookup(runs, terms, ["entity"], spread_by=[id_col], row_bytes=64, budget=budget)
+    per_text = found.groupBy(id_col, "words", "n_spans").agg(F.count("listed").alias("n_terms"))
+    n = (F.col("n_spans") + F.col("n_terms")).cast("double")
+    return per_text.select(id_col, F.try_divide(n, F.col("words")).alias("ner_density"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicons import ALL_METRICS, DEFAULT_LOWER_IS_BETTER, DEFAULT_SKEWED
+from ..session import store
 from .joins import existing
 
 SKEW_SCHEMA = T.StructType(
@@ -186,7 +187,11 @@ class MetricNormalizer(Estimator, _NormalizerParams, DefaultParamsReadable, Defa
         return rows
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        return self.fit(df).transform(df)
+        """Fit, then transform. The metrics are stored once in the shared folder in between, so
+        measures computed from texts are not computed twice."""
+        listed = [*self.getOrDefault("metrics"), *self.getOrDefault("skewed_metrics"), *self.getOrDefault("lower_is_better")]
+        table = store(df.select(self.getOrDefault("id_col"), *existing(df, list(dict.fromkeys(listed)))), "metrics")
+        return self.fit(table).transform(table)
 
 
 class MetricNormalizerModel(Model, _NormalizerParams):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, tokens
+from ..session import store
 from .joins import HOT_KEYS, split_hot_lookup
 
 
@@ -56,12 +57,14 @@ def text_surprisal(
     """Mean and population deviation of token surprisal per text; NULL under 2 tokens.
 
     The model is trained on ``train``, or on ``df`` itself. A bigram the training
-    table never saw scores as a zero count in its context. Hot bigrams are known
-    from the counts and are split off before the lookup; the final grouping by id
-    combines map-side.
+    table never saw scores as a zero count in its context. Counts and model are
+    aggregates far smaller than the texts; they are stored once in the shared folder,
+    so no later step reads the training texts again. Hot bigrams are known from the
+    counts and are split off before the lookup; the final grouping by id combines
+    map-side.
     """
-    counts = bigram_counts(train if train is not None else df, train_text or text, max_tokens)
-    model = bigram_model(counts)
+    counts = store(bigram_counts(train if train is not None else df, train_text or text, max_tokens), "bigram-counts")
+    model = store(bigram_model(counts), "bigram-model")
     seen = _successions(df, text, max_tokens, [id_col])
     bigrams = seen.filter(F.col("b").isNotNull())
     hot = model.orderBy(F.desc("n"), "a", "b").limit(HOT_KEYS)

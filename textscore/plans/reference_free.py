@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.lexical import balance
 from ..functions.lexicons import BOOSTERS, CAUSAL_CONNECTIVES, HEDGES, MODALS
 from ..functions.text import (
-    count_matches,
     find_all,
     phrase_pattern,
     quantity_spans,
@@ -29,7 +28,7 @@ MEASURES = (
 )
 COLUMNS = tuple(f"{side}_{m}" for m in MEASURES for side in SIDES)
 
-_CUE_WORDS = tuple(dict.fromkeys([*HEDGES, *BOOSTERS, *MODALS]))
+_CUES = tuple(dict.fromkeys([*CAUSAL_CONNECTIVES, *HEDGES, *BOOSTERS, *MODALS]))
 
 
 def _hits(words: Column, wanted: Sequence[str]) -> Column:
@@ -44,9 +43,10 @@ def _exact(words: Column, modal: str) -> Column:
 def reference_free_metrics(df: DataFrame, id_col: str = "id") -> DataFrame:
     """``id`` and 22 measures, answer and human side alternating; a map-only job.
 
-    Hedges, boosters and modals are all single words, so one scan of the text finds
-    them together; the first projection holds that short list and the plain counts,
-    the second one does the arithmetic. Equal to the single functions.
+    Hedges, boosters and modals are all single words and no connective contains one,
+    so matches never overlap and one scan of the text finds all of them. The first
+    projection holds that short list and the plain counts, the second one does the
+    arithmetic. Equal to the single functions.
     """
     scans = {}
     for side in SIDES:
@@ -54,8 +54,7 @@ def reference_free_metrics(df: DataFrame, id_col: str = "id") -> DataFrame:
         scans[f"{side}.words"] = raw_word_count(text)
         scans[f"{side}.sentences"] = sentence_count(text)
         scans[f"{side}.quantities"] = F.size(quantity_spans(text))
-        scans[f"{side}.causal"] = count_matches(text, phrase_pattern(CAUSAL_CONNECTIVES))
-        scans[f"{side}.cues"] = find_all(text, phrase_pattern(_CUE_WORDS))
+        scans[f"{side}.cues"] = find_all(text, phrase_pattern(_CUES))
     scanned = df.select(id_col, *[c.alias(name) for name, c in scans.items()])
 
     out: dict[str, Column] = {}
@@ -63,7 +62,7 @@ def reference_free_metrics(df: DataFrame, id_col: str = "id") -> DataFrame:
         words, cues = F.col(f"`{side}.words`"), F.col(f"`{side}.cues`")
         hedges, boosters = _hits(cues, HEDGES), _hits(cues, BOOSTERS)
         out[f"{side}_quantification_density"] = F.col(f"`{side}.quantities`").cast("double") / F.col(f"`{side}.sentences`")
-        out[f"{side}_causal_density"] = F.try_divide(F.col(f"`{side}.causal`").cast("double"), words)
+        out[f"{side}_causal_density"] = F.try_divide(_hits(cues, CAUSAL_CONNECTIVES), words)
         out[f"{side}_hedge_to_booster_ratio"] = F.when(words > 0, balance(hedges, boosters))
         out[f"{side}_hedge_density"] = F.try_divide(hedges, words)
         out[f"{side}_booster_density"] = F.try_divide(boosters, words)
