@@ -56,17 +56,21 @@ def split_hot_lookup(
     """Left join to a table with unique ``keys`` when a few keys hold much of ``left``.
 
     ``hot`` lists the most frequent keys of ``left``, at most :data:`HOT_KEYS` rows.
-    Their matches are broadcast; the rows they served then travel under a salt, so
-    the shuffled join that serves all other keys sees no hot key. Nothing is dropped.
+    Their matches are broadcast; the rows they served, and rows with a NULL key, then
+    travel under a salt of their own, so the shuffled join that serves all other keys
+    sees no hot key. Nothing is dropped.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
     top = right.join(F.broadcast(hot.select(*keys).limit(HOT_KEYS)), keys, "left_semi")
     top = top.select(*keys, F.struct(*values).alias("__hot"))
     served = left.join(F.broadcast(top), keys, "left")
-    salt = F.when(F.col("__hot").isNotNull(), 1 + F.pmod(F.xxhash64(*spread_by), F.lit(_SPREAD))).otherwise(0)
-    cold = right.select(*keys, F.struct(*values).alias("__cold"), F.lit(0).cast("long").alias("__salt"))
-    joined = served.withColumn("__salt", salt.cast("long")).join(cold, [*keys, "__salt"], "left")
+    # A key's own salt is a function of the key: a literal would be folded out of the hash.
+    own = F.pmod(F.xxhash64(*keys), F.lit(_SPREAD))
+    settled = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.col("__hot").isNotNull())
+    salt = F.when(settled, _SPREAD + F.pmod(F.xxhash64(*spread_by), F.lit(_SPREAD))).otherwise(own)
+    cold = right.select(*keys, F.struct(*values).alias("__cold"), own.alias("__salt"))
+    joined = served.withColumn("__salt", salt).join(cold, [*keys, "__salt"], "left")
     found = F.coalesce(F.col("__hot"), F.col("__cold"))
     return joined.select(*[F.col(c) for c in left.columns], *[found[v].alias(v) for v in values])
 

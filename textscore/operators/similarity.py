@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, tokens
-from .joins import BROADCAST_BYTES, fits, lookup
+from .joins import fits, lookup
+
+# Vectors are broadcast only up to this counted size.
+VECTOR_BYTES = 128 * 1024 * 1024
 
 _BLOCK = 2048  # candidate tokens compared at once, bounds memory per text
 
@@ -58,37 +62,58 @@ def _best_cosines(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.n
 def _pair_scores(cand: np.ndarray, cand_n: np.ndarray, ref: np.ndarray, ref_n: np.ndarray) -> tuple[float, float, float]:
     if len(cand) == 0 or len(ref) == 0:
         return 0.0, 0.0, 0.0
-    best_c, best_r = _best_cosines(cand, ref)
+    best_c, best_r = _best_cosines(_unit(cand), _unit(ref))
     p = float(np.average(best_c, weights=cand_n))
     r = float(np.average(best_r, weights=ref_n))
     return p, r, (2 * p * r / (p + r) if p + r > 0 else 0.0)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.float64)
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(length == 0, 1.0, length)
 
 
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of an Arrow list column, all of one length, without NULL rows."""
+    if len(vectors) == 0:
+        return np.zeros((0, 1))
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _scored_table(id_col: str, ids, scores: list[tuple[float, float, float]]) -> dict:
+    values = np.array(scores, dtype=np.float64).reshape(-1, 3)
+    return {id_col: ids, "precision": values[:, 0], "recall": values[:, 1], "f1": values[:, 2]}
+
+
 def _with_broadcast_vectors(pairs: DataFrame, id_col: str, vectors: DataFrame, out_schema: str) -> DataFrame:
-    table = vectors.select("token", "vector").toPandas()
-    index = {t: i for i, t in enumerate(table["token"])}
-    matrix = _unit(np.array(table["vector"].tolist(), dtype=np.float64)) if len(table) else np.zeros((0, 1))
-    shared = pairs.sparkSession.sparkContext.broadcast((index, matrix))
-
-    def side(words) -> tuple[np.ndarray, np.ndarray]:
-        where, mat = shared.value
-        at = np.array([where[w] for w in words if w in where], dtype=np.int64)
-        rows, counts = np.unique(at, return_counts=True)
-        return mat[rows], counts
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    table = vectors.select("token", "vector").toArrow()
+    vocabulary = table["token"].combine_chunks()
+    shared = pairs.sparkSession.sparkContext.broadcast((vocabulary, _matrix(table["vector"]).astype(np.float32)))
+
+    def side(places: np.ndarray, ends: np.ndarray, row: int, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine = places[ends[row] : ends[row + 1]]
+        rows, counts = np.unique(mine[mine >= 0], return_counts=True)
+        return matrix[rows], counts
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, matrix = shared.value
         for batch in batches:
-            scored = [_pair_scores(*side(c), *side(r)) for c, r in zip(batch["c"], batch["r"])]
-            values = np.array(scored, dtype=np.float64).reshape(-1, 3)
-            yield pd.DataFrame({id_col: batch[id_col], "precision": values[:, 0], "recall": values[:, 1], "f1": values[:, 2]})
+            found = {}
+            for name in ("c", "r"):
+                words = batch.column(name)
+                places = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
+                found[name] = (places.to_numpy(zero_copy_only=False), ends.astype(np.int64))
+            scores = [
+                _pair_scores(*side(*found["c"], row, matrix), *side(*found["r"], row, matrix)) for row in range(batch.num_rows)
+            ]
+            yield pa.RecordBatch.from_pydict(_scored_table(id_col, batch.column(id_col), scores))
 
     rows = pairs.select(id_col, tokens(F.col("c")).alias("c"), tokens(F.col("r")).alias("r"))
-    return rows.mapInPandas(score, out_schema)
+    return rows.mapInArrow(score, out_schema)
 
 
 def _with_joined_vectors(pairs: DataFrame, id_col: str, vectors: DataFrame, out_schema: str) -> DataFrame:
@@ -105,17 +130,16 @@ def _with_joined_vectors(pairs: DataFrame, id_col: str, vectors: DataFrame, out_
     counted = words.groupBy(id_col, "side", "token").agg(F.count("token").alias("n"))
     placed = lookup(counted, vectors.select("token", "vector"), ["token"], spread_by=[id_col, "side"], budget=0)
 
-    def score(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group[group["vector"].notna()]
+    def score(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.filter(pc.is_valid(group["vector"]))
         sides = []
         for s in (0, 1):
-            part = group[group["side"] == s]
-            rows = np.array(part["vector"].tolist(), dtype=np.float64) if len(part) else np.zeros((0, 1))
-            sides += [_unit(rows) if len(part) else rows, part["n"].to_numpy()]
-        p, r, f = _pair_scores(*sides)
-        return pd.DataFrame({id_col: [key[0]], "precision": [p], "recall": [r], "f1": [f]})
+            part = group.filter(pc.equal(group["side"], s))
+            sides += [_matrix(part["vector"]), part["n"].to_numpy()]
+        ids = pa.array([key[0].as_py()], type=key[0].type)
+        return pa.table(_scored_table(id_col, ids, [_pair_scores(*sides)]))
 
-    return placed.groupBy(id_col).applyInPandas(score, out_schema)
+    return placed.select(id_col, "side", "n", "vector").groupBy(id_col).applyInArrow(score, out_schema)
 
 
 def greedy_similarity(
@@ -124,7 +148,7 @@ def greedy_similarity(
     candidate: str,
     reference: str,
     vectors: DataFrame,
-    budget: int = BROADCAST_BYTES,
+    budget: int = VECTOR_BYTES,
 ) -> DataFrame:
     """P, R and F1 per text pair from a table of token vectors (token, vector).
 
@@ -141,7 +165,7 @@ def greedy_similarity(
     )
     out_schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, precision double, recall double, f1 double"
     width = vectors.select(F.size("vector")).first()
-    row_bytes = 64 + 8 * (width[0] if width and width[0] and width[0] > 0 else 1)
+    row_bytes = 48 + 4 * (width[0] if width and width[0] and width[0] > 0 else 1)
     if fits(vectors, row_bytes, budget):
         return _with_broadcast_vectors(pairs, id_col, vectors, out_schema)
     return _with_joined_vectors(pairs, id_col, vectors, out_schema)

@@ -7,29 +7,30 @@ surprisal -ln p in nats; the first token of a text has no score.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, tokens
+from ..functions.text import tokens
 from ..session import store
 from .joins import HOT_KEYS, split_hot_lookup
 
 
 def _successions(df: DataFrame, text: str, max_tokens: int | None, keep: list[str]) -> DataFrame:
-    """Every token ``a`` with its successor ``b`` (NULL for the last one), without a window."""
+    """Every token ``a`` with its successor ``b`` (NULL for the last one), without a window.
+
+    A text without tokens gives one row of NULLs.
+    """
     toks = tokens(F.col(text))
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
-
-    def pairs(ts: Column) -> Column:
-        return F.transform(ts, lambda a, i: F.struct(a.alias("a"), F.get(ts, i + 1).alias("b")))
-
-    return df.select(*keep, F.explode(let(toks, pairs)).alias("t")).select(*keep, "t.a", "t.b")
+    lists = df.select(*keep, toks.alias("a"))
+    lists = lists.select(*keep, "a", F.slice("a", 2, F.size("a")).alias("b"))
+    return lists.select(*keep, F.explode_outer(F.arrays_zip("a", "b")).alias("t")).select(*keep, "t.a", "t.b")
 
 
 def bigram_counts(df: DataFrame, text: str, max_tokens: int | None = None) -> DataFrame:
     """(a, b, n) over the corpus; b is NULL where a ends a text. Combined map-side."""
-    return _successions(df, text, max_tokens, []).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return _successions(df, text, max_tokens, []).filter("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bigram_model(counts: DataFrame) -> DataFrame:
@@ -66,18 +67,16 @@ def text_surprisal(
     counts = store(bigram_counts(train if train is not None else df, train_text or text, max_tokens), "bigram-counts")
     model = store(bigram_model(counts), "bigram-model")
     seen = _successions(df, text, max_tokens, [id_col])
-    bigrams = seen.filter(F.col("b").isNotNull())
     hot = model.orderBy(F.desc("n"), "a", "b").limit(HOT_KEYS)
-    scored = split_hot_lookup(bigrams, model.select("a", "b", "surprisal"), ["a", "b"], hot, spread_by=[id_col])
+    scored = split_hot_lookup(seen, model.select("a", "b", "surprisal"), ["a", "b"], hot, spread_by=[id_col])
     if train is not None:
         scored = _score_unseen(scored, counts)
-    # every text comes back, also those without a bigram
-    per_text = scored.groupBy(id_col).agg(
+    # the last token of a text has no successor and no score, so every text has a row here
+    return scored.groupBy(id_col).agg(
         F.avg("surprisal").alias("surprisal_mean"),
         F.stddev_pop("surprisal").alias("surprisal_std"),
         F.count("surprisal").alias("n_scored"),
     )
-    return df.select(id_col).join(per_text, id_col, "left").withColumn("n_scored", F.coalesce("n_scored", F.lit(0)))
 
 
 def _score_unseen(scored: DataFrame, counts: DataFrame) -> DataFrame:
@@ -89,5 +88,5 @@ def _score_unseen(scored: DataFrame, counts: DataFrame) -> DataFrame:
     hot = scored.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "a").limit(HOT_KEYS)
     spread = [c for c in scored.columns if c not in ("a", "surprisal")]
     placed = split_hot_lookup(scored, context, ["a"], hot, spread_by=spread)
-    unseen = F.ln(F.coalesce("context_n", F.lit(0)) + vocabulary)
+    unseen = F.when(F.col("b").isNotNull(), F.ln(F.coalesce("context_n", F.lit(0)) + vocabulary))
     return placed.withColumn("surprisal", F.coalesce("surprisal", unseen)).drop("context_n")
