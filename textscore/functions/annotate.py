@@ -6,6 +6,7 @@ pretrained model.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -96,7 +97,7 @@ def entity_density(
     """
     labels = tuple(labels)
     spans = labelled_spans(text, labels)
-    terms = {" ".join(t.lower().split()) for t, lab in (gazetteer or {}).items() if lab in labels}
+    terms = {" ".join(re.findall(r"\w+", t.lower())) for t, lab in (gazetteer or {}).items() if lab in labels} - {""}
     if terms:
         longest = max(len(t.split()) for t in terms)
         listed = F.array(*[F.lit(t) for t in sorted(terms)])

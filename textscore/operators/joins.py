@@ -89,7 +89,8 @@ def lookup(
     hot keys of ``left`` are split off and the rest is joined by a shuffle.
     """
     if fits(right, row_bytes, budget):
-        return left.join(F.broadcast(right), list(keys), "left")
+        joined = left.join(F.broadcast(right), list(keys), "left")
+        return joined.select(*left.columns, *[c for c in right.columns if c not in keys])
     frequency = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = frequency.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS)
     return split_hot_lookup(left, right, keys, hot, spread_by)
