@@ -26,7 +26,9 @@ def toks(t):
     return re.findall(r"\w+", (t or "").lower())
 
 
-def test_overlap(corpus):
+@pytest.mark.parametrize("few", [500, 0])
+def test_overlap(corpus, monkeypatch, few):
+    monkeypatch.setattr(similarity, "_FEW", few)
     df, rows = corpus
     got = {r["id"]: r["s"] for r in df.select("id", similarity.token_overlap(F.col("text"), F.col("ref")).alias("s")).collect()}
     for i, text, ref in rows:
@@ -106,6 +108,9 @@ def test_lookup_keeps_every_row(spark, monkeypatch, budget):
     rows = got.collect()
     assert len(rows) == 3000
     assert all(r["v"] == values.get(r["k"]) for r in rows)
+    # a hot key the table lacks
+    rows = joins.lookup(left, right.filter("k <> 'hot'"), ["k"], ["id"], budget=budget).collect()
+    assert len(rows) == 3000 and all(r["v"] is None for r in rows if r["k"] == "hot")
 
 
 def test_the_salt_is_part_of_the_shuffle_key(spark):

@@ -62,8 +62,10 @@ def split_hot_lookup(
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
-    top = right.join(F.broadcast(hot.select(*keys).limit(HOT_KEYS)), keys, "left_semi")
-    top = top.select(*keys, F.struct(*values).alias("__hot"))
+    hot = hot.select(*keys).limit(HOT_KEYS)
+    matched = right.join(F.broadcast(hot), keys, "left_semi")
+    # a hot key that the table lacks is settled too: its struct holds NULLs
+    top = hot.join(F.broadcast(matched), keys, "left").select(*keys, F.struct(*values).alias("__hot"))
     served = left.join(F.broadcast(top), keys, "left")
     # A key's own salt is a function of the key: a literal would be folded out of the hash.
     own = F.pmod(F.xxhash64(*keys), F.lit(_SPREAD))

@@ -16,6 +16,7 @@ from .joins import fits, lookup
 # Vectors are broadcast only up to this counted size.
 VECTOR_BYTES = 128 * 1024 * 1024
 
+_FEW = 500  # shared tokens up to which they are searched one by one
 _BLOCK = 2048  # candidate tokens compared at once, bounds memory per text
 
 
@@ -23,6 +24,28 @@ def _f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
+def _hits(words: Column, shared: Column) -> Column:
+    """How many of ``words``, repeats included, are among the distinct ``shared``.
+
+    Near-copies of long texts share thousands of tokens. There one sorted pass, with a
+    marker ahead of each shared token's run, replaces the search per token.
+    """
+    few = F.size(F.filter(words, lambda t: F.array_contains(shared, t)))
+
+    def marked(tokens_: Column, is_word: int) -> Column:
+        return F.transform(tokens_, lambda t: F.struct(t.alias("t"), F.lit(is_word).alias("word")))
+
+    def step(run: Column, x: Column) -> Column:
+        begins = F.struct(x["t"].alias("t"), run["n"].alias("n"))
+        counts = F.struct(run["t"].alias("t"), (run["n"] + 1).alias("n"))
+        return F.when(x["word"] == 0, begins).when(x["t"] == run["t"], counts).otherwise(run)
+
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"))
+    runs = F.sort_array(F.concat(marked(shared, 0), marked(words, 1)))
+    many = F.aggregate(runs, start, step, lambda run: run["n"])
+    return F.when(F.size(shared) <= _FEW, few).otherwise(many)
+
+
 def token_overlap(candidate: Column, reference: Column) -> Column:
     """Struct of P, R and F1 with one-hot token vectors.
 
@@ -36,8 +59,8 @@ def token_overlap(candidate: Column, reference: Column) -> Column:
 
     def scores(s: Column) -> Column:
         def share(side: str) -> Column:
-            hits = F.size(F.filter(s[side], lambda t: F.array_contains(s["both"], t)))
-            return F.coalesce(F.try_divide(hits.cast("double"), F.size(s[side])), F.lit(0.0))
+            hits = _hits(s[side], s["both"]).cast("double")
+            return F.coalesce(F.try_divide(hits, F.size(s[side])), F.lit(0.0))
 
         pair = F.struct(share("c").alias("p"), share("r").alias("r"))
         return let(

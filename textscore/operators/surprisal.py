@@ -33,12 +33,16 @@ def bigram_counts(df: DataFrame, text: str, max_tokens: int | None = None) -> Da
     return _successions(df, text, max_tokens, []).filter("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bigram_model(counts: DataFrame) -> DataFrame:
-    """(a, b, n, surprisal) for every bigram seen."""
-    context = counts.groupBy("a").agg(
+def context_counts(counts: DataFrame) -> DataFrame:
+    """(a, context_n, followers): bigrams that start with ``a``, all and distinct; one row per token."""
+    return counts.groupBy("a").agg(
         F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.col("n"))), F.lit(0)).alias("context_n"),
         F.count(F.lit(1)).alias("followers"),
     )
+
+
+def bigram_model(counts: DataFrame, context: DataFrame) -> DataFrame:
+    """(a, b, n, surprisal) for every bigram seen."""
     vocabulary = context.agg(F.count(F.lit(1)).alias("v")).scalar()
     hot = context.orderBy(F.desc("followers"), "a").limit(HOT_KEYS)
     bigrams = counts.filter(F.col("b").isNotNull())
@@ -59,18 +63,22 @@ def text_surprisal(
 
     The model is trained on ``train``, or on ``df`` itself. A bigram the training
     table never saw scores as a zero count in its context. Counts and model are
-    aggregates far smaller than the texts; they are stored once in the shared folder,
+    aggregates of the texts; they are stored once in the shared folder,
     so no later step reads the training texts again. Hot bigrams are known from the
     counts and are split off before the lookup; the final grouping by id combines
     map-side.
     """
     counts = store(bigram_counts(train if train is not None else df, train_text or text, max_tokens), "bigram-counts")
-    model = store(bigram_model(counts), "bigram-model")
+    context = store(context_counts(counts), "bigram-contexts")
+    model = store(bigram_model(counts, context), "bigram-model")
+    # the hot bigrams of the texts to score, which need not be those of the training texts
+    own = counts if train is None else store(bigram_counts(df, text, max_tokens), "scored-bigrams")
+    hot = own.filter("b IS NOT NULL").orderBy(F.desc("n"), "a", "b").limit(HOT_KEYS)
     seen = _successions(df, text, max_tokens, [id_col])
-    hot = model.orderBy(F.desc("n"), "a", "b").limit(HOT_KEYS)
     scored = split_hot_lookup(seen, model.select("a", "b", "surprisal"), ["a", "b"], hot, spread_by=[id_col])
     if train is not None:
-        scored = _score_unseen(scored, counts)
+        hot_tokens = own.groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HOT_KEYS)
+        scored = _score_unseen(scored, context, hot_tokens)
     # the last token of a text has no successor and no score, so every text has a row here
     return scored.groupBy(id_col).agg(
         F.avg("surprisal").alias("surprisal_mean"),
@@ -79,14 +87,10 @@ def text_surprisal(
     )
 
 
-def _score_unseen(scored: DataFrame, counts: DataFrame) -> DataFrame:
+def _score_unseen(scored: DataFrame, context: DataFrame, hot: DataFrame) -> DataFrame:
     """Bigrams outside the model: a zero count over their context, or over V alone."""
-    context = counts.groupBy("a").agg(
-        F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.col("n"))), F.lit(0)).alias("context_n"),
-    )
     vocabulary = context.agg(F.count(F.lit(1)).alias("v")).scalar()
-    hot = scored.groupBy("a").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "a").limit(HOT_KEYS)
     spread = [c for c in scored.columns if c not in ("a", "surprisal")]
-    placed = split_hot_lookup(scored, context, ["a"], hot, spread_by=spread)
+    placed = split_hot_lookup(scored, context.select("a", "context_n"), ["a"], hot, spread_by=spread)
     unseen = F.when(F.col("b").isNotNull(), F.ln(F.coalesce("context_n", F.lit(0)) + vocabulary))
     return placed.withColumn("surprisal", F.coalesce("surprisal", unseen)).drop("context_n")

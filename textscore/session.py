@@ -27,6 +27,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # at run time, hash instead of sorting where every partition is seen to be small
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -38,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     Outside local mode an unset folder becomes a sub-folder of the warehouse, which
     every executor can reach; a machine-local folder is only used in local mode.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    sc = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
     if not named:
-        if spark.sparkContext.master.startswith("local"):
+        if sc.master.startswith("local"):
             named = tempfile.mkdtemp(prefix="textscore-ckpt-")
         else:
             named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_textscore_checkpoints"
