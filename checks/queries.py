@@ -342,14 +342,15 @@ def human_sections(spark, folder):
 
 @query
 def judge_requests(spark, folder):
-    asked = ts.judge_request(F.col("answer"), ts.extract_observations(F.col("human_answer")))
-    return answers(spark, folder).select("id", F.md5(asked).alias("request_md5"), F.length(asked).cast("long").alias("n_chars"))
+    a = answers(spark, folder).withColumn("observed", ts.extract_observations(F.col("human_answer")))
+    asked = ts.request_table(a, "id", "answer", "observed", "Judge the reasoning.")
+    return asked.select("id", F.md5("user").alias("request_md5"), F.length("user").cast("long").alias("n_chars"))
 
 
 @query
 def reasoning_validity(spark, folder):
-    judged = ts.judgment_of_reply(F.col("reply"))
-    return replies(spark, folder).select("id", judged.alias("j")).select("id", ts.evaluate_reasoning(F.col("j")).alias("r")).select("id", "r.*")
+    judged = ts.evaluate_reasoning(ts.judgment_of_reply(F.col("reply")))
+    return replies(spark, folder).select("id", judged.alias("r")).select("id", "r.*")
 
 
 @query

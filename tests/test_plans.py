@@ -157,3 +157,17 @@ def test_rolling_index_drops_late_rows(spark, tmp_path):
 
 def test_shared_folder_is_read_from_the_session(spark):
     assert spark.conf.get(CHECKPOINT_KEY) == shared_dir(spark)
+
+
+def test_worker_helpers_travel_without_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from textscore.operators import reports, similarity
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((similarity._pair_scores, reports._comoments(["a"], [0.0]))))
+    load = "import pickle, sys; f, g = pickle.load(open(sys.argv[1], 'rb')); import numpy as np; print(f(np.eye(2), np.ones(2), np.eye(2), np.ones(2)))"
+    done = subprocess.run([sys.executable, "-c", load, str(tmp_path / "f")], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.strip() == "(1.0, 1.0, 1.0)", done.stderr

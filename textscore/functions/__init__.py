@@ -10,6 +10,7 @@ from .judgments import (
     observations_and_hypotheses,
     parse_judgment,
     recommendations,
+    request_table,
     total_reasoning_count,
     valid_reasoning_count,
 )

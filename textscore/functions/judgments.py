@@ -7,9 +7,11 @@ without a fenced block, or with malformed JSON, gives NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 # ---- fixed values: field names of one judged reasoning chain -------------------
 JUDGMENT_SCHEMA = (
     "array<struct<observations:string,hypotheses:string,recommendations:string,"
@@ -90,13 +92,21 @@ def total_reasoning_count(judgment: Column) -> Column:
 
 def evaluate_reasoning(judgment: Column) -> Column:
     """Struct of valid chains, all chains, and their ratio (NULL for an empty list)."""
-    return F.when(
-        judgment.isNotNull(),
-        F.struct(
-            valid_reasoning_count(judgment).alias("correct_reasoning_count"),
-            total_reasoning_count(judgment).alias("total_reasoning_to_verify"),
-            F.try_divide(valid_reasoning_count(judgment).cast("double"), total_reasoning_count(judgment)).alias(
-                "reasoning_percentage"
-            ),
-        ),
+
+    def fields(j: Column) -> Column:
+        valid, total = valid_reasoning_count(j), total_reasoning_count(j)
+        counted = F.struct(
+            valid.alias("correct_reasoning_count"),
+            total.alias("total_reasoning_to_verify"),
+            F.try_divide(valid.cast("double"), total).alias("reasoning_percentage"),
+        )
+        return F.when(j.isNotNull(), counted)
+
+    return let(judgment, fields)
+
+
+def request_table(df: DataFrame, id_col: str, answer: str, human_observation: str, system: str) -> DataFrame:
+    """(id, system, user): one request to a judge per answer, to be answered outside Spark."""
+    return df.select(
+        id_col, F.lit(system).alias("system"), judge_request(F.col(answer), F.col(human_observation)).alias("user")
     )

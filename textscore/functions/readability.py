@@ -23,7 +23,7 @@ _CONSONANT = f"[{TOKEN_CHAR}&&[^{PLAIN_VOWELS}{ACCENTED_VOWELS}]]"
 _BEFORE_SILENT = f"[{TOKEN_CHAR}&&[^{PLAIN_VOWELS}l]]"
 
 VOWEL_GROUP = f"{_VOWEL}++"
-SILENT_FINAL = f"{_BEFORE_SILENT}e{EDGE_RIGHT}"
+SILENT_FINAL = f"e{EDGE_RIGHT}(?<={_BEFORE_SILENT}e)"
 # No vowel at all, or a single vowel group that is a silent final.
 ZERO_BALANCE = (
     f"{EDGE_LEFT}(?:{_CONSONANT}++{EDGE_RIGHT}"
