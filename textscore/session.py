@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="textscore-ckpt-")
         else:
             named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_textscore_checkpoints"
-        spark.conf.set(CHECKPOINT_KEY, named)
+        sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
