@@ -211,7 +211,7 @@ class Vocabulary:
         self.shared = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens)))
 
     def codec(self) -> Codec:
-        return worker_cache(("bpe", self.key), lambda: Codec(*self.shared.value))
+        return worker_cache("bpe", self.key, lambda: Codec(*self.shared.value))
 
 
 def _whole(pairs: Iterable[tuple[int, np.ndarray]], n: int) -> list[np.ndarray]:

@@ -44,17 +44,17 @@ def first_per_class(df: DataFrame, label: str, key: str, rows: int) -> DataFrame
     return df.where(F.col(label).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("_chosen"), "left_semi")
 
 
-def worker_cache(key: object, make: Callable[[], object]) -> object:
-    """``make()``, once per Python worker process.
+def worker_cache(slot: str, key: object, make: Callable[[], object]) -> object:
+    """``make()``, once per Python worker process and ``key``; a slot holds the latest key only.
 
     Functions are shipped to the workers by value, so their module globals live for one
     task only. What is costly to load (a vocabulary, a bounded memo) is hung on a module
     object that lives as long as the worker.
     """
     home = sys.modules.setdefault("_worker_cache", ModuleType("_worker_cache")).__dict__
-    if key not in home:
-        home[key] = make()
-    return home[key]
+    if slot not in home or home[slot][0] != key:
+        home[slot] = (key, make())
+    return home[slot][1]
 
 
 def slices(batches: Iterable, rows: int = SLICE) -> Iterator:

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.llm import bpe, chat, url_rules
-from textscore.llm.common import table
+from textscore.llm import bpe, chat, language, packing, toxicity, url_rules
+from textscore.llm.common import remainder, table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+PACKED_FILE = "byte_bpe_50k.json"
 
 #: Fixed values of the URL filter.
 URL_RULES = [
@@ -20,6 +21,33 @@ URL_RULES = [
 ]
 
 
+def language_model(docs: DataFrame) -> language.LanguageModel:
+    """Learned from the documents whose number's crc32 leaves another rest than 2 by 4."""
+    return language.fit(docs.where((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull()))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learned from the labelled documents whose number's crc32 is no multiple of 5."""
+    labelled = labels.where(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "toxic").where("toxic in (0, 1)")
+    return toxicity.fit(docs.select("doc_id", "text").join(labelled, "doc_id"))
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored by the learned lexicon."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, folder, "labels")), result="score")
+    held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's language by decoding its predicted codeword."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    named = language.predict(docs.select("doc_id", "text"), language_model(docs))
+    held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return named.select("doc_id", held.alias("held_out"), "language.lang_pred", "language.score", "language.ambiguous")
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded by the rank file, its ids decoded again."""
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE))
@@ -42,5 +70,10 @@ def op9_chat_examples(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.examples(given.unionByName(control)))
 
 
-QUERIES = {f.__name__: f for f in (op7_byte_bpe, op8_url_rules, op9_chat_examples)}
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces, packed into sequences."""
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(PACKED_FILE))
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_language, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing)}
 SQL: dict[str, str] = {}
