@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.llm import bpe, chat, language, packing, toxicity, url_rules
+from textscore.llm import bpe, chat, html_text, language, packing, toxicity, url_rules
 from textscore.llm.common import remainder, table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -48,6 +48,13 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("doc_id", held.alias("held_out"), "language.lang_pred", "language.score", "language.ambiguous")
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's main text."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.learn(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded by the rank file, its ids decoded again."""
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE))
@@ -75,5 +82,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(PACKED_FILE))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_language, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing)}
 SQL: dict[str, str] = {}

@@ -297,8 +297,12 @@ def choose_terms(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, r
     return [(t, terms[t]) for t in ranked]
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = 8000, ratio: float = 30.0, max_terms: int = 2000) -> ToxicityModel:
-    """A model from at most ``rows`` labelled texts of each kind (1 toxic, 0 clean)."""
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = 8000, ratio: float = 30.0, evidence: float = 24.0, max_terms: int = 2000) -> ToxicityModel:
+    """A model from at most ``rows`` labelled texts of each kind (1 toxic, 0 clean).
+
+    A term must occur ``ratio`` times as often in toxic texts, and in so many that its
+    log-likelihood ratio against equal shares reaches ``evidence``.
+    """
     source = labelled.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(toxic).cast("int").alias("toxic")).where("toxic in (0, 1)")
     sample = first_per_class(source, "toxic", "key", rows)
     kept = dict(_distinct(sample))
@@ -309,12 +313,13 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str
         return ToxicityModel([], {}, 2.0)
     chosen = spark.createDataFrame([(k,) for k in kept], f"kept {source.schema['key'].dataType.simpleString()}")
     texts = sample.join(F.broadcast(chosen), F.col("key") == F.col("kept"), "left_semi").select("text", "toxic")
-    least = max(3, int(0.004 * n_toxic))
+    expected = (F.col("toxic") + F.col("clean")) * F.lit(n_toxic / (n_toxic + n_clean))
+    surprise = 2 * F.col("toxic") * F.log(F.col("toxic") / expected)
     counted = (
         texts.mapInArrow(_features, "feature string, toxic long, clean long")
         .groupBy("feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= least) & ((F.col("toxic") + 0.5) / (n_toxic + 1) >= ratio * (F.col("clean") + 0.5) / (n_clean + 1)))
+        .where((F.col("toxic") >= 3) & (surprise >= evidence) & ((F.col("toxic") + 0.5) / (n_toxic + 1) >= ratio * (F.col("clean") + 0.5) / (n_clean + 1)))
         .orderBy(F.desc("toxic"), "feature")
         .limit(20 * max_terms)
         .collect()
@@ -344,7 +349,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str
         weights[t, 0] = log_odds(*seen[t, 0])
         for e in range(1, edits(term) + 1):
             # not seen in the sample at all: a misspelling counts for part of the term
-            weights[t, e] = min(weights[t, 0], log_odds(*seen[t, e]) if sum(seen[t, e]) else weights[t, 0] * 0.6**e)
+            weights[t, e] = min(weights[t, 0], log_odds(*seen[t, e]) if sum(seen[t, e]) else weights[t, 0] * 0.5**e)
     return ToxicityModel(terms, weights, _border(weights, scanned))
 
 
