@@ -26,7 +26,7 @@ from textscore.llm import chars, pretokens
 from textscore.llm.common import slices, worker_cache
 
 #: Distinct pre-tokens a worker remembers.
-MEMO = 1_000_000
+MEMO = 600_000
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -14,7 +14,7 @@ import regex
 
 LETTER, DIGIT, SPACE, OTHER, END = range(5)
 #: Code points worked on at once; longer texts are cut where white space follows a word.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _AFTER_WORD = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

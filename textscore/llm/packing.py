@@ -40,7 +40,7 @@ from textscore.session import store
 
 CAPACITY = 2048
 #: Distinct pre-tokens a worker remembers.
-MEMO = 1_000_000
+MEMO = 400_000
 #: Groups of large lengths.
 GROUPS = 48
 
