@@ -23,25 +23,18 @@ def remainder(key: Column, divisor: int) -> Column:
     return F.crc32(key.cast("string")) % divisor
 
 
-def first_per_class(df: DataFrame, label: str, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows of each value of ``label``: those whose key hashes lowest.
+def sample_per_class(df: DataFrame, label: str, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of each value of ``label``, or all where there are fewer.
 
-    A bounded sample that does not depend on the order or the partitioning of the
-    input. Only (label, key) pairs are ranked, and Spark cuts each task's share before
-    the shuffle, so no task ever sees a whole class. Rows with a NULL label or key are left out.
+    A row is taken if its key hashes under the class's share, so the sample does not depend
+    on order or partitioning, its size is bounded in expectation, and only the classes'
+    counts are gathered. Rows with a NULL label or key are left out.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key)), key)
-    chosen = (
-        df.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-        .select(label, key)
-        .withColumn("_place", F.row_number().over(order))
-        .where(F.col("_place") <= rows)
-        .select(F.col(key).alias("_chosen"))
-        .distinct()
-    )
-    return df.where(F.col(label).isNotNull()).join(F.broadcast(chosen), F.col(key) == F.col("_chosen"), "left_semi")
+    known = df.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+    counts = known.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # one row per class of a classifier, so small enough to broadcast
+    return known.join(F.broadcast(counts), F.col(label) == F.col("_label")).where(share * F.col("_n") < rows).drop("_label", "_n")
 
 
 def worker_cache(slot: str, key: object, make: Callable[[], object]) -> object:

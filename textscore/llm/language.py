@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textscore.llm import chars
-from textscore.llm.common import SLICE, first_per_class, slices, worker_cache
+from textscore.llm.common import SLICE, sample_per_class, slices, worker_cache
 
 UNKNOWN = "und"
 #: Places for hashed n-grams.
@@ -166,9 +166,9 @@ class Predictor:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 2000) -> LanguageModel:
-    """A model of the languages of ``labelled``, from at most ``rows`` texts of each."""
+    """A model of the languages of ``labelled``, from about ``rows`` texts of each."""
     source = labelled.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    sample = first_per_class(source, "lang", "key", rows).select("text", "lang")
+    sample = sample_per_class(source, "lang", "key", rows).select("text", "lang")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[np.ndarray] = []

@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textscore.llm import chars, pretokens
-from textscore.llm.common import SLICE, first_per_class, slices, worker_cache
+from textscore.llm.common import SLICE, sample_per_class, slices, worker_cache
 
 #: Distinct words a worker remembers.
-MEMO = 1_000_000
+MEMO = 600_000
 #: Letters of the stems that are counted; longer terms are whole words.
 STEMS = range(4, 9)
 # Quotation marks that open and close, and words of reporting.
@@ -298,13 +298,13 @@ def choose_terms(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, r
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = 8000, ratio: float = 30.0, evidence: float = 24.0, max_terms: int = 2000) -> ToxicityModel:
-    """A model from at most ``rows`` labelled texts of each kind (1 toxic, 0 clean).
+    """A model from about ``rows`` labelled texts of each kind (1 toxic, 0 clean).
 
     A term must occur ``ratio`` times as often in toxic texts, and in so many that its
     log-likelihood ratio against equal shares reaches ``evidence``.
     """
     source = labelled.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(toxic).cast("int").alias("toxic")).where("toxic in (0, 1)")
-    sample = first_per_class(source, "toxic", "key", rows)
+    sample = sample_per_class(source, "toxic", "key", rows)
     kept = dict(_distinct(sample))
     spark = labelled.sparkSession
     n_toxic = sum(kept.values())
