@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.llm import bpe, chat, html_text, language, packing, toxicity, url_rules
+from textscore.llm import bpe, chat, html_text, language, minhash, packing, toxicity, url_rules
 from textscore.llm.common import remainder, table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -40,6 +40,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_bag_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's near-duplicate class."""
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's language by decoding its predicted codeword."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -82,5 +87,5 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(PACKED_FILE))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_bag_minhash, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing)}
 SQL: dict[str, str] = {}
