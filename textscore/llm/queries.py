@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.llm import bpe, chat, html_text, language, minhash, packing, toxicity, url_rules
+from textscore.llm import bpe, chat, forest, html_text, language, minhash, packing, top_k, toxicity, url_rules
 from textscore.llm.common import remainder, table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,18 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel
     return toxicity.fit(docs.select("doc_id", "text").join(labelled, "doc_id"))
 
 
+def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others, components as floor(64 x)."""
+    vectors = table(spark, folder, "embeddings").where(top_k.usable(F.col("embedding")))
+    whole = vectors.select(F.col("vec_id").alias("id"), top_k.floored(F.col("embedding"), 64).alias("vector"))
+    return top_k.top_k(whole, whole.where("id % 20 = 0"), 20).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op2_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's links of cosine 0.9 or more and its class."""
+    return forest.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document scored by the learned lexicon."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -87,5 +99,58 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(PACKED_FILE))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_bag_minhash, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_forest, op3_toxicity, op4_bag_minhash, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing)}
+SQL = {
+    "op1_top_k": """
+        WITH v AS (
+            SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+            FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+    "op2_forest": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+                AND len([x FOR x IN embedding IF x <> 0]) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reached AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION
+            SELECT r.a, l.b FROM reached AS r JOIN links AS l ON r.b = l.a
+        ), classes AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+        ), counted AS (
+            SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+        )
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM classes LEFT JOIN counted USING (vec_id)
+    """,
+    "op9_chat_examples": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), numbered AS (
+            SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+                length(role || text)
+                    + length(regexp_replace(role || text, '[^\\<\[\]]', '', 'g')) + 6 AS written
+            FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        ), summed AS (
+            SELECT *, sum(written) OVER (PARTITION BY conv_id ORDER BY place) AS so_far FROM numbered
+        )
+        SELECT conv_id,
+            count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(so_far) FILTER (role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars
+        FROM summed GROUP BY conv_id
+    """,
+}
