@@ -49,7 +49,7 @@ def codewords(n: int) -> np.ndarray:
     """
     if n <= 7:
         splits = range(1, 1 << max(0, n - 1))
-        return np.array([[1 if (s >> c & 1) else -1 for s in splits] for c in range(n)]).reshape(n, -1)
+        return np.array([[1 if (s >> c & 1) else -1 for s in splits] for c in range(n)]).reshape(n, len(splits))
     rng = np.random.default_rng(n)
     best, apart = None, -1
     for _ in range(50):
