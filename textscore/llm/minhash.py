@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,34 +182,45 @@ def _mixed(bands_: DataFrame, classes: DataFrame, signed: DataFrame) -> DataFram
     return members.join(signed.select("id", "signature"), "id").select("bucket", "part", "parts", "id", "class", "signature")
 
 
+def _closest(one: np.ndarray, two: np.ndarray, ids: tuple, classes: tuple, same: bool, least: int, most: int) -> Iterator[tuple[int, int]]:
+    """(larger, smaller id) of rows of ``one`` and ``two`` in different classes that agree in ``least`` places."""
+    for i in range(len(one)):
+        after = i + 1 if same else 0  # each pair of one block once
+        agree = (two[after:] == one[i]).sum(axis=1)
+        near = np.flatnonzero((agree >= least) & (classes[1][after:] != classes[0][i]))
+        if len(near) > most:
+            near = near[np.argsort(-agree[near], kind="stable")]
+            _, place = np.unique(classes[1][after + near], return_inverse=True)
+            order = np.argsort(place, kind="stable")
+            rank = np.arange(len(order)) - np.searchsorted(place[order], place[order])
+            near = near[order[rank < most]]
+        for other in ids[1][after + near].tolist():
+            yield max(ids[0][i], other), min(ids[0][i], other)
+
+
 def _near(mixed: DataFrame, least: int, most: int) -> DataFrame:
-    """(a, b, agree): members of different classes that share a bucket and agree in ``least`` places.
+    """(a, b) with a > b: members of different classes that share a bucket and agree in ``least`` places.
 
-    Each block of a bucket meets each other block once; of one document and one other class,
-    the ``most`` closest members are listed.
+    Each block of a bucket meets each other block once, so a task holds two blocks at a time;
+    of one document and one other class, the ``most`` closest members are listed.
     """
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    spread = mixed.select("*", other).select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "class", "signature")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = group["low"].iloc[0], group["high"].iloc[0]
-        left = group[group["part"] == low]
-        right = left if low == high else group[group["part"] == high]
-        out = []
-        one, two = (np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(len(x), -1) for x in (left, right))
-        ids, classes = right["id"].to_numpy(), right["class"].to_numpy()
-        for i, (id_, class_) in enumerate(zip(left["id"], left["class"], strict=True)):
-            agree = (two == one[i]).sum(axis=1)
-            near = np.flatnonzero((agree >= least) & (classes != class_) & ((ids > id_) if low == high else True))
-            near = near[np.argsort(-agree[near], kind="stable")]
-            taken: dict[int, int] = {}
-            for j in near.tolist():
-                taken[classes[j]] = taken.get(classes[j], 0) + 1
-                if taken[classes[j]] <= most:
-                    out.append((max(id_, ids[j]), min(id_, ids[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    spread = mixed.select("*", other).select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.struct("part", "id", "class", "signature").alias("it"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            found: set[tuple[int, int]] = set()
+            for low, high, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                flat = members.values
+                ids, classes, parts = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("id", "class", "part"))
+                signed = np.frombuffer(b"".join(flat.field("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
+                x, y = parts == low, parts == high
+                found.update(_closest(signed[x], signed[y], (ids[x], ids[y]), (classes[x], classes[y]), low == high, least, most))
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return spread.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    blocks = spread.groupBy("bucket", "low", "high").agg(F.collect_list("it").alias("members"))
+    return blocks.select("low", "high", "members").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -231,21 +241,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     links = store(verified(pairs, texts, threshold), "links")
     checked = pairs
 
-    # the nearest few first, then all, until no unchecked pair of different classes is left
-    least, most = int(PLACES * (threshold - 4 * np.sqrt(threshold * (1 - threshold) / PLACES))), 4
-    classes = store(components(links), "classes")
-    while True:
-        found = _near(_mixed(banded, classes, unique), least, most)
-        more = store(found.join(checked, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if most >= BLOCK:
-                break
-            most = BLOCK  # the closest are checked already: now all
-            continue
+    # the nearest few first, so that most classes meet cheaply; then every pair that is left
+    least = int(PLACES * (threshold - 4 * np.sqrt(threshold * (1 - threshold) / PLACES)))
+    for most in (4, BLOCK):
+        mixed = store(_mixed(banded, store(components(links), "classes"), unique), "mixed")
+        more = store(_near(mixed, least, most).join(pairs, ["a", "b"], "left_anti"), "more")
         texts = given.join(more.select(F.col("a").alias("id")).union(more.select("b")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-        links = links.union(store(verified(more, texts, threshold), "links"))
-        checked, most = checked.union(more.select("a", "b")), BLOCK
-        classes = store(components(links), "classes")
+        links, pairs = links.union(store(verified(more, texts, threshold), "links")), pairs.union(more)
 
     joined = store(components(links.union(copies.select(F.col("id").alias("a"), F.col("first").alias("b")))), "classes")
     named = docs.select(F.col(key)).join(joined, F.col(key).cast("long") == F.col("node"), "left")
