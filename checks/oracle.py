@@ -156,7 +156,7 @@ def support(claim: str, premise: str) -> str:
 
 def share(claims: str, ref: str) -> str:
     return (
-        f"CASE WHEN len({claims}) > 0 THEN len(list_filter({claims}, lambda c: {support('c', ref)} >= 0.5))::DOUBLE"
+        f"CASE WHEN len({claims}) > 0 AND {ref} IS NOT NULL THEN len(list_filter({claims}, lambda c: {support('c', ref)} >= 0.5))::DOUBLE"
         f" / len({claims}) END"
     )
 
@@ -403,7 +403,7 @@ add(
     **ANSWERS,
     asked=f"""SELECT id, '<LLM generated text>' || chr(10) || answer || chr(10) || '<' || chr(92) || 'LLM generated text>' || chr(10) || chr(10)
     || '<Human Observations and Hypotheses>' || {section('observations')} || chr(10) || '<' || chr(92)
-    || 'Human Observations and Hypotheses>' AS q FROM answers""",
+    || 'Human Observations and Hypotheses>' AS q FROM answers WHERE answer IS NOT NULL AND human_answer IS NOT NULL""",
 )
 _VALID = "len(list_filter(chains, lambda c: coalesce(json_extract(c, '$.is_reasoning_valid')::VARCHAR = 'true', false)))"
 add(
@@ -439,7 +439,10 @@ add(
     "SELECT id, claim_pos, md5(claim) AS claim, "
     + ", ".join(f"CASE WHEN s >= {t} THEN 'ALIGN' ELSE 'NOT_ALIGN' END AS label_{round(t * 100)}" for t in lex.ALIGN_THRESHOLDS)
     + ", round_even(s, 3) AS p, md5(premise) AS evidence FROM best",
-    **verdicts(5),
+    **verdicts(None),
+)
+SQL["claim_labels_leading_premises"] = SQL["claim_labels"].replace(
+    f"{sentence_list('human_answer')} AS premises", f"{sentence_list('human_answer')}[:5] AS premises"
 )
 add(
     "claim_summary",
@@ -450,7 +453,7 @@ add(
         for t in lex.ALIGN_THRESHOLDS
     )
     + ") GROUP BY id, summary, label",
-    **verdicts(5),
+    **verdicts(None),
 )
 add(
     "claim_best_of_all",
@@ -464,8 +467,8 @@ add("actionability", f"SELECT id, {share('recs', 'rec_ref')} AS recommendations_
 # ---- similarity and corpus statistics ----
 
 _OVERLAP = {
-    "tok": f"""SELECT id, 0 AS side, unnest({toks('answer')}) AS token FROM answers WHERE answer IS NOT NULL
-        UNION ALL SELECT id, 1, unnest({toks('human_answer')}) FROM answers WHERE answer IS NOT NULL""",
+    "tok": f"""SELECT id, 0 AS side, unnest({toks('answer')}) AS token FROM answers WHERE answer IS NOT NULL AND human_answer IS NOT NULL
+        UNION ALL SELECT id, 1, unnest({toks('human_answer')}) FROM answers WHERE answer IS NOT NULL AND human_answer IS NOT NULL""",
     "per": "SELECT id, token, count(*) FILTER (side = 0) AS c, count(*) FILTER (side = 1) AS r FROM tok GROUP BY id, token",
     "pr": """SELECT id, coalesce(sum(CASE WHEN r > 0 THEN c END) / nullif(sum(c), 0), 0)::DOUBLE AS p,
         coalesce(sum(CASE WHEN c > 0 THEN r END) / nullif(sum(r), 0), 0)::DOUBLE AS q FROM per GROUP BY id""",
@@ -489,7 +492,7 @@ add(
     (SELECT a.id, coalesce(any_value(l.x), 0) AS p, coalesce(any_value(m.x), 0) AS r FROM answers a
      LEFT JOIN (SELECT id, sum(best * n) / sum(n) AS x FROM by_c GROUP BY id) l ON l.id = a.id
      LEFT JOIN (SELECT id, sum(best * n) / sum(n) AS x FROM by_r GROUP BY id) m ON m.id = a.id
-     WHERE answer IS NOT NULL GROUP BY a.id)""",
+     WHERE answer IS NOT NULL AND human_answer IS NOT NULL GROUP BY a.id)""",
     **ANSWERS,
     tok=_OVERLAP["tok"],
     vocab="SELECT DISTINCT token, ('0x' || substr(md5(token), 1, 8))::BIGINT AS code FROM tok",
@@ -546,6 +549,9 @@ add(
 )
 
 
+SQL["stored_evaluation"] = f"SELECT * REPLACE (id::VARCHAR AS id) FROM ({SQL['main_metrics']})"
+
+
 def _free(s: str) -> dict[str, str]:
     causal = {"causal_density": when_text(s, f"{cue(s, lex.CAUSAL_CONNECTIVES)}::DOUBLE / {words(s)}")}
     return {**_quantities(s), **causal, **_hedging(s), **_modals(s)}
@@ -764,6 +770,17 @@ add(
         f"SELECT {i}::BIGINT AS point, '{pretty(f)}' AS \"Feature\"" for i, f in enumerate([*_radar, _radar[0]])
     ),
 )
+add(
+    "gap_radar_without_first",
+    """SELECT p.point, p."Feature", max(Value) FILTER (Source = 'Human Reference') AS human_reference,
+    max(Value) FILTER (Source = 'Model: cot') AS model_cot FROM points p JOIN gap g ON g.Feature = p."Feature" GROUP BY ALL""",
+    **NORMALISED,
+    gap=gap(["causal_density", "quantification_density"]),
+    points="\nUNION ALL ".join(
+        f"SELECT {i}::BIGINT AS point, '{pretty(f)}' AS \"Feature\""
+        for i, f in enumerate(["causal_density", "quantification_density", "causal_density"])
+    ),
+)
 _answer_side = list(_free("answer"))
 _all_free = [f"{s}_{m}" for m in _answer_side for s in ("answer", "human_answer")]
 
@@ -830,3 +847,16 @@ add(
       (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events))
     GROUP BY event_type, s HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}""",
 )
+_streamed = _evidence("answer")
+add(
+    "stream_measures",
+    f"""SELECT c.id, md5({section('observations')}) AS observations_md5, {section('interpretations')} AS interpretations,
+    {section('recommendations')} AS recommendations, {EASE} AS flesch_reading_ease, {GRADE} AS flesch_kincaid_grade,
+    1 + (c.id % 3 <> 0)::BIGINT AS correct_reasoning_count, 2::BIGINT AS total_reasoning_to_verify,
+    (1 + (c.id % 3 <> 0)::BIGINT) / 2::DOUBLE AS reasoning_percentage, {", ".join(f"{v} AS {k}" for k, v in _streamed.items())}
+    FROM counts c""",
+    answers="""SELECT doc_id AS id, '## Observations' || chr(10) || text || chr(10) || '## Interpretations' || chr(10)
+    || 'The data shows it, clearly, for ' || source || '.' || chr(10) || '## Recommendations' || chr(10)
+    || 'Review the plan in ' || lang || '.' AS answer FROM documents""",
+    counts=_COUNTS["counts"].replace("answer FROM answers", "answer, answer AS human_answer FROM answers"),
+)

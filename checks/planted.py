@@ -20,16 +20,18 @@ def parquet_table(folder: str) -> Source:
 
 
 def answers(t: Source) -> str:
-    """id, strategy, department, category, answer, human_answer; some blank, some NULL."""
+    """id, strategy, department, category, answer, human_answer: every document, and under
+    negative ids added rows with a blank answer, no answer, or no human answer."""
+    docs = t("documents")
     return f"""
-SELECT d.doc_id AS id,
+SELECT d.id,
  CASE (d.doc_id % 7) % 3 WHEN 0 THEN 'nocot' WHEN 1 THEN 'cot' ELSE 'symcot' END AS strategy,
  CASE (d.doc_id + d.n_chars) % 4 WHEN 0 THEN 'development' WHEN 1 THEN 'sales'
       WHEN 2 THEN 'customer_care' ELSE 'marketing' END AS department,
  CASE WHEN d.doc_id % 29 = 0 THEN NULL WHEN d.n_chars % 4 = 0 THEN 'kpi_trend'
       WHEN d.n_chars % 4 = 1 THEN 'customer' WHEN d.n_chars % 4 = 2 THEN 'process'
       ELSE 'planning' END AS category,
- CASE WHEN d.doc_id % 23 = 0 THEN '  ' WHEN d.doc_id % 31 = 0 THEN NULL ELSE
+ CASE d.kind WHEN 'blank' THEN '  ' WHEN 'no answer' THEN NULL ELSE
   d.text || ' ' ||
   CASE d.doc_id % 7
    WHEN 0 THEN 'The data shows a $15M gain, or 15% in Q3 2024, because demand rose.'
@@ -41,13 +43,18 @@ SELECT d.doc_id AS id,
             || 'result we wait. Probably driven by price.'
    ELSE 'Review the plan. Cut cost by 20 percent. It suggests nothing, but may-be certainly May.'
   END || ' Demand grew in ' || n.n_name || ', ' || r.r_name || ' and ' || n.n_name || '.' END AS answer,
- '## Observations' || chr(10) || b.text || chr(10) || '## Interpretations' || chr(10) ||
+ CASE WHEN d.kind = 'no human answer' THEN NULL ELSE '## Observations' || chr(10) || b.text || chr(10) || '## Interpretations' || chr(10) ||
   CASE d.doc_id % 2 WHEN 0
    THEN 'It is clear the data shows demand could rise because prices fell 5%.'
    ELSE 'This must be seasonal.' END || chr(10) ||
  '## Recommendations' || chr(10) || 'You should review the plan.' || chr(10) ||
- '## Notes' || chr(10) || 'It will possibly change in ' || r.r_name || '.' AS human_answer
-FROM {t("documents")} d
+ '## Notes' || chr(10) || 'It will possibly change in ' || r.r_name || '.' END AS human_answer
+FROM (
+ SELECT doc_id AS id, doc_id, n_chars, text, 'whole' AS kind FROM {docs}
+ UNION ALL SELECT -3 * doc_id - 1, doc_id, n_chars, text, 'blank' FROM {docs} WHERE doc_id % 23 = 0
+ UNION ALL SELECT -3 * doc_id - 2, doc_id, n_chars, text, 'no answer' FROM {docs} WHERE doc_id % 31 = 0
+ UNION ALL SELECT -3 * doc_id - 3, doc_id, n_chars, text, 'no human answer' FROM {docs} WHERE doc_id % 37 = 0
+) d
 JOIN {t("benchmark")} b ON b.item_id = d.doc_id % (SELECT count(*) FROM {t("benchmark")})
 JOIN {t("nation")} n ON n.n_nationkey = d.doc_id % 25
 JOIN {t("region")} r ON r.r_regionkey = n.n_regionkey"""
@@ -66,7 +73,7 @@ SELECT d.doc_id AS id,
    || ' {{"observations": ["Demand rose because prices fell."], "hypotheses": ["It must be seasonal."],'
    || ' "recommendations": "Invest more in growth.", "validity_reasoning": "no", "is_reasoning_valid": false}}]'
    || chr(10) || '```' || chr(10) || 'Done.'
-  WHEN 1 THEN '```json {{"observations": ["' || {bench} || '"], "hypotheses": ["This must be seasonal."],'
+  WHEN 1 THEN '```json {{"observations": ["' || {bench} || '", "' || {text} || '"], "hypotheses": ["This must be seasonal."],'
    || ' "recommendations": "You should review the plan.", "is_reasoning_valid": true}} ```'
   WHEN 2 THEN '[{{"observations": ["' || {text} || '"], "is_reasoning_valid": true}}]'
   WHEN 3 THEN '```json' || chr(10) || '[{{"observations": ["' || {text} || '"], "validity_reasoning: "x"}}]' || chr(10) || '```'
@@ -75,16 +82,16 @@ SELECT d.doc_id AS id,
   WHEN 5 THEN '```json' || chr(10) || '[{{"observations": ["' || {text} || '", "Demand could rise."],'
    || ' "hypotheses": ["This must be seasonal.", "Demand could rise."],'
    || ' "recommendations": ["Review the plan.", "Cut cost."], "is_reasoning_valid": true}}]' || chr(10) || '```'
-  WHEN 6 THEN '```json' || chr(10) || '[]' || chr(10) || '```'
+  WHEN 6 THEN '```json' || chr(10) || '[]' || chr(10) || '``` ' || {text}
   ELSE '```json' || chr(10) || '[{{"observations": ["' || {text} || '"], "recommendations": "Review the plan."}},'
    || ' {{"hypotheses": ["' || {bench} || '"], "recommendations": "Act.", "is_reasoning_valid": true}}]' || chr(10) || '```'
  END AS reply,
- '## Observations' || chr(10) || b.text || chr(10) || '## Interpretations' || chr(10) ||
+ CASE WHEN d.doc_id % 41 = 0 THEN NULL ELSE '## Observations' || chr(10) || b.text || chr(10) || '## Interpretations' || chr(10) ||
   CASE d.doc_id % 2 WHEN 0
    THEN 'It is clear the data shows demand could rise because prices fell 5%.'
    ELSE 'This must be seasonal.' END || chr(10) ||
  '## Recommendations' || chr(10) || 'You should review the plan.' || chr(10) ||
- '## Notes' || chr(10) || 'It will possibly change.' AS human_answer
+ '## Notes' || chr(10) || 'It will possibly change.' END AS human_answer
 FROM {t("documents")} d
 JOIN {t("benchmark")} b ON b.item_id = d.doc_id % (SELECT count(*) FROM {t("benchmark")})"""
 

@@ -383,11 +383,11 @@ def nested_claims(spark, folder):
     )
 
 
-def _verdicts(spark, folder, k=5):
-    """Every sentence of an answer against the leading sentences of the human answer."""
+def _verdicts(spark, folder, k=None):
+    """Every sentence of an answer against the sentences of the human answer, all or the leading ``k``."""
     df = answers(spark, folder).select(
         "id",
-        F.coalesce(ts.sentences(F.col("answer")), F.array().cast("array<string>")).alias("claims"),
+        ts.sentences(F.col("answer")).alias("claims"),
         ts.sentences(F.col("human_answer")).alias("premises"),
     )
     return claims.add_verdicts(df, "claims", "premises", k=k)
@@ -399,6 +399,13 @@ def claim_labels(spark, folder):
     return rows.withColumn("claim", F.md5("claim")).withColumn("evidence", F.md5("evidence"))
 
 
+@query
+def claim_labels_leading_premises(spark, folder):
+    """The feature ``k``: only the five leading premises of a pool are tried."""
+    rows = claims.per_claim(_verdicts(spark, folder, k=5), "id")
+    return rows.withColumn("claim", F.md5("claim")).withColumn("evidence", F.md5("evidence"))
+
+
 @query
 def claim_summary(spark, folder):
     return claims.claim_summary(_verdicts(spark, folder), "id", "facts")
@@ -406,7 +413,7 @@ def claim_summary(spark, folder):
 
 @query
 def claim_best_of_all(spark, folder):
-    v = _verdicts(spark, folder, k=None)
+    v = _verdicts(spark, folder)
     return v.select("id", claims.support_precision(F.col("verdicts"), 0.25).alias("precision_25"))
 
 
@@ -474,6 +481,24 @@ def main_metrics(spark, folder):
     return rounded(main_plan.main_metrics(a.join(judged, "id")))
 
 
+@query
+def stored_evaluation(spark, folder):
+    """The four input tables, written and loaded again with their declared schemas, then measured."""
+    a = answers(spark, folder).withColumn("id", F.col("id").cast("string"))
+    judged = main_plan.claims_from_sources(replies(spark, folder)).withColumn("id", F.col("id").cast("string"))
+    parts = {
+        "basic_info": a.select("id", "strategy", "department", "category"),
+        "answer": a.select("id", "answer", "human_answer"),
+        "nli_info": judged.select("id", "fact_ai_list", "fact_human_str", "rec_ai_list", "rec_human_str"),
+        "reasoning_info": judged.select("id", "reasoning_dict"),
+    }
+    paths = {name: work_path(spark, name) for name in parts}
+    for name, part in parts.items():
+        tables.write_table(part, paths[name])
+    loaded = tables.load_evaluation(spark, paths)
+    return rounded(main_plan.main_metrics(main_plan.evaluation_input(**loaded)))
+
+
 @query
 def reference_free(spark, folder):
     return free_plan.reference_free_metrics(answers(spark, folder))
@@ -573,6 +598,15 @@ def gap_radar(spark, folder):
     return rounded(wide.withColumnsRenamed({s: s.lower().replace(": ", "_").replace(" ", "_") for s in sources}))
 
 
+@query
+def gap_radar_without_first(spark, folder):
+    """The first feature asked for is absent: the polygon closes at the first one there is."""
+    features = ["readability", "causal_density", "quantification_density"]
+    gap = reports.human_gap(normalised(spark, folder), features)
+    wide = reports.radar_matrix(gap, features, ["Human Reference", "Model: cot"])
+    return rounded(wide.withColumnsRenamed({"Human Reference": "human_reference", "Model: cot": "model_cot"}))
+
+
 @query
 def scorecard(spark, folder):
     """From texts to a ranking: measures, normaliser, index, mean per strategy."""
@@ -649,3 +683,33 @@ def stream_scores(spark, folder):
     arriving = stream.read_stream(spark, folder, schema, name="documents.parquet")
     out = _run(spark, stream.score_stream(shape(arriving), fitted), "scores")
     return rounded(out.select("id", "overall_quality_index"))
+
+
+@query
+def stream_measures(spark, folder):
+    """Sections, judgments, readability and evidentiality of documents as they arrive."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = stream.read_stream(spark, folder, schema, name="documents.parquet")
+    parts = [F.lit("## Observations\n"), F.col("text"), F.lit("\n## Interpretations\nThe data shows it, clearly, for "), F.col("source")]
+    human = F.concat(*parts, F.lit(".\n## Recommendations\nReview the plan in "), F.col("lang"), F.lit("."))
+    flag = F.when(F.col("doc_id") % 3 == 0, "false").otherwise("true")
+    reply = F.concat(
+        F.lit('```json\n[{"observations": ["'), F.col("source"), F.lit('"], "is_reasoning_valid": '), flag,
+        F.lit('}, {"hypotheses": ["It may."], "is_reasoning_valid": true}]\n``` '), F.col("text"),
+    )
+    h = F.col("human")
+    scored = (
+        docs.select(F.col("doc_id").alias("id"), human.alias("human"), reply.alias("reply"))
+        .select("id", "human", ts.evaluate_reasoning(ts.judgment_of_reply(F.col("reply"))).alias("judged"), ts.evidentiality_index(h).alias("evidence"))
+        .select(
+            "id",
+            F.md5(ts.extract_observations(h)).alias("observations_md5"),
+            ts.extract_interpretations(h).alias("interpretations"),
+            ts.extract_recommendations(h).alias("recommendations"),
+            ts.flesch_reading_ease(h).alias("flesch_reading_ease"),
+            ts.flesch_kincaid_grade(h).alias("flesch_kincaid_grade"),
+            "judged.*",
+            "evidence.*",
+        )
+    )
+    return rounded(_run(spark, scored, "measures"))

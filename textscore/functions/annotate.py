@@ -41,8 +41,8 @@ def formality_score(text: Column, closed: Mapping[str, Iterable[str]] = CLOSED_C
     tags = F.transform(tokens(text), lambda t: token_tag(t, closed))
 
     def score(ts: Column) -> Column:
-        formal = F.size(F.filter(ts, lambda t: t.isin(*FORMAL_TAGS)))
-        informal = F.size(F.filter(ts, lambda t: t.isin(*INFORMAL_TAGS)))
+        formal = F.array_size(F.filter(ts, lambda t: t.isin(*FORMAL_TAGS)))
+        informal = F.array_size(F.filter(ts, lambda t: t.isin(*INFORMAL_TAGS)))
         return balance(formal, informal)
 
     return unless_blank(text, let(tags, score))
@@ -57,8 +57,8 @@ def mood_ratio(text: Column, verbs: Iterable[str] = BASE_VERBS) -> Column:
     verbs = tuple(verbs)
 
     def score(firsts: Column) -> Column:
-        commands = F.size(F.filter(firsts, lambda t: t.isin(*verbs)))
-        return balance(commands, F.size(firsts) - commands)
+        commands = F.array_size(F.filter(firsts, lambda t: t.isin(*verbs)))
+        return balance(commands, F.array_size(firsts) - commands)
 
     return unless_blank(text, let(first_tokens(F.lower(text)), score))
 
@@ -77,10 +77,10 @@ def token_ngrams(toks: Column, longest: int) -> Column:
 
     def runs(n: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.array_join(F.slice(toks, i, n), " ")
+            F.sequence(F.lit(1), F.array_size(toks) - n + 1), lambda i: F.array_join(F.slice(toks, i, n), " ")
         )
 
-    lengths = F.filter(F.array(*[F.lit(n) for n in range(1, longest + 1)]), lambda n: n <= F.size(toks))
+    lengths = F.filter(F.array(*[F.lit(n) for n in range(1, longest + 1)]), lambda n: n <= F.array_size(toks))
     return F.array_distinct(F.flatten(F.transform(lengths, runs)))
 
 
@@ -102,4 +102,4 @@ def entity_density(
         longest = max(len(t.split()) for t in terms)
         listed = F.array(*[F.lit(t) for t in sorted(terms)])
         spans = F.array_union(spans, let(tokens(text), lambda ts: F.array_intersect(token_ngrams(ts, longest), listed)))
-    return per_word(F.size(spans), text)
+    return per_word(F.array_size(spans), text)

@@ -17,11 +17,12 @@ JUDGMENT_SCHEMA = (
     "array<struct<observations:string,hypotheses:string,recommendations:string,"
     "validity_reasoning:string,is_reasoning_valid:string>>"
 )
+# ---- fixed value: the fence around a judge's JSON ----
 FENCED_JSON = r"(?s)```json\s*(.*?)\s*```"
 
 
 def judge_request(answer: Column, human_observation: Column) -> Column:
-    """User message that asks a judge about ``answer``; its format is fixed."""
+    """User message that asks a judge about ``answer``. Its parts and their order."""
     return F.concat(
         F.lit("<LLM generated text>\n"),
         answer,
@@ -83,11 +84,11 @@ def recommendations(judgment: Column) -> Column:
 
 def valid_reasoning_count(judgment: Column) -> Column:
     """Chains whose flag is JSON true; a quoted or missing flag is not valid."""
-    return F.size(F.filter(judgment, lambda j: F.coalesce(j["is_reasoning_valid"] == "true", F.lit(False)))).cast("long")
+    return F.array_size(F.filter(judgment, lambda j: F.coalesce(j["is_reasoning_valid"] == "true", F.lit(False)))).cast("long")
 
 
 def total_reasoning_count(judgment: Column) -> Column:
-    return F.size(judgment).cast("long")
+    return F.array_size(judgment).cast("long")
 
 
 def evaluate_reasoning(judgment: Column) -> Column:
@@ -106,7 +107,11 @@ def evaluate_reasoning(judgment: Column) -> Column:
 
 
 def request_table(df: DataFrame, id_col: str, answer: str, human_observation: str, system: str) -> DataFrame:
-    """(id, system, user): one request to a judge per answer, to be answered outside Spark."""
-    return df.select(
+    """(id, system, user): one request to a judge per answer, to be answered outside Spark.
+
+    A row that lacks the answer or the human observations gives no request.
+    """
+    asked = df.select(
         id_col, F.lit(system).alias("system"), judge_request(F.col(answer), F.col(human_observation)).alias("user")
     )
+    return asked.filter(F.col("user").isNotNull())

@@ -92,7 +92,7 @@ def modal_verb_profile(text: Column, modals: Iterable[str] = MODALS) -> Column:
 
     def frequency(c: Column, modal: str) -> Column:
         same = F.filter(c.hits, lambda m: m == modal)
-        return F.try_divide(F.size(same).cast("double"), c.n).alias(f"modal_{modal}_freq")
+        return F.try_divide(F.array_size(same).cast("double"), c.n).alias(f"modal_{modal}_freq")
 
     def fields(c: Column) -> Column:
         return F.struct(*[frequency(c, m) for m in modals])
@@ -105,4 +105,4 @@ def quantification_density(text: Column) -> Column:
 
     Declared rule: spans of :func:`text.quantity_spans` over :func:`text.sentence_count`.
     """
-    return F.size(quantity_spans(text)).cast("double") / sentence_count(text)
+    return F.array_size(quantity_spans(text)).cast("double") / sentence_count(text)

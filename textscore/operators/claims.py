@@ -32,8 +32,8 @@ def token_support(claim_tokens: Column, premise_tokens: Column) -> Column:
 
     Both arguments are lists of distinct tokens.
     """
-    shared = F.size(F.array_intersect(claim_tokens, premise_tokens)).cast("double")
-    return shared / F.greatest(F.size(claim_tokens), F.lit(1))
+    shared = F.array_size(F.array_intersect(claim_tokens, premise_tokens)).cast("double")
+    return shared / F.greatest(F.array_size(claim_tokens), F.lit(1))
 
 
 def _distinct_tokens(text: Column) -> Column:
@@ -55,12 +55,13 @@ def _best(claim: Column, scores: Column, premises: Column) -> Column:
     return let(F.transform(scores, lambda x: F.coalesce(F.nanvl(x, F.lit(-1.0)), F.lit(-1.0))), verdict)
 
 
-def claim_verdicts(claims: Column, premises: Column, k: int | None = 5) -> Column:
+def claim_verdicts(claims: Column, premises: Column, k: int | None = None) -> Column:
     """One verdict (claim, p, evidence) per claim under the default token support.
 
-    ``k`` is the number of leading premises tried; ``None`` tries all.
+    ``k`` is the number of leading premises tried; ``None`` tries all. NULL where either
+    list is missing; an empty list of premises supports nothing.
     """
-    pool = F.coalesce(F.slice(premises, 1, k) if k is not None else premises, F.array().cast("array<string>"))
+    pool = F.slice(premises, 1, k) if k is not None else premises
     prepared = F.struct(pool.alias("texts"), F.transform(pool, _distinct_tokens).alias("sets"))
 
     def score_all(ready: Column) -> Column:
@@ -72,7 +73,7 @@ def claim_verdicts(claims: Column, premises: Column, k: int | None = 5) -> Colum
 
         return F.transform(claims, one)
 
-    return let(prepared, score_all)
+    return F.when(premises.isNotNull(), let(prepared, score_all))
 
 
 def _score_rows(batches: Iterator[pd.DataFrame], make: Callable[[], PairScorer], claims: str, premises: str, out: str):
@@ -109,7 +110,7 @@ def add_verdicts(
     claims: str,
     premises: str,
     out: str = "verdicts",
-    k: int | None = 5,
+    k: int | None = None,
     scorer: Callable[[], PairScorer] | None = None,
 ) -> DataFrame:
     """``df`` with a column of verdicts.
@@ -150,7 +151,7 @@ def per_claim(df: DataFrame, id_col: str, verdicts: str = "verdicts", thresholds
 
 
 def align_count(verdicts: Column, threshold: float) -> Column:
-    return F.size(F.filter(verdicts, lambda v: v["p"] >= threshold)).cast("long")
+    return F.array_size(F.filter(verdicts, lambda v: v["p"] >= threshold)).cast("long")
 
 
 def claim_summary(
@@ -160,13 +161,13 @@ def claim_summary(
     cells = []
     for t in thresholds:
         aligned = align_count(F.col(verdicts), t)
-        for label, n in (("ALIGN", aligned), ("NOT_ALIGN", F.size(verdicts) - aligned)):
+        for label, n in (("ALIGN", aligned), ("NOT_ALIGN", F.array_size(verdicts) - aligned)):
             cells.append(
                 F.struct(
                     F.lit(f"{prefix}_{round(t * 100)}_summary").alias("summary"),
                     F.lit(label).alias("label"),
                     n.cast("long").alias("n"),
-                    F.size(verdicts).cast("long").alias("total"),
+                    F.array_size(verdicts).cast("long").alias("total"),
                 )
             )
     return df.select(id_col, F.explode(F.array(*cells)).alias("c")).select(id_col, "c.*").filter("n > 0")
@@ -174,22 +175,23 @@ def claim_summary(
 
 def support_precision(verdicts: Column, threshold: float = 0.50) -> Column:
     """Share of claims supported at ``threshold``; NULL for an empty or missing claim list."""
-    return F.try_divide(align_count(verdicts, threshold).cast("double"), F.size(verdicts))
+    return F.try_divide(align_count(verdicts, threshold).cast("double"), F.array_size(verdicts))
 
 
 def supported_share(claims: Column, reference: Column, threshold: float = 0.50) -> Column:
     """Precision of ``claims`` against one reference text, the factuality and actionability measure.
 
     Equal to :func:`support_precision` over a pool of one, without building evidence.
+    NULL where the claims or the reference are missing.
     """
 
     def share(reference_tokens: Column) -> Column:
         def supported(claim: Column) -> Column:
             return let(_distinct_tokens(claim), lambda ct: token_support(ct, reference_tokens)) >= threshold
 
-        return F.try_divide(F.size(F.filter(claims, supported)).cast("double"), F.size(claims))
+        return F.try_divide(F.array_size(F.filter(claims, supported)).cast("double"), F.array_size(claims))
 
-    return let(_distinct_tokens(reference), share)
+    return F.when(reference.isNotNull(), let(_distinct_tokens(reference), share))
 
 
 def evaluate_factuality(facts: Column, reference: Column) -> Column:

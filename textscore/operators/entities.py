@@ -52,14 +52,14 @@ def entity_density_by_table(
         F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(TOKEN), 0), " ").alias("entity")
     )
     terms = terms.filter("entity <> ''").distinct().withColumn("listed", F.lit(True))
-    longest = terms.agg(F.max(F.size(F.split("entity", " ")))).first()[0] or 1
+    longest = terms.agg(F.max(F.array_size(F.split("entity", " ")))).first()[0] or 1
     # one row per text: its words, its spans, and the token runs that are not spans already
     spans = labelled_spans(F.col(text), labels)
     sent = df.select(id_col, raw_word_count(F.col(text)).alias("words"), spans.alias("spans"), tokens(F.col(text)).alias("t"))
     runs = sent.select(
         id_col,
         "words",
-        F.size("spans").alias("n_spans"),
+        F.array_size("spans").alias("n_spans"),
         F.explode_outer(F.array_except(token_ngrams(F.col("t"), longest), F.col("spans"))).alias("entity"),
     )
     found = lookup(runs, terms, ["entity"], spread_by=[id_col], row_bytes=64, budget=budget)

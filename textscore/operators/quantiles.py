@@ -43,7 +43,7 @@ def grouped_quantiles(
     )
     borders = materialise(borders)  # a recomputed sketch could move a border
     placed = counts.join(borders.select(*by, "borders"), by).select(
-        *by, "x", "n", F.size(F.filter("borders", lambda b: b < F.col("x"))).alias("bucket")
+        *by, "x", "n", F.array_size(F.filter("borders", lambda b: b < F.col("x"))).alias("bucket")
     )
     filled = placed.groupBy(*by, "bucket").agg(F.sum("n").alias("bucket_n"))
     upto = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

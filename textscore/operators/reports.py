@@ -197,16 +197,17 @@ def human_gap(df: DataFrame, features: Sequence[str] = GAP_FEATURES, by: str = "
 
 
 def radar_matrix(gap: DataFrame, features: Sequence[str], sources: Sequence[str] | None = None) -> DataFrame:
-    """Feature x source matrix in feature order, closed by repeating the first feature.
+    """Feature x source matrix in feature order, closed by repeating the first feature there is.
 
-    ``sources`` spares the pass that lists the distinct sources.
+    Features that ``gap`` lacks are left out. ``sources`` spares the pass that lists the
+    distinct sources; the features' own names are few and are listed by the driver.
     """
+    named = {f: clean_label(F.lit(f"norm_answer_{f}")) for f in features}
+    wanted = gap.sparkSession.range(1).select(*[label.alias(f) for f, label in named.items()]).first().asDict()
+    there = {r[0] for r in gap.filter(F.col("Feature").isin(*wanted.values())).select("Feature").distinct().collect()}
+    kept = [wanted[f] for f in features if wanted[f] in there]
     pivoted = gap.groupBy("Feature").pivot("Source", list(sources) if sources else None).agg(F.first("Value"))
-    labels = [clean_label(F.lit(f"norm_answer_{f}")) for f in features]
-    places = F.explode(
-        F.array(*[F.struct(F.lit(i).cast("long").alias("point"), label.alias("Feature")) for i, label in enumerate([*labels, labels[0]])])
-    ).alias("p")
-    order = gap.sparkSession.range(1).select(places).select("p.*")
+    order = gap.sparkSession.createDataFrame(list(enumerate([*kept, *kept[:1]])), "point long, Feature string")
     return order.join(pivoted, "Feature").select("point", "Feature", *[c for c in pivoted.columns if c != "Feature"])
 
 

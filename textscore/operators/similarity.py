@@ -30,7 +30,7 @@ def _hits(words: Column, shared: Column) -> Column:
     Near-copies of long texts share thousands of tokens. There one sorted pass, with a
     marker ahead of each shared token's run, replaces the search per token.
     """
-    few = F.size(F.filter(words, lambda t: F.array_contains(shared, t)))
+    few = F.array_size(F.filter(words, lambda t: F.array_contains(shared, t)))
 
     def marked(tokens_: Column, is_word: int) -> Column:
         return F.transform(tokens_, lambda t: F.struct(t.alias("t"), F.lit(is_word).alias("word")))
@@ -43,7 +43,7 @@ def _hits(words: Column, shared: Column) -> Column:
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"))
     runs = F.sort_array(F.concat(marked(shared, 0), marked(words, 1)))
     many = F.aggregate(runs, start, step, lambda run: run["n"])
-    return F.when(F.size(shared) <= _FEW, few).otherwise(many)
+    return F.when(F.array_size(shared) <= _FEW, few).otherwise(many)
 
 
 def token_overlap(candidate: Column, reference: Column) -> Column:
@@ -60,7 +60,7 @@ def token_overlap(candidate: Column, reference: Column) -> Column:
     def scores(s: Column) -> Column:
         def share(side: str) -> Column:
             hits = _hits(s[side], s["both"]).cast("double")
-            return F.coalesce(F.try_divide(hits, F.size(s[side])), F.lit(0.0))
+            return F.coalesce(F.try_divide(hits, F.array_size(s[side])), F.lit(0.0))
 
         pair = F.struct(share("c").alias("p"), share("r").alias("r"))
         return let(
@@ -187,7 +187,7 @@ def greedy_similarity(
         id_col, F.col(candidate).alias("c"), F.col(reference).alias("r")
     )
     out_schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, precision double, recall double, f1 double"
-    width = vectors.select(F.size("vector")).first()
+    width = vectors.select(F.array_size("vector")).first()
     row_bytes = 48 + 4 * (width[0] if width and width[0] and width[0] > 0 else 1)
     if fits(vectors, row_bytes, budget):
         return _with_broadcast_vectors(pairs, id_col, vectors, out_schema)

@@ -24,7 +24,7 @@ def _successions(df: DataFrame, text: str, max_tokens: int | None, keep: list[st
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
     lists = df.select(*keep, toks.alias("a"))
-    lists = lists.select(*keep, "a", F.slice("a", 2, F.size("a")).alias("b"))
+    lists = lists.select(*keep, "a", F.slice("a", 2, F.array_size("a")).alias("b"))
     return lists.select(*keep, F.explode_outer(F.arrays_zip("a", "b")).alias("t")).select(*keep, "t.a", "t.b")
 
 

@@ -103,7 +103,9 @@ def claims_from_sources(df: DataFrame, id_col: str = "id", reply: str = "reply",
     # parsed in a projection of its own: every column below reads the result
     df = df.select(id_col, judgment_of_reply(F.col(reply)).alias("judged"), human)
     judged = F.col("judged")
-    human_facts = F.concat_ws("\n", extract_observations(F.col(human)), extract_interpretations(F.col(human)))
+    human_facts = F.when(
+        F.col(human).isNotNull(), F.concat_ws("\n", extract_observations(F.col(human)), extract_interpretations(F.col(human)))
+    )
     return df.select(
         id_col,
         observations_and_hypotheses(judged).alias("fact_ai_list"),

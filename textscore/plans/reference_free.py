@@ -33,11 +33,11 @@ _CUES = tuple(dict.fromkeys([*CAUSAL_CONNECTIVES, *HEDGES, *BOOSTERS, *MODALS]))
 
 def _hits(words: Column, wanted: Sequence[str]) -> Column:
     whole = rf"(?iu)\A(?:{'|'.join(wanted)})\z"
-    return F.size(F.filter(words, lambda w: w.rlike(whole))).cast("double")
+    return F.array_size(F.filter(words, lambda w: w.rlike(whole))).cast("double")
 
 
 def _exact(words: Column, modal: str) -> Column:
-    return F.size(F.filter(words, lambda w: F.lower(w) == modal)).cast("double")
+    return F.array_size(F.filter(words, lambda w: F.lower(w) == modal)).cast("double")
 
 
 def reference_free_metrics(df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -53,7 +53,7 @@ def reference_free_metrics(df: DataFrame, id_col: str = "id") -> DataFrame:
         text = F.col(side)
         scans[f"{side}.words"] = raw_word_count(text)
         scans[f"{side}.sentences"] = sentence_count(text)
-        scans[f"{side}.quantities"] = F.size(quantity_spans(text))
+        scans[f"{side}.quantities"] = F.array_size(quantity_spans(text))
         scans[f"{side}.cues"] = find_all(text, phrase_pattern(_CUES))
     scanned = df.select(id_col, *[c.alias(name) for name, c in scans.items()])
 
