@@ -574,7 +574,7 @@ def log1p(x: str) -> str:
 
 _shown = [c for c in planted.METRIC_COLUMNS if c != "relevance_score_avg"]
 _long = "\nUNION ALL ".join(
-    f"SELECT '{c}' AS \"Metric\", s, l, abs(s) - abs(l) AS g, lo, hi FROM (SELECT {skew('x')} AS s, {skew('y')} AS l,"
+    f"SELECT '{c}' AS \"Metric\", s, l, abs(s) - abs(l) AS g, lo, hi FROM (SELECT {skew('x')} AS s, CASE WHEN min(x) > -1 THEN {skew('y')} END AS l,"
     f" min(x) AS lo, max(x) AS hi FROM (SELECT {c} AS x, {log1p(c)} AS y FROM metrics))"
     for c in _shown
 )
@@ -639,7 +639,7 @@ def _auto() -> None:
     lower = ["flesch_kincaid_grade", "precision_bert"]
     cols = list(planted.METRIC_COLUMNS)
     flags = ", ".join(
-        f"(SELECT coalesce(abs({skew('x')}) > 1.0 AND abs({skew('x')}) - abs({skew('y')}) > 0.1, false)"
+        f"(SELECT coalesce(abs({skew('x')}) > 1.0 AND abs({skew('x')}) - abs({skew('y')}) > 0.1 AND min(x) > -1, false)"
         f" FROM (SELECT {c} AS x, {log1p(c)} AS y FROM metrics)) AS yes_{c}"
         for c in cols
     )
@@ -789,7 +789,7 @@ def _scored_texts(chosen) -> dict[str, str]:
     """Automatic logs as in ``normalise_auto``, over the measures of the texts themselves."""
     cols = [c for c in lex.ALL_METRICS if c in _all_free]
     flags = ", ".join(
-        f"(SELECT coalesce(abs({skew('x')}) > 1.0 AND abs({skew('x')}) - abs({skew('y')}) > 0.1, false)"
+        f"(SELECT coalesce(abs({skew('x')}) > 1.0 AND abs({skew('x')}) - abs({skew('y')}) > 0.1 AND min(x) > -1, false)"
         f" FROM (SELECT {c} AS x, {log1p(c)} AS y FROM free)) AS yes_{c}"
         for c in cols
     )

@@ -97,7 +97,7 @@ JOIN {t("benchmark")} b ON b.item_id = d.doc_id % (SELECT count(*) FROM {t("benc
 
 
 def metrics(t: Source) -> str:
-    """Dimensions and metrics with a constant, an all-NULL, a negative and skewed columns."""
+    """Dimensions and metrics with a constant, an all-NULL, a negative, a skewed one with values below -1, and skewed columns."""
     x = "CAST({0} AS DOUBLE)"
     return f"""
 SELECT d.doc_id AS id,
@@ -120,6 +120,7 @@ SELECT d.doc_id AS id,
  {x.format("d.n_chars")} * {x.format("d.n_chars")} / 1000000 AS answer_hedge_to_booster_ratio,
  {x.format("d.n_chars % 19")} / 40 AS answer_hedge_density,
  {x.format("d.doc_id % 31")} / 200 AS human_answer_hedge_density,
+ CASE WHEN d.doc_id % 10 = 3 THEN -2 ELSE {x.format("d.n_chars")} * {x.format("d.n_chars")} / 10000 END AS answer_booster_density,
  {x.format("d.n_chars % 5")} / 50 AS answer_modal_must_freq,
  CASE WHEN d.doc_id % 6 = 1 THEN NULL ELSE {x.format("d.doc_id % 12")} / 90 END AS human_answer_modal_must_freq
 FROM {t("documents")} d LEFT JOIN {t("labels")} l ON l.doc_id = d.doc_id"""
@@ -141,6 +142,7 @@ METRIC_COLUMNS = (
     "answer_hedge_to_booster_ratio",
     "answer_hedge_density",
     "human_answer_hedge_density",
+    "answer_booster_density",
     "answer_modal_must_freq",
     "human_answer_modal_must_freq",
 )

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -35,15 +38,94 @@ def _number(name: str) -> Column:
     return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
 
-def _skew_aggregates(name: str) -> list[Column]:
-    x = _number(name)
-    return [
-        F.count(x).alias(f"{name}.n"),
-        F.min(x).alias(f"{name}.min"),
-        F.max(x).alias(f"{name}.max"),
-        F.skewness(x).alias(f"{name}.skew"),
-        F.skewness(F.log1p(x)).alias(f"{name}.log_skew"),
-    ]
+_SUMS = ("n", "s1", "s2", "s3", "ln", "l1", "l2", "l3")
+_ENDS = ("low", "high", "llow", "lhigh")
+
+
+def _power_sums(shifts: list[tuple[float, float]]):
+    """Per task and metric: count, range and sums of powers about a shift, of values and of their log1p.
+
+    As aggregate functions, a dozen moments of 35 metrics outgrow what the JVM compiles.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(shifts), len(_SUMS)))
+        low, high = np.full((len(shifts), 2), np.inf), np.full((len(shifts), 2), -np.inf)
+        for batch in batches:
+            for i, shift in enumerate(shifts):
+                x = batch.column(i).to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                for side, y in enumerate((x, np.log1p(x[x > -1.0]))):
+                    if len(y):
+                        d = y - shift[side]
+                        total[i, 4 * side : 4 * side + 4] += [len(y), d.sum(), (d * d).sum(), (d * d * d).sum()]
+                        low[i, side], high[i, side] = min(low[i, side], y.min()), max(high[i, side], y.max())
+        columns = [pa.array(np.arange(len(shifts), dtype=np.int32)), *(pa.array(total[:, j].copy()) for j in range(len(_SUMS)))]
+        columns += [pa.array(e[:, side].copy()) for side in (0, 1) for e in (low, high)]
+        yield pa.RecordBatch.from_arrays(columns, names=["m", *_SUMS, *_ENDS])
+
+    return sums
+
+
+def _moments(df: DataFrame, metrics: Sequence[str]) -> dict[str, dict[str, float | None]]:
+    """Count, range, mean, deviation and biased skew of each metric, and the same of its log1p.
+
+    Two passes: means, then powers about them; one row per metric and task is shuffled and
+    one row per metric reaches the driver. The log1p of a value of -1 or less is left out,
+    and ``log_skew`` exists only where there is none.
+    """
+    table = df.select(*[_number(m).alias(f"c{i}") for i, m in enumerate(metrics)])
+    schema = "m int, " + ", ".join(f"{c} double" for c in (*_SUMS, *_ENDS))
+
+    def gathered(shifts: list[tuple[float, float]]) -> dict[int, Row]:
+        parts = table.mapInArrow(_power_sums(shifts), schema)
+        least = {"low": F.min, "high": F.max, "llow": F.min, "lhigh": F.max}
+        found = parts.groupBy("m").agg(*[F.sum(c).alias(c) for c in _SUMS], *[least[c](c).alias(c) for c in _ENDS]).collect()
+        return {r["m"]: r for r in found}
+
+    first = gathered([(0.0, 0.0)] * len(metrics))
+    mean = lambda r, n, s: r[s] / r[n] if r and r[n] else 0.0
+    shifts = [(mean(first.get(i), "n", "s1"), mean(first.get(i), "ln", "l1")) for i in range(len(metrics))]
+    second = gathered(shifts)
+    out = {}
+    for i, m in enumerate(metrics):
+        r = second.get(i)
+        own: dict[str, float | None] = {"n": int(r["n"]) if r else 0}
+        for kind, side, names in (("raw", 0, ("n", "s1", "s2", "s3", "low", "high")), ("log", 1, ("ln", "l1", "l2", "l3", "llow", "lhigh"))):
+            n, s1, s2, s3, low, high = (r[c] for c in names) if r else (0,) * 6
+            if not n:
+                own |= {f"{kind}.{k}": None for k in ("mean", "std", "flat", "skew", "min", "max")}
+                continue
+            d = s1 / n
+            variance = max(0.0, s2 / n - d * d)
+            # a constant is told by its range: the deviation of equal floats can be noise
+            flat = low == high
+            skew = None if flat or not variance else (s3 / n - 3 * d * s2 / n + 2 * d**3) / variance**1.5
+            own |= {f"{kind}.mean": shifts[i][side] + d, f"{kind}.std": math.sqrt(variance), f"{kind}.flat": flat, f"{kind}.skew": skew, f"{kind}.min": low, f"{kind}.max": high}
+        if own["raw.min"] is None or own["raw.min"] <= -1.0:
+            own["log.skew"] = None
+        out[m] = own
+    return out
+
+
+def _advice(moments: dict, metrics: Sequence[str], skew_threshold: float, improvement_threshold: float) -> list[tuple]:
+    """The report's rows, unrounded. No log is advised where a value has none."""
+    rows = []
+    for m in metrics:
+        found = moments[m]
+        if not found["n"]:
+            continue
+        raw, log = found["raw.skew"], found["log.skew"]
+        gain = abs(raw) - abs(log) if raw is not None and log is not None else None
+        advise = gain is not None and abs(raw) > skew_threshold and gain > improvement_threshold
+        rows.append((m, raw, log, gain, found["raw.min"], found["raw.max"], "YES" if advise else "NO"))
+    return rows
+
+
+def _report(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    digits = dict(zip(SKEW_SCHEMA.names[1:6], (3, 3, 3, 5, 5)))
+    table = spark.createDataFrame(rows, SKEW_SCHEMA)
+    return table.select(*[F.bround(F.col(f"`{c}`"), digits[c]).alias(c) if c in digits else F.col(f"`{c}`") for c in SKEW_SCHEMA.names])
 
 
 def skew_report(
@@ -54,32 +136,12 @@ def skew_report(
 ) -> DataFrame:
     """One row per metric: biased skew before and after log1p, range, and the advice.
 
-    All metrics are read in one aggregate. Absent and all-NULL metrics are left out;
-    a skew that does not exist (constant or single value) is NULL and advises NO.
+    Absent and all-NULL metrics are left out; a skew that does not exist (constant or
+    single value; a value of -1 or less, for the log) is NULL and advises NO.
     """
     metrics = existing(df, metrics or ALL_METRICS)
-    if not metrics:
-        return df.sparkSession.createDataFrame([], SKEW_SCHEMA)
-    one = df.agg(*[a for m in metrics for a in _skew_aggregates(m)])
-
-    def cell(place: int, m: str) -> Column:
-        raw, log = F.col(f"`{m}.skew`"), F.col(f"`{m}.log_skew`")
-        gain = F.abs(raw) - F.abs(log)
-        advise = (F.abs(raw) > skew_threshold) & (gain > improvement_threshold)
-        return F.struct(
-            F.lit(place).alias("place"),
-            F.col(f"`{m}.n`").alias("n"),
-            F.lit(m).alias("Metric"),
-            F.bround(raw, 3).alias("Original Skew"),
-            F.bround(log, 3).alias("Log1p Skew"),
-            F.bround(gain, 3).alias("Skew Reduction"),
-            F.bround(F.col(f"`{m}.min`"), 5).alias("Min Val"),
-            F.bround(F.col(f"`{m}.max`"), 5).alias("Max Val"),
-            F.when(advise, "YES").otherwise("NO").alias("Log Transform?"),
-        )
-
-    cells = F.explode(F.array(*[cell(i, m) for i, m in enumerate(metrics)])).alias("c")
-    return one.select(cells).filter("c.n > 0").orderBy("c.place").select(*[F.col(f"c.`{f.name}`") for f in SKEW_SCHEMA])
+    moments = _moments(df, metrics) if metrics else {}
+    return _report(df.sparkSession, _advice(moments, metrics, skew_threshold, improvement_threshold))
 
 
 class _NormalizerParams(Params):
@@ -112,8 +174,7 @@ class _NormalizerParams(Params):
 class MetricNormalizer(Estimator, _NormalizerParams, DefaultParamsReadable, DefaultParamsWritable):
     """Log-transform skewed metrics, flip those where lower is better, z-score, average.
 
-    ``fit`` is one aggregate over the table and brings one row of scalars to the
-    driver. A listed metric that the table lacks is skipped. A metric that is both
+    ``fit`` reads the table twice and brings one row per metric to the driver. A listed metric that the table lacks is skipped. A metric that is both
     skewed and lower-is-better is logged, then negated, and appears once.
     """
 
@@ -136,24 +197,12 @@ class MetricNormalizer(Estimator, _NormalizerParams, DefaultParamsReadable, Defa
         if not known:
             raise ValueError("the table has none of the metrics to normalise")
 
-        aggregates = []
-        for m in known:
-            x = _number(m)
-            if auto:
-                aggregates += _skew_aggregates(m)
-            for kind, y in (("raw", x), ("log", F.log1p(x))):
-                if auto or (kind == "log") == (m in skewed):
-                    aggregates += [
-                        F.avg(y).alias(f"{m}.{kind}.mean"),
-                        F.stddev_pop(y).alias(f"{m}.{kind}.std"),
-                        (F.min(y) == F.max(y)).alias(f"{m}.{kind}.flat"),
-                    ]
-        found = df.agg(*aggregates).first().asDict()
-
+        found = _moments(df, known)
         report = None
         if auto:
-            report = self._report_rows(found, [m for m in known if m in vocabulary])
-            skewed = [r["Metric"] for r in report if r["Log Transform?"] == "YES"]
+            wanted = [m for m in known if m in vocabulary]
+            report = _advice(found, wanted, self.getOrDefault("skew_threshold"), self.getOrDefault("improvement_threshold"))
+            skewed = [r[0] for r in report if r[-1] == "YES"]
         ordered = skewed + [m for m in lower if m not in skewed]
         ordered += [m for m in vocabulary if m in known and m not in ordered]
 
@@ -161,31 +210,13 @@ class MetricNormalizer(Estimator, _NormalizerParams, DefaultParamsReadable, Defa
         for place, m in enumerate(ordered):
             kind = "log" if m in skewed else "raw"
             flip = m in lower
-            mean, std = found[f"{m}.{kind}.mean"], found[f"{m}.{kind}.std"]
-            # a constant is told by its range: the deviation of equal floats can be noise
-            scale = None if std is None else (1.0 if found[f"{m}.{kind}.flat"] else std)
+            mean, std = found[m][f"{kind}.mean"], found[m][f"{kind}.std"]
+            scale = None if std is None else (1.0 if found[m][f"{kind}.flat"] else std)
             mean = -mean if flip and mean is not None else mean
             stats.append(Row(f"norm_{m}", m, kind + ("-" if flip else ""), mean, scale, place))
         model = MetricNormalizerModel(stats, report)
         return self._copyValues(model)
 
-    def _report_rows(self, found: dict, metrics: list[str]) -> list[dict]:
-        rows = []
-        for m in metrics:
-            if not found[f"{m}.n"]:
-                continue
-            raw, log = found[f"{m}.skew"], found[f"{m}.log_skew"]
-            gain = abs(raw) - abs(log) if raw is not None and log is not None else None
-            advise = (
-                gain is not None
-                and abs(raw) > self.getOrDefault("skew_threshold")
-                and gain > self.getOrDefault("improvement_threshold")
-            )
-            rounded = [None if v is None else round(v, 3) for v in (raw, log, gain)]
-            ends = [round(found[f"{m}.{e}"], 5) for e in ("min", "max")]
-            rows.append(dict(zip(SKEW_SCHEMA.names, [m, *rounded, *ends, "YES" if advise else "NO"])))
-        return rows
-
     def fit_transform(self, df: DataFrame) -> DataFrame:
         """Fit, then transform. The metrics are stored once in the shared folder in between, so
         measures computed from texts are not computed twice."""
@@ -197,7 +228,7 @@ class MetricNormalizer(Estimator, _NormalizerParams, DefaultParamsReadable, Defa
 class MetricNormalizerModel(Model, _NormalizerParams):
     """Frozen means and scales; ``transform`` is a projection and works on streams."""
 
-    def __init__(self, stats: Sequence[Row] = (), report: list[dict] | None = None):
+    def __init__(self, stats: Sequence[Row] = (), report: list[tuple] | None = None):
         super().__init__()
         self._defaults()
         self._stats = sorted((tuple(s) for s in stats), key=lambda s: s[5])
@@ -210,21 +241,25 @@ class MetricNormalizerModel(Model, _NormalizerParams):
         """The skew report of an automatic fit."""
         if self._report is None:
             raise ValueError("no skew analysis was made: the skewed metrics were given")
-        return spark.createDataFrame([tuple(r.values()) for r in self._report], SKEW_SCHEMA)
+        return _report(spark, self._report)
 
     def stats(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self._stats, _STATS_SCHEMA)
 
     def save_stats(self, spark: SparkSession, path: str) -> None:
         """Write the fitted state (a handful of rows) as JSON lines."""
-        params = json.dumps({"id_col": self.getOrDefault("id_col"), "index_columns": self.getOrDefault("index_columns")})
+        named = {"id_col": self.getOrDefault("id_col"), "index_columns": self.getOrDefault("index_columns")}
+        params = json.dumps({"set": named, "report": self._report})
         self.stats(spark).withColumn("params", F.lit(params)).coalesce(1).write.mode("overwrite").json(path)
 
     @classmethod
     def load_stats(cls, spark: SparkSession, path: str) -> MetricNormalizerModel:
         rows = spark.read.schema(_STATS_SCHEMA + ", params string").json(path).collect()
-        model = cls([Row(*r[:6]) for r in rows])
-        return model._set(**json.loads(rows[0]["params"])) if rows else model
+        if not rows:
+            return cls()
+        kept = json.loads(rows[0]["params"])
+        report = kept["report"] and [tuple(r) for r in kept["report"]]
+        return cls([Row(*r[:6]) for r in rows], report)._set(**kept["set"])
 
     def _z(self, source: str, kind: str, mean: float | None, scale: float | None) -> Column:
         if mean is None or scale is None:
