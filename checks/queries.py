@@ -14,7 +14,7 @@ from textscore.functions.lexicons import CLOSED_CLASSES
 from textscore.operators import claims, entities, joins, normalize, quantiles, reports, sampling, similarity, surprisal
 from textscore.plans import main_metrics as main_plan
 from textscore.plans import reference_free as free_plan
-from textscore.session import spread, store, work_path
+from textscore.session import store, work_path
 from textscore.sources import tables
 from textscore.streaming import stream
 
@@ -33,6 +33,16 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tables.read_table(spark, f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a table stored in fewer splits than there are cores.
+
+    ``key`` must be nearly unique. A table of many splits is returned as it is, so
+    at scale nothing is shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _planted(build: Callable, spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql(build(planted.parquet_table(folder)))
 

@@ -8,8 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .joins import all_of
+from ..session import materialise, store
+from .joins import all_of, fits
+
+
+#: Distinct (group, value) pairs that one bucket is to hold, about; a bucket is sorted by one task.
+BUCKET = 250_000
+
+
+def _per_group(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A table with few rows per group, broadcast if its counted size allows: the large side then stays put."""
+    return F.broadcast(table) if fits(table, row_bytes) else table
+
+
+def _value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(group, x, n) without NULLs, stored: the input is read once, equal values are combined map-side."""
+    clean = df.filter(all_of([F.col(c).isNotNull() for c in [*by, value]]))
+    return store(clean.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n")), "value-counts")
 
 
 def grouped_quantiles(
@@ -17,7 +32,7 @@ def grouped_quantiles(
     by: Sequence[str],
     value: str,
     probabilities: Sequence[float],
-    buckets: int = 512,
+    buckets: int | None = None,
     approximate: bool = False,
 ) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` per group, as columns ``q0``, ``q1``, ...
@@ -25,24 +40,27 @@ def grouped_quantiles(
     Rows with a NULL key or value are left out. Equal values are counted together
     before the first shuffle. A sketch per group then only *places* bucket borders;
     ranks are exact: bucket totals tell which bucket holds a rank, and the values of
-    those buckets alone are sorted, each bucket by its own task. ``approximate``
-    returns the sketch's answer instead.
+    those buckets alone are sorted, each bucket by its own task. The number of buckets
+    follows the counted distinct values. ``approximate`` returns the sketch's answer instead.
     """
     by = list(by)
-    clean = df.filter(all_of([F.col(c).isNotNull() for c in [*by, value]]))
     if approximate:
+        clean = df.filter(all_of([F.col(c).isNotNull() for c in [*by, value]]))
         cuts = F.percentile_approx(value, [float(p) for p in probabilities], 10_000)
         return clean.groupBy(*by).agg(cuts.alias("q")).select(
             *by, *[F.col("q")[i].cast("double").alias(f"q{i}") for i in range(len(probabilities))]
         )
+    return _counted_quantiles(_value_counts(df, by, value), by, probabilities, buckets)
+
 
-    counts = clean.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+def _counted_quantiles(counts: DataFrame, by: list[str], probabilities: Sequence[float], buckets: int | None = None) -> DataFrame:
+    buckets = buckets or max(8, -(-counts.count() // BUCKET))
     borders = counts.groupBy(*by).agg(
         F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("borders"),
         F.sum("n").alias("total"),
     )
     borders = materialise(borders)  # a recomputed sketch could move a border
-    placed = counts.join(borders.select(*by, "borders"), by).select(
+    placed = counts.join(_per_group(borders.select(*by, "borders"), 64 + 8 * buckets), by).select(
         *by, "x", "n", F.array_size(F.filter("borders", lambda b: b < F.col("x"))).alias("bucket")
     )
     filled = placed.groupBy(*by, "bucket").agg(F.sum("n").alias("bucket_n"))
@@ -58,13 +76,14 @@ def grouped_quantiles(
         ]
     )
     wanted = borders.select(*by, "total", F.explode(ranks).alias("w")).select(*by, "total", "w.*")
+    # a few rows per group: which bucket holds each rank wanted
     located = wanted.join(filled, by).filter("rank >= before AND rank < before + bucket_n")
-    located = located.select(*by, "bucket", "total", "i", "side", (F.col("rank") - F.col("before")).alias("offset"))
+    located = materialise(located.select(*by, "bucket", "total", "i", "side", (F.col("rank") - F.col("before")).alias("offset")))
 
-    inside = placed.join(located.select(*by, "bucket").distinct(), [*by, "bucket"])
+    inside = placed.join(_per_group(located.select(*by, "bucket").distinct(), 64), [*by, "bucket"], "left_semi")
     ordered = W.partitionBy(*by, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = inside.withColumn("reach", F.sum("n").over(ordered))
-    hit = inside.join(located, [*by, "bucket"]).filter("offset < reach AND offset >= reach - n")
+    hit = inside.join(_per_group(located, 64), [*by, "bucket"]).filter("offset < reach AND offset >= reach - n")
 
     wide = hit.groupBy(*by).agg(
         F.max("total").alias("total"),
@@ -82,31 +101,37 @@ def grouped_quantiles(
 
 
 def box_statistics(df: DataFrame, by: Sequence[str], value: str, approximate: bool = False) -> DataFrame:
-    """Quartiles, extremes, 1.5 IQR whiskers and outlier count per group."""
+    """Quartiles, extremes, 1.5 IQR whiskers and outlier count per group.
+
+    The input is read once: all figures come from the counted values.
+    """
     by = list(by)
-    q = grouped_quantiles(df, by, value, (0.25, 0.5, 0.75), approximate=approximate)
+    counts = _value_counts(df, by, value)
+    probabilities = (0.25, 0.5, 0.75)
+    q = grouped_quantiles(df, by, value, probabilities, approximate=True) if approximate else _counted_quantiles(counts, by, probabilities)
     reach = 1.5 * (F.col("q2") - F.col("q0"))
-    fences = q.select(
-        *by,
-        F.col("q0").alias("q1"),
-        F.col("q1").alias("median"),
-        F.col("q2").alias("q3"),
-        (F.col("q0") - reach).alias("low_fence"),
-        (F.col("q2") + reach).alias("high_fence"),
+    fences = materialise(
+        q.select(
+            *by,
+            F.col("q0").alias("q1"),
+            F.col("q1").alias("median"),
+            F.col("q2").alias("q3"),
+            (F.col("q0") - reach).alias("low_fence"),
+            (F.col("q2") + reach).alias("high_fence"),
+        )
     )
-    x = F.col(value)
-    clean = df.select(*by, value).filter(all_of([F.col(c).isNotNull() for c in [*by, value]]))
+    x = F.col("x")
     within = x.between(F.col("low_fence"), F.col("high_fence"))
     return (
-        clean.join(fences, by)
+        counts.join(_per_group(fences, 128), by)
         .groupBy(*by, "q1", "median", "q3")
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.sum("n").alias("n"),
             F.min(x).alias("min"),
             F.max(x).alias("max"),
             F.min(F.when(within, x)).alias("low_whisker"),
             F.max(F.when(within, x)).alias("high_whisker"),
-            F.count_if(~within).alias("n_outliers"),
+            F.sum(F.when(within, 0).otherwise(F.col("n"))).alias("n_outliers"),
         )
     )
 
@@ -116,6 +141,6 @@ def outliers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     by = list(by)
     q = grouped_quantiles(df, by, value, (0.25, 0.75))
     reach = 1.5 * (F.col("q1") - F.col("q0"))
-    fences = q.select(*by, (F.col("q0") - reach).alias("__lo"), (F.col("q1") + reach).alias("__hi"))
-    kept = df.join(fences, by).filter((F.col(value) < F.col("__lo")) | (F.col(value) > F.col("__hi")))
+    fences = materialise(q.select(*by, (F.col("q0") - reach).alias("__lo"), (F.col("q1") + reach).alias("__hi")))
+    kept = df.join(_per_group(fences, 64), by).filter((F.col(value) < F.col("__lo")) | (F.col(value) > F.col("__hi")))
     return kept.select(*df.columns)

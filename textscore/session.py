@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,8 +39,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints, created on first use where it is unset.
 
-    Outside local mode an unset folder becomes a sub-folder of the warehouse, which
-    every executor can reach; a machine-local folder is only used in local mode.
+    Outside local mode an unset folder becomes a sub-folder of the warehouse; a warehouse on
+    a machine's own disk raises. A machine-local folder is only made in local mode.
     """
     sc = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY) or sc.getCheckpointDir()
@@ -47,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="textscore-ckpt-")
         else:
             named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_textscore_checkpoints"
+            if _scheme(spark, named) == "file":
+                raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share; {named} is local to a machine")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -56,21 +60,50 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _scheme(spark: SparkSession, path: str) -> str:
+    return _hadoop_path(spark, path)[1].getUri().getScheme()
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system), for stores that Python cannot open."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named, named.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+#: Folders written by ``store`` and not released yet.
+_STORED: list[str] = []
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table written to the shared folder: computed once, read by what follows."""
+    """``df`` as a table written to the shared folder: computed once, read by what follows.
+
+    The table stays until ``release`` or the end of a ``stored_tables`` block, since a result
+    that reads it may be evaluated at any later time.
+    """
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table stored in fewer splits than there are cores.
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``store`` has written, all or those after the first ``since``.
 
-    ``key`` must be nearly unique. A table of many splits is returned as it is, so
-    at scale nothing is shuffled here.
+    Call it once the results that were built on them are written or collected.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    while len(_STORED) > since:
+        path, files = _hadoop_path(spark, _STORED.pop())
+        files.delete(path, True)
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables stored inside the block are deleted at its end."""
+    since = len(_STORED)
+    try:
+        yield
+    finally:
+        release(spark, since)
 
 
 def materialise(df: DataFrame) -> DataFrame:
