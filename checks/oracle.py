@@ -461,6 +461,15 @@ add(
     (SELECT id, count(*) FILTER (s >= 0.25)::DOUBLE / count(*) AS x FROM best GROUP BY id) b ON b.id = a.id""",
     **verdicts(None),
 )
+_by_length = {k: v for k, v in verdicts(None).items()}
+_by_length["scored"] = """SELECT c.id, claim_pos, claim, j, premise,
+    least(length(claim), length(premise))::DOUBLE / greatest(length(claim), length(premise), 1) AS s FROM c JOIN p ON p.id = c.id"""
+add(
+    "claim_scorer",
+    """SELECT id, claim_pos, md5(claim) AS claim, round_even(s, 3) AS p, md5(premise) AS evidence,
+    CASE WHEN s >= 0.5 THEN 'ALIGN' ELSE 'NOT_ALIGN' END AS label_50 FROM best""",
+    **_by_length,
+)
 add("factuality", f"SELECT id, {share('facts', 'fact_ref')} AS factuality_precision_50 FROM claims", **CLAIMS)
 add("actionability", f"SELECT id, {share('recs', 'rec_ref')} AS recommendations_precision_50 FROM claims", **CLAIMS)
 
@@ -509,6 +518,9 @@ add(
 )
 
 
+SQL["vector_similarity_joined"] = SQL["vector_similarity"]
+
+
 def _bigram_ctes(column: str) -> dict[str, str]:
     return {
         "train": f"SELECT id, {toks('answer')} AS ts FROM answers",

@@ -416,6 +416,21 @@ def claim_labels_leading_premises(spark, folder):
     return rows.withColumn("claim", F.md5("claim")).withColumn("evidence", F.md5("evidence"))
 
 
+def _length_scorer():
+    """A deterministic stand-in for a user's model: closeness of the texts' lengths."""
+    return lambda left, right: [min(len(a), len(b)) / max(len(a), len(b), 1) for a, b in zip(left, right)]
+
+
+@query
+def claim_scorer(spark, folder):
+    """Every claim against several premises by a user's scorer."""
+    df = answers(spark, folder).select(
+        "id", ts.sentences(F.col("answer")).alias("claims"), ts.sentences(F.col("human_answer")).alias("premises")
+    )
+    rows = claims.per_claim(claims.add_verdicts(df, "claims", "premises", scorer=_length_scorer), "id")
+    return rows.select("id", "claim_pos", F.md5("claim").alias("claim"), "p", F.md5("evidence").alias("evidence"), "label_50")
+
+
 @query
 def claim_summary(spark, folder):
     return claims.claim_summary(_verdicts(spark, folder), "id", "facts")
@@ -469,6 +484,14 @@ def vector_similarity(spark, folder):
     return rounded(similarity.greedy_similarity(a, "id", "answer", "human_answer", vectors), 5)
 
 
+@query
+def vector_similarity_joined(spark, folder):
+    """The same by a join, as for a vector table beyond any broadcast."""
+    a = answers(spark, folder)
+    vectors = store(token_vectors(spark, folder), "vectors")
+    return rounded(similarity.greedy_similarity(a, "id", "answer", "human_answer", vectors, budget=0), 5)
+
+
 @query
 def token_surprisal(spark, folder):
     return rounded(surprisal.text_surprisal(answers(spark, folder), "id", "answer"))

@@ -7,8 +7,9 @@ only the best premise per claim leaves, so no pair table is built or shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ VERDICT = T.StructType(
     ]
 )
 
+_VERDICT = pa.struct([("claim", pa.string()), ("p", pa.float64()), ("evidence", pa.string())])
+
 
 def token_support(claim_tokens: Column, premise_tokens: Column) -> Column:
     """Share of the claim's distinct tokens found in the premise; 0 for a claim without tokens.
@@ -76,33 +79,54 @@ def claim_verdicts(claims: Column, premises: Column, k: int | None = None) -> Co
     return F.when(premises.isNotNull(), let(prepared, score_all))
 
 
-def _score_rows(batches: Iterator[pd.DataFrame], make: Callable[[], PairScorer], claims: str, premises: str, out: str):
-    score = None
-    for batch in batches:
-        if score is None:
-            score = make()  # once per task
-        spans, left, right = [], [], []
-        for row_claims, row_premises in zip(batch[claims], batch[premises]):
-            row_claims = [] if row_claims is None else list(row_claims)
-            row_premises = [] if row_premises is None else list(row_premises)
-            spans.append((row_claims, row_premises, len(left)))
-            for c in row_claims:
-                left.extend([c] * len(row_premises))
-                right.extend(row_premises)
-        values = list(score(left, right)) if left else []
+#: Pairs that a user's scorer sees at once.
+PAIRS = 4096
+
+
+def _score_slices(score: PairScorer, pairs: Iterator[tuple[str, str]]) -> Iterator[float]:
+    while part := list(islice(pairs, PAIRS)):
+        yield from score([c for c, _ in part], [p for _, p in part])
+
+
+def _judge(score: PairScorer, lists: list[list[tuple[list[str], list[str]]]]) -> list[list[list[dict]]]:
+    """Verdicts of every (claims, premises) of every row; the pairs reach the scorer in slices."""
+    values = _score_slices(score, ((c, p) for row in lists for claims, premises in row for c in claims for p in premises))
+    out = []
+    for row in lists:
         verdicts = []
-        for row_claims, row_premises, start in spans:
-            row = []
-            for i, c in enumerate(row_claims):
+        for claims, premises in row:
+            own = []
+            for claim in claims:
                 best, evidence = -1.0, ""
-                at = start + i * len(row_premises)
-                for premise, value in zip(row_premises, values[at : at + len(row_premises)]):
+                for premise in premises:
+                    value = next(values)
                     if value is not None and value > best:
                         best, evidence = float(value), premise
-                row.append({"claim": c, "p": best, "evidence": evidence})
-            verdicts.append(row)
-        batch[out] = verdicts
-        yield batch
+                own.append({"claim": claim, "p": best, "evidence": evidence})
+            verdicts.append(own)
+        out.append(verdicts)
+    return out
+
+
+def scored_verdicts(lists: Sequence[tuple[Column, Column]], make: Callable[[], PairScorer], k: int | None = None) -> Column:
+    """array of verdict lists, one per (claims, premises), by a user's scorer.
+
+    One Arrow UDF for all lists: only claims and premises cross to Python, and the scorer
+    is made once per task. A list is NULL where its claims or premises are.
+    """
+    pools = [(c, F.slice(p, 1, k) if k is not None else p) for c, p in lists]
+    empty = F.array().cast("array<string>")
+    given = F.array(*[F.struct(F.coalesce(c, empty).alias("claims"), F.coalesce(p, empty).alias("premises")) for c, p in pools])
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(VERDICT)))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = make()
+        for batch in batches:
+            rows = [[(x["claims"], x["premises"]) for x in row] for row in batch.to_pylist()]
+            yield pa.array(_judge(score, rows), pa.list_(pa.list_(_VERDICT)))
+
+    found = run(given)
+    return let(found, lambda v: F.array(*[F.when(c.isNotNull() & p.isNotNull(), v[i]) for i, (c, p) in enumerate(pools)]))
 
 
 def add_verdicts(
@@ -116,18 +140,12 @@ def add_verdicts(
     """``df`` with a column of verdicts.
 
     ``scorer`` is a factory of a batch scorer ``(claims, premises) -> scores in
-    [0, 1]``; it is called once per task, and its scorer once per Arrow batch.
+    [0, 1]``; it is called once per task, and its scorer on slices of pairs.
     Without one the native token support is used and no Python worker runs.
     """
     if scorer is None:
         return df.withColumn(out, claim_verdicts(F.col(claims), F.col(premises), k))
-    pool = f"__pool_{out}"
-    limited = F.slice(F.col(premises), 1, k) if k is not None else F.col(premises)
-    prepared = df.withColumn(pool, limited)
-    schema = T.StructType(prepared.schema.fields + [T.StructField(out, T.ArrayType(VERDICT))])
-    scored = prepared.mapInPandas(lambda it: _score_rows(it, scorer, claims, pool, out), schema)
-    # a NULL claim list stays NULL, as in the native path
-    return scored.withColumn(out, F.when(F.col(claims).isNotNull(), F.col(out))).drop(pool)
+    return df.withColumn(out, scored_verdicts([(F.col(claims), F.col(premises))], scorer, k)[0])
 
 
 def label_name(threshold: float) -> str:

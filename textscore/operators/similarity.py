@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, tokens
-from .joins import fits, lookup
+from ..session import store
+from .joins import lookup
 
 # Vectors are broadcast only up to this counted size.
 VECTOR_BYTES = 128 * 1024 * 1024
 
-_FEW = 500  # shared tokens up to which they are searched one by one
 _BLOCK = 2048  # candidate tokens compared at once, bounds memory per text
 
 
@@ -27,10 +27,9 @@ def _f1(p: Column, r: Column) -> Column:
 def _hits(words: Column, shared: Column) -> Column:
     """How many of ``words``, repeats included, are among the distinct ``shared``.
 
-    Near-copies of long texts share thousands of tokens. There one sorted pass, with a
-    marker ahead of each shared token's run, replaces the search per token.
+    One sorted pass, with a marker ahead of each shared token's run: near-copies of long
+    texts share thousands of tokens, which a search per token would compare in pairs.
     """
-    few = F.array_size(F.filter(words, lambda t: F.array_contains(shared, t)))
 
     def marked(tokens_: Column, is_word: int) -> Column:
         return F.transform(tokens_, lambda t: F.struct(t.alias("t"), F.lit(is_word).alias("word")))
@@ -42,8 +41,7 @@ def _hits(words: Column, shared: Column) -> Column:
 
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"))
     runs = F.sort_array(F.concat(marked(shared, 0), marked(words, 1)))
-    many = F.aggregate(runs, start, step, lambda run: run["n"])
-    return F.when(F.array_size(shared) <= _FEW, few).otherwise(many)
+    return F.aggregate(runs, start, step, lambda run: run["n"])
 
 
 def token_overlap(candidate: Column, reference: Column) -> Column:
@@ -85,25 +83,37 @@ def _best_cosines(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.n
 def _pair_scores(cand: np.ndarray, cand_n: np.ndarray, ref: np.ndarray, ref_n: np.ndarray) -> tuple[float, float, float]:
     if len(cand) == 0 or len(ref) == 0:
         return 0.0, 0.0, 0.0
-    best_c, best_r = _best_cosines(_unit(cand), _unit(ref))
+    best_c, best_r = _best_cosines(cand, ref)
     p = float(np.average(best_c, weights=cand_n))
     r = float(np.average(best_r, weights=ref_n))
     return p, r, (2 * p * r / (p + r) if p + r > 0 else 0.0)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
-    rows = rows.astype(np.float64)
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(length == 0, 1.0, length)
 
 
 def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of an Arrow list column, all of one length, without NULL rows."""
+    """Rows of an Arrow list column, all of one length and without NULLs."""
     if len(vectors) == 0:
         return np.zeros((0, 1))
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def usable_vectors(vectors: DataFrame) -> DataFrame:
+    """(token, vector array<double>): what both ways of :func:`greedy_similarity` work on.
+
+    A NULL vector, and one that holds a NULL, is left out; of several vectors of one token
+    the smallest in array order counts.
+    """
+    whole = vectors.select("token", F.col("vector").cast("array<double>").alias("vector")).filter(
+        F.col("token").isNotNull() & F.col("vector").isNotNull()
+    )
+    whole = whole.filter(~F.exists("vector", lambda x: x.isNull()))
+    return whole.groupBy("token").agg(F.min("vector").alias("vector"))
 
 
 def _scored_table(id_col: str, ids, scores: list[tuple[float, float, float]]) -> dict:
@@ -112,9 +122,10 @@ def _scored_table(id_col: str, ids, scores: list[tuple[float, float, float]]) ->
 
 
 def _with_broadcast_vectors(pairs: DataFrame, id_col: str, vectors: DataFrame, out_schema: str) -> DataFrame:
-    table = vectors.select("token", "vector").toArrow()
+    table = vectors.toArrow()
     vocabulary = table["token"].combine_chunks()
-    shared = pairs.sparkSession.sparkContext.broadcast((vocabulary, _matrix(table["vector"]).astype(np.float32)))
+    # made unit vectors once, not for every text
+    shared = pairs.sparkSession.sparkContext.broadcast((vocabulary, _unit(_matrix(table["vector"]))))
 
     def side(places: np.ndarray, ends: np.ndarray, row: int, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mine = places[ends[row] : ends[row + 1]]
@@ -124,15 +135,14 @@ def _with_broadcast_vectors(pairs: DataFrame, id_col: str, vectors: DataFrame, o
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix = shared.value
         for batch in batches:
-            found = {}
-            for name in ("c", "r"):
-                words = batch.column(name)
-                places = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1)
-                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
-                found[name] = (places.to_numpy(zero_copy_only=False), ends.astype(np.int64))
-            scores = [
-                _pair_scores(*side(*found["c"], row, matrix), *side(*found["r"], row, matrix)) for row in range(batch.num_rows)
-            ]
+            words = [batch.column(name) for name in ("c", "r")]
+            # one look-up for both sides: it hashes the whole vocabulary
+            both = pa.concat_arrays([w.flatten() for w in words])
+            places = pc.fill_null(pc.index_in(both, value_set=known), -1).to_numpy(zero_copy_only=False)
+            lengths = [pc.list_value_length(w).to_numpy(zero_copy_only=False) for w in words]
+            ends = [np.concatenate([[0], np.cumsum(n)]).astype(np.int64) for n in lengths]
+            found = (places[: ends[0][-1]], ends[0]), (places[ends[0][-1] :], ends[1])
+            scores = [_pair_scores(*side(*found[0], row, matrix), *side(*found[1], row, matrix)) for row in range(batch.num_rows)]
             yield pa.RecordBatch.from_pydict(_scored_table(id_col, batch.column(id_col), scores))
 
     rows = pairs.select(id_col, tokens(F.col("c")).alias("c"), tokens(F.col("r")).alias("r"))
@@ -158,7 +168,7 @@ def _with_joined_vectors(pairs: DataFrame, id_col: str, vectors: DataFrame, out_
         sides = []
         for s in (0, 1):
             part = group.filter(pc.equal(group["side"], s))
-            sides += [_matrix(part["vector"]), part["n"].to_numpy()]
+            sides += [_unit(_matrix(part["vector"])), part["n"].to_numpy()]
         ids = pa.array([key[0].as_py()], type=key[0].type)
         return pa.table(_scored_table(id_col, ids, [_pair_scores(*sides)]))
 
@@ -181,14 +191,20 @@ def greedy_similarity(
     taken block by block inside a task, so no pair of tokens becomes a row.
 
     A vector table whose counted size fits ``budget`` is broadcast and no shuffle
-    happens; a larger one is joined by token with its hot tokens split off.
+    happens; a larger one is joined by token with its hot tokens split off. Both work on
+    the same prepared vectors in double precision, so the budget never changes a result.
+    Vectors of different widths raise.
     """
     pairs = df.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull()).select(
         id_col, F.col(candidate).alias("c"), F.col(reference).alias("r")
     )
     out_schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, precision double, recall double, f1 double"
-    width = vectors.select(F.array_size("vector")).first()
-    row_bytes = 48 + 4 * (width[0] if width and width[0] and width[0] > 0 else 1)
-    if fits(vectors, row_bytes, budget):
-        return _with_broadcast_vectors(pairs, id_col, vectors, out_schema)
-    return _with_joined_vectors(pairs, id_col, vectors, out_schema)
+    ready = store(usable_vectors(vectors), "unit-vectors")
+    size = F.array_size("vector")
+    seen = ready.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"), F.max(F.length("token")).alias("chars")).first()
+    if seen["low"] != seen["high"]:
+        raise ValueError(f"vectors are from {seen['low']} to {seen['high']} wide")
+    counted = seen["n"] * (8 * (seen["high"] or 0) + 4 * (seen["chars"] or 0) + 16)
+    if counted <= budget:
+        return _with_broadcast_vectors(pairs, id_col, ready, out_schema)
+    return _with_joined_vectors(pairs, id_col, ready, out_schema)

@@ -17,7 +17,7 @@ from ..functions.judgments import (
 )
 from ..functions.readability import flesch_kincaid_grade, flesch_reading_ease
 from ..functions.sections import extract_interpretations, extract_observations, extract_recommendations
-from ..operators.claims import PairScorer, add_verdicts, evaluate_actionability, evaluate_factuality, support_precision
+from ..operators.claims import PairScorer, evaluate_actionability, evaluate_factuality, scored_verdicts, support_precision
 from ..operators.joins import join_on_id
 from ..operators.similarity import greedy_similarity, token_overlap
 
@@ -73,13 +73,13 @@ def main_metrics(
             }
         )
     else:
-        base = base.withColumns({"fact_pool": F.array("fact_human_str"), "rec_pool": F.array("rec_human_str")})
-        base = add_verdicts(base, "facts", "fact_pool", "fact_verdicts", scorer=scorer)
-        base = add_verdicts(base, "recs", "rec_pool", "rec_verdicts", scorer=scorer)
+        pool = lambda c: F.when(F.col(c).isNotNull(), F.array(c))
+        lists = [(F.col("facts"), pool("fact_human_str")), (F.col("recs"), pool("rec_human_str"))]
+        base = base.withColumn("verdicts", scored_verdicts(lists, scorer))
         base = base.withColumns(
             {
-                "factuality_precision_50": support_precision(F.col("fact_verdicts")),
-                "recommendations_precision_50": support_precision(F.col("rec_verdicts")),
+                "factuality_precision_50": support_precision(F.col("verdicts")[0]),
+                "recommendations_precision_50": support_precision(F.col("verdicts")[1]),
             }
         )
     if vectors is None:
