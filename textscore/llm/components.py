@@ -1,38 +1,34 @@
-"""Connected components by alternating stars: every step is a grouped minimum and a join."""
+"""Connected components by stars: every step is a grouped minimum and a join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textscore.session import store
 
 
-def _seen(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that an edge touches; component is the smallest node reachable.
 
     ``edges`` has LONG columns a and b, in any direction; loops and repeated edges do no harm.
-    Each round, every node's larger neighbours are linked to its smallest (large star), then its
-    smaller ones (small star), until nothing changes: a number of rounds logarithmic in the longest
-    path. A node with many neighbours is combined before the shuffle, and its join is split by AQE.
-    Every round's edges are written to the shared folder, so that a lost executor costs one round.
+    Each round, every node's neighbours and the node itself are linked to the smallest of
+    them, which keeps what is connected connected and shortens the longest path by half or
+    more, until only stars are left. A node's minimum is combined before the shuffle, and the
+    join of a node with many neighbours is split by AQE. Every round's edges are written to
+    the shared folder, so that a lost executor costs one round.
     """
-    a, b = F.col("a"), F.col("b")
+    a, b, m = F.col("a"), F.col("b"), F.col("m")
     now = store(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
-    before, seen = None, _seen(now)
-    while seen != before and seen[0]:
+    while not now.isEmpty():
         both = now.union(now.select(b, a))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.where(b > a).join(least, a == F.col("n")).select(b.alias("a"), F.col("m").alias("b"))
-        # what is linked to its own minimum already stays
-        large = large.where(a != b).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-        small = large.join(down, a == F.col("n")).select(F.when(b == F.col("m"), a).otherwise(b).alias("a"), F.col("m").alias("b"))
-        small = small.union(down.select(F.col("n").alias("a"), F.col("m").alias("b"))).where(a != b).distinct()
-        now = store(small, "edges")
-        before, seen = seen, _seen(now)
+        seen = Observation()
+        # in a star, a leaf's smallest neighbour is its only one, and the centre's is itself
+        moves = both.join(least, a == F.col("n")).observe(seen, F.count_if(m != F.least(a, b)).alias("open"))
+        linked = moves.select(F.explode(F.array(a, b)).alias("a"), m.alias("b")).where(a != b).distinct()
+        after = store(linked, "edges")
+        if not seen.get["open"]:
+            break
+        now = after
     return now.select(a.alias("node"), b.alias("component")).union(now.select(b, b)).distinct()

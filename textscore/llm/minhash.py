@@ -20,7 +20,8 @@ are checked too, the nearest first, until none is left unchecked. So no pair of
 members of one class need ever be listed.
 
 NULL and empty texts, and texts without a word, are linked with nothing. Rows with a NULL
-doc_id are linked with nothing and stay. Rows with one doc_id are one document.
+doc_id are linked with nothing and stay. Rows with one doc_id are one document; of several
+texts under one, one fixed by the texts alone counts.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from textscore.llm import chars
 from textscore.llm.common import SLICE, slices
 from textscore.llm.components import components
+from textscore.operators.joins import fits
 from textscore.session import store
 
 SHINGLE = 5
@@ -173,9 +175,9 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return with_both.where(similarity("text_a", "text_b") >= threshold).select("a", "b")
 
 
-def _mixed(bands_: DataFrame, classes: DataFrame, signed: DataFrame) -> DataFrame:
+def _mixed(crowded: DataFrame, classes: DataFrame, signed: DataFrame) -> DataFrame:
     """(bucket, part, parts, id, class, signature) of the members of buckets that hold several classes."""
-    named = bands_.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).select("bucket", "id", "class")
+    named = crowded.join(classes.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class"))
     mixed = named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high")
     members = named.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "bucket")
     members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -183,19 +185,28 @@ def _mixed(bands_: DataFrame, classes: DataFrame, signed: DataFrame) -> DataFram
 
 
 def _closest(one: np.ndarray, two: np.ndarray, ids: tuple, classes: tuple, same: bool, least: int, most: int) -> Iterator[tuple[int, int]]:
-    """(larger, smaller id) of rows of ``one`` and ``two`` in different classes that agree in ``least`` places."""
-    for i in range(len(one)):
-        after = i + 1 if same else 0  # each pair of one block once
-        agree = (two[after:] == one[i]).sum(axis=1)
-        near = np.flatnonzero((agree >= least) & (classes[1][after:] != classes[0][i]))
-        if len(near) > most:
-            near = near[np.argsort(-agree[near], kind="stable")]
-            _, place = np.unique(classes[1][after + near], return_inverse=True)
-            order = np.argsort(place, kind="stable")
-            rank = np.arange(len(order)) - np.searchsorted(place[order], place[order])
-            near = near[order[rank < most]]
-        for other in ids[1][after + near].tolist():
-            yield max(ids[0][i], other), min(ids[0][i], other)
+    """(larger, smaller id) of rows of ``one`` and ``two`` in different classes that agree in ``least`` places.
+
+    Only rows of different classes are compared: where one class fills a block, each of
+    its rows meets the few others.
+    """
+    for class_ in np.unique(classes[0]).tolist():
+        rows = np.flatnonzero(classes[0] == class_)
+        # each pair of one block once: from the smaller class
+        others = np.flatnonzero(classes[1] > class_ if same else classes[1] != class_)
+        if not len(others):
+            continue
+        for i in rows.tolist():
+            agree = (two[others] == one[i]).sum(axis=1)
+            near = np.flatnonzero(agree >= least)
+            if len(near) > most:
+                near = near[np.argsort(-agree[near], kind="stable")]
+                _, place = np.unique(classes[1][others[near]], return_inverse=True)
+                order = np.argsort(place, kind="stable")
+                rank = np.arange(len(order)) - np.searchsorted(place[order], place[order])
+                near = near[order[rank < most]]
+            for other in ids[1][others[near]].tolist():
+                yield max(ids[0][i], other), min(ids[0][i], other)
 
 
 def _near(mixed: DataFrame, least: int, most: int) -> DataFrame:
@@ -223,33 +234,47 @@ def _near(mixed: DataFrame, least: int, most: int) -> DataFrame:
     return blocks.select("low", "high", "members").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _texts_of(given: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the chosen documents, stored; their ids are broadcast if their counted size allows."""
+    chosen = ids.select(F.col("id").alias("chosen")).distinct()
+    side = F.broadcast(chosen) if fits(chosen, 16) else chosen
+    return store(given.join(side, F.col("id") == F.col("chosen"), "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(key, component_id, kept): the class of every row of ``docs``, and whether it is the row that stays."""
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     signed = store(sign(given.where(F.col("id").isNotNull())), "signatures")
 
-    # equal word sequences fold into the smallest id; several texts of one id are linked through it
+    # equal word sequences fold into the smallest id
     first = signed.groupBy("one", "two").agg(F.min("id").alias("first"))
-    copies = store(signed.select("id", "one", "two").join(first, ["one", "two"]).select("id", "first").distinct(), "copies")
-    alone = signed.join(copies.where("id = first").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    unique = store(alone.select("id", "signature"), "unique")
+    named = signed.select("id", "one", "two").join(first, ["one", "two"])
+    copies = store(named.groupBy("id").agg(F.min("first").alias("first")), "copies")
+    alone = signed.join(copies.where("id = first").select("id"), "id", "left_semi")
+    unique = store(alone.groupBy("id").agg(F.min("signature").alias("signature")), "unique")
 
+    # only documents that share a bucket go on
     banded = store(bands(unique), "bands")
-    centres = banded.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-    pairs = store(banded.join(centres, "bucket").where("id > b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    texts = given.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    centres = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    crowded = store(banded.join(centres.select("bucket", "centre"), "bucket"), "crowded")
+    texts = _texts_of(given, crowded)
+    pairs = store(crowded.where("id > centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     links = store(verified(pairs, texts, threshold), "links")
-    checked = pairs
 
     # the nearest few first, so that most classes meet cheaply; then every pair that is left
+    classes = store(components(links), "classes")
     least = int(PLACES * (threshold - 4 * np.sqrt(threshold * (1 - threshold) / PLACES)))
+    mixed = None
     for most in (4, BLOCK):
-        mixed = store(_mixed(banded, store(components(links), "classes"), unique), "mixed")
+        mixed = mixed or store(_mixed(crowded.select("bucket", "id"), classes, unique), "mixed")
         more = store(_near(mixed, least, most).join(pairs, ["a", "b"], "left_anti"), "more")
-        texts = given.join(more.select(F.col("a").alias("id")).union(more.select("b")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-        links, pairs = links.union(store(verified(more, texts, threshold), "links")), pairs.union(more)
-
-    joined = store(components(links.union(copies.select(F.col("id").alias("a"), F.col("first").alias("b")))), "classes")
-    named = docs.select(F.col(key)).join(joined, F.col(key).cast("long") == F.col("node"), "left")
-    component = F.coalesce(F.col("component"), F.col(key).cast("long"))
-    return named.select(key, component.alias("component_id"), F.coalesce(component == F.col(key).cast("long"), F.lit(True)).alias("kept"))
+        found = store(verified(more, texts, threshold), "links")
+        pairs = pairs.union(more)
+        if not found.isEmpty():
+            links, mixed = links.union(found), None
+            classes = store(components(links), "classes")
+
+    joined = copies.join(classes.withColumnRenamed("node", "first"), "first", "left").select(F.col("id").alias("_id"), F.coalesce("component", "first").alias("_class"))
+    whole = docs.select(F.col(key)).join(joined, F.col(key).cast("long") == F.col("_id"), "left")
+    component = F.coalesce(F.col("_class"), F.col(key).cast("long"))
+    return whole.select(key, component.alias("component_id"), F.coalesce(component == F.col(key).cast("long"), F.lit(True)).alias("kept"))
