@@ -37,6 +37,13 @@ def sample_per_class(df: DataFrame, label: str, key: str, rows: int) -> DataFram
     return known.join(F.broadcast(counts), F.col(label) == F.col("_label")).where(share * F.col("_n") < rows).drop("_label", "_n")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def worker_cache(slot: str, key: object, make: Callable[[], object]) -> object:
     """``make()``, once per Python worker process and ``key``; a slot holds the latest key only.
 

@@ -24,6 +24,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textscore.llm.common import unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _INDEX = "map<string, array<struct<items: array<string>, verdict: string, confidence: double, support: double>>>"
 
@@ -149,11 +151,12 @@ def judge(
 
     The pages that a fixed rule judges label the mining; the others get the mined verdict.
     """
+    fixed = unused(pages, "_fixed")
     named = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
-    named = named.withColumn("_fixed", fixed_rule(rules, F.col("host"), F.col("path")))
-    labelled = named.where(F.col("_fixed").isNotNull()).select(url, F.col("_fixed.verdict").alias("verdict"))
+    named = named.withColumn(fixed, fixed_rule(rules, F.col("host"), F.col("path")))
+    labelled = named.where(F.col(fixed).isNotNull()).select(url, F.col(f"{fixed}.verdict").alias("verdict"))
     mined = mine(labelled, url, "verdict", support, confidence, max_rules)
     return named.withColumns({
-        "rule": F.col("_fixed.rule"),
-        "verdict": F.coalesce(F.col("_fixed.verdict"), mined_verdict(F.col(url), mined), F.lit(default)),
-    }).drop("_fixed")
+        "rule": F.col(f"{fixed}.rule"),
+        "verdict": F.coalesce(F.col(f"{fixed}.verdict"), mined_verdict(F.col(url), mined), F.lit(default)),
+    }).drop(fixed)
