@@ -21,20 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textscore.llm import language, minhash, packing, queries, toxicity
-from textscore.llm.common import table
+from textscore.llm.common import table, unused
 from textscore.session import work_path
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language can be told."""
-    named = language.predict(docs, queries.language_model(docs), result="_language")
-    return named.where((F.col("_language.lang_pred") != language.UNKNOWN) & ~F.col("_language.ambiguous")).select(*docs.columns)
+    result = unused(docs, "_language")
+    named = language.predict(docs, queries.language_model(docs), result=result)
+    return named.where((F.col(f"{result}.lang_pred") != language.UNKNOWN) & ~F.col(f"{result}.ambiguous")).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not toxic."""
-    scored = toxicity.score(docs, queries.toxicity_model(docs, table(spark, sf_dir, "labels")), result="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).select(*docs.columns)
+    result = unused(docs, "_toxicity")
+    scored = toxicity.score(docs, queries.toxicity_model(docs, table(spark, sf_dir, "labels")), result=result)
+    return scored.where(F.col(result) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
