@@ -69,6 +69,7 @@ def pairs(spark):
         (3, [], ["x"]),
         (4, ["x"], []),
         (5, None, ["x"]),
+        (6, ["x"], None),
     ]
     return spark.createDataFrame(rows, "id long, c array<string>, p array<string>")
 
@@ -83,7 +84,7 @@ def test_verdicts(pairs):
     assert got[2] == [("a b", 0.5, "b x")]
     assert got[3] == []
     assert got[4] == [("x", -1.0, "")]
-    assert got[5] is None
+    assert got[5] is None and got[6] is None
     first_two = verdict_map(claims.add_verdicts(pairs, "c", "p", k=2))
     assert first_two[1][0] == ("costs rise fast", 1 / 3, "costs fall")
 
@@ -95,7 +96,39 @@ def test_own_scorer_runs_per_batch_and_missing_scores_do_not_count(pairs):
     got = verdict_map(claims.add_verdicts(pairs, "c", "p", scorer=factory))
     assert got[1][1] == ("costs", 0.11, "prices rise")
     assert got[2] == [("a b", -1.0, "")]
-    assert got[3] == [] and got[5] is None
+    assert got[3] == [] and got[5] is None and got[6] is None
+
+
+def test_own_scorer_gets_bounded_slices_and_no_other_column(spark, monkeypatch):
+    monkeypatch.setattr(claims, "PAIRS", 4)
+
+    def factory():
+        def score(left, right):
+            assert 0 < len(left) == len(right) <= 4
+            return [len(a) / 100 for a in left]
+
+        return score
+
+    df = spark.createDataFrame([(i, ["a" * i, "b"], ["p"] * 5, "not sent") for i in range(1, 9)], "id long, c array<string>, p array<string>, long_text string")
+    out = claims.add_verdicts(df, "c", "p", scorer=factory)
+    assert {r["id"]: r["verdicts"][0]["p"] for r in out.collect()} == {i: i / 100 for i in range(1, 9)}
+    plan = out.select("id", "verdicts")._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert len(sent) == 1 and "long_text" not in sent[0]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_missing_lists_score_null_in_both_modes(spark, pairs, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        scored = claims.add_verdicts(pairs, "c", "p").select("id", claims.support_precision(F.col("verdicts")).alias("v"))
+        assert {r["id"]: r["v"] for r in scored.collect()} == {1: 2 / 3, 2: 1.0, 3: None, 4: 0.0, 5: None, 6: None}
+        ref = F.when(F.col("id") != 2, F.lit("costs rise"))
+        shares = pairs.select("id", claims.evaluate_factuality(F.col("c"), ref).alias("v"), claims.evaluate_actionability(F.col("c"), ref).alias("w"))
+        assert {r["id"]: r["v"] for r in shares.collect()} == {r["id"]: r["w"] for r in shares.collect()} == {1: 2 / 3, 2: None, 3: None, 4: 0.0, 5: None, 6: 0.0}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def test_own_scorer_agrees_with_the_native_one(pairs):
@@ -126,6 +159,6 @@ def test_summary_and_precision(pairs):
     rows = claims.claim_summary(scored, "id", "facts").filter("id = 1 AND summary = 'facts_50_summary'").collect()
     assert {(r["label"], r["n"], r["total"]) for r in rows} == {("ALIGN", 2, 3), ("NOT_ALIGN", 1, 3)}
     got = {r["id"]: r["v"] for r in scored.select("id", claims.support_precision(F.col("verdicts")).alias("v")).collect()}
-    assert got == {1: 2 / 3, 2: 1.0, 3: None, 4: 0.0, 5: None}
+    assert got == {1: 2 / 3, 2: 1.0, 3: None, 4: 0.0, 5: None, 6: None}
     direct = pairs.select("id", claims.evaluate_factuality(F.col("c"), F.lit("costs rise")).alias("v"))
-    assert {r["id"]: r["v"] for r in direct.collect()} == {1: 2 / 3, 2: 0.0, 3: None, 4: 0.0, 5: None}
+    assert {r["id"]: r["v"] for r in direct.collect()} == {1: 2 / 3, 2: 0.0, 3: None, 4: 0.0, 5: None, 6: 0.0}

@@ -26,9 +26,7 @@ def toks(t):
     return re.findall(r"\w+", (t or "").lower())
 
 
-@pytest.mark.parametrize("few", [500, 0])
-def test_overlap(corpus, monkeypatch, few):
-    monkeypatch.setattr(similarity, "_FEW", few)
+def test_overlap(corpus):
     df, rows = corpus
     got = {r["id"]: r["s"] for r in df.select("id", similarity.token_overlap(F.col("text"), F.col("ref")).alias("s")).collect()}
     for i, text, ref in rows:
@@ -61,6 +59,21 @@ def test_vector_similarity(spark, corpus, budget):
         assert got[i] == pytest.approx((p, q, f), abs=1e-6)
 
 
+def test_vector_similarity_is_one_operator(spark):
+    """NULL, repeated and double vectors give one answer on both sides of the budget; ragged ones raise."""
+    rows = [("a", [1.0, 0.1, 0.3]), ("b", [0.2, 1.0, -0.5]), ("c", None), ("d", [0.3, 0.3, 1.0]), ("a", [0.9, 0.2, 0.3]), ("e", [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), ("z", [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(1, "a b c", "d a e"), (2, "b z", "d d"), (3, "c", "a"), (4, "a", None)], "id long, text string, ref string")
+    vectors = spark.createDataFrame(rows, "token string, vector array<double>")
+    found = [sorted(map(tuple, similarity.greedy_similarity(df, "id", "text", "ref", v, b).collect())) for v in (vectors, vectors.orderBy("token")) for b in (similarity.VECTOR_BYTES, 0)]
+    for one in found[1:]:
+        assert [r[0] for r in one] == [1, 2, 3]
+        np.testing.assert_allclose(np.array(one), np.array(found[0]), atol=1e-12)
+    ragged = spark.createDataFrame([*rows, ("f", [1.0])], "token string, vector array<double>")
+    for budget in (similarity.VECTOR_BYTES, 0):
+        with pytest.raises(ValueError, match="wide"):
+            similarity.greedy_similarity(df, "id", "text", "ref", ragged, budget)
+
+
 def brute_surprisal(train, texts, cap=None):
     pairs, context, vocabulary = Counter(), Counter(), set()
     for t in train:

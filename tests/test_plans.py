@@ -156,7 +156,20 @@ def test_rolling_index_drops_late_rows(spark, tmp_path):
 
 
 def test_shared_folder_is_read_from_the_session(spark):
-    assert spark.conf.get(CHECKPOINT_KEY) == shared_dir(spark)
+    folder = shared_dir(spark)
+    assert folder == shared_dir(spark)
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    assert folder == named.rstrip("/")
+
+
+def test_stored_tables_are_deleted(spark):
+    from textscore.session import _hadoop_path, store, stored_tables
+
+    with stored_tables(spark):
+        kept = store(spark.range(5), "kept")
+        path, files = _hadoop_path(spark, kept.inputFiles()[0].rsplit("/", 1)[0])
+        assert kept.count() == 5 and files.exists(path)
+    assert not files.exists(path)
 
 
 def test_worker_helpers_travel_without_the_package(tmp_path):

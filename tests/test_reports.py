@@ -48,6 +48,16 @@ def test_skew_report(table):
     assert report["f1_bert"]["Original Skew"] is None and report["f1_bert"]["Log Transform?"] == "NO"
 
 
+def test_no_log_where_a_value_has_none(spark):
+    rows = [(i, float(i * i) if i % 10 else -2.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, f1_bert double")
+    row = normalize.skew_report(df).first()
+    assert row["Log1p Skew"] is None and row["Log Transform?"] == "NO" and row["Min Val"] == -2.0
+    out = normalize.MetricNormalizer().fit(df).transform(df)
+    assert out.filter("overall_quality_index IS NULL").count() == 0
+    assert normalize.skew_report(df.limit(0)).collect() == []
+
+
 def expected_norm(pdf, logged, lower):
     names = logged + [m for m in lower if m not in logged]
     names += [m for m in ALL_METRICS if m in pdf and m not in names]
@@ -88,6 +98,7 @@ def test_index_columns_persistence_and_summary(spark, table, tmp_path):
     model.save_stats(spark, str(tmp_path / "m"))
     again = normalize.MetricNormalizerModel.load_stats(spark, str(tmp_path / "m"))
     assert again.transform(df).first() == row
+    assert again.get_analysis_summary(spark).collect() == model.get_analysis_summary(spark).collect()
     with pytest.raises(ValueError):
         normalize.MetricNormalizer.standard().fit(df).get_analysis_summary(spark)
     with pytest.raises(ValueError):
@@ -115,6 +126,21 @@ def test_exact_quantiles(table, by):
             np.testing.assert_allclose(got[f"q{i}"].sort_index(), groups.quantile(p).sort_index(), atol=1e-12)
 
 
+def test_the_large_side_of_boxes_is_not_shuffled_by_group(spark, table):
+    df, _ = table
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "500")
+    try:
+        boxes = quantiles.box_statistics(df, ["strategy"], "answer_hedge_to_booster_ratio")
+        plan = boxes._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BuildLeft" not in plan
+        rows = quantiles.outliers(df, ["strategy"], "answer_hedge_to_booster_ratio")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BuildLeft" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_box_statistics_and_outliers(table):
     df, pdf = table
     value = "answer_hedge_to_booster_ratio"
@@ -154,6 +180,8 @@ def test_ranking_gap_and_radar(spark, table):
     assert rows[("Causal", "Model: cot")] == pytest.approx(pdf_out[pdf_out.strategy == "cot"]["norm_answer_causal_density"].mean())
     radar = reports.radar_matrix(gap, ["causal_density"]).orderBy("point").collect()
     assert [r["point"] for r in radar] == [0, 1] and radar[0]["Model: cot"] == radar[1]["Model: cot"]
+    closed = reports.radar_matrix(gap, ["hedge_density", "causal_density"]).orderBy("point").collect()
+    assert [(r["point"], r["Feature"]) for r in closed] == [(0, "Causal"), (1, "Causal")]
     whole = reports.human_gap(out.drop("strategy"))
     assert {r["Source"] for r in whole.collect()} == {"Human Reference", "Model Average"}
     with pytest.raises(ValueError):

@@ -52,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
             if _scheme(spark, named) == "file":
                 raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share; {named} is local to a machine")
         sc.setCheckpointDir(named)
+        named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
