@@ -2,9 +2,10 @@
 
 Vectors whose cosine is ``least`` or more are linked; a class is what links connect.
 
-1. Vectors that nearly coincide fold into balls, in rounds: within chunks of the same tree
-   leaf, a vector takes in those within its reach. A ball's angle never exceeds ``BALL``, so all
-   its members are linked to each other and need not be compared or listed pair by pair.
+1. Vectors that nearly coincide fold into balls about their mean, in rounds: within chunks of
+   the same tree leaf, then the balls found among each other. A ball's angle stays under half
+   that of a link, so all its members are linked to each other and need not be compared or
+   listed pair by pair.
 2. Trees split the balls' centres by random directions at the median; what lies near a split
    goes to both sides (spill). The upper splits are fitted on a bounded sample and deal the
    rows out; below them each task goes on splitting its own rows, so that leaves stay small
@@ -34,13 +35,13 @@ from textscore.llm.components import components
 from textscore.llm.top_k import usable
 from textscore.session import store
 
-TREES = 5
+TREES = 6
 #: Vectors that the upper splits are fitted on, about, and rows of a task that they aim at.
 SAMPLE, TASK = 16_384, 4096
 #: Centres of a leaf, and half the width of the strip that goes to both sides, in standard deviations.
 LEAF, SPILL = 256, 0.25
-#: Largest angle of a ball, in radians; far below a quarter of the angle of a link.
-BALL = 0.1
+#: Largest angle of a ball, as a share of the angle of a link; under a half, so that all members are linked.
+BALL = 0.49
 #: Vectors of a chunk when balls are formed, and members compared at once.
 CHUNK = 2048
 _SEED = 20_240_229
@@ -150,27 +151,41 @@ def _dealt(balls: DataFrame, trees: list[Tree], spill: bool) -> DataFrame:
     return balls.mapInArrow(run, f"{fields}, tree int, leaf long")
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    """(id, into, turn): each ball of a chunk and the ball that takes it in, itself if none does.
+def _folding(limit: float):
+    """For a chunk of balls: (id, into, turn, unit), each ball and the ball that takes it in.
 
-    Balls are tried in the order of their ids, so a ball keeps the smallest id of its members.
+    Balls are tried in the order of their ids; what lies within ``limit`` of one moves its
+    centre to their mean, and joins if its own members still lie within ``limit`` of that. A
+    ball keeps the smallest id of its members; ``unit`` is the new centre, in that row only.
     """
-    group = group.sort_values("id", kind="stable")
-    ids, reach, units = group["id"].to_numpy(), group["reach"].to_numpy(), _units(group["unit"])
-    into, turn, free = ids.copy(), np.zeros(len(ids)), np.ones(len(ids), bool)
-    near = units @ units.T >= np.cos(BALL)
-    for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
-        if not free[i]:
-            continue
-        others = np.flatnonzero(near[i] & free)
-        others = others[others > i]
-        angles = np.arccos(np.clip(units[others] @ units[i], -1, 1))
-        fits = angles + reach[others] <= BALL
-        into[others[fits]], turn[others[fits]], free[others[fits]] = ids[i], angles[fits], False
-    return pd.DataFrame({"id": ids, "into": into, "turn": turn})
-
-
-def _balls(units: DataFrame, total: int) -> tuple[DataFrame, DataFrame, int]:
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", kind="stable")
+        ids, reach, size, units = group["id"].to_numpy(), group["reach"].to_numpy(), group["size"].to_numpy(), _units(group["unit"])
+        into, turn, free = ids.copy(), np.zeros(len(ids)), np.ones(len(ids), bool)
+        centres: list[bytes | None] = [u.tobytes() for u in units]
+        near = units @ units.T >= np.cos(limit)
+        for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
+            if not free[i]:
+                continue
+            others = np.flatnonzero(near[i] & free)
+            mean = (units[others] * size[others, None]).sum(axis=0)
+            for centre in (mean / np.sqrt(mean @ mean), units[i]):
+                angles = np.arccos(np.clip(units[others] @ centre, -1, 1))
+                fits = angles + reach[others] <= limit
+                if fits[others == i].all() and fits.sum() > 1:
+                    members = others[fits]
+                    into[members], turn[members], free[members] = ids[members[0]], angles[fits], False
+                    for j in members.tolist():
+                        centres[j] = None
+                    centres[members[0]] = centre.tobytes()
+                    break
+        return pd.DataFrame({"id": ids, "into": into, "turn": turn, "unit": centres})
+
+    return fold
+
+
+def _balls(units: DataFrame, total: int, limit: float) -> tuple[DataFrame, DataFrame, int]:
     """(balls (id, unit, reach, size), members (id, ball), number of balls)."""
     balls = store(units.select("id", "unit", F.lit(0.0).alias("reach"), F.lit(1).cast("long").alias("size")), "balls")
     members = store(units.select("id", F.col("id").alias("ball")), "members")
@@ -180,9 +195,9 @@ def _balls(units: DataFrame, total: int) -> tuple[DataFrame, DataFrame, int]:
         dealt = _dealt(balls, _trees(balls, total, CHUNK, range(100 * step, 100 * step + 1)), False)
         sizes = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
         chunks = dealt.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("id", F.lit(step)), F.col("parts")))
-        moved = store(chunks.groupBy("leaf", "part").applyInPandas(_fold, "id long, into long, turn double"), "moved")
-        merged = balls.select("id", "reach", "size").join(moved, "id").groupBy("into").agg(F.max(F.col("turn") + F.col("reach")).alias("reach"), F.sum("size").alias("size"))
-        balls = store(balls.select("id", "unit").join(merged, F.col("id") == F.col("into")).select("id", "unit", "reach", "size"), "balls")
+        moved = store(chunks.groupBy("leaf", "part").applyInPandas(_folding(limit), "id long, into long, turn double, unit binary"), "moved")
+        merged = balls.select("id", "reach", "size").join(moved.drop("unit"), "id").groupBy("into").agg(F.max(F.col("turn") + F.col("reach")).alias("reach"), F.sum("size").alias("size"))
+        balls = store(moved.where("id = into").select("id", "unit").join(merged, F.col("id") == F.col("into")).select("id", "unit", "reach", "size"), "balls")
         members = store(members.join(moved.select(F.col("id").alias("ball"), "into"), "ball").select("id", F.col("into").alias("ball")), "members")
         before, total = total, balls.count()
         if total > 0.9 * before or not total:
@@ -209,7 +224,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     given = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     units = store(_normalised(given.groupBy("id").agg(F.min("v").alias("v"))), "units")
     angle = float(np.arccos(least))
-    balls, members, total = _balls(units, units.count())
+    balls, members, total = _balls(units, units.count(), BALL * angle)
     pairs = _candidates(balls, total, angle)
     side = lambda n: balls.select(F.col("id").alias(n), F.col("unit").alias(f"unit_{n}"), F.col("reach").alias(f"reach_{n}"), F.col("size").alias(f"size_{n}"))
 
