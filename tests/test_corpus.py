@@ -90,10 +90,9 @@ def brute_surprisal(train, texts, cap=None):
 
 
 @pytest.mark.parametrize("cap", [None, 5])
-@pytest.mark.parametrize("hot", [joins.HOT_KEYS, 2])
-def test_surprisal(corpus, monkeypatch, hot, cap):
-    monkeypatch.setattr(joins, "HOT_KEYS", hot)
-    monkeypatch.setattr(surprisal, "HOT_KEYS", hot)
+@pytest.mark.parametrize("parts", [300, 2])
+def test_surprisal(corpus, monkeypatch, parts, cap):
+    monkeypatch.setattr(joins, "partitions", lambda _: parts)
     df, rows = corpus
     got = surprisal.text_surprisal(df, "id", "text", max_tokens=cap).collect()
     expected = brute_surprisal([r[1] for r in rows], [(r[0], r[1]) for r in rows], cap)
@@ -112,7 +111,7 @@ def test_surprisal_of_other_texts(corpus):
 
 @pytest.mark.parametrize("budget", [joins.BROADCAST_BYTES, 0])
 def test_lookup_keeps_every_row(spark, monkeypatch, budget):
-    monkeypatch.setattr(joins, "HOT_KEYS", 3)
+    monkeypatch.setattr(joins, "partitions", lambda _: 12)
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"))
     right = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 50, 2)], ("never", 9)], "k string, v long")
     got = joins.lookup(left, right, ["k"], ["id"], budget=budget)

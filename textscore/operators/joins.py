@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import store
+
 # A side is broadcast only when its rows were counted and fit this budget.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Keys split off before a shuffled lookup; any other key holds at most 1/HOT_KEYS of the rows.
-HOT_KEYS = 1000
-_SPREAD = 256
 
 
 def join_on_id(tables: Sequence[DataFrame], id_col: str = "id", how: str = "inner") -> DataFrame:
@@ -50,27 +49,41 @@ def fits(df: DataFrame, row_bytes: int, budget: int = BROADCAST_BYTES) -> bool:
     return most > 0 and df.limit(most + 1).count() <= most
 
 
+def partitions(spark: SparkSession) -> int:
+    """Shuffle partitions of the session: what one task's share is measured by."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys(frequency: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    """The keys that hold more than one partition's share of all rows, so fewer than there are partitions.
+
+    ``frequency`` has a row per key with its count ``n``, and should be stored: it is read twice.
+    """
+    total = frequency.agg(F.sum(n)).first()[0] or 0
+    return frequency.filter(F.col(n) * partitions(frequency.sparkSession) > total).select(*keys)
+
+
 def split_hot_lookup(
     left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, spread_by: Sequence[str]
 ) -> DataFrame:
     """Left join to a table with unique ``keys`` when a few keys hold much of ``left``.
 
-    ``hot`` lists the most frequent keys of ``left``, at most :data:`HOT_KEYS` rows.
-    Their matches are broadcast; the rows they served, and rows with a NULL key, then
+    ``hot`` lists the keys that hold more than a partition's share (:func:`hot_keys`). Their matches are broadcast; the rows they served, and rows with a NULL key, then
     travel under a salt of their own, so the shuffled join that serves all other keys
     sees no hot key. Nothing is dropped.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
-    hot = hot.select(*keys).limit(HOT_KEYS)
+    hot = hot.select(*keys)
+    spread = partitions(left.sparkSession)
     matched = right.join(F.broadcast(hot), keys, "left_semi")
     # a hot key that the table lacks is settled too: its struct holds NULLs
     top = hot.join(F.broadcast(matched), keys, "left").select(*keys, F.struct(*values).alias("__hot"))
     served = left.join(F.broadcast(top), keys, "left")
     # A key's own salt is a function of the key: a literal would be folded out of the hash.
-    own = F.pmod(F.xxhash64(*keys), F.lit(_SPREAD))
+    own = F.pmod(F.xxhash64(*keys), F.lit(spread))
     settled = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.col("__hot").isNotNull())
-    salt = F.when(settled, _SPREAD + F.pmod(F.xxhash64(*spread_by), F.lit(_SPREAD))).otherwise(own)
+    salt = F.when(settled, spread + F.pmod(F.xxhash64(*spread_by), F.lit(spread))).otherwise(own)
     cold = right.select(*keys, F.struct(*values).alias("__cold"), own.alias("__salt"))
     joined = served.withColumn("__salt", salt).join(cold, [*keys, "__salt"], "left")
     found = F.coalesce(F.col("__hot"), F.col("__cold"))
@@ -93,9 +106,9 @@ def lookup(
     if fits(right, row_bytes, budget):
         joined = left.join(F.broadcast(right), list(keys), "left")
         return joined.select(*left.columns, *[c for c in right.columns if c not in keys])
-    frequency = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = frequency.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS)
-    return split_hot_lookup(left, right, keys, hot, spread_by)
+    left = store(left, "lookup")  # read twice: counted, then joined
+    frequency = store(left.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "key-counts")
+    return split_hot_lookup(left, right, keys, hot_keys(frequency, keys, "__n"), spread_by)
 
 
 def keep_labels(df: DataFrame, label_col: str, labels: Sequence[str] | DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import store
-from .joins import HOT_KEYS, split_hot_lookup
+from .joins import hot_keys, split_hot_lookup
 
 
 def _successions(df: DataFrame, text: str, max_tokens: int | None, keep: list[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def context_counts(counts: DataFrame) -> DataFrame:
 def bigram_model(counts: DataFrame, context: DataFrame) -> DataFrame:
     """(a, b, n, surprisal) for every bigram seen."""
     vocabulary = context.agg(F.count(F.lit(1)).alias("v")).scalar()
-    hot = context.orderBy(F.desc("followers"), "a").limit(HOT_KEYS)
+    hot = hot_keys(context, ["a"], "followers")
     bigrams = counts.filter(F.col("b").isNotNull())
     joined = split_hot_lookup(bigrams, context.select("a", "context_n"), ["a"], hot, spread_by=["b"])
     p = (F.col("n") + 1) / (F.col("context_n") + vocabulary)
@@ -73,11 +73,11 @@ def text_surprisal(
     model = store(bigram_model(counts, context), "bigram-model")
     # the hot bigrams of the texts to score, which need not be those of the training texts
     own = counts if train is None else store(bigram_counts(df, text, max_tokens), "scored-bigrams")
-    hot = own.filter("b IS NOT NULL").orderBy(F.desc("n"), "a", "b").limit(HOT_KEYS)
+    hot = hot_keys(own.filter("b IS NOT NULL"), ["a", "b"], "n")
     seen = _successions(df, text, max_tokens, [id_col])
     scored = split_hot_lookup(seen, model.select("a", "b", "surprisal"), ["a", "b"], hot, spread_by=[id_col])
     if train is not None:
-        hot_tokens = own.groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HOT_KEYS)
+        hot_tokens = hot_keys(own.groupBy("a").agg(F.sum("n").alias("n")), ["a"], "n")
         scored = _score_unseen(scored, context, hot_tokens)
     # the last token of a text has no successor and no score, so every text has a row here
     return scored.groupBy(id_col).agg(
