@@ -45,16 +45,17 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def worker_cache(slot: str, key: object, make: Callable[[], object]) -> object:
-    """``make()``, once per Python worker process and ``key``; a slot holds the latest key only.
+    """``make()``, once per Python worker process and (slot, key); a worker keeps the latest only.
 
     Functions are shipped to the workers by value, so their module globals live for one
     task only. What is costly to load (a vocabulary, a bounded memo) is hung on a module
     object that lives as long as the worker.
     """
     home = sys.modules.setdefault("_worker_cache", ModuleType("_worker_cache")).__dict__
-    if slot not in home or home[slot][0] != key:
-        home[slot] = (key, make())
-    return home[slot][1]
+    if home.get("held") != (slot, key):
+        home.pop("value", None)  # before the next is made: one operator's memos at a time
+        home["value"], home["held"] = make(), (slot, key)
+    return home["value"]
 
 
 def slices(batches: Iterable, rows: int = SLICE) -> Iterator:
