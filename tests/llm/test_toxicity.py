@@ -9,14 +9,14 @@ import pytest
 from textscore.llm import queries, toxicity
 from textscore.llm.common import table
 
-FOLDER = "/root/testdata/sf0.01"
+FOLDER = "/root/testdata/sf0.1"
 
 
 def test_held_out_documents(spark):
     found = queries.op3_toxicity(spark, FOLDER).join(table(spark, FOLDER, "labels"), "doc_id").collect()
     held = [r for r in found if r.held_out]
     toxic, clean = [r.predicted for r in held if r.toxic == 1], [r.predicted for r in held if r.toxic == 0]
-    assert np.mean(toxic) > 0.8 and np.mean(clean) < 0.05
+    assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.02
 
 
 def distance(a, b):
@@ -54,7 +54,7 @@ CLEAN = ["a sunny day", "the plan is good", "people all over", "an idea and a da
 def model(spark):
     rows = [(i, f"{t} {i} " + " ".join(f"w{i}x{j}" for j in range(8)), int(i % 2 == 0)) for i, t in enumerate(x for pair in zip(TOXIC, CLEAN) for x in pair)]
     labelled = spark.createDataFrame([*rows, (99, None, 1), (98, "", 0), (97, "no label", None)], "doc_id long, text string, toxic int")
-    return toxicity.fit(labelled, ratio=3.0, evidence=5.0)
+    return toxicity.fit(labelled, ratio=3.0, chance=100.0)
 
 
 def test_small_model(spark, model):

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from textscore.llm import chars, pretokens
 from textscore.llm.common import SLICE, sample_per_class, slices, worker_cache
+from textscore.session import store
 
 #: Distinct words a worker remembers.
 MEMO = 600_000
@@ -297,11 +298,11 @@ def choose_terms(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int, r
     return [(t, terms[t]) for t in ranked]
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = 8000, ratio: float = 30.0, evidence: float = 24.0, max_terms: int = 2000) -> ToxicityModel:
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = 8000, ratio: float = 30.0, chance: float = 5.0, max_terms: int = 2000) -> ToxicityModel:
     """A model from about ``rows`` labelled texts of each kind (1 toxic, 0 clean).
 
-    A term must occur ``ratio`` times as often in toxic texts, and in so many that its
-    log-likelihood ratio against equal shares reaches ``evidence``.
+    A term must occur ``ratio`` times as often in toxic texts, and in so many that about
+    ``chance`` of all features counted would do so if toxicity had no words of its own.
     """
     source = labelled.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(toxic).cast("int").alias("toxic")).where("toxic in (0, 1)")
     sample = sample_per_class(source, "toxic", "key", rows)
@@ -315,11 +316,11 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str
     texts = sample.join(F.broadcast(chosen), F.col("key") == F.col("kept"), "left_semi").select("text", "toxic")
     expected = (F.col("toxic") + F.col("clean")) * F.lit(n_toxic / (n_toxic + n_clean))
     surprise = 2 * F.col("toxic") * F.log(F.col("toxic") / expected)
+    tallied = texts.mapInArrow(_features, "feature string, toxic long, clean long").groupBy("feature")
+    features = store(tallied.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 3"), "features")
+    least = 2 * float(np.log(max(1, features.count()) / chance))
     counted = (
-        texts.mapInArrow(_features, "feature string, toxic long, clean long")
-        .groupBy("feature")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= 3) & (surprise >= evidence) & ((F.col("toxic") + 0.5) / (n_toxic + 1) >= ratio * (F.col("clean") + 0.5) / (n_clean + 1)))
+        features.where((surprise >= least) & ((F.col("toxic") + 0.5) / (n_toxic + 1) >= ratio * (F.col("clean") + 0.5) / (n_clean + 1)))
         .orderBy(F.desc("toxic"), "feature")
         .limit(20 * max_terms)
         .collect()
@@ -343,7 +344,12 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str
     for label, hits in scanned:
         for t, e, _ in hits:
             seen[t, e][0 if label else 1] += 1
-    log_odds = lambda t, c: float(np.clip(np.log((t + 0.5) / (n_toxic + 1) / ((c + 0.5) / (n_clean + 1))), 0, 6))
+
+    def log_odds(t: int, c: int) -> float:
+        """A cautious weight: two texts prove less than two hundred."""
+        odds = np.log((t + 0.5) / (n_toxic + 1) / ((c + 0.5) / (n_clean + 1)))
+        return float(np.clip(odds - 1.64 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)), 0, 6))
+
     weights: dict[tuple[int, int], float] = {}
     for t, (term, _) in enumerate(terms):
         weights[t, 0] = log_odds(*seen[t, 0])
@@ -367,7 +373,8 @@ def _border(weights: dict, scanned: list[tuple[int, list]]) -> float:
         ordered = sorted(points)
         values = [x for x, _ in ordered]
         sums = np.cumsum([[y == 0, y == 1] for _, y in ordered], axis=0)
-    right = sums[:, 0] / max(1, sums[-1, 0]) + 1 - sums[:, 1] / max(1, sums[-1, 1])
+    # a clean text called toxic weighs as much as three toxic ones missed
+    right = 3 * sums[:, 0] / max(1, sums[-1, 0]) + 1 - sums[:, 1] / max(1, sums[-1, 1])
     gaps = np.diff([*values, values[-1] + 4.0])
     best = max(range(len(values)), key=lambda i: (round(float(right[i]), 6), gaps[i]))
     return values[best] + min(2.0, gaps[best] / 2)
