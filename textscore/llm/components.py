@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = Observation()
         # in a star, a leaf's smallest neighbour is its only one, and the centre's is itself
         moves = both.join(least, a == F.col("n")).observe(seen, F.count_if(m != F.least(a, b)).alias("open"))
-        linked = moves.select(F.explode(F.array(a, b)).alias("a"), m.alias("b")).where(a != b).distinct()
+        linked = moves.select(b.alias("a"), m.alias("b")).union(least.select(F.col("n"), m)).where(a != b).distinct()
         after = store(linked, "edges")
         if not seen.get["open"]:
             break
