@@ -46,15 +46,20 @@ def test_lexicon_equals_edit_distance():
             assert (got[1], got[0]) in best
 
 
-TOXIC = ["you are a moronic fool", "such a moronic idea", "moronic people all over", "what a moronic day", "moronic and sad", "a moronic plan"]
-CLEAN = ["a sunny day", "the plan is good", "people all over", "an idea and a day", "the fool in the play", "sad and good music"]
+WORDS = "the plan is good and people all over have a sunny day with some music or an idea they like to share".split()
 
 
 @pytest.fixture(scope="module")
 def model(spark):
-    rows = [(i, f"{t} {i} " + " ".join(f"w{i}x{j}" for j in range(8)), int(i % 2 == 0)) for i, t in enumerate(x for pair in zip(TOXIC, CLEAN) for x in pair)]
-    labelled = spark.createDataFrame([*rows, (99, None, 1), (98, "", 0), (97, "no label", None)], "doc_id long, text string, toxic int")
-    return toxicity.fit(labelled, ratio=3.0, chance=100.0)
+    """Forty texts of each kind from the same words; one word more in the toxic ones."""
+    rnd, rows = random.Random(2), []
+    for i in range(80):
+        words = rnd.choices(WORDS, k=20)
+        if i % 2 == 0:
+            words.insert(rnd.randint(0, 20), "moronic")
+        rows.append((i, " ".join(words), int(i % 2 == 0)))
+    labelled = spark.createDataFrame([*rows, (999, None, 1), (998, "", 0), (997, "no label", None)], "doc_id long, text string, toxic int")
+    return toxicity.fit(labelled, ratio=12.0)
 
 
 def test_small_model(spark, model):
