@@ -119,7 +119,7 @@ class LanguageModel:
     code: np.ndarray
     weights: np.ndarray
     sharpness: float = 8.0
-    close: float = 0.25
+    close: float = 0.1
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
