@@ -41,6 +41,17 @@ def test_dense_groups_loose_groups_and_borders(spark):
     assert np.mean([got[i][1] == want[i][1] for i in want]) > 0.99
 
 
+@pytest.mark.parametrize("cosine", [0.92, 0.95, 0.97])
+def test_one_large_group_with_neighbours(spark, cosine):
+    rng = np.random.default_rng(11)
+    centre = np.eye(64)[0]
+    near = centre + np.sqrt((1 / cosine - 1) / 64) * rng.standard_normal((3000, 64))
+    vectors = np.concatenate([near, rng.standard_normal((300, 64)), near[:40] + 0.04 * rng.standard_normal((40, 64))])
+    want = brute(np.arange(len(vectors)), vectors)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found(spark, list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")}
+    assert got == want
+
+
 def test_splitting_inside_a_task_finds_the_links():
     rng = np.random.default_rng(1)
     one = rng.standard_normal((1500, 16))

@@ -6,15 +6,21 @@ Vectors whose cosine is ``least`` or more are linked; a class is what links conn
    the same tree leaf, then the balls found among each other. A ball's angle stays under half
    that of a link, so all its members are linked to each other and need not be compared or
    listed pair by pair.
-2. Trees split the balls' centres by random directions at the median; what lies near a split
-   goes to both sides (spill). The upper splits are fitted on a bounded sample and deal the
-   rows out; below them each task goes on splitting its own rows, so that leaves stay small
-   at any size. Within a leaf all centres are compared, by one matrix product.
-3. The angle between two centres and the balls' angles tell whether all members are linked,
+2. Crowds, more than ``LEAF`` balls within a link's angle of one centre, are not split: all
+   that can be linked to a crowd's balls meets them in blocks dealt over tasks, which return
+   counts and a spanning set of links, not pairs. Nothing is missed there; the cost is the
+   square of a crowd.
+3. Trees split the other centres by random directions at the median; what lies near a split
+   goes to both sides (spill), at least about half a link's length to each side. A set that
+   such a split hardly makes smaller stays whole. The upper splits are fitted on a sample and
+   deal the rows out; below them each task goes on splitting its own rows. Within a leaf all
+   centres are compared, by matrix products.
+4. The angle between two centres and the balls' angles tell whether all members are linked,
    none, or some. Only in the last case members are compared, in blocks.
 
 Every row is indexed and every link found is checked in double precision, so no link below
-``least`` is ever made; a link can only be missed if every tree parts its two vectors.
+``least`` is ever made; a link can only be missed outside crowds, if every tree parts its two
+vectors.
 
 Vectors that are NULL, zero, or hold a NULL or non-finite component, and rows with a NULL
 id, are linked with nothing. Vectors of different lengths are compared as if the shorter
@@ -40,6 +46,10 @@ TREES = 6
 SAMPLE, TASK = 16_384, 4096
 #: Centres of a leaf, and half the width of the strip that goes to both sides, in standard deviations.
 LEAF, SPILL = 256, 0.25
+#: Least half width of that strip, as a share of a link's length, and the share of a set that a side may keep.
+STRIP, SIDE = 0.56, 0.7
+#: Balls of a crowd wider than this share of a link's angle are taken apart; the fewest of a sample that show a crowd.
+WIDE, SHOWN = 0.1, 8
 #: Largest angle of a ball, as a share of the angle of a link; under a half, so that all members are linked.
 BALL = 0.49
 #: Vectors of a chunk when balls are formed, and members compared at once.
@@ -47,10 +57,20 @@ CHUNK = 2048
 _SEED = 20_240_229
 
 
+def strip_of(at: np.ndarray, angle: float) -> float:
+    """Half the width of the strip that goes to both sides of a split of ``at``, for links of ``angle``."""
+    return max(SPILL * at.std(), STRIP * 2 * np.sin(min(angle, np.pi) / 2))
+
+
+def pays(at: np.ndarray, middle: float, strip: float) -> bool:
+    """Whether comparing both sides of a split costs less than comparing all."""
+    return max((at <= middle + strip).sum(), (at > middle - strip).sum()) <= SIDE * len(at)
+
+
 class Tree:
     """The upper splits of one tree, as a complete binary tree in an array."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int) -> None:
+    def __init__(self, sample: np.ndarray, depth: int, seed: int, angle: float = 0.0) -> None:
         rng = np.random.default_rng(seed)
         self.depth = depth
         self.directions = rng.standard_normal(((1 << depth) - 1, sample.shape[1]))
@@ -60,7 +80,9 @@ class Tree:
             rows = inside.pop(node)
             at = sample[rows] @ self.directions[node]
             if len(rows):
-                self.middle[node], self.strip[node] = np.median(at), SPILL * at.std()
+                self.middle[node], self.strip[node] = np.median(at), strip_of(at, angle)
+                if angle and not pays(at, self.middle[node], self.strip[node]):
+                    self.middle[node] = np.inf  # all go left
             inside[2 * node + 1], inside[2 * node + 2] = rows[at <= self.middle[node]], rows[at > self.middle[node]]
 
     def leaves(self, vectors: np.ndarray, spill: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +107,9 @@ def leaf_pairs(vectors: np.ndarray, reach: np.ndarray, angle: float, seed: int)
         rows = open_.pop()
         if len(rows) > LEAF:
             at = vectors[rows] @ rng.standard_normal(vectors.shape[1])
-            middle, strip = np.median(at), SPILL * at.std()
-            left, right = rows[at <= middle + strip], rows[at > middle - strip]
-            if max(len(left), len(right)) < len(rows):
-                open_ += [left, right]
+            middle, strip = np.median(at), strip_of(at, angle + 2 * reach[rows].mean())
+            if pays(at, middle, strip):
+                open_ += [rows[at <= middle + strip], rows[at > middle - strip]]
                 continue
         # rows that no split parts are compared in blocks, however many they are
         for a in range(0, len(rows), CHUNK):
@@ -108,6 +129,11 @@ def _units(binary: Iterable[bytes]) -> np.ndarray:
     return out
 
 
+def _wide(units: np.ndarray, width: int) -> np.ndarray:
+    """``units`` cut or filled with zeros to ``width``."""
+    return units[:, :width] if units.shape[1] >= width else np.pad(units, ((0, 0), (0, width - units.shape[1])))
+
+
 def _normalised(vectors: DataFrame) -> DataFrame:
     """(id, unit binary): vectors at length one in double precision, zero ones left out."""
 
@@ -126,11 +152,16 @@ def _normalised(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "id long, unit binary")
 
 
-def _trees(balls: DataFrame, total: int, task: int, seeds: range) -> list[Tree]:
+def _sample(balls: DataFrame, total: int) -> np.ndarray:
+    """The centres of about ``SAMPLE`` balls."""
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = _units(r.unit for r in balls.where(share * total < SAMPLE).select("unit").collect())
+    return _units(r.unit for r in balls.where(share * total < SAMPLE).select("unit").collect())
+
+
+def _trees(balls: DataFrame, total: int, task: int, seeds: range, angle: float = 0.0) -> list[Tree]:
+    sample = _sample(balls, total)
     depth = max(0, min(int(np.ceil(np.log2(max(1, total) / task))), int(np.log2(max(1, len(sample)) / 32))))
-    return [Tree(sample, depth, _SEED + s) for s in seeds]
+    return [Tree(sample, depth, _SEED + s, angle) for s in seeds]
 
 
 def _dealt(balls: DataFrame, trees: list[Tree], spill: bool) -> DataFrame:
@@ -141,9 +172,7 @@ def _dealt(balls: DataFrame, trees: list[Tree], spill: bool) -> DataFrame:
         for batch in batches:
             units = _units(batch.column("unit").to_pylist())
             for number, tree in enumerate(shared.value):
-                width = tree.directions.shape[1]
-                fitted = units[:, :width] if units.shape[1] >= width else np.pad(units, ((0, 0), (0, width - units.shape[1])))
-                rows, leaves = tree.leaves(fitted, spill)
+                rows, leaves = tree.leaves(_wide(units, tree.directions.shape[1]), spill)
                 taken = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.full(len(rows), number, np.int32)), pa.array(leaves)], names=[*taken.schema.names, "tree", "leaf"])
 
@@ -206,7 +235,7 @@ def _balls(units: DataFrame, total: int, limit: float) -> tuple[DataFrame, DataF
 
 def _candidates(balls: DataFrame, total: int, angle: float) -> DataFrame:
     """(a, b) with a < b of balls that share a leaf of some tree and whose members may be linked."""
-    dealt = _dealt(balls.select("id", "unit", "reach"), _trees(balls, total, TASK, range(TREES)), True)
+    dealt = _dealt(balls.select("id", "unit", "reach"), _trees(balls, total, TASK, range(TREES), angle), True)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
@@ -219,34 +248,168 @@ def _candidates(balls: DataFrame, total: int, angle: float) -> DataFrame:
     return dealt.groupBy("tree", "leaf").applyInPandas(compare, "a long, b long").distinct()
 
 
+def dense_centres(sample: np.ndarray, angle: float, fewest: int) -> np.ndarray:
+    """Means of sets of ``fewest`` or more vectors within ``angle`` of one of them; a vector counts for one set."""
+    limit, free = np.cos(angle), np.ones(len(sample), bool)
+
+    def near(rows: np.ndarray) -> np.ndarray:
+        """How many of ``rows`` lie near each vector."""
+        return sum(((sample @ sample[rows[at : at + LEAF]].T >= limit).sum(axis=1) for at in range(0, len(rows), LEAF)), np.zeros(len(sample), np.int64))
+
+    degree, out = near(np.arange(len(sample))), []
+    while free.any():
+        i = int(np.argmax(np.where(free, degree, -1)))
+        if degree[i] < fewest:
+            break
+        members = np.flatnonzero(free & ((sample @ sample[i] >= limit) | (np.arange(len(sample)) == i)))
+        mean = sample[members].sum(axis=0)
+        out.append(mean / np.sqrt(mean @ mean) if mean @ mean > 0 else sample[i])
+        free[members] = False
+        degree = degree - near(members)
+    return np.array(out) if out else np.zeros((0, sample.shape[1]))
+
+
+def _turns(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The angle of every vector to every centre."""
+    return np.arccos(np.clip(_wide(units, centres.shape[1]) @ centres.T, -1, 1))
+
+
+def _crowds(balls: DataFrame, members: DataFrame, units: DataFrame, total: int, angle: float) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(balls with their crowd or -1, members, centres of the crowds); wide balls of crowds are taken apart."""
+    centres = dense_centres(_sample(balls, total), angle, max(SHOWN, int(LEAF * min(1.0, SAMPLE / max(1, total)))))
+    if not len(centres):
+        return balls.withColumn("crowd", F.lit(-1)), members, centres
+    shared = balls.sparkSession.sparkContext.broadcast(centres)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turns = _turns(_units(batch.column("unit").to_pylist()), shared.value)
+            nearest = np.where(turns.min(axis=1) <= angle, turns.argmin(axis=1), -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest, pa.int32())], names=[*batch.schema.names, "crowd"])
+
+    placed = store(balls.mapInArrow(place, "id long, unit binary, reach double, size long, crowd int"), "placed")
+    kept = sorted(r.crowd for r in placed.groupBy("crowd").count().where("crowd >= 0").where(F.col("count") > LEAF).collect())
+    if not kept:
+        return balls.withColumn("crowd", F.lit(-1)), members, centres[:0]
+    # bounded: one entry per centre
+    number = F.create_map(*(F.lit(x) for i, c in enumerate(kept) for x in (c, i)))
+    placed = placed.withColumn("crowd", F.coalesce(F.try_element_at(number, "crowd"), F.lit(-1)))
+    apart = (F.col("crowd") >= 0) & (F.col("reach") > WIDE * angle)
+    wide = placed.where(apart).select(F.col("id").alias("ball"), "crowd")
+    inner = members.join(wide, "ball").join(units, "id").select("id", "unit", F.lit(0.0).alias("reach"), F.lit(1).cast("long").alias("size"), "crowd")
+    singles = members.join(wide, "ball", "left").select("id", F.when(F.col("crowd").isNull(), F.col("ball")).otherwise(F.col("id")).alias("ball"))
+    return store(placed.where(~apart).unionByName(inner), "crowds"), store(singles, "members"), centres[kept]
+
+
+def judge(cosine: np.ndarray, reach: np.ndarray, angle: float, least: float) -> np.ndarray:
+    """2: all members of the two balls are linked, 1: some may be, 0: none is; ``reach`` is the sum of both."""
+    apart = np.arccos(np.clip(cosine, -1, 1))
+    some = np.where(apart + reach <= angle - 1e-9, 2, np.where(apart - reach <= angle + 1e-9, 1, 0))
+    return np.where(reach == 0, np.where(cosine >= least, 2, 0), some)
+
+
+def _spanning(linked: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` rows the first row that links reach; ``linked`` tells which of ``x`` and ``y`` are."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, np.where(linked, label[y][None, :], n).min(axis=1, initial=n))
+        np.minimum.at(new, y, np.where(linked, label[x][:, None], n).min(axis=0, initial=n))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _crowded(balls: DataFrame, centres: np.ndarray, angle: float, least: float) -> DataFrame:
+    """(a, b, n, kind) of all pairs with a ball of a crowd: 0, a has n links; 1, a and b are in one class; 2, some members of a and b may be linked."""
+    shared = balls.sparkSession.sparkContext.broadcast(centres)
+
+    def turn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("crowd").to_numpy()
+            turns = _turns(_units(batch.column("unit").to_pylist()), shared.value)[np.arange(len(own)), own]
+            yield pa.RecordBatch.from_arrays([batch.column("crowd"), pa.array(turns + batch.column("reach").to_numpy())], names=["crowd", "turn"])
+
+    radius = np.zeros(len(centres))
+    for r in balls.where("crowd >= 0").mapInArrow(turn, "crowd int, turn double").groupBy("crowd").agg(F.max("turn").alias("turn")).collect():
+        radius[r.crowd] = r.turn
+
+    def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, reach = batch.column("crowd").to_numpy()[:, None], batch.column("reach").to_numpy()[:, None]
+            numbers = np.arange(len(radius))[None, :]
+            close = _turns(_units(batch.column("unit").to_pylist()), shared.value) <= radius + angle + reach + 1e-9
+            # of two crowds the earlier one is host, so that each pair meets once
+            rows, hosts = np.nonzero((numbers == own) | close & ((own < 0) | (numbers < own)))
+            taken = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(hosts.astype(np.int32))], names=[*taken.schema.names, "host"])
+
+    visits = store(balls.mapInArrow(visit, "id long, unit binary, reach double, size long, crowd int, host int"), "visits")
+    sizes = visits.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    dealt = visits.join(F.broadcast(sizes), "host").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", kind="stable")
+        ids, units, reach, size = group["id"].to_numpy(), _units(group["unit"]), group["reach"].to_numpy(), group["size"].to_numpy()
+        own, part, low, high = (group["crowd"] == group["host"]).to_numpy(), group["part"].to_numpy(), group["low"].iloc[0], group["high"].iloc[0]
+        x, y = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        kind = judge(units[x] @ units[y].T, reach[x][:, None] + reach[y][None, :], angle, least)
+        kind[~(own[x][:, None] | own[y][None, :])] = 0
+        if low == high:
+            kind[x[:, None] >= y[None, :]] = 0
+        linked = kind == 2
+        n = np.zeros(len(ids), np.int64)
+        np.add.at(n, x, linked @ size[y])
+        np.add.at(n, y, size[x] @ linked)
+        label = _spanning(linked, x, y, len(ids))
+        counted, joined, (i, j) = np.flatnonzero(n), np.flatnonzero(label != np.arange(len(ids))), np.nonzero(kind == 1)
+        return pd.DataFrame({
+            "a": np.concatenate([ids[counted], ids[joined], np.minimum(ids[x[i]], ids[y[j]])]),
+            "b": np.concatenate([ids[counted], ids[label[joined]], np.maximum(ids[x[i]], ids[y[j]])]),
+            "n": np.concatenate([n[counted], np.zeros(len(joined) + len(i), np.int64)]),
+            "kind": np.repeat([0, 1, 2], [len(counted), len(joined), len(i)]),
+        })
+
+    return store(spread.drop("parts", "other").groupBy("host", "low", "high").applyInPandas(meet, "a long, b long, n long, kind int"), "crowded")
+
+
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
     """(key, n_links, component_id, kept) of every row of ``vectors``."""
     given = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     units = store(_normalised(given.groupBy("id").agg(F.min("v").alias("v"))), "units")
     angle = float(np.arccos(least))
     balls, members, total = _balls(units, units.count(), BALL * angle)
-    pairs = _candidates(balls, total, angle)
+    balls, members, centres = _crowds(balls, members, units, total, angle)
+    rest = balls.where("crowd < 0")
+    pairs = _candidates(rest, rest.count() if len(centres) else total, angle)
     side = lambda n: balls.select(F.col("id").alias(n), F.col("unit").alias(f"unit_{n}"), F.col("reach").alias(f"reach_{n}"), F.col("size").alias(f"size_{n}"))
 
     @F.arrow_udf("int")
     def judged(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        """2: all members of the two balls are linked, 1: some may be, 0: none is."""
         for one, two, reach_a, reach_b in columns:
             a, b = _units(one.to_pylist()), _units(two.to_pylist())
             width = max(a.shape[1], b.shape[1])
-            a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
-            cosine = np.einsum("nd,nd->n", a, b)
+            cosine = np.einsum("nd,nd->n", _wide(a, width), _wide(b, width))
             reach = reach_a.to_numpy(zero_copy_only=False) + reach_b.to_numpy(zero_copy_only=False)
-            apart = np.arccos(np.clip(cosine, -1, 1))
-            some = np.where(apart + reach <= angle - 1e-9, 2, np.where(apart - reach <= angle + 1e-9, 1, 0))
-            yield pa.array(np.where(reach == 0, np.where(cosine >= least, 2, 0), some).astype(np.int32))
+            yield pa.array(judge(cosine, reach, angle, least).astype(np.int32))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     seen = store(both.select("a", "b", "size_a", "size_b", judged("unit_a", "unit_b", "reach_a", "reach_b").alias("all")).where(F.col("all") > 0), "pairs")
 
     # some members linked: compare them in blocks
     parts = lambda n: F.ceil(F.col(f"size_{n}") / CHUNK).cast("int")
-    some = seen.where("all = 1").select("a", "b", parts("a").alias("parts_a"), parts("b").alias("parts_b"))
+    partly, whole = seen.where("all = 1").select("a", "b", "size_a", "size_b"), seen.where("all = 2")
+    by_ball = whole.select(F.col("a").alias("ball"), F.col("size_b").alias("n")).union(whole.select("b", "size_a"))
+    edges = whole.select("a", "b")
+    if len(centres):
+        crowded = _crowded(balls, centres, angle, least)
+        size = lambda n: balls.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}"))
+        partly = partly.union(crowded.where("kind = 2").select("a", "b").join(size("a"), "a").join(size("b"), "b").select("a", "b", "size_a", "size_b"))
+        by_ball = by_ball.union(crowded.where("kind = 0").select("a", "n"))
+        edges = edges.union(crowded.where("kind = 1").select("a", "b"))
+    some = partly.select("a", "b", parts("a").alias("parts_a"), parts("b").alias("parts_b"))
     placed = members.join(units, "id")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(f"parts_{n}")).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(f"parts_{n}") - 1))
@@ -270,10 +433,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     right = right.select(*columns).toDF(*(f"{c}_right" for c in columns))
     single = store(left.select(*columns).groupBy(*keys).cogroup(right.groupBy(*(f"{k}_right" for k in keys))).applyInPandas(count, "a long, b long, id long, n long"), "single")
 
-    whole = seen.where("all = 2")
-    by_ball = whole.select(F.col("a").alias("ball"), F.col("size_b").alias("n")).union(whole.select("b", "size_a")).groupBy("ball").agg(F.sum("n").alias("to_balls"))
+    by_ball = by_ball.groupBy("ball").agg(F.sum("n").alias("to_balls"))
     by_id = single.groupBy("id").agg(F.sum("n").alias("to_members"))
-    classes = components(whole.select("a", "b").union(single.select("a", "b").distinct()))
+    classes = components(edges.union(single.select("a", "b").distinct()))
     found = (
         members.join(balls.select(F.col("id").alias("ball"), "size"), "ball")
         .join(by_ball, "ball", "left")
