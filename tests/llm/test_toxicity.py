@@ -87,3 +87,31 @@ def test_no_labels_of_one_kind(spark):
 def test_context(text, share):
     assert toxicity.context(text, text.index("x"), ["he", "is"]) == share
     assert toxicity.context("x", 0, ["said"]) == toxicity.REPORTED
+
+
+def test_context_is_the_text_s_own():
+    scanner = toxicity.Scanner([("moronic", True)])
+    alone = lambda t: [own for _, own in scanner.hits([t])]
+    mixed = ["they said", "moronic", "he wrote this", "a moronic plan", "palabra", None, "called moronic"]
+    got = dict(scanner.hits(mixed))
+    assert {r: own[0, 0] for r, own in got.items()} == {1: 1.0, 3: 1.0, 6: toxicity.REPORTED}
+    assert all(alone(t) == ([got[i]] if i in got else []) for i, t in enumerate(mixed))
+
+
+@pytest.mark.parametrize(
+    ("text", "share"),
+    [
+        ('"' + "so " * 200 + 'moronic"', toxicity.QUOTED), ('"' + "so " * 200 + '" moronic', 1.0), ("“" + "so " * 200 + "moronic”", toxicity.QUOTED),
+        ('"' + "so " * 200_000 + 'moronic"', toxicity.QUOTED), ('"' + "so " * 200_000 + '\nmoronic', 1.0),
+    ],
+)
+def test_long_quotations(text, share):
+    assert [own[0, 0] for _, own in toxicity.Scanner([("moronic", True)]).hits(["x", text, "said"])] == [share]
+
+
+def test_window_goes_on_behind_a_cut(monkeypatch):
+    pieces = toxicity.chars.chunks
+    monkeypatch.setattr(toxicity.chars, "chunks", lambda texts: pieces(texts, 8))
+    scanner = toxicity.Scanner([("moronic", True)])
+    for text, share in [("he said a b moronic", 0.6), ("moronic a b c he said", 0.6), ("said a b c d e moronic", 1.0), ("moronic a b c d e said", 1.0)]:
+        assert [own[0, 0] for _, own in scanner.hits([text])] == [share], text

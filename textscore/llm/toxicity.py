@@ -19,6 +19,7 @@ repeated rows each give their row.
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections import defaultdict
@@ -43,8 +44,12 @@ OPENING, CLOSING, EITHER = "“«„‹", "”»‟›", "\""
 REPORTING = frozenset("said says quoted quotes quote wrote writes called named sagte zitierte schrieb zitat nannte cité cita écrit appelé dijo citó escribió llamó palabra".split())
 #: Share of a hit's weight that is left inside quotation marks, and beside a word of reporting.
 QUOTED, REPORTED = 0.3, 0.6
-#: Code points before a hit that are searched for an opening mark; words on either side for reporting.
-MARK_WINDOW, WORD_WINDOW = 200, 5
+#: Words of the same text on either side of a hit that are searched for reporting.
+WORD_WINDOW = 5
+_MARKS = re.compile(f"[\n{OPENING}{CLOSING}{EITHER}]")
+_WORD = re.compile(r"[^\W\d_]+")
+#: Outside of any quotation: no opening mark, no odd straight ones.
+PLAIN: tuple[bool, frozenset[str]] = (False, frozenset())
 
 
 def edits(term: str) -> int:
@@ -166,6 +171,8 @@ class Scanner:
         """(row, {(term, edits): largest share}) of every piece of text with a hit."""
         if not self.lexicon.terms:
             return
+        texts = list(texts)
+        now, offset, state, earlier = -1, 0, PLAIN, []
         for rows, parts in chars.chunks(texts):
             if self.memo.full():
                 self._start()
@@ -177,25 +184,59 @@ class Scanner:
                 self._learn(pretokens.strings(small, starts[new], stops[new]))
             found = self.matches[numbers]
             borders = ends - np.diff(ends, prepend=-1) + 1
-            per_part: dict[int, dict[tuple[int, int], float]] = defaultdict(dict)
-            for word in np.flatnonzero(found >= 0).tolist():
-                part = int(np.searchsorted(ends, starts[word]))
-                at = int(starts[word] - borders[part])
-                near = pretokens.strings(small, starts[max(0, word - WORD_WINDOW) : word + WORD_WINDOW + 1], stops[max(0, word - WORD_WINDOW) : word + WORD_WINDOW + 1])
-                share = context(parts[part], at, near)
-                pair = divmod(int(found[word]), 4)
-                per_part[part][pair] = max(share, per_part[part].get(pair, 0.0))
-            for part, own in per_part.items():
-                yield rows[part], own
+            firsts, lasts = np.searchsorted(starts, borders), np.searchsorted(starts, ends)
+            hit = np.flatnonzero(found >= 0)
+            for part, (row, low, high) in enumerate(zip(rows, np.searchsorted(hit, firsts).tolist(), np.searchsorted(hit, lasts).tolist(), strict=True)):
+                if row != now:
+                    now, offset, state, earlier = row, 0, PLAIN, []
+                whole = len(parts[part]) == len(texts[row] or "")
+                if low == high and whole:
+                    continue
+                first, last = int(firsts[part]), int(lasts[part])
+                words = hit[low:high].tolist()
+                inside, state = quotation(parts[part], (starts[words] - borders[part]).tolist(), state)
+                offset += len(parts[part])
+                own: dict[tuple[int, int], float] = {}
+                for word, quoted in zip(words, inside, strict=True):
+                    left, right = max(first, word - WORD_WINDOW), min(last, word + WORD_WINDOW + 1)
+                    near = pretokens.strings(small, starts[left:right], stops[left:right])
+                    if not whole:  # a long text's window goes on in the pieces before and behind
+                        near += earlier[max(0, len(earlier) - (WORD_WINDOW - (word - left))) :]
+                        near += [w[0].lower() for w in itertools.islice(_WORD.finditer(texts[row], offset), word + WORD_WINDOW + 1 - right)]
+                    pair = divmod(int(found[word]), 4)
+                    own[pair] = max(share(quoted, near), own.get(pair, 0.0))
+                if not whole:
+                    tail = slice(max(first, last - WORD_WINDOW), last)
+                    earlier = [*earlier, *pretokens.strings(small, starts[tail], stops[tail])][-WORD_WINDOW:]
+                if own:
+                    yield row, own
+
+
+def quotation(text: str, places: list[int], state: tuple[bool, frozenset[str]] = PLAIN) -> tuple[list[bool], tuple[bool, frozenset[str]]]:
+    """Whether each of ``places``, in order, is quoted on its line, and the state behind ``text``; ``state`` is that before it."""
+    opened, odd = state
+    inside: list[bool] = []
+    for found in _MARKS.finditer(text):
+        while len(inside) < len(places) and places[len(inside)] <= found.start():
+            inside.append(opened or bool(odd))
+        if found[0] == "\n":
+            opened, odd = PLAIN
+        elif found[0] in EITHER:
+            odd = odd ^ {found[0]}
+        else:
+            opened = found[0] in OPENING
+    inside += [opened or bool(odd)] * (len(places) - len(inside))
+    return inside, (opened, odd)
 
 
-def context(text: str, at: int, near: list[str]) -> float:
+def share(quoted: bool, near: list[str]) -> float:
     """The share of a hit's weight that its context leaves; ``near`` are the words around it."""
-    before = text[max(0, at - MARK_WINDOW) : at].rpartition("\n")[2]
-    opened = max(map(before.rfind, OPENING)) > max(map(before.rfind, CLOSING))
-    if opened or any(before.count(mark) % 2 for mark in EITHER):
-        return QUOTED
-    return REPORTED if REPORTING.intersection(near) else 1.0
+    return QUOTED if quoted else REPORTED if REPORTING.intersection(near) else 1.0
+
+
+def context(text: str, at: int, near: list[str]) -> float:
+    """The share that is left of a hit at ``at`` of ``text``."""
+    return share(quotation(text[:at], [at])[0][0], near)
 
 
 class Scorer:
