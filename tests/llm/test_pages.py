@@ -53,6 +53,23 @@ def test_main_text(source, text):
     assert html_text.main_text(source, html_text.Weights({})) == text
 
 
+TEN = "one two three four five six seven eight nine ten"
+
+
+@pytest.mark.parametrize("cut", ["<div class='share'>Tell all your friends</div>", "<aside>More of it</aside>", "<script>x</script><div class=ad>Buy now</div>"])
+def test_left_out_elements_do_not_part_an_article(spark, cut):
+    strong = html_text.Weights({(html_text.OUT, n): -10.0 for n in ("div", "aside", "script")} | {(html_text.WORD, b): 0.7 for b in ("p", "h1")} | {(html_text.TAG, n): -0.05 for n in ("p", "/p", "h1", "/h1")})
+    source = f"<h1>Short</h1>{cut}<p>{TEN} {TEN}</p>{cut}<p>{TEN}</p>"
+    want = f"Short\n{TEN} {TEN}\n{TEN}"
+    assert html_text.main_text(f"<nav>Menu</nav><article>{source}</article>{cut}", strong) == want
+    # where labelled articles hold such elements, they part nothing on other pages either
+    menu = "<nav>Home</nav><div>Menu words</div>"
+    rows = [(i, f"{menu}<article>{source}</article><footer>Foot {i}</footer>") for i in range(40)]
+    learned = html_text.learn(spark.createDataFrame(rows, "page_id long, html string"))
+    assert learned.of((html_text.OUT, "nav")) < -2
+    assert html_text.main_text(f"{menu}<section>{source}</section><footer>Foot</footer>", learned) == want
+
+
 def test_best_run():
     assert html_text.best_run([]) == html_text.best_run([-1.0]) == (0, 0)
     assert html_text.best_run([1.0, -2.0, 3.0, -1.0, 2.0, -5.0]) == (2, 5)

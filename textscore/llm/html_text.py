@@ -10,7 +10,7 @@ Labelled pages are those that mark their article themselves, with exactly one ``
 ``main`` element; a bounded sample of them gives the weights: the log of how much more
 often a kind of token (word by the block it stands in, tag by name) occurs inside than
 outside. A kind that the sample lacks has a stated weight, and with no labelled page at all
-every kind has.
+every kind has. What is left out inside a page's own single article parts nothing there.
 
 Text keeps page order; character references are decoded, white space within a block becomes
 one space, and blocks are joined by one line feed. NULL or empty html, and pages without
@@ -204,7 +204,10 @@ def main_text(source: str | None, weights: Weights) -> str:
     if not source:
         return ""
     page = read(source)
-    first, end = best_run([weights.of(k) * n for k, n in zip(page.kinds, page.count, strict=True)])
+    own = page.homes == 1
+    # an element left out within the page's own article does not end it
+    scores = (-LEAST if own and home and k[0] == OUT else weights.of(k) * n for k, n, home in zip(page.kinds, page.count, page.home, strict=True))
+    first, end = best_run(list(scores))
     if first == end:
         return ""
     low, high = page.block[first], page.block[end - 1]
@@ -229,7 +232,7 @@ def learn(pages: DataFrame, source: str = "html", rows: int = 4000) -> Weights:
                 page = read(one)
                 if page.homes == 1:
                     for (kind, name), n, home in zip(page.kinds, page.count, page.home, strict=True):
-                        tally[kind, name, home and kind != OUT] += n
+                        tally[kind, name, home] += n
         kinds, names, homes = zip(*tally, strict=True) if tally else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.string()), pa.array(homes, pa.bool_()), pa.array(tally.values(), pa.int64())], names=["kind", "name", "home", "n"])
 
