@@ -70,6 +70,23 @@ def test_left_out_elements_do_not_part_an_article(spark, cut):
     assert html_text.main_text(f"{menu}<section>{source}</section><footer>Foot</footer>", learned) == want
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<div class='layout with-sidebar'>", "<div id='content' class='post has-comments'>", "<section class='ad-free'>", "<form action=x>", "<div class='flex hidden md:block'>", "<div class='page-widget'>", "<div data-class='ad'>", "<div class=sidebar>"],
+)
+def test_marked_wrappers_of_the_article(wrapper):
+    name = re.match(r"<(\w+)", wrapper)[1]
+    for inner in (f"<article><p>{TEN}</p><p>{TEN}</p></article>", f"<p>{TEN}</p><p>{TEN}</p>"):
+        for menu in ("", "<nav>Home</nav>"):
+            assert html_text.main_text(f"{menu}{wrapper}{inner}</{name}>", html_text.Weights({})) == f"{TEN}\n{TEN}"
+
+
+def test_small_marked_elements_stay_out():
+    for out in ("<div class='ad-slot'>Buy now</div>", "<div class=comments><article>Nice post</article></div>", "<form>Search</form>", "<div style='display: none'>no</div>", "<p aria-hidden=true>no</p>"):
+        assert html_text.main_text(f"<article><p>{TEN}</p>{out}<p>{TEN}</p></article>", html_text.Weights({})) == f"{TEN}\n{TEN}"
+    assert html_text.main_text(f"<article><p>{TEN}</p><section class='ad-free'><p>{TEN}</p></section><p>{TEN}</p></article>", html_text.Weights({})) == f"{TEN}\n{TEN}\n{TEN}"
+
+
 def test_best_run():
     assert html_text.best_run([]) == html_text.best_run([-1.0]) == (0, 0)
     assert html_text.best_run([1.0, -2.0, 3.0, -1.0, 2.0, -5.0]) == (2, 5)

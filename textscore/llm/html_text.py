@@ -3,7 +3,9 @@
 A page becomes a line of tokens: tags, words, and whole elements that never hold article
 text (``LEFT_OUT``: menus, footers, forms, scripts, adverts and the like), each one token
 whatever its length. Every token has a weight learned from labelled pages; words score
-positive and everything else negative. One linear scan finds the contiguous run with the
+positive and everything else negative. Forms and elements that only their class, id or role
+marks are left out where they hold less than a share of the page's words and not its only
+article; otherwise their start is one negative token and what they hold is scored. One linear scan finds the contiguous run with the
 highest sum; widened to whole blocks, it is the article.
 
 Labelled pages are those that mark their article themselves, with exactly one ``article`` or
@@ -49,8 +51,12 @@ ENDS_ITSELF = frozenset("p li dt dd tr td th option".split())
 HOME = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]+|<", re.DOTALL)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+#: Words that turn a class name into one of what an element has or lacks, not of what it is.
+ABOUT = frozenset("with without has have no non not free hide is".split())
+#: Share of a page's words from which an element is not left out: whole names of ``MARKED``, and longer names.
+WHOLE_NAME, LONGER_NAME = 0.5, 0.2
 
 WORD, TAG, OUT = range(3)
 #: Weights of kinds that no labelled page has, and the range of learned ones; a word's is a share of the most.
@@ -58,20 +64,27 @@ UNSEEN = {WORD: 1.0, TAG: -0.5, OUT: -6.0}
 LEAST, MOST = 0.05, 12.0
 
 
-def _left_out(name: str, attributes: str, at_home: bool) -> bool:
+def _left_out(name: str, attributes: str, at_home: bool) -> float:
+    """The share of a page's words up to which the element is left out: 0 never, above 1 always."""
+    if name == "form":
+        return WHOLE_NAME
     if name in LEFT_OUT:
-        return True
+        return 2.0
     if name == "header":
-        return not at_home
+        return 0.0 if at_home else 2.0
     if name in ("html", "body", *HOME):
-        return False
-    if attributes:
-        for found in _MARK.finditer(attributes):
-            words = re.split(r"[\s_\-]+", next(filter(None, found.groups()), "").lower())
-            if not MARKED.isdisjoint(words):
-                return True
-        return bool(_HIDDEN.search(attributes))
-    return False
+        return 0.0
+    share = 0.0
+    for found in _ATTRIBUTE.finditer(attributes):
+        attribute, value = found[1].lower(), (found[2] or found[3] or found[4] or "").lower()
+        if attribute == "hidden" or attribute == "aria-hidden" and value == "true" or attribute == "style" and _NONE.search(value):
+            return 2.0
+        if attribute in ("class", "id", "role"):
+            for one in value.split():
+                words = set(re.split(r"[_\-]+", one))
+                if not MARKED.isdisjoint(words) and ABOUT.isdisjoint(words):
+                    share = max(share, WHOLE_NAME if words <= MARKED or one in MARKED else LONGER_NAME)
+    return share
 
 
 @dataclass
@@ -89,6 +102,9 @@ class Page:
 def read(source: str) -> Page:
     """The tokens of ``source``; a text node is one token that counts for all its words."""
     page, stack = Page(), []
+    # elements that may be left out: depth of the stack, first token, name, share; and closed ones with the token behind
+    open_: list[tuple[int, int, str, float]] = []
+    spans: list[list] = []
     left_out = 0  # depth of the stack at which the element left out began
     block, inside = 0, 0
     at, end = 0, len(source)
@@ -100,11 +116,19 @@ def read(source: str) -> Page:
         page.text.append(text)
         page.home.append(inside > 0)
 
+    def finish() -> None:
+        nonlocal block
+        while open_ and open_[-1][0] > len(stack):
+            depth, first, name, share = open_.pop()
+            spans.append([first, len(page.kinds), name, share, depth])
+            block += 1
+
     def close(depth: int) -> None:
         nonlocal left_out, inside
         for name in stack[depth:]:
             inside -= name in HOME
         del stack[depth:]
+        finish()
         if left_out > len(stack):
             left_out = 0
 
@@ -125,7 +149,7 @@ def read(source: str) -> Page:
         if found[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] == name), None)
             if depth is not None:
-                was_out = left_out
+                was_out, before = left_out, len(spans)
                 close(depth)
                 if was_out:
                     if not left_out:
@@ -135,6 +159,8 @@ def read(source: str) -> Page:
                 if name in BLOCKS:
                     block += 1
                 add(TAG, "/" + name)
+                if depth is not None and len(spans) > before and spans[-1][4] == depth + 1:
+                    spans[-1][1] = len(page.kinds)  # the end tag belongs to the element
             continue
         attributes = found[3]
         if name in RAW:
@@ -159,23 +185,47 @@ def read(source: str) -> Page:
         if left_out:
             stack.append(name)
             continue
-        if _left_out(name, attributes, inside > 0):
+        share = _left_out(name, attributes, inside > 0)
+        if 0 < share < 1:
+            block += 1
+            open_.append((len(stack) + 1, len(page.kinds), name, share))
+        elif share:
             block += 1
             add(OUT, name)
             stack.append(name)
             left_out = len(stack)
             continue
-        if name in HOME:
-            page.homes += inside == 0
         if name in BLOCKS:
             block += 1
         # the tag that opens an article is not part of it
         add(TAG, name)
         stack.append(name)
         inside += name in HOME
+    close(0)
+    _decide(page, spans)
+    page.homes = sum(kind == TAG and name in HOME and not home for (kind, name), home in zip(page.kinds, page.home, strict=True))
     return page
 
 
+def _decide(page: Page, spans: list[list]) -> None:
+    """Replace each outermost element that is left out by one token; mark the start of the others."""
+    if not spans:
+        return
+    words = np.cumsum([0, *(n if k[0] == WORD else 0 for k, n in zip(page.kinds, page.count, strict=True))])
+    homes = np.cumsum([0, *(k[0] == TAG and k[1] in HOME for k in page.kinds)])
+    keep, behind = np.ones(len(page.kinds), bool), 0
+    for first, end, name, share, _ in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if first < behind:
+            continue
+        page.kinds[first] = (OUT, name)
+        only_home = homes[end] - homes[first] == homes[-1] > 0
+        if not only_home and words[end] - words[first] < share * words[-1]:
+            keep[first + 1 : end] = False
+            behind = end
+    for values in (page.kinds, page.count, page.block, page.text, page.home):
+        values[:] = [v for v, k in zip(values, keep.tolist(), strict=True) if k]
+
+
 def best_run(scores: list[float]) -> tuple[int, int]:
     """(first, end) of the contiguous run with the highest sum; (0, 0) if no score is positive."""
     best, span, total, first = 0.0, (0, 0), 0.0, 0
