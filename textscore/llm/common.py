@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,15 @@ def worker_cache(slot: str, key: object, make: Callable[[], object]) -> object:
     return home["value"]
 
 
+def broadcast(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast ``value``; the function returned reads it in a worker.
+
+    It travels as bytes that hold its classes too, so a worker need not have this package.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def slices(batches: Iterable, rows: int = SLICE) -> Iterator:
     """The record batches cut into slices of at most ``rows`` rows."""
     for batch in batches:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.llm import bpe, chat, forest, html_text, language, minhash, packing, top_k, toxicity, url_rules
+from textscore.llm import bpe, chat, forest, html_text, language, lexical, minhash, packing, top_k, toxicity, url_rules
 from textscore.llm.common import remainder, table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -99,7 +99,15 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(PACKED_FILE))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_forest, op3_toxicity, op4_bag_minhash, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing)}
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item's 10 best documents."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_top_k, op2_forest, op3_toxicity, op4_bag_minhash, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing, op11_lexical)
+}
 SQL = {
     "op1_top_k": """
         WITH v AS (
@@ -153,4 +161,29 @@ SQL = {
             CAST(sum(so_far) FILTER (role = 'assistant' OR place = n) AS BIGINT) AS formatted_chars
         FROM summed GROUP BY conv_id
     """,
+    "op11_lexical": r"""
+        WITH cut AS (
+            SELECT row_number() OVER () AS place, doc_id,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), total AS (
+            SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS documents, CAST(sum(len(terms)) AS BIGINT) AS words FROM cut
+        ), asked AS (
+            SELECT DISTINCT item_id,
+                unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), occurring AS (
+            SELECT place, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM cut
+        ), counted AS (
+            SELECT place, doc_id, n, term, count(*) AS tf FROM occurring WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+        ), weighed AS (
+            SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, total GROUP BY term, documents
+        ), scored AS (
+            SELECT item_id, place, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents) // words)))) AS BIGINT) AS score
+            FROM asked JOIN counted USING (term) JOIN weighed USING (term), total GROUP BY ALL
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }
