@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.llm import bpe, chat, forest, html_text, language, lexical, minhash, packing, top_k, toxicity, url_rules
+from textscore.llm import bpe, chat, forest, html_text, language, lexical, minhash, mixing, packing, top_k, toxicity, url_rules
 from textscore.llm.common import remainder, table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -104,9 +104,15 @@ def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), 10)
 
 
+def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's share in a mix of 1.5 times all words, sources weighing 3, 1, 2 in turn."""
+    mixed = mixing.mix(table(spark, folder, "documents"), (3.0, 1.0, 2.0), 1.5, 2)
+    return mixed.taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_top_k, op2_forest, op3_toxicity, op4_bag_minhash, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing, op11_lexical)
+    for f in (op1_top_k, op2_forest, op3_toxicity, op4_bag_minhash, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing, op11_lexical, op12_mixing)
 }
 SQL = {
     "op1_top_k": """
@@ -186,4 +192,33 @@ SQL = {
         )
         SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_mixing": r"""
+        WITH cut AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', coalesce('=' || source, ''), '|', md5(coalesce(text, ''))) AS given
+            FROM documents
+        ), named AS (
+            SELECT doc_id, source, size, concat(md5(given), '|', row_number() OVER (PARTITION BY source, given)) AS unit FROM cut
+        ), totals AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM named GROUP BY source
+        ), weighed AS (
+            SELECT *, CAST([3, 1, 2][1 + (place - 1) % 3] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS most FROM totals
+        ), filled AS (
+            SELECT *,
+                (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+            FROM weighed WINDOW before AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), chosen AS (
+            SELECT min_by(level, (most / weight, place)) AS level FROM filled WHERE weight * level <= most
+        ), aimed AS (
+            SELECT source, source_size, least(most, weight * chosen.level) AS target, CAST(round(least(most, weight * chosen.level)) AS BIGINT) AS quota FROM weighed, chosen
+        ), lines AS (
+            SELECT unit, epoch, size, quota,
+                epoch * source_size + coalesce(sum(size) OVER (PARTITION BY named.source, epoch ORDER BY md5(concat(unit, '|', epoch)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM named JOIN aimed ON named.source IS NOT DISTINCT FROM aimed.source, (VALUES (0), (1)) AS epochs(epoch)
+        ), used AS (
+            SELECT unit, CAST(sum(greatest(0, least(start + size, quota) - start)) AS BIGINT) AS taken FROM lines GROUP BY unit
+        )
+        SELECT doc_id, size, source_size, target, taken
+        FROM named JOIN aimed ON named.source IS NOT DISTINCT FROM aimed.source JOIN used USING (unit)
+    """,
 }
