@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textscore.llm import bpe, chat, forest, html_text, language, lexical, minhash, mixing, packing, top_k, toxicity, url_rules
+from textscore.llm import bpe, chat, forest, html_text, language, lexical, minhash, mixing, negatives, packing, top_k, toxicity, url_rules
 from textscore.llm.common import remainder, table
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -110,9 +110,17 @@ def op12_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """The hard negatives of every hundredth vector's five positives, components as floor(256 x)."""
+    vectors = table(spark, folder, "embeddings").where(top_k.usable(F.col("embedding")) & F.col("label").isNotNull())
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = vectors.select(F.col("vec_id").alias("id"), label.alias("label"), top_k.floored(F.col("embedding"), 256).alias("vector"))
+    return negatives.mine(whole, whole.where("id % 100 = 0"), 5, 10, 30, 90)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_top_k, op2_forest, op3_toxicity, op4_bag_minhash, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing, op11_lexical, op12_mixing)
+    for f in (op1_top_k, op2_forest, op3_toxicity, op4_bag_minhash, op5_language, op6_html_text, op7_byte_bpe, op8_url_rules, op9_chat_examples, op10_packing, op11_lexical, op12_mixing, op13_negatives)
 }
 SQL = {
     "op1_top_k": """
@@ -221,4 +229,24 @@ SQL = {
         SELECT doc_id, size, source_size, target, taken
         FROM named JOIN aimed ON named.source IS NOT DISTINCT FROM aimed.source JOIN used USING (unit)
     """,
+    "op13_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), pairs AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+            FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), ranked AS (
+            SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM positives JOIN pairs USING (anchor_id)
+            WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+    """,
 }
