@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textscore.llm import chars, pretokens
-from textscore.llm.common import slices, worker_cache
+from textscore.llm.common import broadcast, slices, worker_cache
 
 #: Distinct pre-tokens a worker remembers.
 MEMO = 600_000
@@ -208,10 +208,10 @@ class Vocabulary:
     def __init__(self, df: DataFrame, path: str) -> None:
         tokens = read_ranks(path)
         self.key = path
-        self.shared = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens)))
+        self.read = broadcast(df.sparkSession, (tokens, PerfectHash(tokens)))
 
     def codec(self) -> Codec:
-        return worker_cache("bpe", self.key, lambda: Codec(*self.shared.value))
+        return worker_cache("bpe", self.key, lambda: Codec(*self.read()))
 
 
 def _whole(pairs: Iterable[tuple[int, np.ndarray]], n: int) -> list[np.ndarray]:

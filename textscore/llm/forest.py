@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from textscore.llm.components import components
 from textscore.llm.top_k import usable
+from textscore.llm.common import broadcast
 from textscore.session import store
 
 TREES = 6
@@ -166,12 +167,13 @@ def _trees(balls: DataFrame, total: int, task: int, seeds: range, angle: float =
 
 def _dealt(balls: DataFrame, trees: list[Tree], spill: bool) -> DataFrame:
     """The rows of ``balls`` with tree and leaf."""
-    shared = balls.sparkSession.sparkContext.broadcast(trees)
+    read = broadcast(balls.sparkSession, trees)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = read()
         for batch in batches:
             units = _units(batch.column("unit").to_pylist())
-            for number, tree in enumerate(shared.value):
+            for number, tree in enumerate(own):
                 rows, leaves = tree.leaves(_wide(units, tree.directions.shape[1]), spill)
                 taken = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.full(len(rows), number, np.int32)), pa.array(leaves)], names=[*taken.schema.names, "tree", "leaf"])

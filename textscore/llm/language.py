@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textscore.llm import chars
-from textscore.llm.common import SLICE, sample_per_class, slices, worker_cache
+from textscore.llm.common import SLICE, broadcast, sample_per_class, slices, worker_cache
 
 UNKNOWN = "und"
 #: Places for hashed n-grams.
@@ -204,11 +204,11 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", result: str = "language") -> DataFrame:
     """``docs`` with a struct column ``result`` (lang_pred, score, ambiguous); a column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    read, key = broadcast(docs.sparkSession, model), model.key
 
     @F.arrow_udf(RESULT)
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = worker_cache("language", shared.value.key, lambda: Predictor(shared.value))
+        own = worker_cache("language", key, lambda: Predictor(read()))
         for batch in texts:
             done = [own.predict(batch.slice(at, SLICE).to_pylist()) for at in range(0, len(batch), SLICE)]
             langs = [x for d in done for x in d[0]]

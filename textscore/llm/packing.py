@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from textscore.llm import chars, pretokens
 from textscore.llm.bpe import Ragged
-from textscore.llm.common import slices, worker_cache
+from textscore.llm.common import broadcast, slices, worker_cache
 from textscore.session import store
 
 CAPACITY = 2048
@@ -352,16 +352,17 @@ def pack(rows: DataFrame, key: list[str], length: str = "length", capacity: int
     counts = {int(r[0]): int(r[1]) for r in rows.groupBy(length).count().collect()}
     if any(not 1 <= k <= capacity for k in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    shared = rows.sparkSession.sparkContext.broadcast(Places.of(plan(counts, capacity)))
+    read = broadcast(rows.sparkSession, Places.of(plan(counts, capacity)))
     schema = rows.schema
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = read()
         for batch in batches:
             lengths, numbers = batch.column(length).to_numpy(zero_copy_only=False), batch.column("_number").to_numpy(zero_copy_only=False)
             sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
             for one in np.unique(lengths).tolist():
                 at = lengths == one
-                sequence[at], offset[at] = shared.value.look_up(one, numbers[at])
+                sequence[at], offset[at] = places.look_up(one, numbers[at])
             columns = [*(batch.column(f.name) for f in schema), pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, names=[*schema.names, "sequence_id", "offset"])
 

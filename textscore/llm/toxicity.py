@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textscore.llm import chars, pretokens
-from textscore.llm.common import SLICE, sample_per_class, slices, worker_cache
+from textscore.llm.common import SLICE, broadcast, sample_per_class, slices, worker_cache
 from textscore.session import store
 
 #: Distinct words a worker remembers.
@@ -423,11 +423,11 @@ def _border(weights: dict, scanned: list[tuple[int, list]]) -> float:
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", result: str = "toxicity") -> DataFrame:
     """``docs`` with a DOUBLE column ``result`` from 0 to 1 (a column of that name is replaced)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    read, key = broadcast(docs.sparkSession, model), model.key
 
     @F.arrow_udf("double")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = worker_cache("toxicity", shared.value.key, lambda: Scorer(shared.value))
+        own = worker_cache("toxicity", key, lambda: Scorer(read()))
         for batch in texts:
             yield pa.array(np.concatenate([np.zeros(0), *[own.score(batch.slice(at, SLICE).to_pylist()) for at in range(0, len(batch), SLICE)]]))
 
