@@ -6,7 +6,8 @@ whatever its length. Every token has a weight learned from labelled pages; words
 positive and everything else negative. Forms and elements that only their class, id or role
 marks are left out where they hold less than a share of the page's words and not its only
 article; otherwise their start is one negative token and what they hold is scored. One linear scan finds the contiguous run with the
-highest sum; widened to whole blocks, it is the article.
+highest sum; widened to whole blocks, and to the whole of the page's only article where it
+reaches into that, it is the article.
 
 Labelled pages are those that mark their article themselves, with exactly one ``article`` or
 ``main`` element; a bounded sample of them gives the weights: the log of how much more
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textscore.llm.common import SLICE, slices, worker_cache
+from textscore.llm.common import SLICE, broadcast, slices, worker_cache
 
 # Names of HTML elements, and words of class, id or role that mark what is no article text.
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
@@ -60,8 +61,8 @@ WHOLE_NAME, LONGER_NAME = 0.5, 0.2
 
 WORD, TAG, OUT = range(3)
 #: Weights of kinds that no labelled page has, and the range of learned ones; a word's is a share of the most.
-UNSEEN = {WORD: 1.0, TAG: -0.5, OUT: -6.0}
 LEAST, MOST = 0.05, 12.0
+UNSEEN = {WORD: 1.0, TAG: -LEAST, OUT: -6.0}
 
 
 def _left_out(name: str, attributes: str, at_home: bool) -> float:
@@ -260,6 +261,10 @@ def main_text(source: str | None, weights: Weights) -> str:
     first, end = best_run(list(scores))
     if first == end:
         return ""
+    if own and any(page.home[first:end]):
+        # a page's only article is taken whole
+        inside = [i for i, home in enumerate(page.home) if home]
+        first, end = min(first, inside[0]), max(end, inside[-1] + 1)
     low, high = page.block[first], page.block[end - 1]
     blocks: dict[int, list[str]] = defaultdict(list)
     for block, text in zip(page.block, page.text, strict=True):
@@ -314,11 +319,11 @@ def _border(marked: DataFrame, digest, rows: int) -> object:
 
 def extract(pages: DataFrame, weights: Weights, source: str = "html", result: str = "text") -> DataFrame:
     """``pages`` with a string column ``result`` (a column of that name is replaced)."""
-    shared = pages.sparkSession.sparkContext.broadcast(weights)
+    read_weights, key = broadcast(pages.sparkSession, weights), weights.key
 
     @F.arrow_udf("string")
     def run(sources: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = worker_cache("html", shared.value.key, lambda: shared.value)
+        own = worker_cache("html", key, read_weights)
         for batch in sources:
             yield pa.array([main_text(x, own) for at in range(0, len(batch), SLICE) for x in batch.slice(at, SLICE).to_pylist()], pa.string())
 
