@@ -90,25 +90,42 @@ def brute_surprisal(train, texts, cap=None):
 
 
 @pytest.mark.parametrize("cap", [None, 5])
-@pytest.mark.parametrize("parts", [300, 2])
-def test_surprisal(corpus, monkeypatch, parts, cap):
+@pytest.mark.parametrize(("parts", "budget"), [(300, 0), (2, 0), (2, joins.BROADCAST_BYTES)])
+def test_surprisal(corpus, monkeypatch, parts, budget, cap):
     monkeypatch.setattr(joins, "partitions", lambda _: parts)
+    monkeypatch.setattr(surprisal, "TEXTS", 7)
     df, rows = corpus
-    got = surprisal.text_surprisal(df, "id", "text", max_tokens=cap).collect()
+    got = surprisal.text_surprisal(df, "id", "text", max_tokens=cap, budget=budget).collect()
     expected = brute_surprisal([r[1] for r in rows], [(r[0], r[1]) for r in rows], cap)
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r)[1:] == pytest.approx(expected[r["id"]], abs=1e-9)
 
 
-def test_surprisal_of_other_texts(corpus):
+@pytest.mark.parametrize("budget", [joins.BROADCAST_BYTES, 0])
+def test_surprisal_of_other_texts(corpus, budget):
     df, rows = corpus
-    got = surprisal.text_surprisal(df, "id", "ref", train=df, train_text="text").collect()
+    got = surprisal.text_surprisal(df, "id", "ref", train=df, train_text="text", budget=budget).collect()
     expected = brute_surprisal([r[1] for r in rows], [(r[0], r[2]) for r in rows])
     for r in got:
         assert tuple(r)[1:] == pytest.approx(expected[r["id"]], abs=1e-9)
 
 
+def test_bigrams_travel_as_multisets(spark):
+    df = spark.createDataFrame([("x", "A b a b. a"), ("y", None), ("z", "one"), (None, ""), ("x", "b a")], "id string, text string")
+    got = sorted(map(tuple, surprisal.text_bigrams(df, "id", "text").collect()), key=str)
+    assert got == sorted([("x", "a", "b", 2), ("x", "b", "a", 2), ("x", "b", "a", 1), ("y", None, None, 0), ("z", None, None, 0), (None, None, None, 0)], key=str)
+    counts = {(r.a, r.b): (r.n, r.texts) for r in surprisal.bigram_counts(df, "text").collect()}
+    assert counts == {("a", "b"): (2, 1), ("b", "a"): (3, 2), ("a", None): (2, 0), ("b", None): (3, 0), ("one", None): (0, 0)}
+    # bigrams seen once are not in the model that scores its own texts, and no row per token is shuffled
+    for budget in (joins.BROADCAST_BYTES, 0):
+        plan = surprisal.text_surprisal(df, "id", "text", budget=budget)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan
+    assert surprisal.text_surprisal(df.limit(0), "id", "text").collect() == []
+    same = spark.createDataFrame([(1, "a b a b a b"), (2, "a b")], "id long, text string")
+    assert [r.surprisal_std for r in surprisal.text_surprisal(same, "id", "text").orderBy("id").collect()][1] == 0
+
+
 @pytest.mark.parametrize("budget", [joins.BROADCAST_BYTES, 0])
 def test_lookup_keeps_every_row(spark, monkeypatch, budget):
     monkeypatch.setattr(joins, "partitions", lambda _: 12)

@@ -3,52 +3,105 @@
 Declared rule: tokens of the whole text (or its first ``max_tokens``), add-one
 smoothing over V distinct corpus tokens, p(b|a) = (c(a,b) + 1) / (c(a,.) + V),
 surprisal -ln p in nats; the first token of a text has no score.
+
+A text travels as the multiset of its bigrams, (id, a, b, n), never token by token. The
+model that scores its own training texts is pruned: bigrams seen once are not stored,
+since a bigram that occurs in such a text and is not in the model was seen once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import store
-from .joins import hot_keys, split_hot_lookup
+from .joins import BROADCAST_BYTES, fits, hot_keys, split_hot_lookup
 
+#: Texts whose bigrams are counted together in a task.
+TEXTS = 1024
+#: Bytes that a row of the model takes in a broadcast, and one of the context counts.
+MODEL_BYTES, CONTEXT_BYTES = 128, 96
 
-def _successions(df: DataFrame, text: str, max_tokens: int | None, keep: list[str]) -> DataFrame:
-    """Every token ``a`` with its successor ``b`` (NULL for the last one), without a window.
 
-    A text without tokens gives one row of NULLs.
-    """
+class _Bigrams:
+    """The distinct bigrams of each of some token lists, as codes into ``names``, and how often each occurs."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        codes, self.names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        width, text = len(self.names), np.repeat(np.arange(len(sizes)), sizes)
+        inner = text[1:] == text[:-1]
+        keys = (text[:-1][inner] * width + codes[:-1][inner]) * width + codes[1:][inner]
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.n = np.diff(np.append(first, len(keys)))
+        keys = keys[first]
+        self.b, keys = keys % max(1, width), keys // max(1, width)
+        self.a, self.text = keys % max(1, width), keys // max(1, width)
+        self.without = np.setdiff1d(np.arange(len(sizes)), self.text)
+
+
+def _mapped(df: DataFrame, columns: list[Column], schema: str, make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                yield make(batch.slice(at, TEXTS))
+
+    return df.select(*columns).mapInArrow(run, schema)
+
+
+def _tokens(text: str, max_tokens: int | None) -> Column:
     toks = tokens(F.col(text))
-    if max_tokens is not None:
-        toks = F.slice(toks, 1, max_tokens)
-    lists = df.select(*keep, toks.alias("a"))
-    lists = lists.select(*keep, "a", F.slice("a", 2, F.array_size("a")).alias("b"))
-    return lists.select(*keep, F.explode_outer(F.arrays_zip("a", "b")).alias("t")).select(*keep, "t.a", "t.b")
+    return (toks if max_tokens is None else F.slice(toks, 1, max_tokens)).alias("t")
 
 
-def bigram_counts(df: DataFrame, text: str, max_tokens: int | None = None) -> DataFrame:
-    """(a, b, n) over the corpus; b is NULL where a ends a text. Combined map-side."""
-    return _successions(df, text, max_tokens, []).filter("a IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+def text_bigrams(df: DataFrame, id_col: str, text: str, max_tokens: int | None = None) -> DataFrame:
+    """(id, a, b, n): how often each bigram occurs in each text; a text without one has a row of NULLs and n = 0."""
 
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = _Bigrams(batch.column(1))
+        rows = np.concatenate([found.text, found.without])
+        none = np.zeros(len(rows), bool)
+        none[len(found.text) :] = True
+        pad = np.zeros(len(found.without), np.int64)
+        sides = [found.names.take(pa.array(np.concatenate([x, pad]), mask=none)) for x in (found.a, found.b)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *sides, pa.array(np.concatenate([found.n, pad]))], names=[id_col, "a", "b", "n"])
 
-def context_counts(counts: DataFrame) -> DataFrame:
-    """(a, context_n, followers): bigrams that start with ``a``, all and distinct; one row per token."""
-    return counts.groupBy("a").agg(
-        F.coalesce(F.sum(F.when(F.col("b").isNotNull(), F.col("n"))), F.lit(0)).alias("context_n"),
-        F.count(F.lit(1)).alias("followers"),
-    )
+    kind = df.schema[id_col].dataType.simpleString()
+    return _mapped(df, [F.col(id_col), _tokens(text, max_tokens)], f"`{id_col}` {kind}, a string, b string, n long", make)
 
 
-def bigram_model(counts: DataFrame, context: DataFrame) -> DataFrame:
-    """(a, b, n, surprisal) for every bigram seen."""
-    vocabulary = context.agg(F.count(F.lit(1)).alias("v")).scalar()
-    hot = hot_keys(context, ["a"], "followers")
-    bigrams = counts.filter(F.col("b").isNotNull())
-    joined = split_hot_lookup(bigrams, context.select("a", "context_n"), ["a"], hot, spread_by=["b"])
-    p = (F.col("n") + 1) / (F.col("context_n") + vocabulary)
-    return joined.select("a", "b", "n", (-F.ln(p)).alias("surprisal"))
+def bigram_counts(df: DataFrame, text: str, max_tokens: int | None = None) -> DataFrame:
+    """(a, b, n, texts) of every bigram of the corpus, and (a, NULL, n, 0) of every token with its n successors.
+
+    Counted per slice of texts before the shuffle; ``texts`` is how many texts hold the bigram.
+    """
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = _Bigrams(batch.column(0))
+        width = max(1, len(found.names))
+        keys, place = np.unique(found.a * width + found.b, return_inverse=True)
+        n = np.bincount(place, found.n, len(keys)).astype(np.int64)
+        follow = np.bincount(found.a, found.n, len(found.names)).astype(np.int64)
+        none = pa.nulls(len(found.names), pa.string())
+        a, b = found.names.take(pa.array(keys // width)), found.names.take(pa.array(keys % width))
+        columns = [
+            pa.concat_arrays([a, found.names]),
+            pa.concat_arrays([b, none]),
+            pa.array(np.concatenate([n, follow])),
+            pa.array(np.concatenate([np.bincount(place, minlength=len(keys)), np.zeros(len(found.names), np.int64)])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "texts"])
+
+    slices = _mapped(df, [_tokens(text, max_tokens)], "a string, b string, n long, texts long", make)
+    return slices.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 def text_surprisal(
@@ -58,39 +111,50 @@ def text_surprisal(
     train: DataFrame | None = None,
     train_text: str | None = None,
     max_tokens: int | None = None,
+    budget: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Mean and population deviation of token surprisal per text; NULL under 2 tokens.
 
     The model is trained on ``train``, or on ``df`` itself. A bigram the training
-    table never saw scores as a zero count in its context. Counts and model are
-    aggregates of the texts; they are stored once in the shared folder,
-    so no later step reads the training texts again. Hot bigrams are known from the
-    counts and are split off before the lookup; the final grouping by id combines
-    map-side.
+    table never saw scores as a zero count in its context. The counts are stored once in the
+    shared folder, bigrams and contexts from one shuffle, and the training texts are not read
+    again for them. A model whose counted size fits ``budget`` is broadcast, and only a row per
+    text leaves the task that reads it; a larger one is met by a shuffle of
+    (id, a, b, n), with the hot bigrams split off. Mean and deviation come from weighted sums.
     """
-    counts = store(bigram_counts(train if train is not None else df, train_text or text, max_tokens), "bigram-counts")
-    context = store(context_counts(counts), "bigram-contexts")
-    model = store(bigram_model(counts, context), "bigram-model")
-    # the hot bigrams of the texts to score, which need not be those of the training texts
-    own = counts if train is None else store(bigram_counts(df, text, max_tokens), "scored-bigrams")
-    hot = hot_keys(own.filter("b IS NOT NULL"), ["a", "b"], "n")
-    seen = _successions(df, text, max_tokens, [id_col])
-    scored = split_hot_lookup(seen, model.select("a", "b", "surprisal"), ["a", "b"], hot, spread_by=[id_col])
-    if train is not None:
-        hot_tokens = hot_keys(own.groupBy("a").agg(F.sum("n").alias("n")), ["a"], "n")
-        scored = _score_unseen(scored, context, hot_tokens)
-    # the last token of a text has no successor and no score, so every text has a row here
-    return scored.groupBy(id_col).agg(
-        F.avg("surprisal").alias("surprisal_mean"),
-        F.stddev_pop("surprisal").alias("surprisal_std"),
-        F.count("surprisal").alias("n_scored"),
-    )
-
-
-def _score_unseen(scored: DataFrame, context: DataFrame, hot: DataFrame) -> DataFrame:
-    """Bigrams outside the model: a zero count over their context, or over V alone."""
+    own = train is None
+    kept = F.col("b").isNull() | (F.col("n") > (1 if own else 0))
+    counts = store(bigram_counts(df if own else train, text if own else train_text or text, max_tokens).where(kept), "bigram-counts")
+    context = counts.where("b IS NULL").select("a", F.col("n").alias("context_n"))
+    model = counts.where("b IS NOT NULL").select("a", "b", F.col("n").alias("seen"))
     vocabulary = context.agg(F.count(F.lit(1)).alias("v")).scalar()
-    spread = [c for c in scored.columns if c not in ("a", "surprisal")]
-    placed = split_hot_lookup(scored, context.select("a", "context_n"), ["a"], hot, spread_by=spread)
-    unseen = F.when(F.col("b").isNotNull(), F.ln(F.coalesce("context_n", F.lit(0)) + vocabulary))
-    return placed.withColumn("surprisal", F.coalesce("surprisal", unseen)).drop("context_n")
+
+    bigrams = text_bigrams(df, id_col, text, max_tokens)
+    if fits(model, MODEL_BYTES, budget):
+        bigrams = bigrams.join(F.broadcast(model), ["a", "b"], "left")
+    else:
+        # hot bigrams of the texts to score, which need not be those of the training texts
+        frequency = counts if own else store(bigram_counts(df, text, max_tokens), "scored-bigrams")
+        hot = hot_keys(frequency.where("b IS NOT NULL"), ["a", "b"], "texts")
+        bigrams = split_hot_lookup(bigrams, model, ["a", "b"], hot, spread_by=[id_col])
+    if fits(context, CONTEXT_BYTES, budget):
+        bigrams = bigrams.join(F.broadcast(context), "a", "left")
+    else:
+        frequency = counts if own else store(bigram_counts(df, text, max_tokens), "scored-bigrams")
+        hot = hot_keys(frequency.where("b IS NULL"), ["a"], "n")
+        bigrams = split_hot_lookup(bigrams, context, ["a"], hot, spread_by=[id_col, "b"])
+
+    # less the surprisal of an unknown bigram, so that the squares stay small
+    times = F.coalesce("seen", F.lit(1 if own else 0)) + 1
+    score = F.ln((F.coalesce("context_n", F.lit(0)) + vocabulary) / (times * F.greatest(vocabulary, F.lit(1))))
+    scored = bigrams.select(id_col, "n", F.when(F.col("b").isNotNull(), score).alias("s"))
+    sums = scored.groupBy(id_col).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("s")).alias("s"), F.sum(F.col("n") * F.col("s") * F.col("s")).alias("q"))
+    mean, square = F.try_divide(F.col("s"), F.col("n").cast("double")), F.try_divide(F.col("q"), F.col("n").cast("double"))
+    spread = square - mean * mean
+    return sums.select(
+        id_col,
+        (mean + F.ln(F.greatest(vocabulary, F.lit(1)))).alias("surprisal_mean"),
+        # what is below the rounding of the sums is no deviation
+        F.sqrt(F.when(spread > square * 1e-14, spread).otherwise(spread * 0)).alias("surprisal_std"),
+        F.col("n").alias("n_scored"),
+    )
