@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textscore import functions as ts
-from textscore.operators import entities, joins, similarity, surprisal
+from textscore.operators import automaton, entities, joins, similarity, surprisal
 
 
 @pytest.fixture(scope="module")
@@ -170,6 +170,46 @@ def test_tables_agree_with_column_functions(spark, corpus, budget):
     assert sum(r[1] or 0 for r in rows) > 0
 
 
+def _occurrences(texts, terms):
+    out = Counter()
+    for i, t in texts:
+        w = toks(t or "")
+        for term in {tuple(toks(x)) for x in terms} - {()}:
+            n = sum(tuple(w[at : at + len(term)]) == term for at in range(len(w)))
+            if n:
+                out[i, " ".join(term)] = n
+    return out
+
+
+@pytest.mark.parametrize("budget", [joins.BROADCAST_BYTES, 300, 0])
+def test_terms_of_any_length(spark, monkeypatch, budget):
+    """Terms of one to forty tokens, overlapping and within each other, in one shard or many."""
+    monkeypatch.setattr(automaton, "TEXTS", 5)
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{int(rng.integers(12))}"
+    texts = [(i, " ".join(word() for _ in range(int(rng.integers(0, 90))))) for i in range(60)]
+    terms = [" ".join(word() for _ in range(n)) for n in (1, 1, 2, 2, 2, 3, 3, 4) for _ in range(6)]
+    terms += [" ".join(texts[i][1].split()[a : a + n]) for i, a, n in ((3, 2, 30), (3, 5, 20), (9, 0, 40), (11, 1, 5))] + ["unknown words", "W1, w2!", "", None, "é w1"]
+    texts += [(60, None), (61, ""), (62, "w1 W2 é w1"), (63, "w1 " * 50)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    found = {(r.id, r.term): r.n for r in automaton.term_occurrences(df, "id", "text", table, budget=budget).collect()}
+    assert found == _occurrences(texts, [t for t in terms if t]) and len(found) > 200
+    assert automaton.term_occurrences(df, "id", "text", table.limit(0), budget=budget).collect() == []
+    gazetteer = table.withColumn("label", F.lit("ORG"))
+    got = dict(map(tuple, entities.entity_density_by_table(df, "id", "text", gazetteer, budget=budget).collect()))
+    per_text = Counter(i for i, _ in found)
+    words = {i: len((t or "").split()) for i, t in texts}
+    assert got == {i: per_text[i] / words[i] if words[i] else None for i, _ in texts}
+
+
+def test_gazetteer_builds_no_runs_of_tokens(spark, corpus):
+    df, _ = corpus
+    gazetteer = spark.createDataFrame([(" ".join(f"w{i}" for i in range(30)), "ORG"), ("w1 w2", "ORG")], "term string, label string")
+    plan = entities.entity_density_by_table(df, "id", "text", gazetteer)._jdf.queryExecution().executedPlan().toString()
+    assert "slice" not in plan and "Generate" not in plan and "Exchange" not in plan
+
+
 def test_merge(spark):
     left = spark.createDataFrame([(1, "a", 1), (None, "b", 2), (3, "c", 3)], "id long, x string, l int")
     right = spark.createDataFrame([(1, "p"), (None, "q"), (4, "r")], "id long, x string")

@@ -70,21 +70,6 @@ def labelled_spans(text: Column, labels: Iterable[str]) -> Column:
     return F.array_distinct(F.transform(kept, F.lower))
 
 
-def token_ngrams(toks: Column, wanted: Iterable[int]) -> Column:
-    """Distinct runs of tokens whose length is wanted, joined by a space."""
-    wanted = sorted(set(wanted))
-    if wanted == [1]:
-        return F.array_distinct(toks)
-
-    def runs(n: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.array_size(toks) - n + 1), lambda i: F.array_join(F.slice(toks, i, n), " ")
-        )
-
-    lengths = F.filter(F.array(*[F.lit(n) for n in wanted]), lambda n: n <= F.array_size(toks))
-    return F.array_distinct(F.flatten(F.transform(lengths, runs)))
-
-
 def entity_density(
     text: Column,
     gazetteer: Mapping[str, str] | None = None,
@@ -100,7 +85,7 @@ def entity_density(
     spans = labelled_spans(text, labels)
     terms = {" ".join(re.findall(r"\w+", t.lower())) for t, lab in (gazetteer or {}).items() if lab in labels} - {""}
     if terms:
-        lengths = {len(t.split()) for t in terms}
         listed = F.array(*[F.lit(t) for t in sorted(terms)])
-        spans = F.array_union(spans, let(tokens(text), lambda ts: F.array_intersect(token_ngrams(ts, lengths), listed)))
+        line = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+        spans = let(line, lambda whole: F.array_union(spans, F.filter(listed, lambda t: whole.contains(F.concat(F.lit(" "), t, F.lit(" "))))))
     return per_word(F.array_size(spans), text)

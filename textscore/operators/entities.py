@@ -7,17 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.annotate import labelled_spans, suffix_tag, token_ngrams
+from ..functions.annotate import labelled_spans, suffix_tag
 from ..functions.lexical import balance
 from ..functions.lexicons import ENTITY_LABELS, FORMAL_TAGS, INFORMAL_TAGS
-from ..functions.text import NON_SPACE, TOKEN, raw_word_count, tokens
+from ..functions.text import NON_SPACE, raw_word_count, tokens
+from .automaton import distinct_terms, normal_term
 from .joins import BROADCAST_BYTES, lookup
 
 
-#: Beginnings of terms that are compared in each text's row; more are left to the join.
-FIRST_TOKENS = 200
-
-
 def formality_by_table(
     df: DataFrame, id_col: str, text: str, lexicon: DataFrame, budget: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -47,33 +44,15 @@ def entity_density_by_table(
     """Distinct entities per word with a gazetteer table (term, label).
 
     The rule is that of :func:`textscore.functions.annotate.entity_density`: a term
-    is found where its tokens occur in a row. Each text sends its distinct token
-    runs of the terms' lengths, and only those that begin as some term does where there
-    are at most ``FIRST_TOKENS`` beginnings; those and the lengths reach the driver.
+    is found where its tokens occur in a row. The terms are a trie over tokens, or several
+    beyond ``budget`` bytes (:mod:`textscore.operators.automaton`), and every text is walked where it is: nothing
+    is joined. ``id_col`` must be unique where there are several tries.
     """
     labels = list(labels)
-    # a term enters the lookup as its tokens joined by a space, which is what a text sends
-    terms = gazetteer.filter(F.col("label").isin(*labels)).select(
-        F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(TOKEN), 0), " ").alias("entity")
-    )
-    terms = terms.filter("entity <> ''").distinct().withColumn("listed", F.lit(True))
-    # term lengths that occur, and the first tokens of terms of several tokens, while these are few
-    lengths = [r[0] for r in terms.select(F.array_size(F.split("entity", " ")).alias("n")).distinct().collect()] or [1]
-    firsts = terms.select(F.substring_index("entity", " ", 1).alias("first")).distinct().limit(FIRST_TOKENS + 1).collect()
-    # one row per text: its words, its spans, and the token runs that are not spans already
+    terms = gazetteer.filter(F.col("label").isin(*labels)).select(normal_term(F.col("term")).alias("entity")).filter("entity <> ''").distinct()
     spans = labelled_spans(F.col(text), labels)
     sent = df.select(id_col, raw_word_count(F.col(text)).alias("words"), spans.alias("spans"), tokens(F.col(text)).alias("t"))
-    grams = token_ngrams(F.col("t"), lengths)
-    if len(firsts) <= FIRST_TOKENS:
-        listed = F.array(*[F.lit(r[0]) for r in firsts]).cast("array<string>")
-        grams = F.filter(grams, lambda g: F.array_contains(listed, F.substring_index(g, " ", 1)))
-    runs = sent.select(
-        id_col,
-        "words",
-        F.array_size("spans").alias("n_spans"),
-        F.explode_outer(F.array_except(grams, F.col("spans"))).alias("entity"),
-    )
-    found = lookup(runs, terms, ["entity"], spread_by=[id_col], row_bytes=64, budget=budget)
-    per_text = found.groupBy(id_col, "words", "n_spans").agg(F.count("listed").alias("n_terms"))
+    sent = sent.withColumn("n_spans", F.array_size("spans").cast("long"))
+    found = distinct_terms(sent, terms, "t", "spans", "n_terms", budget)
     n = (F.col("n_spans") + F.col("n_terms")).cast("double")
-    return per_text.select(id_col, F.try_divide(n, F.col("words")).alias("ner_density"))
+    return found.select(id_col, F.try_divide(n, F.col("words")).alias("ner_density"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -97,6 +99,15 @@ def release(spark: SparkSession, since: int = 0) -> None:
         files.delete(path, True)
 
 
+def ship(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast ``value``, whose size the caller has bounded; the function returned reads it in a worker.
+
+    It travels as bytes that hold its classes too, so a worker need not have this package.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 @contextmanager
 def stored_tables(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables stored inside the block are deleted at its end."""
