@@ -1,5 +1,7 @@
 import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,32 @@ def test_verdicts(pairs):
     assert first_two[1][0] == ("costs rise fast", 1 / 3, "costs fall")
 
 
+@pytest.mark.parametrize("shared", [1, 50, 1 << 21])
+def test_index_equals_every_pair(spark, monkeypatch, shared):
+    """The in-row index against one intersection per claim and premise, NULLs, ties and long lists included."""
+    monkeypatch.setattr(claims, "SHARED", shared)
+    monkeypatch.setattr(claims, "ROWS", 3)
+    rng = random.Random(shared)
+    text = lambda: rng.choice([None, "", "?", *[" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))] * 20])
+    rows = [(i, [text() for _ in range(rng.randint(0, 6))], [text() for _ in range(rng.randint(0, 7))]) for i in range(40)]
+    rows += [(40, None, ["a"]), (41, ["a"], None), (42, ["a b", "c"], [None, None]), (43, [text() for _ in range(80)], [text() for _ in range(90)])]
+    df = spark.createDataFrame(rows, "id long, c array<string>, p array<string>")
+
+    def verdict(claim, premises):
+        best, evidence = -1.0, ""
+        for premise in premises:
+            if claim is not None and premise is not None:
+                mine, other = set(re.findall(r"\w+", claim)), set(re.findall(r"\w+", premise))
+                value = len(mine & other) / max(1, len(mine))
+                if value > best:
+                    best, evidence = value, premise
+        return claim, best, evidence
+
+    for k in (None, 2):
+        got = verdict_map(claims.add_verdicts(df, "c", "p", k=k))
+        assert got == {i: None if c is None or p is None else [verdict(x, p[:k]) for x in c] for i, c, p in rows}
+
+
 def test_own_scorer_runs_per_batch_and_missing_scores_do_not_count(pairs):
     def factory():
         return lambda left, right: [math.nan if "x" in b else (None if "y" in b else len(b) / 100) for b in right]

@@ -1,7 +1,9 @@
 """Claim support: score each claim against premises, label it by threshold, summarise.
 
 A text's claims and premises stay in their row: the pairs are scored inside it and
-only the best premise per claim leaves, so no pair table is built or shuffled.
+only the best premise per claim leaves, so no pair table is built or shuffled. Under the
+default support the tokens of a row's premises form an inverted index; one pass over a
+claim's tokens counts what it shares with every premise, so premises that share nothing cost nothing.
 """
 
 from __future__ import annotations
@@ -9,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,40 +47,104 @@ def _distinct_tokens(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def _best(claim: Column, scores: Column, premises: Column) -> Column:
-    """First strict maximum over the premises; -1 and "" where no score counts."""
+#: Rows indexed together, and shared tokens counted at once.
+ROWS, SHARED = 256, 1 << 21
 
-    def verdict(s: Column) -> Column:
-        top = F.array_max(s)
-        found = top > -1.0
-        return F.struct(
-            claim.alias("claim"),
-            F.when(found, top).otherwise(F.lit(-1.0)).alias("p"),
-            F.when(found, F.element_at(premises, F.array_position(s, top).cast("int"))).otherwise("").alias("evidence"),
-        )
 
-    return let(F.transform(scores, lambda x: F.coalesce(F.nanvl(x, F.lit(-1.0)), F.lit(-1.0))), verdict)
+class _Lists:
+    """Lists of token lists, flat: each inner list's row and size (-1 where it is NULL), each token's inner list."""
+
+    def __init__(self, outer: pa.ListArray) -> None:
+        sizes = pc.fill_null(pc.list_value_length(outer), 0).to_numpy()
+        inner = outer.flatten()
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.size = pc.fill_null(pc.list_value_length(inner), -1).to_numpy().astype(np.int64)
+        self.words = inner.flatten()
+        self.owner = np.repeat(np.arange(len(self.size)), np.maximum(self.size, 0))
+
+
+def _supported(claims: pa.ListArray, premises: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """For each claim in order (its best support, the place of its first best premise in the row); -1 where none counts.
+
+    Both hold lists of distinct tokens, one for each claim and premise of a row.
+    """
+    left, right = _Lists(claims), _Lists(premises)
+    begin = np.searchsorted(right.row, np.arange(len(claims)))
+    # without a shared token the first premise that is not NULL is best, with no support
+    known = np.append(np.flatnonzero(right.size >= 0), len(right.size))
+    first = known[np.searchsorted(known, begin)[left.row]] if len(left.row) else np.zeros(0, np.int64)
+    some = (left.size >= 0) & (first < np.append(begin, len(right.row))[left.row + 1])
+    best, place = np.where(some, 0.0, -1.0), np.where(some, first - begin[left.row], -1)
+    if not len(left.owner) or not len(right.owner):
+        return best, place
+    # the index: the row's premises that hold a token, in order, under (row, token)
+    coded = pa.concat_arrays([left.words, right.words]).dictionary_encode()
+    codes, width = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    keys = right.row[right.owner] * width + codes[len(left.owner) :]
+    order = np.argsort(keys, kind="stable")
+    keys, holder = keys[order], right.owner[order]
+    wanted = left.row[left.owner] * width + codes[: len(left.owner)]
+    low, n = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, "right")
+    n -= low
+    # claims in order, as many at a time as share about SHARED tokens with premises
+    ends = np.searchsorted(left.owner, np.arange(1, len(left.size) + 1))
+    total = np.concatenate([[0], np.cumsum(n)])
+    claim = 0
+    while claim < len(left.size):
+        start = ends[claim - 1] if claim else 0
+        after = max(claim + 1, int(np.searchsorted(total[ends], total[start] + SHARED, "right")))
+        end = ends[after - 1]
+        own = n[start:end]
+        spots = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own) + np.repeat(low[start:end], own)
+        pairs = np.repeat(left.owner[start:end], own) * len(right.size) + holder[spots]
+        pairs, shared = np.unique(pairs, return_counts=True)
+        # of each claim's premises the one with most shared tokens, the earliest of several
+        of, premise = pairs // len(right.size), pairs % len(right.size)
+        order = np.lexsort((premise, -shared, of))
+        top = order[np.diff(of[order], prepend=-1) > 0]
+        best[of[top]] = shared[top] / left.size[of[top]]
+        place[of[top]] = premise[top] - begin[left.row[of[top]]]
+        claim = after
+    return best, place
+
+
+_FOUND = T.ArrayType(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("at", T.IntegerType())]))
+
+
+@F.arrow_udf(_FOUND)
+def _index_support(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for claims, premises in batches:
+        parts = []
+        for at in range(0, len(claims), ROWS):
+            own = claims.slice(at, ROWS)
+            best, place = _supported(own, premises.slice(at, ROWS))
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(own), 0).to_numpy())])
+            found = pa.StructArray.from_arrays([pa.array(best), pa.array(place + 1, pa.int32())], ["p", "at"])
+            parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found))
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("p", pa.float64()), ("at", pa.int32())])))
 
 
 def claim_verdicts(claims: Column, premises: Column, k: int | None = None) -> Column:
     """One verdict (claim, p, evidence) per claim under the default token support.
 
-    ``k`` is the number of leading premises tried; ``None`` tries all. NULL where either
-    list is missing; an empty list of premises supports nothing.
+    The first of the premises with the highest support is the evidence; -1 and "" where no
+    premise counts. ``k`` is the number of leading premises tried; ``None`` tries all. NULL
+    where either list is missing; an empty list of premises supports nothing. Only distinct tokens
+    cross to Python, in Arrow batches; the cost is linear in them and in the tokens shared.
     """
     pool = F.slice(premises, 1, k) if k is not None else premises
-    prepared = F.struct(pool.alias("texts"), F.transform(pool, _distinct_tokens).alias("sets"))
+    empty = F.array().cast("array<array<string>>")
+    sets = [F.coalesce(F.transform(x, _distinct_tokens), empty) for x in (claims, pool)]
 
-    def score_all(ready: Column) -> Column:
-        def one(claim: Column) -> Column:
-            return let(
-                _distinct_tokens(claim),
-                lambda ct: _best(claim, F.transform(ready["sets"], lambda pt: token_support(ct, pt)), ready["texts"]),
-            )
+    def name(found: Column) -> Column:
+        def verdict(claim: Column, i: Column) -> Column:
+            own = F.get(found, i)
+            evidence = F.when(own["at"] > 0, F.get(pool, own["at"] - 1)).otherwise("")
+            return F.struct(claim.alias("claim"), own["p"].alias("p"), evidence.alias("evidence"))
 
-        return F.transform(claims, one)
+        return F.transform(claims, verdict)
 
-    return F.when(premises.isNotNull(), let(prepared, score_all))
+    return F.when(premises.isNotNull(), let(_index_support(*sets), name))
 
 
 #: Pairs that a user's scorer sees at once.
@@ -141,7 +209,7 @@ def add_verdicts(
 
     ``scorer`` is a factory of a batch scorer ``(claims, premises) -> scores in
     [0, 1]``; it is called once per task, and its scorer on slices of pairs.
-    Without one the native token support is used and no Python worker runs.
+    Without one the default token support is used.
     """
     if scorer is None:
         return df.withColumn(out, claim_verdicts(F.col(claims), F.col(premises), k))
