@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textscore.llm import bpe, chat, forest, html_text, language, lexical, minhash, mixing, negatives, packing, top_k, toxicity, url_rules
-from textscore.llm.common import remainder, table
+from textscore.llm.common import remainder, sample_per_class, table
+from textscore.session import store
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 PACKED_FILE = "byte_bpe_50k.json"
+#: Labelled documents of each kind that toxicity is learned from, about.
+TOXICITY_ROWS = 8000
 
 #: Fixed values of the URL filter.
 URL_RULES = [
@@ -27,9 +30,14 @@ def language_model(docs: DataFrame) -> language.LanguageModel:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
-    """Learned from the labelled documents whose number's crc32 is no multiple of 5."""
-    labelled = labels.where(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "toxic").where("toxic in (0, 1)")
-    return toxicity.fit(docs.select("doc_id", "text").join(labelled, "doc_id"))
+    """Learned from a bounded sample of the labelled documents whose number's crc32 is no multiple of 5.
+
+    The sample is drawn from the labels alone, so only its texts are read for good.
+    """
+    labelled = labels.where(remainder(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("labelled"), "toxic").where("toxic in (0, 1)").distinct()
+    sample = sample_per_class(labelled, "toxic", "labelled", TOXICITY_ROWS)
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).drop("labelled")
+    return toxicity.fit(store(texts, "labelled"), rows=TOXICITY_ROWS)
 
 
 def op1_top_k(spark: SparkSession, folder: str) -> DataFrame:
