@@ -97,8 +97,43 @@ def test_very_long_text(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
 
 
-def test_blocks_meet_once(spark):
-    signed = [(i, np.full(minhash.PLACES, i // 2, np.uint32).tobytes()) for i in range(8)]
-    rows = [(1, i % 3, 3, i, i, s) for i, s in signed]
-    mixed = spark.createDataFrame(rows, "bucket long, part int, parts int, id long, class long, signature binary")
-    assert sorted(map(tuple, minhash._near(mixed, 100, 4).collect())) == [(1, 0), (3, 2), (5, 4), (7, 6)]
+def test_repeated_ids_of_different_texts(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b), (9, a)], "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    # 5 counts with one of its texts; neither text is lost
+    assert found in ([(3, 3, True), (5, 3, False), (5, 3, False), (9, 9, True)], [(3, 3, True), (5, 5, True), (5, 5, True), (9, 5, False)])
+
+
+def test_two_large_classes_in_blocks(spark, monkeypatch):
+    """Two groups of near copies that share half their shingles: no link between them but one, in whichever block it falls."""
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    rnd = random.Random(5)
+    base = [f"w{rnd.randint(0, 10**6)}" for _ in range(120)]
+    other = base[:95] + [f"v{i}" for i in range(25)]
+    texts = [" ".join(edited(x, rnd, 0.008)) for x in (base, other) for _ in range(110)]
+    texts.append(" ".join(base[:95] + base[95:107] + other[107:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert found == classes(texts)
+
+
+def test_every_pair_of_blocks_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    ids = range(10)
+    crowded = spark.createDataFrame([(7, 2, i) for i in ids] + [(8, 0, 1)], "bucket long, band int, id long")
+    classes = spark.createDataFrame([(i, i // 4) for i in ids], "node long, component long")
+    signs = spark.createDataFrame([(i, np.full(minhash.PLACES, 0, np.uint32).tobytes()) for i in ids], "id long, signature binary")
+    met = []
+    for group in minhash._groups(minhash._blocks(crowded, classes, signs).toArrow().to_batches(max_chunksize=4)):
+        own, at = group.column("id").to_pylist(), group.column("band")[0].as_py()
+        assert at == 2
+        met += [frozenset((own[i], own[j])) for i, j in zip(*map(np.concatenate, zip(*minhash._near(_banded(group, at), 5), strict=True)), strict=True)] if own else []
+    assert sorted(map(sorted, met)) == sorted([a, b] for a in ids for b in ids if a < b and a // 4 != b // 4)
+
+
+def _banded(group, band):
+    """The group with signatures that agree from ``band`` on."""
+    values = np.arange(minhash.PLACES, dtype=np.uint32)
+    signed = [np.where(values < band * minhash.ROWS, i * 1000 + values, 0).astype(np.uint32).tobytes() for i in range(1, group.num_rows + 1)]
+    return group.set_column(group.schema.get_field_index("signature"), "signature", [signed])

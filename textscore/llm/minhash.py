@@ -13,15 +13,17 @@ keeps its earliest point, so two signatures agree in a place with the probabilit
 weighted Jaccard similarity. Points later than any that can still win are never made.
 
 Candidates: documents with equal word sequences fold into one first. The others meet in
-buckets by bands of the signature. Each bucket links its members to its smallest one, not to
-each other; the links are checked exactly on the texts. Where a bucket's members then still
-belong to several classes, members of different classes whose signatures agree well enough
-are checked too, the nearest first, until none is left unchecked. So no pair of
-members of one class need ever be listed.
+buckets by bands of the signature. Each bucket chooses a centre by a hash, and its members are
+checked against the centre, exactly, on the texts: as many pairs as members, and most of what belongs
+together meets. The members of buckets that still hold several classes are compared in blocks: first
+by signatures, to find who has a candidate in another class at all, then those by their
+texts. A task unites classes as it finds links and returns only links that united two, so no pair of
+members of one class is listed, and no list grows with the product of two classes' sizes.
+A pair that shares several buckets is compared in the one of its first band.
 
 NULL and empty texts, and texts without a word, are linked with nothing. Rows with a NULL
 doc_id are linked with nothing and stay. Rows with one doc_id are one document; of several
-texts under one, one fixed by the texts alone counts.
+texts under one that hold a word, the one with the smallest digest counts throughout.
 """
 
 from __future__ import annotations
@@ -42,8 +44,10 @@ from textscore.session import store
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 PLACES = BANDS * ROWS
-#: Documents of a mixed bucket that one task compares with each other at once.
-BLOCK = 2048
+#: Documents, and bytes of their texts, of one block; two blocks of a bucket meet in a task.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Signatures, and pairs of them, compared at once.
+TILE, PAIRS = 64, 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -120,28 +124,29 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], places: int = PLACES)
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(id, one, two, signature) of the documents (id, text) that hold a word; one and two digest the word sequence."""
+    """(id, mark, one, two, signature) of the documents (id, mark, text) that hold a word; one and two digest the word sequence."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet = chars.Alphabet()
         for batch in slices(batches):
-            words = word_hashes(batch.column(1).to_pylist(), batch.num_rows, alphabet)
+            words = word_hashes(batch.column(2).to_pylist(), batch.num_rows, alphabet)
             kept = [i for i, w in enumerate(words) if len(w)]
             found = signatures([shingles(words[i]) for i in kept])
             digests = []
             for i in kept:
                 place = np.arange(1, len(words[i]) + 1, dtype=np.uint64)
                 digests.append([int(chars.mix(chars.mix(words[i] + place * f) * f).sum(dtype=np.uint64).astype(np.int64)) for f in _FACTORS[:2]])
+            chosen = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(kept, pa.int64())), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
-                names=["id", "one", "two", "signature"],
+                [batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
+                names=["id", "mark", "one", "two", "signature"],
             )
 
-    return docs.mapInArrow(run, "id long, one long, two long, signature binary")
+    return docs.mapInArrow(run, "id long, mark binary, one long, two long, signature binary")
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """(bucket, id): one row per document and band."""
+    """(bucket, band, id): one row per document and band."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,9 +154,10 @@ def bands(signed: DataFrame) -> DataFrame:
             keys = np.arange(BANDS, dtype=np.uint64)[None, :] * _STEP + np.zeros((len(found), 1), np.uint64)
             for i in range(ROWS):
                 keys = chars.mix(keys ^ (found[:, :, i] * _FACTORS[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), BANDS)))], names=["bucket", "id"])
+            numbers = np.tile(np.arange(BANDS, dtype=np.int32), len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(numbers), batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), BANDS)))], names=["bucket", "band", "id"])
 
-    return signed.select("id", "signature").mapInArrow(run, "bucket long, id long")
+    return signed.select("id", "signature").mapInArrow(run, "bucket long, band int, id long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -175,104 +181,159 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return with_both.where(similarity("text_a", "text_b") >= threshold).select("a", "b")
 
 
-def _mixed(crowded: DataFrame, classes: DataFrame, signed: DataFrame) -> DataFrame:
-    """(bucket, part, parts, id, class, signature) of the members of buckets that hold several classes."""
-    named = crowded.join(classes.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class"))
-    mixed = named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low < high")
-    members = named.join(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "bucket")
-    members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    return members.join(signed.select("id", "signature"), "id").select("bucket", "part", "parts", "id", "class", "signature")
+def _named(crowded: DataFrame, classes: DataFrame) -> DataFrame:
+    """``crowded`` with each document's class, the document itself where it has none."""
+    return crowded.join(classes.withColumnRenamed("node", "id"), "id", "left").select(*crowded.columns, F.coalesce("component", "id").alias("class"))
 
 
-def _closest(one: np.ndarray, two: np.ndarray, ids: tuple, classes: tuple, same: bool, least: int, most: int) -> Iterator[tuple[int, int]]:
-    """(larger, smaller id) of rows of ``one`` and ``two`` in different classes that agree in ``least`` places.
+def _to_centres(crowded: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket and the bucket's centre."""
+    centres = crowded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("centre"))).alias("c"))
+    met = crowded.join(centres.select("bucket", "c.centre"), "bucket").where("id != centre")
+    return met.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
 
-    Only rows of different classes are compared: where one class fills a block, each of
-    its rows meets the few others.
-    """
-    for class_ in np.unique(classes[0]).tolist():
-        rows = np.flatnonzero(classes[0] == class_)
-        # each pair of one block once: from the smaller class
-        others = np.flatnonzero(classes[1] > class_ if same else classes[1] != class_)
-        if not len(others):
-            continue
-        for i in rows.tolist():
-            agree = (two[others] == one[i]).sum(axis=1)
-            near = np.flatnonzero(agree >= least)
-            if len(near) > most:
-                near = near[np.argsort(-agree[near], kind="stable")]
-                _, place = np.unique(classes[1][others[near]], return_inverse=True)
-                order = np.argsort(place, kind="stable")
-                rank = np.arange(len(order)) - np.searchsorted(place[order], place[order])
-                near = near[order[rank < most]]
-            for other in ids[1][others[near]].tolist():
-                yield max(ids[0][i], other), min(ids[0][i], other)
-
-
-def _near(mixed: DataFrame, least: int, most: int) -> DataFrame:
-    """(a, b) with a > b: members of different classes that share a bucket and agree in ``least`` places.
-
-    Each block of a bucket meets each other block once, so a task holds two blocks at a time;
-    of one document and one other class, the ``most`` closest members are listed.
+
+def _blocks(crowded: DataFrame, classes: DataFrame, held: DataFrame) -> DataFrame:
+    """(bucket, band, low, high, part, class, and the columns of ``held``): the members of mixed buckets, dealt to pairs of blocks."""
+    size = F.octet_length("text") if "text" in held.columns else F.lit(0)
+    named = _named(crowded.select("bucket", "band", "id"), classes).join(held.select("id", size.alias("size")), "id")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("parts")
+    mixed = named.groupBy("bucket", "band").agg(F.min("class").alias("_low"), F.max("class").alias("_high"), parts).where("_low < _high")
+    members = named.drop("size").join(mixed.select("bucket", "band", "parts"), ["bucket", "band"])
+    members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = spread.select("bucket", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class", "id")
+    whole = keys.join(held, "id").select(*(c for c in keys.columns if c != "id"), *held.columns)
+    return whole.repartition("bucket", "band", "low", "high").sortWithinPartitions("bucket", "band", "low", "high")
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (bucket, band, low, high), which come one after the other; two blocks at a time are held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy() for i in range(4)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if start == end:
+                continue
+            key = tuple(keys[:, start].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(group: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, rows) of members of different classes that agree in ``least`` places, the group's bucket being their first in common.
+
+    Each pair once; where one class fills a block, each of its rows meets the few others.
     """
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    spread = mixed.select("*", other).select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.struct("part", "id", "class", "signature").alias("it"))
+    low, high, part, classes = (group.column(n).to_numpy() for n in ("low", "high", "part", "class"))
+    band = int(group.column("band")[0].as_py())
+    signed = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(part), -1)
+    same, one, two = low[0] == high[0], np.flatnonzero(part == low[0]), np.flatnonzero(part == high[0])
+    for class_ in np.unique(classes[one]).tolist():
+        rows = one[classes[one] == class_]
+        others = two[classes[two] > class_] if same else two[classes[two] != class_]
+        for at in range(0, len(rows) if len(others) else 0, TILE):
+            some = rows[at : at + TILE]
+            step = max(1, PAIRS // len(some))
+            for to in range(0, len(others), step):
+                agree = signed[some][:, None] == signed[others[to : to + step]][None]
+                left, right = np.nonzero(np.count_nonzero(agree, axis=2) >= least)
+                if len(left):
+                    first = agree[left, right].reshape(len(left), -1, ROWS).all(axis=2).argmax(axis=1) == band
+                    yield some[left[first]], others[to + right[first]]
+
+
+def _flagged(blocks: DataFrame, least: int) -> DataFrame:
+    """(id): the members with a candidate in another class, by signatures."""
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            found: set[tuple[int, int]] = set()
-            for low, high, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                flat = members.values
-                ids, classes, parts = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("id", "class", "part"))
-                signed = np.frombuffer(b"".join(flat.field("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
-                x, y = parts == low, parts == high
-                found.update(_closest(signed[x], signed[y], (ids[x], ids[y]), (classes[x], classes[y]), low == high, least, most))
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            flags = np.zeros(group.num_rows, bool)
+            for left, right in _near(group, least):
+                flags[left] = flags[right] = True
+            yield pa.RecordBatch.from_arrays([pa.array(group.column("id").to_numpy()[flags])], names=["id"])
+
+    return blocks.mapInArrow(run, "id long").distinct()
 
-    blocks = spread.groupBy("bucket", "low", "high").agg(F.collect_list("it").alias("members"))
-    return blocks.select("low", "high", "members").mapInArrow(compare, "a long, b long").distinct()
 
+def _uniting(blocks: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(a, b): links that unite classes, as many in each block as classes go together."""
 
-def _texts_of(given: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the chosen documents, stored; their ids are broadcast if their counted size allows."""
-    chosen = ids.select(F.col("id").alias("chosen")).distinct()
-    side = F.broadcast(chosen) if fits(chosen, 16) else chosen
-    return store(given.join(side, F.col("id") == F.col("chosen"), "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabet = chars.Alphabet()
+        for group in _groups(batches):
+            ids, classes, texts = group.column("id").to_numpy(), group.column("class").to_pylist(), group.column("text")
+            parent: dict[int, int] = {}
+            bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+            def root(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            def bag(row: int) -> tuple[np.ndarray, np.ndarray]:
+                if row not in bags:
+                    bags[row] = shingles(word_hashes([texts[row].as_py()], 1, alphabet)[0])
+                return bags[row]
+
+            links = []
+            for left, right in _near(group, least):
+                for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                    x, y = root(classes[i]), root(classes[j])
+                    if x != y and overlap(bag(i), bag(j)) >= threshold:
+                        parent[x] = y
+                        links.append((int(ids[i]), int(ids[j])))
+            found = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long").distinct()
+
+
+def _texts_of(given: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, text) of the chosen (id, mark), stored; these are broadcast if their counted size allows."""
+    side = chosen.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+    side = F.broadcast(side) if fits(side, 48) else side
+    return store(given.join(side, (F.col("id") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi").select("id", "text").dropDuplicates(["id"]), "texts")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(key, component_id, kept): the class of every row of ``docs``, and whether it is the row that stays."""
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = store(sign(given.where(F.col("id").isNotNull())), "signatures")
+    given = given.where("id is not null and text is not null").select("id", F.unhex(F.md5("text")).alias("mark"), "text")
+    signed = store(sign(given), "signatures")
 
-    # equal word sequences fold into the smallest id
-    first = signed.groupBy("one", "two").agg(F.min("id").alias("first"))
-    named = signed.select("id", "one", "two").join(first, ["one", "two"])
-    copies = store(named.groupBy("id").agg(F.min("first").alias("first")), "copies")
-    alone = signed.join(copies.where("id = first").select("id"), "id", "left_semi")
-    unique = store(alone.groupBy("id").agg(F.min("signature").alias("signature")), "unique")
+    # one text per id; equal word sequences fold into the smallest id
+    ids = store(signed.groupBy("id").agg(F.min(F.struct("mark", "one", "two")).alias("it")).select("id", "it.*"), "ids")
+    first = store(ids.groupBy("one", "two").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    copies = store(ids.join(first, ["one", "two"], "left").select("id", "mark", F.coalesce("first", "id").alias("first")), "copies")
+    alone = signed.select("id", "mark", "signature").join(copies.where("id = first").select("id", "mark"), ["id", "mark"], "left_semi")
+    unique = store(alone.dropDuplicates(["id"]), "unique")
 
     # only documents that share a bucket go on
     banded = store(bands(unique), "bands")
-    centres = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    crowded = store(banded.join(centres.select("bucket", "centre"), "bucket"), "crowded")
-    texts = _texts_of(given, crowded)
-    pairs = store(crowded.where("id > centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    links = store(verified(pairs, texts, threshold), "links")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = store(banded.join(shared.select("bucket"), "bucket"), "crowded")
+    marked = store(unique.select("id", "mark").join(crowded.select("id").distinct(), "id", "left_semi"), "marked")
+    texts = _texts_of(given, marked)
 
-    # the nearest few first, so that most classes meet cheaply; then every pair that is left
+    links = store(verified(_to_centres(crowded), texts, threshold), "links")
     classes = store(components(links), "classes")
+
+    # what is left is compared in blocks: signatures first, then the texts of those with a candidate
     least = int(PLACES * (threshold - 4 * np.sqrt(threshold * (1 - threshold) / PLACES)))
-    mixed = None
-    for most in (4, BLOCK):
-        mixed = mixed or store(_mixed(crowded.select("bucket", "id"), classes, unique), "mixed")
-        more = store(_near(mixed, least, most).join(pairs, ["a", "b"], "left_anti"), "more")
-        found = store(verified(more, texts, threshold), "links")
-        pairs = pairs.union(more)
-        if not found.isEmpty():
-            links, mixed = links.union(found), None
-            classes = store(components(links), "classes")
+    signs = unique.select("id", "signature")
+    flagged = store(_flagged(_blocks(crowded, classes, signs), least), "flagged")
+    chosen = signs.join(flagged, "id", "left_semi").join(texts, "id")
+    found = store(_uniting(_blocks(crowded, classes, chosen), least, threshold), "links")
+    if not found.isEmpty():
+        classes = store(components(links.union(found)), "classes")
 
     joined = copies.join(classes.withColumnRenamed("node", "first"), "first", "left").select(F.col("id").alias("_id"), F.coalesce("component", "first").alias("_class"))
     whole = docs.select(F.col(key)).join(joined, F.col(key).cast("long") == F.col("_id"), "left")
