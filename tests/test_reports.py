@@ -115,17 +115,50 @@ def test_filter_on_the_index_of_a_derived_table_plans_quickly(spark):
     assert time.time() - start < 30
 
 
+@pytest.mark.parametrize("ranges", [None, 8, 40])
 @pytest.mark.parametrize("by", [["strategy"], ["department", "strategy"]])
-def test_exact_quantiles(table, by):
+def test_exact_quantiles(table, by, ranges):
     df, pdf = table
     for value in ("answer_hedge_to_booster_ratio", "answer_causal_density", "f1_bert"):
-        got = quantiles.grouped_quantiles(df, by, value, (0.0, 0.1, 0.25, 0.5, 0.9, 1.0), buckets=8).toPandas().set_index(by)
+        got = quantiles.grouped_quantiles(df, by, value, (0.0, 0.1, 0.25, 0.5, 0.9, 1.0), ranges=ranges).toPandas().set_index(by)
         groups = pdf.dropna(subset=by).groupby(by)[value]
         assert len(got) == groups.ngroups
         for i, p in enumerate((0.0, 0.1, 0.25, 0.5, 0.9, 1.0)):
             np.testing.assert_allclose(got[f"q{i}"].sort_index(), groups.quantile(p).sort_index(), atol=1e-12)
 
 
+@pytest.mark.parametrize("ranges", [1, 7, 300])
+def test_quantiles_of_hot_groups_and_values(spark, ranges):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=3000), np.zeros(3000), [1e300, -1e300, 5.0]])
+    g = np.concatenate([rng.choice(["a", "b", "c"], 6000, p=[0.9, 0.07, 0.03]), ["d", "d", "e"]])
+    frame = pd.DataFrame({"g": g, "x": x})
+    df = spark.createDataFrame(frame).union(spark.createDataFrame([(None, 1.0), ("a", None)], "g string, x double"))
+    at = (0.0, 0.01, 0.25, 1 / 3, 0.5, 0.999, 1.0)
+    got = quantiles.grouped_quantiles(df, ["g"], "x", at, ranges=ranges).toPandas().set_index("g").sort_index()
+    assert list(got.index) == list("abcde")
+    for i, p in enumerate(at):
+        np.testing.assert_allclose(got[f"q{i}"], frame.groupby("g").x.quantile(p).sort_index(), rtol=1e-12, atol=1e-12)
+
+
+def test_boxes_take_few_jobs(spark, table):
+    df, _ = table
+    df = df.cache()
+    df.count()
+    for ranges, most in ((250_000, 15), (20, 15)):
+        quantiles.RANGE, before = ranges, quantiles.RANGE
+        spark.sparkContext.setJobGroup(f"boxes-{ranges}", "boxes")
+        try:
+            boxes = quantiles.box_statistics(df, ["strategy"], "f1_bert")
+            assert "filter(" not in boxes._jdf.queryExecution().optimizedPlan().toString()
+            boxes.collect()
+        finally:
+            quantiles.RANGE = before
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boxes-{ranges}"))
+        assert jobs <= most
+
+
 def test_the_large_side_of_boxes_is_not_shuffled_by_group(spark, table):
     df, _ = table
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialise, store
+from ..session import store
 from .joins import all_of, fits
 
 
-#: Distinct (group, value) pairs that one bucket is to hold, about; a bucket is sorted by one task.
-BUCKET = 250_000
+#: Distinct (group, value) pairs that one task sorts, about.
+RANGE = 250_000
 
 
 def _per_group(table: DataFrame, row_bytes: int) -> DataFrame:
@@ -32,16 +32,16 @@ def grouped_quantiles(
     by: Sequence[str],
     value: str,
     probabilities: Sequence[float],
-    buckets: int | None = None,
+    ranges: int | None = None,
     approximate: bool = False,
 ) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` per group, as columns ``q0``, ``q1``, ...
 
     Rows with a NULL key or value are left out. Equal values are counted together
-    before the first shuffle. A sketch per group then only *places* bucket borders;
-    ranks are exact: bucket totals tell which bucket holds a rank, and the values of
-    those buckets alone are sorted, each bucket by its own task. The number of buckets
-    follows the counted distinct values. ``approximate`` returns the sketch's answer instead.
+    before the first shuffle. Where all counted values are few, each group is sorted by
+    one task. Else they are dealt by ranges of (group, value), each of about ``RANGE`` values, and stored:
+    totals of the ranges, added up in their order, tell which range holds a rank, and those ranges alone
+    are read again and sorted. ``ranges`` overrides their number. ``approximate`` returns a sketch's answer instead.
     """
     by = list(by)
     if approximate:
@@ -50,52 +50,36 @@ def grouped_quantiles(
         return clean.groupBy(*by).agg(cuts.alias("q")).select(
             *by, *[F.col("q")[i].cast("double").alias(f"q{i}") for i in range(len(probabilities))]
         )
-    return _counted_quantiles(_value_counts(df, by, value), by, probabilities, buckets)
-
-
-def _counted_quantiles(counts: DataFrame, by: list[str], probabilities: Sequence[float], buckets: int | None = None) -> DataFrame:
-    buckets = buckets or max(8, -(-counts.count() // BUCKET))
-    borders = counts.groupBy(*by).agg(
-        F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("borders"),
-        F.sum("n").alias("total"),
-    )
-    borders = materialise(borders)  # a recomputed sketch could move a border
-    placed = counts.join(_per_group(borders.select(*by, "borders"), 64 + 8 * buckets), by).select(
-        *by, "x", "n", F.array_size(F.filter("borders", lambda b: b < F.col("x"))).alias("bucket")
-    )
-    filled = placed.groupBy(*by, "bucket").agg(F.sum("n").alias("bucket_n"))
-    upto = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    filled = filled.withColumn("before", F.coalesce(F.sum("bucket_n").over(upto), F.lit(0)))
-
+    return _counted_quantiles(_value_counts(df, by, value), by, probabilities, ranges)
+
+
+def _reach(counts: DataFrame, by: list[str], ranges: int, ranks: list) -> DataFrame:
+    """The counted values that may hold a rank, with the rows up to each (``reach``) and the group's ``total``."""
+    upto = lambda keys, order: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy(*by)
+    if ranges <= 1:
+        return counts.select(*by, "x", "n", F.sum("n").over(upto(by, "x")).alias("reach"), F.sum("n").over(whole).alias("total"))
+    # a range's number is its partition's; stored, so that a lost executor cannot move a border
+    dealt = store(counts.repartitionByRange(ranges, *by, "x").withColumn("range", F.spark_partition_id()), "ranges")
+    filled = dealt.groupBy(*by, "range").agg(F.sum("n").alias("range_n"))
+    filled = filled.select(*by, "range", (F.sum("range_n").over(upto(by, "range")) - F.col("range_n")).alias("before"), "range_n", F.sum("range_n").over(whole).alias("total"))
+    # a few ranges per group
+    located = filled.where(F.array_max(F.array(*[(r >= F.col("before")) & (r < F.col("before") + F.col("range_n")) for r in ranks])))
+    inside = dealt.join(_per_group(store(located.drop("range_n"), "located"), 128), [*by, "range"])
+    return inside.select(*by, "x", "n", (F.col("before") + F.sum("n").over(upto([*by, "range"], "x"))).alias("reach"), "total")
+
+
+def _counted_quantiles(counts: DataFrame, by: list[str], probabilities: Sequence[float], ranges: int | None = None) -> DataFrame:
+    ranges = ranges or -(-counts.count() // RANGE)
     at = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
-    ranks = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), edge(pos).cast("long").alias("rank"))
-            for i, pos in enumerate(at)
-            for side, edge in (("lo", F.floor), ("hi", F.ceil))
-        ]
-    )
-    wanted = borders.select(*by, "total", F.explode(ranks).alias("w")).select(*by, "total", "w.*")
-    # a few rows per group: which bucket holds each rank wanted
-    located = wanted.join(filled, by).filter("rank >= before AND rank < before + bucket_n")
-    located = materialise(located.select(*by, "bucket", "total", "i", "side", (F.col("rank") - F.col("before")).alias("offset")))
-
-    inside = placed.join(_per_group(located.select(*by, "bucket").distinct(), 64), [*by, "bucket"], "left_semi")
-    ordered = W.partitionBy(*by, "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = inside.withColumn("reach", F.sum("n").over(ordered))
-    hit = inside.join(_per_group(located, 64), [*by, "bucket"]).filter("offset < reach AND offset >= reach - n")
-
-    wide = hit.groupBy(*by).agg(
-        F.max("total").alias("total"),
-        *[
-            F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col("x"))).alias(f"{side}{i}")
-            for i in range(len(probabilities))
-            for side in ("lo", "hi")
-        ],
-    )
+    ranks = [edge(pos).cast("long") for pos in at for edge in (F.floor, F.ceil)]
+    placed = _reach(counts, by, ranges, ranks)
+    held = [(F.col("reach") > r) & (F.col("reach") - F.col("n") <= r) for r in ranks]
+    values = [F.max(F.when(h, F.col("x"))).alias(f"v{i}") for i, h in enumerate(held)]
+    wide = placed.groupBy(*by).agg(F.max("total").alias("total"), *values)
     columns = []
     for i, pos in enumerate(at):
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        lo, hi = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
         columns.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(f"q{i}"))
     return wide.select(*by, *columns)
 
@@ -110,7 +94,7 @@ def box_statistics(df: DataFrame, by: Sequence[str], value: str, approximate: bo
     probabilities = (0.25, 0.5, 0.75)
     q = grouped_quantiles(df, by, value, probabilities, approximate=True) if approximate else _counted_quantiles(counts, by, probabilities)
     reach = 1.5 * (F.col("q2") - F.col("q0"))
-    fences = materialise(
+    fences = store(
         q.select(
             *by,
             F.col("q0").alias("q1"),
@@ -118,7 +102,8 @@ def box_statistics(df: DataFrame, by: Sequence[str], value: str, approximate: bo
             F.col("q2").alias("q3"),
             (F.col("q0") - reach).alias("low_fence"),
             (F.col("q2") + reach).alias("high_fence"),
-        )
+        ),
+        "fences",
     )
     x = F.col("x")
     within = x.between(F.col("low_fence"), F.col("high_fence"))
@@ -141,6 +126,6 @@ def outliers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     by = list(by)
     q = grouped_quantiles(df, by, value, (0.25, 0.75))
     reach = 1.5 * (F.col("q1") - F.col("q0"))
-    fences = materialise(q.select(*by, (F.col("q0") - reach).alias("__lo"), (F.col("q1") + reach).alias("__hi")))
+    fences = store(q.select(*by, (F.col("q0") - reach).alias("__lo"), (F.col("q1") + reach).alias("__hi")), "fences")
     kept = df.join(_per_group(fences, 64), by).filter((F.col(value) < F.col("__lo")) | (F.col(value) > F.col("__hi")))
     return kept.select(*df.columns)
