@@ -136,15 +136,17 @@ def claim_verdicts(claims: Column, premises: Column, k: int | None = None) -> Co
     empty = F.array().cast("array<array<string>>")
     sets = [F.coalesce(F.transform(x, _distinct_tokens), empty) for x in (claims, pool)]
 
-    def name(found: Column) -> Column:
+    def name(given: Column) -> Column:
         def verdict(claim: Column, i: Column) -> Column:
-            own = F.get(found, i)
-            evidence = F.when(own["at"] > 0, F.get(pool, own["at"] - 1)).otherwise("")
+            own = F.get(given["found"], i)
+            evidence = F.when(own["at"] > 0, F.get(given["texts"], own["at"] - 1)).otherwise("")
             return F.struct(claim.alias("claim"), own["p"].alias("p"), evidence.alias("evidence"))
 
-        return F.transform(claims, verdict)
+        return F.transform(given["claims"], verdict)
 
-    return F.when(premises.isNotNull(), let(_index_support(*sets), name))
+    # bound once: a lambda would evaluate the lists for every claim
+    given = F.struct(claims.alias("claims"), pool.alias("texts"), _index_support(*sets).alias("found"))
+    return F.when(premises.isNotNull(), let(given, name))
 
 
 #: Pairs that a user's scorer sees at once.
