@@ -872,3 +872,44 @@ add(
     || 'Review the plan in ' || lang || '.' AS answer FROM documents""",
     counts=_COUNTS["counts"].replace("answer FROM answers", "answer, answer AS human_answer FROM answers"),
 )
+
+# ---- embeddings ----
+
+_VECTORS = {
+    "v": "SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0",
+    "flat": "SELECT vec_id, label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v",
+}
+_CENTRED = {
+    **_VECTORS,
+    "mean": "SELECT i, avg(x) AS mu FROM flat GROUP BY i",
+    "centred": "SELECT vec_id, i, x - mu AS d FROM flat JOIN mean USING (i)",
+}
+add(
+    "pca_variance",
+    """SELECT count(DISTINCT i) AS components, round(sum(v) FILTER (i = j), 6) AS total, round(sum(v * v), 6) AS squares,
+    (SELECT round(avg(mu), 6) FROM mean) AS mean FROM covariance""",
+    **_CENTRED,
+    covariance="SELECT a.i, b.i AS j, sum(a.d * b.d) / (count(*) - 1) AS v FROM centred a JOIN centred b USING (vec_id) GROUP BY a.i, b.i",
+)
+add(
+    "pca_distances",
+    "SELECT vec_id, round(sqrt(sum(d * d)), 5) AS distance FROM embeddings LEFT JOIN centred USING (vec_id) GROUP BY vec_id",
+    **_CENTRED,
+)
+add(
+    "group_marginals",
+    "SELECT a, b, round(sqrt(sum(value) / count(*)), 6) AS distance FROM lines GROUP BY a, b",
+    **_VECTORS,
+    placed="""SELECT label, i, x, row_number() OVER (PARTITION BY label, i ORDER BY x) - 1 AS r, count(*) OVER (PARTITION BY label, i) AS n
+    FROM flat WHERE label IS NOT NULL""",
+    lines="""SELECT p.label AS a, q.label AS b, p.i, sum((least((p.r + 1) / p.n, (q.r + 1) / q.n) - greatest(p.r / p.n, q.r / q.n)) * (p.x - q.x) * (p.x - q.x)) AS value
+    FROM placed p JOIN placed q ON p.i = q.i AND p.label < q.label AND (p.r + 1) * q.n > q.r * p.n AND (q.r + 1) * p.n > p.r * q.n
+    GROUP BY p.label, q.label, p.i""",
+)
+add(
+    "group_gaussians",
+    "SELECT p.label AS a, q.label AS b, round(sqrt((p.m - q.m) * (p.m - q.m) + (p.s - q.s) * (p.s - q.s)), 6) AS distance FROM moments p JOIN moments q ON p.label < q.label",
+    **_VECTORS,
+    moments="""SELECT label, avg(x) AS m, coalesce(stddev_samp(x), 0) AS s
+    FROM (SELECT label, list_sum(e) / len(e) AS x FROM v WHERE label IS NOT NULL) GROUP BY label""",
+)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textscore import functions as ts
 from textscore.functions import annotate, judgments, registry, text
 from textscore.functions.lexicons import CLOSED_CLASSES
-from textscore.operators import claims, entities, joins, normalize, quantiles, reports, sampling, similarity, surprisal
+from textscore.operators import claims, embeddings, entities, joins, normalize, quantiles, reports, sampling, similarity, surprisal
 from textscore.plans import main_metrics as main_plan
 from textscore.plans import reference_free as free_plan
 from textscore.session import store, work_path
@@ -746,3 +746,44 @@ def stream_measures(spark, folder):
         )
     )
     return rounded(_run(spark, scored, "measures"))
+
+
+# ---- embeddings -----------------------------------------------------------------
+
+
+@query
+def pca_variance(spark, folder):
+    """Sum and sum of squares of the variances along all principal components, and the vectors' mean component."""
+    found = embeddings.fit_components(given(spark, folder, "embeddings"), "embedding")
+    report = found.report(spark)
+    sums = report.agg(F.count("*").alias("components"), F.round(F.sum("variance"), 6).alias("total"), F.round(F.sum(F.col("variance") * F.col("variance")), 6).alias("squares"))
+    return sums.withColumn("mean", F.round(F.lit(float(found.mean.mean())), 6))
+
+
+@query
+def pca_distances(spark, folder):
+    """Every vector's distance from the mean, from its coordinates along all principal components."""
+    table = given(spark, folder, "embeddings")
+    placed = embeddings.fit_components(table, "embedding").transform(table, "embedding")
+    square = F.aggregate("components", F.lit(0.0), lambda total, x: total + x * x)
+    return placed.select("vec_id", F.round(F.sqrt(square), 5).alias("distance"))
+
+
+@query
+def group_marginals(spark, folder):
+    """Sliced 2-Wasserstein distance of every pair of labels, along the axes."""
+    return rounded(embeddings.sliced_distances(given(spark, folder, "embeddings"), "label", "embedding"))
+
+
+@query
+def group_gaussians(spark, folder):
+    """Gaussian 2-Wasserstein distance of every pair of labels, of each vector's mean component: the one-dimensional closed form."""
+    mean = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x.cast("double")) / F.size("embedding")
+    table = given(spark, folder, "embeddings").select("label", F.array(mean).alias("mean"))
+    return rounded(embeddings.gaussian_distances(table, "label", "mean"))
+
+
+@query
+def group_gaussians_whole(spark, folder):
+    """The same of whole vectors, every label against label 0."""
+    return rounded(embeddings.gaussian_distances(given(spark, folder, "embeddings"), "label", "embedding", against=0))

@@ -53,8 +53,11 @@ def grouped_quantiles(
     return _counted_quantiles(_value_counts(df, by, value), by, probabilities, ranges)
 
 
-def _reach(counts: DataFrame, by: list[str], ranges: int, ranks: list) -> DataFrame:
-    """The counted values that may hold a rank, with the rows up to each (``reach``) and the group's ``total``."""
+def ranked(counts: DataFrame, by: list[str], ranges: int, ranks: list | None = None) -> DataFrame:
+    """The counted values (by, x, n) with the rows up to each (``reach``) and the group's ``total``.
+
+    All of them, or those alone that may hold one of the ``ranks``, which are Columns of ``total``.
+    """
     upto = lambda keys, order: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(*by)
     if ranges <= 1:
@@ -63,9 +66,9 @@ def _reach(counts: DataFrame, by: list[str], ranges: int, ranks: list) -> DataFr
     dealt = store(counts.repartitionByRange(ranges, *by, "x").withColumn("range", F.spark_partition_id()), "ranges")
     filled = dealt.groupBy(*by, "range").agg(F.sum("n").alias("range_n"))
     filled = filled.select(*by, "range", (F.sum("range_n").over(upto(by, "range")) - F.col("range_n")).alias("before"), "range_n", F.sum("range_n").over(whole).alias("total"))
-    # a few ranges per group
-    located = filled.where(F.array_max(F.array(*[(r >= F.col("before")) & (r < F.col("before") + F.col("range_n")) for r in ranks])))
-    inside = dealt.join(_per_group(store(located.drop("range_n"), "located"), 128), [*by, "range"])
+    if ranks is not None:  # a few ranges per group
+        filled = filled.where(F.array_max(F.array(*[(r >= F.col("before")) & (r < F.col("before") + F.col("range_n")) for r in ranks])))
+    inside = dealt.join(_per_group(store(filled.drop("range_n"), "located"), 128), [*by, "range"])
     return inside.select(*by, "x", "n", (F.col("before") + F.sum("n").over(upto([*by, "range"], "x"))).alias("reach"), "total")
 
 
@@ -73,7 +76,7 @@ def _counted_quantiles(counts: DataFrame, by: list[str], probabilities: Sequence
     ranges = ranges or -(-counts.count() // RANGE)
     at = [F.lit(float(p)) * (F.col("total") - 1) for p in probabilities]
     ranks = [edge(pos).cast("long") for pos in at for edge in (F.floor, F.ceil)]
-    placed = _reach(counts, by, ranges, ranks)
+    placed = ranked(counts, by, ranges, ranks)
     held = [(F.col("reach") > r) & (F.col("reach") - F.col("n") <= r) for r in ranks]
     values = [F.max(F.when(h, F.col("x"))).alias(f"v{i}") for i, h in enumerate(held)]
     wide = placed.groupBy(*by).agg(F.max("total").alias("total"), *values)
