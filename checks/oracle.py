@@ -506,7 +506,8 @@ add(
     tok=_OVERLAP["tok"],
     vocab="SELECT DISTINCT token, ('0x' || substr(md5(token), 1, 8))::BIGINT AS code FROM tok",
     vec="""SELECT token, vec_id, embedding::DOUBLE[] AS v FROM vocab JOIN embeddings
-        ON vec_id = code % (SELECT count(*) FROM embeddings) WHERE code % 10 <> 0""",
+        ON vec_id = code % (SELECT count(*) FROM embeddings)
+        WHERE code % 10 <> 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0""",
     # a token stands for its vector: compare distinct vectors
     placed="SELECT id, side, vec_id, any_value(v) AS v, count(*) AS n FROM tok JOIN vec USING (token) GROUP BY id, side, vec_id",
     ids="SELECT DISTINCT vec_id, v FROM vec",

@@ -469,7 +469,7 @@ def token_vectors(spark, folder) -> DataFrame:
     vectors = given(spark, folder, "embeddings").select("vec_id", "embedding")
     a = answers(spark, folder)
     words = reduce(
-        DataFrame.union, [a.select(F.explode(ts.tokens(F.col(c))).alias("token")) for c in ("answer", "human_answer")]
+        DataFrame.union, [a.select(F.explode(F.array_distinct(ts.tokens(F.col(c)))).alias("token")) for c in ("answer", "human_answer")]
     ).distinct()
     n = vectors.agg(F.count(F.lit(1))).scalar()
     code = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")

@@ -74,6 +74,28 @@ def test_vector_similarity_is_one_operator(spark):
             similarity.greedy_similarity(df, "id", "text", "ref", ragged, budget)
 
 
+@pytest.mark.parametrize("budget", [similarity.VECTOR_BYTES, 0])
+def test_vectors_that_are_no_numbers_are_left_out(spark, budget):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", [1.0, 0.0]), ("b", [nan, 1.0]), ("c", [inf, 0.0]), ("d", [0.6, 0.8]), ("e", [-inf, nan])]
+    df = spark.createDataFrame([(1, "a b c", "d e"), (2, "b c", "a"), (3, "d", "d b")], "id long, text string, ref string")
+    vectors = spark.createDataFrame(rows, "token string, vector array<double>")
+    got = {r.id: (r.precision, r.recall, r.f1) for r in similarity.greedy_similarity(df, "id", "text", "ref", vectors, budget).collect()}
+    assert got == {1: pytest.approx((0.6, 0.6, 0.6)), 2: (0.0, 0.0, 0.0), 3: pytest.approx((1.0, 1.0, 1.0))}
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-4, 1e-8, 0.0])
+def test_best_cosines_are_exact(monkeypatch, spread):
+    """Vectors so alike that single precision cannot rank them; blocks that must be taken whole."""
+    monkeypatch.setattr(similarity, "_BLOCK", 16)
+    rng = np.random.default_rng(2)
+    left, right = (similarity._unit(rng.normal(size=40) + spread * rng.normal(size=(n, 40))) for n in (70, 50))
+    best = similarity._best_cosines(left, right, left.astype(np.float32), right.astype(np.float32))
+    whole = left @ right.T
+    np.testing.assert_allclose(best[0], whole.max(axis=1), atol=1e-14)
+    np.testing.assert_allclose(best[1], whole.max(axis=0), atol=1e-14)
+
+
 def brute_surprisal(train, texts, cap=None):
     pairs, context, vocabulary = Counter(), Counter(), set()
     for t in train:

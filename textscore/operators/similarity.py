@@ -69,21 +69,36 @@ def token_overlap(candidate: Column, reference: Column) -> Column:
     return F.when(candidate.isNotNull() & reference.isNotNull(), let(ready, scores))
 
 
-def _best_cosines(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best cosine per row of each side; rows are unit vectors; blocks bound the memory."""
-    best_left = np.empty(len(left))
+def _best_cosines(left: np.ndarray, right: np.ndarray, left_rough: np.ndarray, right_rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best cosine per row of each side; rows are unit vectors; blocks bound the memory.
+
+    Products in single precision tell which pairs can be best; those alone are taken in double
+    precision. Where vectors are so alike that these are many, the whole block is.
+    """
+    near = np.float32((left.shape[1] + 2) * 2.0**-22)
+    best_left = np.full(len(left), -np.inf)
     best_right = np.full(len(right), -np.inf)
     for start in range(0, len(left), _BLOCK):
-        part = left[start : start + _BLOCK] @ right.T
-        best_left[start : start + _BLOCK] = part.max(axis=1)
-        np.maximum(best_right, part.max(axis=0), out=best_right)
+        own = slice(start, start + _BLOCK)
+        part = left_rough[own] @ right_rough.T
+        wanted = part >= (part.max(axis=1) - near)[:, None]
+        wanted |= part >= part.max(axis=0) - near
+        i, j = np.nonzero(wanted)
+        if len(i) > 4 * sum(part.shape):
+            part = left[own] @ right.T
+            best_left[own] = part.max(axis=1)
+            np.maximum(best_right, part.max(axis=0), out=best_right)
+        else:
+            exact = np.einsum("ij,ij->i", left[own][i], right[j])
+            np.maximum.at(best_left[own], i, exact)
+            np.maximum.at(best_right, j, exact)
     return best_left, best_right
 
 
-def _pair_scores(cand: np.ndarray, cand_n: np.ndarray, ref: np.ndarray, ref_n: np.ndarray) -> tuple[float, float, float]:
+def _pair_scores(cand: np.ndarray, cand_n: np.ndarray, ref: np.ndarray, ref_n: np.ndarray, rough: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[float, float, float]:
     if len(cand) == 0 or len(ref) == 0:
         return 0.0, 0.0, 0.0
-    best_c, best_r = _best_cosines(cand, ref)
+    best_c, best_r = _best_cosines(cand, ref, *(rough or (cand.astype(np.float32), ref.astype(np.float32))))
     p = float(np.average(best_c, weights=cand_n))
     r = float(np.average(best_r, weights=ref_n))
     return p, r, (2 * p * r / (p + r) if p + r > 0 else 0.0)
@@ -106,13 +121,15 @@ def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def usable_vectors(vectors: DataFrame) -> DataFrame:
     """(token, vector array<double>): what both ways of :func:`greedy_similarity` work on.
 
-    A NULL vector, and one that holds a NULL, is left out; of several vectors of one token
+    A NULL vector, and one that holds a NULL or non-finite component, is left out; of several vectors of one token
     the smallest in array order counts.
     """
     whole = vectors.select("token", F.col("vector").cast("array<double>").alias("vector")).filter(
         F.col("token").isNotNull() & F.col("vector").isNotNull()
     )
-    whole = whole.filter(~F.exists("vector", lambda x: x.isNull()))
+    whole = whole.filter(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+    if whole.groupBy("token").count().filter("count > 1").isEmpty():
+        return whole  # nothing to choose from, so the vectors need not be shuffled
     return whole.groupBy("token").agg(F.min("vector").alias("vector"))
 
 
@@ -127,22 +144,24 @@ def _with_broadcast_vectors(pairs: DataFrame, id_col: str, vectors: DataFrame, o
     # made unit vectors once, not for every text
     shared = pairs.sparkSession.sparkContext.broadcast((vocabulary, _unit(_matrix(table["vector"]))))
 
-    def side(places: np.ndarray, ends: np.ndarray, row: int, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mine = places[ends[row] : ends[row + 1]]
-        rows, counts = np.unique(mine[mine >= 0], return_counts=True)
-        return matrix[rows], counts
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix = shared.value
+        rough = matrix.astype(np.float32)
         for batch in batches:
             words = [batch.column(name) for name in ("c", "r")]
             # one look-up for both sides: it hashes the whole vocabulary
             both = pa.concat_arrays([w.flatten() for w in words])
-            places = pc.fill_null(pc.index_in(both, value_set=known), -1).to_numpy(zero_copy_only=False)
+            places = pc.fill_null(pc.index_in(both, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             lengths = [pc.list_value_length(w).to_numpy(zero_copy_only=False) for w in words]
-            ends = [np.concatenate([[0], np.cumsum(n)]).astype(np.int64) for n in lengths]
-            found = (places[: ends[0][-1]], ends[0]), (places[ends[0][-1] :], ends[1])
-            scores = [_pair_scores(*side(*found[0], row, matrix), *side(*found[1], row, matrix)) for row in range(batch.num_rows)]
+            # the distinct tokens of all texts of the batch at once, the second sides after the first
+            texts = np.repeat(np.arange(2 * batch.num_rows), np.concatenate(lengths).astype(np.int64))
+            keys, counts = np.unique((texts * len(matrix) + places)[places >= 0], return_counts=True)
+            rows = keys % max(1, len(matrix))
+            ends = np.searchsorted(keys, np.arange(2 * batch.num_rows + 1) * len(matrix))
+            scores = []
+            for row in range(batch.num_rows):
+                c, r = (slice(ends[i], ends[i + 1]) for i in (row, row + batch.num_rows))
+                scores.append(_pair_scores(matrix[rows[c]], counts[c], matrix[rows[r]], counts[r], (rough[rows[c]], rough[rows[r]])))
             yield pa.RecordBatch.from_pydict(_scored_table(id_col, batch.column(id_col), scores))
 
     rows = pairs.select(id_col, tokens(F.col("c")).alias("c"), tokens(F.col("r")).alias("r"))
@@ -192,7 +211,7 @@ def greedy_similarity(
 
     A vector table whose counted size fits ``budget`` is broadcast and no shuffle
     happens; a larger one is joined by token with its hot tokens split off. Both work on
-    the same prepared vectors in double precision, so the budget never changes a result.
+    the same prepared vectors and give double precision, so the budget never changes a result.
     Vectors of different widths raise.
     """
     pairs = df.filter(F.col(candidate).isNotNull() & F.col(reference).isNotNull()).select(
