@@ -106,6 +106,29 @@ def test_round_trip(spark, tmp_path, fmt):
     assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == rows
 
 
+def test_csv_holds_a_row_per_line_and_is_split(spark, tmp_path):
+    texts = ["a\nb", "a\r\nb\r", "\\n", "\\\n", "\\", "\\\\n\n", "\n\n\n", 'q"\n"q', " x ", "\\r\\", "plain", None, "é,\u2028東\n"]
+    rows = [(i, texts[i % len(texts)]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, t string").coalesce(1)
+    tables.write_table(df, str(tmp_path / "c"), "csv")
+    (file,) = (tmp_path / "c").glob("part-*.csv")
+    assert len(file.read_bytes().split(b"\n")) == len(rows) + 2
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        back = tables.read_table(spark, str(tmp_path / "c"), "id long, t string", "csv")
+        assert back.rdd.getNumPartitions() > 3
+        assert sorted(map(tuple, back.collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # files of other writers: line breaks inside quotes on request, backslashes as they are
+    (tmp_path / "f.csv").write_text('id,t\n1,"a\nb"\n2,c\\nd\n')
+    read = lambda **o: [tuple(r) for r in tables.read_table(spark, str(tmp_path / "f.csv"), "id long, t string", "csv", **o).orderBy("id").collect()]
+    assert read(multiLine=True) == [(1, "a\nb"), (2, "c\\nd")]
+    (tmp_path / "f.csv").write_text("id,t\n2,c\\nd\n")
+    assert read(escaped=False) == [(2, "c\\nd")] and read() == [(2, "c\nd")]
+
+
 def test_nested_columns_become_json_in_csv(spark, tmp_path):
     df = spark.createDataFrame([("1", ["a", 'b"c'])], "id string, claims array<string>")
     tables.write_table(df, str(tmp_path / "n"), "csv")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ from ..functions.lexicons import ALL_METRICS
 
 # Texts come back as they were: quotes are doubled inside a field, blanks are kept.
 _CSV_EXACT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# Characters that end a line of a file, and their escapes.
+_BREAKS = {"\n": "n", "\r": "r"}
 
 
 def _strings(*names: str) -> list[T.StructField]:
@@ -55,20 +57,48 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)) for c in floats})
 
 
+def one_line(text: Column) -> Column:
+    """``text`` without line breaks: a backslash, LF and CR become two characters that begin with a backslash."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for char, name in _BREAKS.items():
+        out = F.replace(out, F.lit(char), F.lit("\\" + name))
+    return out
+
+
+def many_lines(text: Column) -> Column:
+    """The text that :func:`one_line` was given."""
+    out = text
+    for char, name in _BREAKS.items():
+        # the sign counts where an even number of backslashes stands before it
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*+)\\{name}", "$1" + char)
+    out = F.replace(out, F.lit("\\\\"), F.lit("\\"))
+    return F.when(text.contains("\\"), out).otherwise(text)
+
+
+def _each_string(df: DataFrame, change: Callable[[Column], Column]) -> DataFrame:
+    strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: change(F.col(c)) for c in strings}) if strings else df
+
+
 def read_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str = "parquet", **options
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str = "parquet", escaped: bool | None = None, **options
 ) -> DataFrame:
     """Read a table with its declared schema; only the columns later used are scanned.
 
-    A path that does not exist raises :class:`MissingTable`, before any job runs.
+    A CSV file is read line by line, so that many tasks share a large one, and line breaks
+    that :func:`write_table` escaped come back; ``escaped=False`` takes backslashes as they
+    are. ``multiLine=True`` is for files of other writers with line breaks inside quotes: one task per
+    file, nothing escaped. A path that does not exist raises :class:`MissingTable`, before any job runs.
     """
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
-        reader = reader.options(**{"header": True, "multiLine": True, **_CSV_EXACT, **options})
+        reader = reader.options(**{"header": True, **_CSV_EXACT, **options})
+        escaped = not options.get("multiLine") if escaped is None else escaped
     if schema is not None:
         reader = reader.schema(schema)
     try:
-        return nan_to_null(reader.load(path))
+        table = nan_to_null(reader.load(path))
+        return _each_string(table, many_lines) if escaped else table
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise MissingTable(f"no table at {path}") from error
@@ -98,11 +128,12 @@ def write_table(
 ) -> None:
     """Write as parquet, orc, json or csv, optionally one folder per ``partition_by`` value.
 
-    CSV has no sign for an empty text: it reads back as NULL, which scores the same.
+    CSV holds a row per line: line breaks and backslashes of texts are escaped, so that a large file can
+    be split. It has no sign for an empty text, which reads back as NULL and scores the same.
     The rows stay where they are: a partition value that holds most rows is written
     by many tasks.
     """
-    out = flat_columns(df) if fmt == "csv" else df
+    out = _each_string(flat_columns(df), one_line) if fmt == "csv" else df
     writer = out.write.format(fmt).mode(mode)
     if fmt == "csv":
         writer = writer.options(header=True, emptyValue='""', **_CSV_EXACT)
