@@ -914,3 +914,13 @@ add(
     moments="""SELECT label, avg(x) AS m, coalesce(stddev_samp(x), 0) AS s
     FROM (SELECT label, list_sum(e) / len(e) AS x FROM v WHERE label IS NOT NULL) GROUP BY label""",
 )
+
+# ---- measures called from SQL ----
+
+add(
+    "sql_measures",
+    f"""SELECT id, {EASE} AS flesch_reading_ease, {GRADE} AS flesch_kincaid_grade, round({_hedging("answer")["hedge_density"]}, 6) AS hedge_density,
+    greatest(coalesce({words("answer")}, 0), 1) AS n_words FROM counts WHERE greatest(coalesce({words("answer")}, 0), 1) > 5 OR answer IS NULL""",
+    **ANSWERS,
+    **_COUNTS,
+)

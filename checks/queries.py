@@ -317,6 +317,20 @@ def readability(spark, folder):
     )
 
 
+@query
+def sql_measures(spark, folder):
+    """Measures called from SQL, in a filter, a projection and an aggregate."""
+    answers(spark, folder).createOrReplaceTempView("textscore_sql_answers")
+    ts.register_sql(spark, ["flesch_reading_ease", "flesch_kincaid_grade", "hedging", "word_count"], prefix="ts_")
+    return rounded(
+        spark.sql("""
+            SELECT id, ts_flesch_reading_ease(answer) AS flesch_reading_ease, ts_flesch_kincaid_grade(answer) AS flesch_kincaid_grade,
+                ts_hedging(answer).hedge_density AS hedge_density, ts_word_count(answer) AS n_words
+            FROM textscore_sql_answers WHERE ts_word_count(answer) > 5 OR answer IS NULL
+        """)
+    )
+
+
 @query
 def snake_case_names(spark, folder):
     return given(spark, folder, "part").select(

@@ -186,3 +186,26 @@ def test_registry_takes_native_and_pandas_measures(texts):
         registry.register("shout", shout)
     with pytest.raises(KeyError):
         registry.measure("nope")
+
+
+def test_measures_from_sql(spark, texts):
+    """Every registered measure called from SQL equals its Column form and runs no Python."""
+    values = [None, "", "  ", "It's 3.5% - \\n 'quoted' `x`; we MAY, perhaps. Go!", "Costs fell on 2024-03-31 because of Ünit.\nRun. Must we? $15M", "the cat"]
+    texts(values).createOrReplaceTempView("sql_texts")
+    made = ts.register_sql(spark, prefix="m_")
+    assert made == ["m_" + n for n in ts.names()]
+    for name in ts.names():
+        called = spark.sql(f"SELECT id, m_{name}(text) AS v FROM sql_texts ORDER BY id")
+        assert "Python" not in called._jdf.queryExecution().executedPlan().toString()
+        assert called.collect() == spark.table("sql_texts").select("id", ts.measure(name)(F.col("text")).alias("v")).orderBy("id").collect()
+    whole = spark.sql("SELECT count(*) AS n, max(m_word_count(text)) AS w FROM sql_texts WHERE m_sentence_count(text) > 1").first()
+    assert whole.n == 2 and whole.w > 5
+
+
+def test_python_measures_have_no_sql(spark):
+    ts.register("shout", F.pandas_udf(lambda s: s.str.upper(), "string"), replace=True)
+    try:
+        with pytest.raises(ValueError, match="Python"):
+            ts.register_sql(spark, ["shout"])
+    finally:
+        ts.registry._MEASURES.pop("shout")

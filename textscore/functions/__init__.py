@@ -24,4 +24,5 @@ from .lexical import (
 from .readability import flesch_kincaid_grade, flesch_reading_ease, syllable_count
 from .registry import add_measures, measure, names, register
 from .sections import extract_interpretations, extract_observations, extract_recommendations, extract_section
+from .sql import register_sql
 from .text import clean_label, is_blank, sentence_count, sentences, to_snake_case, token_count, tokens, word_count
