@@ -924,3 +924,5 @@ add(
     **ANSWERS,
     **_COUNTS,
 )
+
+SQL["merged_skew_report"] = SQL["skew_report"]

@@ -579,6 +579,13 @@ def normalise_auto(spark, folder):
 # ---- reports --------------------------------------------------------------------
 
 
+@query
+def merged_skew_report(spark, folder):
+    """The skew report from states stored by strategy and merged; the metrics are read once."""
+    state = store(normalize.metric_state(metric_table(spark, folder), part="strategy"), "states")
+    return normalize.state_report(state)
+
+
 @query
 def strategy_ranking(spark, folder):
     return rounded(reports.ranking(normalised(spark, folder)))

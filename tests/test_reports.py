@@ -115,6 +115,35 @@ def test_filter_on_the_index_of_a_derived_table_plans_quickly(spark):
     assert time.time() - start < 30
 
 
+def test_states_merge_to_the_fit_of_the_whole(spark, table, tmp_path):
+    """Halves, days and single rows, stored and merged, against the whole table; values far from zero included."""
+    df, _ = table
+    df = df.select("id", *[(F.col(m) + (1e3 if i % 5 == 4 else 0)).alias(m) for i, m in enumerate(c for c in df.columns if c in ALL_METRICS)], (F.abs(F.hash("id")) % 3).alias("day"))
+    known = [c for c in df.columns if c in ALL_METRICS]
+    whole = normalize._moments(normalize.metric_state(df))
+    days = normalize.metric_state(df, part="day")
+    assert {r.part for r in days.collect()} == {"0", "1", "2"}
+    halves = [normalize.metric_state(df.where(c)) for c in ("day = 0", "day <> 0")]
+    for h in halves:
+        h.write.mode("append").parquet(str(tmp_path / "state"))
+    stored = spark.read.parquet(str(tmp_path / "state"))
+    for state in (days, stored, normalize.metric_state(df.repartition(40), part="id")):
+        merged = normalize._moments(state)
+        assert set(merged) == set(whole) == set(known)
+        for m in known:
+            assert merged[m].keys() == whole[m].keys()
+            for k, v in whole[m].items():
+                assert merged[m][k] == (v if v is None or isinstance(v, bool) else pytest.approx(v, rel=1e-9, abs=1e-9)), (m, k)
+    assert normalize.state_report(stored).collect() == normalize.skew_report(df).collect()
+    for est in (normalize.MetricNormalizer.standard(), normalize.MetricNormalizer()):
+        one, two = est.fit(df), est.fit_state(stored)
+        assert one.get_feature_names() == two.get_feature_names()
+        got, want = ({r["id"]: r.overall_quality_index for r in model.transform(df).collect()} for model in (two, one))
+        assert got == {i: v if v is None else pytest.approx(v, abs=1e-9) for i, v in want.items()}
+    with pytest.raises(ValueError, match="none of the metrics"):
+        normalize.MetricNormalizer().fit_state(stored.limit(0))
+
+
 @pytest.mark.parametrize("ranges", [None, 8, 40])
 @pytest.mark.parametrize("by", [["strategy"], ["department", "strategy"]])
 def test_exact_quantiles(table, by, ranges):

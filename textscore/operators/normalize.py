@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,82 +38,127 @@ def _number(name: str) -> Column:
     return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
 
 
-_SUMS = ("n", "s1", "s2", "s3", "ln", "l1", "l2", "l3")
-_ENDS = ("low", "high", "llow", "lhigh")
+#: A state: moments of each metric's values and of their log1p, by part of the table. m2 and m3 are
+#: sums of squares and cubes about the mean, which can be moved to any other origin.
+STATE_SCHEMA = "part string, metric string, kind string, n long, mean double, m2 double, m3 double, low double, high double"
+_KINDS = ("raw", "log")
 
 
-def _power_sums(shifts: list[tuple[float, float]]):
-    """Per task and metric: count, range and sums of powers about a shift, of values and of their log1p.
+class _Moments:
+    """Moments that grow batch by batch."""
+
+    def __init__(self) -> None:
+        self.n, self.mean, self.m2, self.m3, self.low, self.high = 0, 0.0, 0.0, 0.0, math.inf, -math.inf
+
+    def add(self, y: np.ndarray) -> None:
+        if not len(y):
+            return
+        n, mean = len(y), float(y.mean())
+        d = y - mean
+        m2, m3, delta, whole = float((d * d).sum()), float((d * d * d).sum()), mean - self.mean, self.n + n
+        self.m3 += m3 + delta**3 * self.n * n * (self.n - n) / whole**2 + 3 * delta * (self.n * m2 - n * self.m2) / whole
+        self.m2 += m2 + delta * delta * self.n * n / whole
+        self.mean += delta * n / whole
+        self.n, self.low, self.high = whole, min(self.low, float(y.min())), max(self.high, float(y.max()))
+
+    def row(self) -> tuple:
+        none = not self.n
+        return (self.n, *(None if none else x for x in (self.mean, self.m2, self.m3, self.low, self.high)))
+
+
+def _gather(metrics: Sequence[str]):
+    """A state's rows of one task: the moments of each part and metric.
 
     As aggregate functions, a dozen moments of 35 metrics outgrow what the JVM compiles.
     """
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(shifts), len(_SUMS)))
-        low, high = np.full((len(shifts), 2), np.inf), np.full((len(shifts), 2), -np.inf)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, _Moments] = {}
         for batch in batches:
-            for i, shift in enumerate(shifts):
-                x = batch.column(i).to_numpy(zero_copy_only=False)
-                x = x[~np.isnan(x)]
-                for side, y in enumerate((x, np.log1p(x[x > -1.0]))):
-                    if len(y):
-                        d = y - shift[side]
-                        total[i, 4 * side : 4 * side + 4] += [len(y), d.sum(), (d * d).sum(), (d * d * d).sum()]
-                        low[i, side], high[i, side] = min(low[i, side], y.min()), max(high[i, side], y.max())
-        columns = [pa.array(np.arange(len(shifts), dtype=np.int32)), *(pa.array(total[:, j].copy()) for j in range(len(_SUMS)))]
-        columns += [pa.array(e[:, side].copy()) for side in (0, 1) for e in (low, high)]
-        yield pa.RecordBatch.from_arrays(columns, names=["m", *_SUMS, *_ENDS])
-
-    return sums
-
-
-def _moments(df: DataFrame, metrics: Sequence[str]) -> dict[str, dict[str, float | None]]:
-    """Count, range, mean, deviation and biased skew of each metric, and the same of its log1p.
-
-    Two passes: means, then powers about them; one row per metric and task is shuffled and
-    one row per metric reaches the driver. The log1p of a value of -1 or less is left out,
-    and ``log_skew`` exists only where there is none.
+            coded = batch.column(0).dictionary_encode()
+            codes, parts = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            for i, m in enumerate(metrics):
+                values = batch.column(i + 1).to_numpy(zero_copy_only=False)
+                there = ~np.isnan(values)
+                for code, part in enumerate(parts):
+                    x = values[there & (codes == code)]
+                    for kind, y in zip(_KINDS, (x, np.log1p(x[x > -1.0])), strict=True):
+                        held.setdefault((part, m, kind), _Moments()).add(y)
+        rows = [(*key, *value.row()) for key, value in held.items()]
+        names = [f.split()[0] for f in STATE_SCHEMA.split(", ")]
+        kinds = [pa.string()] * 3 + [pa.int64()] + [pa.float64()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=names)
+
+    return run
+
+
+def merge_states(state: DataFrame, by_part: bool = False) -> DataFrame:
+    """One row per metric and kind, of each part or of all: every row's sums are moved to the common mean and added up."""
+    keys = ["part", "metric", "kind"] if by_part else ["metric", "kind"]
+    whole = Window.partitionBy(*keys)
+    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(whole), F.sum("n").over(whole))
+    moved = state.withColumn("centre", mean).withColumn("d", F.col("mean") - F.col("centre"))
+    d, n, m2, m3 = (F.col(c) for c in ("d", "n", "m2", "m3"))
+    merged = moved.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.first("centre").alias("mean"),
+        F.sum(m2 + n * d * d).alias("m2"),
+        F.sum(m3 + 3 * d * m2 + n * d * d * d).alias("m3"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+    return merged.select(*([] if by_part else [F.lit("").alias("part")]), *merged.columns).select(*[f.split()[0] for f in STATE_SCHEMA.split(", ")])
+
+
+def metric_state(df: DataFrame, metrics: Sequence[str] | None = None, part: str | None = None) -> DataFrame:
+    """The state of a table: what a fit and a skew report need, a few rows per part.
+
+    ``part`` names a column, such as a day, whose values are kept apart. States are tables: store
+    one per day or append them to each other, and :meth:`MetricNormalizer.fit_state` and
+    :func:`state_report` work on all of them without the metrics being read again. One pass; one row per
+    metric, part and task is shuffled. NULL and NaN are left out, and so is the log1p of a value of -1 or less.
+    """
+    metrics = existing(df, metrics or ALL_METRICS)
+    own = F.coalesce(F.col(part).cast("string"), F.lit("")) if part else F.lit("")
+    table = df.select(own.alias("part"), *[_number(m).alias(f"c{i}") for i, m in enumerate(metrics)])
+    return merge_states(table.mapInArrow(_gather(metrics), STATE_SCHEMA), by_part=True)
+
+
+def _moments(state: DataFrame) -> dict[str, dict[str, float | None]]:
+    """Count, range, mean, deviation and biased skew of each metric, and the same of its log1p, of all parts.
+
+    Two rows per metric reach the driver. ``log.skew`` exists only where no value is -1 or less.
     """
-    table = df.select(*[_number(m).alias(f"c{i}") for i, m in enumerate(metrics)])
-    schema = "m int, " + ", ".join(f"{c} double" for c in (*_SUMS, *_ENDS))
-
-    def gathered(shifts: list[tuple[float, float]]) -> dict[int, Row]:
-        parts = table.mapInArrow(_power_sums(shifts), schema)
-        least = {"low": F.min, "high": F.max, "llow": F.min, "lhigh": F.max}
-        found = parts.groupBy("m").agg(*[F.sum(c).alias(c) for c in _SUMS], *[least[c](c).alias(c) for c in _ENDS]).collect()
-        return {r["m"]: r for r in found}
-
-    first = gathered([(0.0, 0.0)] * len(metrics))
-    mean = lambda r, n, s: r[s] / r[n] if r and r[n] else 0.0
-    shifts = [(mean(first.get(i), "n", "s1"), mean(first.get(i), "ln", "l1")) for i in range(len(metrics))]
-    second = gathered(shifts)
-    out = {}
-    for i, m in enumerate(metrics):
-        r = second.get(i)
-        own: dict[str, float | None] = {"n": int(r["n"]) if r else 0}
-        for kind, side, names in (("raw", 0, ("n", "s1", "s2", "s3", "low", "high")), ("log", 1, ("ln", "l1", "l2", "l3", "llow", "lhigh"))):
-            n, s1, s2, s3, low, high = (r[c] for c in names) if r else (0,) * 6
-            if not n:
-                own |= {f"{kind}.{k}": None for k in ("mean", "std", "flat", "skew", "min", "max")}
-                continue
-            d = s1 / n
-            variance = max(0.0, s2 / n - d * d)
-            # a constant is told by its range: the deviation of equal floats can be noise
-            flat = low == high
-            skew = None if flat or not variance else (s3 / n - 3 * d * s2 / n + 2 * d**3) / variance**1.5
-            own |= {f"{kind}.mean": shifts[i][side] + d, f"{kind}.std": math.sqrt(variance), f"{kind}.flat": flat, f"{kind}.skew": skew, f"{kind}.min": low, f"{kind}.max": high}
+    out: dict[str, dict[str, float | None]] = {}
+    for r in merge_states(state).collect():
+        own = out.setdefault(r.metric, {})
+        if r.kind == "raw":
+            own["n"] = r.n
+        if not r.n:
+            own |= {f"{r.kind}.{k}": None for k in ("mean", "std", "flat", "skew", "min", "max")}
+            continue
+        variance = max(0.0, r.m2 / r.n)
+        # a constant is told by its range: the deviation of equal floats can be noise
+        flat = r.low == r.high
+        skew = None if flat or not variance else r.m3 / r.n / variance**1.5
+        own |= {f"{r.kind}.mean": r.mean, f"{r.kind}.std": math.sqrt(variance), f"{r.kind}.flat": flat, f"{r.kind}.skew": skew, f"{r.kind}.min": r.low, f"{r.kind}.max": r.high}
+    for own in out.values():
         if own["raw.min"] is None or own["raw.min"] <= -1.0:
             own["log.skew"] = None
-        out[m] = own
     return out
 
 
+def _nothing() -> dict[str, float | None]:
+    """The moments of a metric without a value."""
+    return {"n": 0} | {f"{kind}.{k}": None for kind in _KINDS for k in ("mean", "std", "flat", "skew", "min", "max")}
+
+
 def _advice(moments: dict, metrics: Sequence[str], skew_threshold: float, improvement_threshold: float) -> list[tuple]:
     """The report's rows, unrounded. No log is advised where a value has none."""
     rows = []
     for m in metrics:
-        found = moments[m]
-        if not found["n"]:
+        found = moments.get(m)
+        if not found or not found["n"]:
             continue
         raw, log = found["raw.skew"], found["log.skew"]
         gain = abs(raw) - abs(log) if raw is not None and log is not None else None
@@ -140,10 +185,15 @@ def skew_report(
     single value; a value of -1 or less, for the log) is NULL and advises NO.
     """
     metrics = existing(df, metrics or ALL_METRICS)
-    moments = _moments(df, metrics) if metrics else {}
+    moments = _moments(metric_state(df, metrics)) if metrics else {}
     return _report(df.sparkSession, _advice(moments, metrics, skew_threshold, improvement_threshold))
 
 
+def state_report(state: DataFrame, metrics: Sequence[str] = ALL_METRICS, skew_threshold: float = 1.0, improvement_threshold: float = 0.1) -> DataFrame:
+    """The :func:`skew_report` of the tables whose states (:func:`metric_state`) these are."""
+    return _report(state.sparkSession, _advice(_moments(state), metrics, skew_threshold, improvement_threshold))
+
+
 class _NormalizerParams(Params):
     metrics = Param(Params._dummy(), "metrics", "metric vocabulary, in scaling order", TypeConverters.toListString)
     skewed_metrics = Param(
@@ -174,7 +224,7 @@ class _NormalizerParams(Params):
 class MetricNormalizer(Estimator, _NormalizerParams, DefaultParamsReadable, DefaultParamsWritable):
     """Log-transform skewed metrics, flip those where lower is better, z-score, average.
 
-    ``fit`` reads the table twice and brings one row per metric to the driver. A listed metric that the table lacks is skipped. A metric that is both
+    ``fit`` reads the table once and brings two rows per metric to the driver; ``fit_state`` reads states alone. A listed metric that the table lacks is skipped. A metric that is both
     skewed and lower-is-better is logged, then negated, and appears once.
     """
 
@@ -189,15 +239,28 @@ class MetricNormalizer(Estimator, _NormalizerParams, DefaultParamsReadable, Defa
         return cls(skewed_metrics=list(DEFAULT_SKEWED), lower_is_better=list(DEFAULT_LOWER_IS_BETTER), **params)
 
     def _fit(self, df: DataFrame) -> MetricNormalizerModel:
-        vocabulary = self.getOrDefault("metrics")
-        skewed = existing(df, self.getOrDefault("skewed_metrics"))
-        lower = existing(df, self.getOrDefault("lower_is_better"))
-        auto = not self.getOrDefault("skewed_metrics")
-        known = existing(df, list(dict.fromkeys([*vocabulary, *skewed, *lower])))
+        listed = [*self.getOrDefault("metrics"), *self.getOrDefault("skewed_metrics"), *self.getOrDefault("lower_is_better")]
+        known = existing(df, list(dict.fromkeys(listed)))
         if not known:
             raise ValueError("the table has none of the metrics to normalise")
+        found = _moments(metric_state(df, known))
+        # a table without rows has no state
+        return self._fitted({m: found.get(m) or _nothing() for m in known})
+
+    def fit_state(self, state: DataFrame) -> MetricNormalizerModel:
+        """The model of the tables whose states (:func:`metric_state`) these are, all parts together."""
+        found = _moments(state)
+        listed = [*self.getOrDefault("metrics"), *self.getOrDefault("skewed_metrics"), *self.getOrDefault("lower_is_better")]
+        if not any(m in found for m in listed):
+            raise ValueError("the state has none of the metrics to normalise")
+        return self._fitted(found)
 
-        found = _moments(df, known)
+    def _fitted(self, found: dict) -> MetricNormalizerModel:
+        vocabulary = self.getOrDefault("metrics")
+        skewed = [m for m in self.getOrDefault("skewed_metrics") if m in found]
+        lower = [m for m in self.getOrDefault("lower_is_better") if m in found]
+        auto = not self.getOrDefault("skewed_metrics")
+        known = [m for m in dict.fromkeys([*vocabulary, *skewed, *lower]) if m in found]
         report = None
         if auto:
             wanted = [m for m in known if m in vocabulary]
