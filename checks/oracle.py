@@ -926,3 +926,25 @@ add(
 )
 
 SQL["merged_skew_report"] = SQL["skew_report"]
+
+# ---- measures by a user's model ----
+
+SQL["tagger_formality"] = SQL["formality"]
+add(
+    "classifier_mood",
+    f"""SELECT id, {when_text('answer', balance("len([s FOR s IN parts IF s LIKE '%!'])", "len([s FOR s IN parts IF s LIKE '%.'])"))} AS imperative_to_declarative_ratio
+    FROM (SELECT id, answer, {sentence_list('answer')} AS parts FROM answers)""",
+    **ANSWERS,
+)
+add(
+    "recogniser_entities",
+    f"""SELECT id, CASE WHEN {words('answer')} > 0 THEN
+    len(list_distinct(regexp_extract_all(array_to_string({toks('answer')}, ' '), '[^ ]{{10,}}(?: [^ ]{{10,}})*')))::DOUBLE / {words('answer')} END AS ner_density FROM answers""",
+    **ANSWERS,
+)
+add(
+    "model_surprisal",
+    f"""SELECT a.id, round(avg(s), 6) AS surprisal_mean, round(stddev_pop(s), 6) AS surprisal_std, count(s) AS n_scored
+    FROM answers a LEFT JOIN (SELECT id, ln(1 + length(unnest({toks('answer')}))) AS s FROM answers) t ON t.id = a.id GROUP BY a.id""",
+    **ANSWERS,
+)

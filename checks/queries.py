@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from textscore import functions as ts
 from textscore.functions import annotate, judgments, registry, text
-from textscore.functions.lexicons import CLOSED_CLASSES
-from textscore.operators import claims, embeddings, entities, joins, normalize, quantiles, reports, sampling, similarity, surprisal
+from textscore.functions.lexicons import CLOSED_CLASSES, SUFFIX_RULES
+from textscore.operators import claims, embeddings, entities, joins, models, normalize, quantiles, reports, sampling, similarity, surprisal
 from textscore.plans import main_metrics as main_plan
 from textscore.plans import reference_free as free_plan
 from textscore.session import store, work_path
@@ -304,6 +304,54 @@ def sentence_mood(spark, folder):
     )
 
 
+@query
+def tagger_formality(spark, folder):
+    """Formality by a tagger of tokens in overlapping windows; the stand-in follows the closed classes and endings."""
+    closed = {w: tag for tag, listed in CLOSED_CLASSES.items() for w in listed}
+    endings = [(name, tuple(ends)) for name, ends in SUFFIX_RULES]
+
+    def make():
+        def tag(word):
+            return closed.get(word) or next((name for name, ends in endings if word.endswith(ends)), "NOUN")
+
+        return lambda lists: [[tag(w) for w in words] for words in lists]
+
+    return answers(spark, folder).select("id", models.formality_by_model(F.col("answer"), make).alias("formality_score"))
+
+
+@query
+def classifier_mood(spark, folder):
+    """Mood by a model of sentences; the stand-in calls those imperative that end in an exclamation mark or a full stop."""
+
+    def make():
+        return lambda lists: [["IMPERATIVE" if s.endswith("!") else "DECLARATIVE" if s.endswith(".") else None for s in words] for words in lists]
+
+    return answers(spark, folder).select("id", models.mood_by_model(F.col("answer"), make, other="DECLARATIVE").alias("imperative_to_declarative_ratio"))
+
+
+@query
+def recogniser_entities(spark, folder):
+    """Entities by a recogniser; the stand-in takes runs of words of ten letters and more."""
+
+    def make():
+        return lambda lists: [["PRODUCT" if len(w) >= 10 else "O" for w in words] for words in lists]
+
+    return answers(spark, folder).select("id", models.entity_density_by_model(F.col("answer"), make, window=200, overlap=20).alias("ner_density"))
+
+
+@query
+def model_surprisal(spark, folder):
+    """Surprisal by a language model; the stand-in's grows with a token's length."""
+
+    def make():
+        import math
+
+        return lambda lists: [[math.log(1 + len(w)) for w in words] for words in lists]
+
+    found = answers(spark, folder).select("id", models.surprisal_by_model(F.col("answer"), make).alias("s"))
+    return rounded(found.select("id", "s.*"))
+
+
 @query
 def readability(spark, folder):
     t = F.col("answer")
@@ -430,18 +478,18 @@ def claim_labels_leading_premises(spark, folder):
     return rows.withColumn("claim", F.md5("claim")).withColumn("evidence", F.md5("evidence"))
 
 
-def _length_scorer():
-    """A deterministic stand-in for a user's model: closeness of the texts' lengths."""
-    return lambda left, right: [min(len(a), len(b)) / max(len(a), len(b), 1) for a, b in zip(left, right)]
-
-
 @query
 def claim_scorer(spark, folder):
     """Every claim against several premises by a user's scorer."""
+
+    def length_scorer():
+        """A deterministic stand-in for a user's model: closeness of the texts' lengths."""
+        return lambda left, right: [min(len(a), len(b)) / max(len(a), len(b), 1) for a, b in zip(left, right)]
+
     df = answers(spark, folder).select(
         "id", ts.sentences(F.col("answer")).alias("claims"), ts.sentences(F.col("human_answer")).alias("premises")
     )
-    rows = claims.per_claim(claims.add_verdicts(df, "claims", "premises", scorer=_length_scorer), "id")
+    rows = claims.per_claim(claims.add_verdicts(df, "claims", "premises", scorer=length_scorer), "id")
     return rows.select("id", "claim_pos", F.md5("claim").alias("claim"), "p", F.md5("evidence").alias("evidence"), "label_50")
 
 
