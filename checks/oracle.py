@@ -948,3 +948,18 @@ add(
     FROM answers a LEFT JOIN (SELECT id, ln(1 + length(unnest({toks('answer')}))) AS s FROM answers) t ON t.id = a.id GROUP BY a.id""",
     **ANSWERS,
 )
+
+# ---- sketches ----
+
+add(
+    "distinct_strata",
+    """SELECT day, event_type, 'hour' AS "column", count(hour) AS n, count(DISTINCT hour) AS n_distinct FROM e GROUP BY day, event_type
+    UNION ALL SELECT day, event_type, 'bucket', count(bucket), count(DISTINCT bucket) FROM e GROUP BY day, event_type""",
+    e="SELECT ts::DATE AS day, hour(ts) AS hour, event_type, trunc(value)::BIGINT % 50 AS bucket FROM events",
+)
+add(
+    "distinct_tokens_bounded",
+    "SELECT strategy, count(*) AS n, count(DISTINCT token) AS exact, true AS near FROM t GROUP BY strategy",
+    **ANSWERS,
+    t=f"SELECT strategy, unnest({toks('answer')}) AS token FROM answers",
+)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textscore import functions as ts
 from textscore.functions import annotate, judgments, registry, text
 from textscore.functions.lexicons import CLOSED_CLASSES, SUFFIX_RULES
-from textscore.operators import claims, embeddings, entities, joins, models, normalize, quantiles, reports, sampling, similarity, surprisal
+from textscore.operators import claims, embeddings, entities, joins, models, normalize, quantiles, reports, sampling, similarity, sketches, surprisal
 from textscore.plans import main_metrics as main_plan
 from textscore.plans import reference_free as free_plan
 from textscore.session import store, work_path
@@ -856,3 +856,24 @@ def group_gaussians(spark, folder):
 def group_gaussians_whole(spark, folder):
     """The same of whole vectors, every label against label 0."""
     return rounded(embeddings.gaussian_distances(given(spark, folder, "embeddings"), "label", "embedding", against=0))
+
+
+# ---- sketches -------------------------------------------------------------------
+
+
+@query
+def distinct_strata(spark, folder):
+    """Distinct languages, labels of length and sources by event day and kind, from sketches stored by hour and merged: few values are exact."""
+    events = given(spark, folder, "events").select(F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "event_type", (F.col("value").cast("long") % 50).alias("bucket"))
+    stored = store(sketches.distinct_sketches(events, ["day", "hour", "event_type"], ["hour", "bucket"]), "sketches")
+    return sketches.distinct_counts(stored, ["day", "event_type"])
+
+
+@query
+def distinct_tokens_bounded(spark, folder):
+    """Distinct tokens of all answers by strategy, from sketches by text length: exact counts beside estimates that keep four standard errors."""
+    held = answers(spark, folder).select("strategy", F.length("answer").alias("part"), ts.tokens(F.col("answer")).alias("tokens")).withColumn("part", F.col("part") % 5)
+    estimates = sketches.distinct_counts(sketches.distinct_sketches(held, ["strategy", "part"], ["tokens"]), ["strategy"])
+    exact = held.select("strategy", F.explode("tokens").alias("t")).groupBy("strategy").agg(F.count_distinct("t").alias("exact"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 4 * sketches.standard_error() * F.col("exact")
+    return estimates.join(exact, "strategy").select("strategy", "n", "exact", near.alias("near"))
