@@ -963,3 +963,12 @@ add(
     **ANSWERS,
     t=f"SELECT strategy, unnest({toks('answer')}) AS token FROM answers",
 )
+SQL["analysis_summary"] = SQL["skew_report"]
+
+add(
+    "loaded_analysis",
+    f"SELECT id::VARCHAR AS id, strategy, department, category, CASE WHEN abs(id) % 2 = 0 THEN {EASE} END AS flesch_reading_ease, true AS told FROM counts",
+    **ANSWERS,
+    counts=_COUNTS["counts"].replace("SELECT id", "SELECT id, strategy, department, category", 1),
+)
+add("first_rows", "SELECT id, strategy, department, category FROM answers ORDER BY id LIMIT 5", **ANSWERS)

@@ -594,6 +594,27 @@ def stored_evaluation(spark, folder):
     return rounded(main_plan.main_metrics(main_plan.evaluation_input(**loaded)))
 
 
+@query
+def loaded_analysis(spark, folder):
+    """Dimensions and metrics, written and loaded as one table; scenarios without metrics stay, a missing table is one clear error."""
+    a = answers(spark, folder).withColumn("key", F.col("id").cast("string"))
+    dims, metrics = work_path(spark, "dims"), work_path(spark, "metrics")
+    tables.write_table(a.select(F.col("key").alias("id"), "strategy", "department", "category"), dims)
+    scored = a.where(F.abs("id") % 2 == 0)
+    tables.write_table(scored.select(F.col("key").alias("id"), ts.flesch_reading_ease(F.col("answer")).alias("flesch_reading_ease")), metrics)
+    try:
+        tables.load_analysis(spark, dims, metrics + "-missing")
+    except tables.MissingTable as error:
+        told = F.lit(str(error).startswith("no table at"))
+    return rounded(tables.load_analysis(spark, dims, metrics)).withColumn("told", told)
+
+
+@query
+def first_rows(spark, folder):
+    """The head of the table: a limit is the feature."""
+    return answers(spark, folder).select("id", "strategy", "department", "category").orderBy("id").limit(5)
+
+
 @query
 def reference_free(spark, folder):
     return free_plan.reference_free_metrics(answers(spark, folder))
@@ -627,6 +648,12 @@ def normalise_auto(spark, folder):
 # ---- reports --------------------------------------------------------------------
 
 
+@query
+def analysis_summary(spark, folder):
+    """The skew analysis that an automatic fit keeps."""
+    return normalize.MetricNormalizer().fit(metric_table(spark, folder)).get_analysis_summary(spark)
+
+
 @query
 def merged_skew_report(spark, folder):
     """The skew report from states stored by strategy and merged; the metrics are read once."""
