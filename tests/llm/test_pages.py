@@ -135,6 +135,83 @@ def test_mined_rules_decide_the_rest(spark):
         assert not any(b is not a and b["verdict"] == a["verdict"] and set(b["items"]) <= set(a["items"]) for b in mined)
 
 
+def url_tokens(url):
+    """The tokens of a URL in plain Python."""
+    scheme, found, rest = url.partition("://")
+    if not found:
+        return set()
+    h, p = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+    labels, parts = h.lower().split("."), [re.sub("[0-9]+", "0", x) for x in p.split("/") if x]
+    query, mark, ending = re.search(r"\?([^#]*)", url), re.search("#(.*)$", url), re.search(r"(\.[A-Za-z]+|/)$", p)
+    out = {f"scheme={scheme.lower()}", f"top={labels[-1]}"} | {f"label={x}" for x in labels} | {f"part={x}" for x in parts}
+    out |= {f"under{n}={'.'.join(labels[-n:])}" for n in (2, 3) if len(labels) >= n} | {f"first={x}" for x in parts[:1]}
+    out |= {f"key={x.split('=')[0]}" for x in (query[1].split("&") if query else [])}
+    out |= {f"mark={mark[1]}"} if mark else set()
+    out |= {f"ending={ending[1]}"} if ending else set()
+    return {t for t in out if not t.endswith("=")}
+
+
+def brute_rules(rows, support, confidence):
+    """All rules from every combination of the frequent tokens, redundant ones left out."""
+    from itertools import combinations
+
+    baskets = [(url_tokens(u), v) for u, v in rows]
+    pages = {}
+    for i, (own, _) in enumerate(baskets):
+        for t in own:
+            pages.setdefault(t, set()).add(i)
+    first = {}
+    for t in sorted(pages):
+        if len(pages[t]) >= support * len(rows):
+            first.setdefault(frozenset(pages[t]), t)
+    known = set(first.values())
+    sets = {c for own, _ in baskets for n in range(1, len(own & known) + 1) for c in combinations(sorted(own & known), n)}
+    found = []
+    for items in sets:
+        verdicts = [v for own, v in baskets if set(items) <= own]
+        for verdict in set(verdicts):
+            n = verdicts.count(verdict)
+            if n >= support * len(rows) and n / len(verdicts) >= confidence:
+                found.append((-n / len(verdicts), -n / len(rows), len(items), " ".join(items), items, verdict))
+    kept = []
+    for c, s, _, _, items, verdict in sorted(found):
+        if not any(v == verdict and set(k) <= set(items) for k, v, *_ in kept):
+            kept.append((items, verdict, pytest.approx(-c), pytest.approx(-s)))
+    return kept
+
+
+def test_mining_equals_every_combination(spark):
+    import random
+
+    rng = random.Random(7)
+    hosts = ["a.b.net", "x.org", "www.shop.example.com", "deep.er.still.b.net"]
+    urls = []
+    for _ in range(200):
+        parts = [rng.choice(["en", "fr", "casino", "blog", str(rng.randint(1, 99))]) for _ in range(rng.randint(0, 6))]
+        keys = "&".join(f"{rng.choice('abc')}=1" for _ in range(rng.randint(0, 4)))
+        urls.append(f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}/{'/'.join(parts)}" + (f"?{keys}" if keys else "") + rng.choice(["", "", "#top"]))
+    rows = [(u, "block" if ("casino" in u) ^ (rng.random() < 0.05) else "allow") for u in urls] + [("no scheme", "block")]
+    frame = spark.createDataFrame(rows, "url string, verdict string")
+    mined = url_rules.mine(frame, "url", "verdict", 0.08, 0.8, 10**6)
+    want = brute_rules(rows, 0.08, 0.8)
+    assert [(tuple(r["items"]), r["verdict"], r["confidence"], r["support"]) for r in mined] == want and len(want) > 10
+    assert [r["items"] for r in url_rules.mine(frame, "url", "verdict", 0.08, 0.8, 5)] == [list(w[0]) for w in want[:5]]
+    # matching against every rule in turn
+    tested = [*urls, "http://a.b.net/x/y/z/w/v/casino/1?q=1&r=2&a=3", "http://nowhere/", "", "no scheme"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(tested)], "id long, url string")
+    got = {r.id: r.v for r in pages.select("id", url_rules.mined_verdict(url_rules.F.col("url"), mined).alias("v")).collect()}
+    assert got == {i: next((v for items, v, *_ in want if set(items) <= url_tokens(u)), None) for i, u in enumerate(tested)}
+    assert got[200] == "block"
+
+
+def test_every_part_of_a_url_is_a_token(spark):
+    url = "http://a.b.c.d.net/x/y/z/casino/17/../e.html?a=1&b=2&c=3&&d#m"
+    rows = [url, "http://" + "l." * 3000 + "net/" + "p/" * 5000 + "last?" + "k=1&" * 3000, "x://", None, "none"]
+    got = [set(r.t or []) for r in spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "id long, url string").select("id", url_rules.tokens(url_rules.F.col("url")).alias("t")).orderBy("id").collect()]
+    assert got == [url_tokens(u or "") for u in rows]
+    assert {"part=casino", "part=0", "key=c", "key=d", "label=c"} <= got[0] and "part=last" in got[1]
+
+
 def test_nothing_to_mine(spark):
     rows = spark.createDataFrame([(1, "http://a.com/x"), (1, "http://a.com/x")], "page_id long, url string")
     assert [r.verdict for r in url_rules.judge(rows, queries.URL_RULES, default="block").collect()] == ["block", "block"]

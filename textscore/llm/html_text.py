@@ -278,7 +278,8 @@ def learn(pages: DataFrame, source: str = "html", rows: int = 4000) -> Weights:
     """Weights from at most ``rows`` pages that mark their article themselves, those whose html hashes lowest."""
     marked = pages.select(F.col(source).cast("string").alias("html")).where(F.size(F.regexp_extract_all("html", F.lit(r"(?i)<(?:article|main)[\s>]"), 0)) == 1)
     digest = F.xxhash64("html")
-    sample = marked.withColumn("_h", digest).where(F.col("_h") <= _border(marked, digest, rows)).drop("_h")
+    # pages of equal html count once, so the sample is bounded
+    sample = marked.withColumn("_h", digest).where(F.col("_h") <= _border(marked, digest, rows)).dropDuplicates(["_h"]).drop("_h")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[tuple[int, str, bool], int] = defaultdict(int)
@@ -313,7 +314,7 @@ def learn(pages: DataFrame, source: str = "html", rows: int = 4000) -> Weights:
 
 def _border(marked: DataFrame, digest, rows: int) -> object:
     """The ``rows``-th smallest digest: a sample by hash needs no sorting of pages."""
-    smallest = marked.select(digest.alias("h")).orderBy("h").limit(rows)
+    smallest = marked.select(digest.alias("h")).distinct().orderBy("h").limit(rows)
     return F.lit(smallest.agg(F.max("h")).collect()[0][0])
 
 

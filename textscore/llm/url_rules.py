@@ -1,8 +1,10 @@
 """URL filter: fixed host and path rules first, association rules mined by FP-growth for the rest.
 
-A URL becomes a bounded set of tokens (``tokens``). Pages that a fixed rule judges are the
-labelled ones: Spark's FP-growth finds the token combinations that go with a verdict, rules
-under the support or confidence asked for are dropped, and so is a rule that a shorter one
+A URL becomes a set of tokens, of every label of its host, segment of its path and key of its
+query (``tokens``). Pages that a fixed rule judges are the labelled ones. A count over all of them
+leaves the tokens that reach the support asked for, and of tokens that stand in the same pages one; Spark's
+FP-growth finds their combinations that go with a verdict, rules
+under the support or confidence asked for are dropped, and so is a rule that a more general one
 makes redundant. The rules kept (at most ``max_rules``, the size of the model) form an
 inverted index from each rule's rarest token; a URL looks up its own tokens there and keeps
 the rules all of whose tokens it has. The rule of highest confidence decides, then higher
@@ -67,42 +69,57 @@ def fixed_rule(rules: list[Rule], host_: Column, path_: Column) -> Column:
     return out
 
 
+def _named(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda x: F.concat(F.lit(kind + "="), x))
+
+
 def tokens(url: Column) -> Column:
-    """At most twelve tokens of a URL, NULL ones left out: scheme, host parts, path parts, query keys.
+    """The distinct tokens of a URL: scheme, host labels, ends of the host, path segments, query keys, ending and mark.
 
-    Digit runs of path parts count as 0. The number of places is fixed, so that the
-    combinations of one URL are bounded however long it is.
+    Digit runs of path segments count as 0. Nothing is left out, however long the URL is.
     """
     h, p = host(url), path(url)
     labels, parts = F.split(h, r"\."), F.filter(F.split(p, "/"), lambda x: x != "")
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
-    keys = F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))
     shape = lambda x: F.regexp_replace(x, r"[0-9]+", "0")
-    place = {
+    one = {
         "scheme": F.lower(F.substring_index(url, "://", 1)),
-        "under": F.element_at(labels, -1),
         "under2": F.when(F.size(labels) > 1, F.substring_index(h, ".", -2)),
         "under3": F.when(F.size(labels) > 2, F.substring_index(h, ".", -3)),
-        "first": F.when(F.size(labels) > 2, F.element_at(labels, 1)),
-        "part1": shape(F.get(parts, F.lit(0))),
-        "part2": shape(F.get(parts, F.lit(1))),
-        "part3": shape(F.get(parts, F.lit(2))),
-        "ending": F.nullif(F.regexp_extract(p, r"(\.[A-Za-z]+|/)$", 1), F.lit("")),
-        "key1": F.nullif(F.get(keys, F.lit(0)), F.lit("")),
-        "key2": F.get(keys, F.lit(1)),
-        "mark": F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"#(.*)$", 1), F.lit("")),
+        "top": F.element_at(labels, -1),
+        "first": shape(F.get(parts, F.lit(0))),
+        "ending": F.regexp_extract(p, r"(\.[A-Za-z]+|/)$", 1),
+        "mark": F.regexp_extract(F.coalesce(url, F.lit("")), r"#(.*)$", 1),
     }
-    named = [F.when(F.length(v) > 0, F.concat(F.lit(k + "="), v)) for k, v in place.items()]
-    return F.when(F.locate("://", url) > 0, F.array_compact(F.array(*named))).otherwise(F.array().cast("array<string>"))
+    many = {"label": labels, "part": F.transform(parts, shape), "key": F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))}
+    single = F.array_compact(F.array(*[F.when(F.length(v) > 0, F.concat(F.lit(k + "="), v)) for k, v in one.items()]))
+    lists = [_named(k, F.filter(v, lambda x: F.length(x) > 0)) for k, v in many.items()]
+    return F.when(F.locate("://", url) > 0, F.array_distinct(F.concat(single, *lists))).otherwise(F.array().cast("array<string>"))
+
+
+def vocabulary(rows: DataFrame, support: float) -> DataFrame:
+    """(token): those of the baskets ``rows`` (tokens, page) that reach the support, one of several that stand in the same pages.
+
+    ``page`` is a hash; pages are compared by their number and two sums over it. Kept is the first in order of text.
+    """
+    total = rows.count()
+    each = rows.select(F.explode("tokens").alias("token"), F.pmod("page", F.lit(2147483647)).alias("a"), F.pmod(F.xxhash64("page"), F.lit(2147483629)).alias("b"))
+    counted = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("n") >= support * total)
+    return counted.groupBy("n", "a", "b").agg(F.min("token").alias("token")).select("token")
 
 
 def mine(labelled: DataFrame, url: str, verdict: str, support: float, confidence: float, max_rules: int) -> list[dict]:
     """The association rules from token combinations to a verdict, as (items, verdict, confidence, support).
 
-    ``support`` and ``confidence`` are shares; at most ``max_rules`` of the most confident,
-    then most supported, then shortest rules are kept, which bounds what reaches the driver.
+    ``support`` and ``confidence`` are shares. A rule is redundant where one with fewer of its tokens has
+    the verdict with no less confidence; of the others at most ``max_rules`` are kept, the most confident,
+    then most supported, then shortest. The driver holds no more than those.
     """
-    baskets = labelled.select(F.concat(tokens(F.col(url)), F.array(F.concat(F.lit("verdict="), F.col(verdict)))).alias("items"))
+    rows = labelled.select(tokens(F.col(url)).alias("tokens"), F.concat(F.lit("verdict="), F.col(verdict)).alias("verdict"), F.xxhash64(url).alias("page"))
+    known = vocabulary(rows, support)
+    # at most (tokens of a page) / support tokens reach the support, so they are few enough for one array
+    wanted = known.agg(F.array_sort(F.collect_list("token"))).scalar()
+    baskets = rows.select(F.concat(F.array_intersect("tokens", wanted), F.array("verdict")).alias("items"))
     if baskets.isEmpty():
         return []
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
@@ -111,14 +128,14 @@ def mine(labelled: DataFrame, url: str, verdict: str, support: float, confidence
         .select(F.array_sort("antecedent").alias("items"), F.substring_index(F.col("consequent")[0], "=", -1).alias("verdict"), "confidence", "support")
         .where(~F.exists("items", lambda x: x.startswith("verdict=")))
         .orderBy(F.desc("confidence"), F.desc("support"), F.size("items"), F.concat_ws(" ", "items"))
-        .limit(max_rules)
-        .collect()
     )
     kept: list[dict] = []
     # a rule comes after every more general one of the same confidence, whose support is no smaller
-    for row in found:
+    for row in found.toLocalIterator():
         if not any(k["verdict"] == row.verdict and set(k["items"]) <= set(row["items"]) for k in kept):
             kept.append({"items": list(row["items"]), "verdict": row.verdict, "confidence": row.confidence, "support": row.support})
+        if len(kept) >= max_rules:
+            break
     return kept
 
 
