@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from textscore.llm import language, minhash, packing, queries, toxicity
 from textscore.llm.common import table, unused
-from textscore.session import work_path
+from textscore.session import store
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage's output is written to the shared folder and read again."""
+    """The last stage's rows; every stage's output is written to the shared folder and read again.
+
+    ``textscore.session.release`` deletes those tables once the result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = work_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import sys
 from collections.abc import Callable, Iterable, Iterator
@@ -60,6 +62,20 @@ def worker_cache(slot: str, key: object, make: Callable[[], object]) -> object:
     return home["value"]
 
 
+def free_worker() -> None:
+    """Give back what :func:`worker_cache` keeps in this worker, for an operator that needs none of it.
+
+    Workers are used again by later stages; the C library is asked to return freed memory to the system.
+    """
+    home = sys.modules.get("_worker_cache")
+    if home is not None and home.__dict__.pop("value", None) is not None:
+        home.__dict__["held"] = None
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def broadcast(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast ``value``; the function returned reads it in a worker.
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textscore.llm import chars
-from textscore.llm.common import SLICE, slices
+from textscore.llm.common import SLICE, free_worker, slices
 from textscore.llm.components import components
 from textscore.operators.joins import fits
 from textscore.session import store
@@ -127,8 +127,9 @@ def sign(docs: DataFrame) -> DataFrame:
     """(id, mark, one, two, signature) of the documents (id, mark, text) that hold a word; one and two digest the word sequence."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         alphabet = chars.Alphabet()
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE // 2):
             words = word_hashes(batch.column(2).to_pylist(), batch.num_rows, alphabet)
             kept = [i for i, w in enumerate(words) if len(w)]
             found = signatures([shingles(words[i]) for i in kept])
@@ -166,6 +167,7 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
     @F.arrow_udf("double")
     def similarity(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        free_worker()
         alphabet = chars.Alphabet()
         for ones, twos in columns:
             out = []
@@ -254,6 +256,7 @@ def _flagged(blocks: DataFrame, least: int) -> DataFrame:
     """(id): the members with a candidate in another class, by signatures."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         for group in _groups(batches):
             flags = np.zeros(group.num_rows, bool)
             for left, right in _near(group, least):
@@ -267,6 +270,7 @@ def _uniting(blocks: DataFrame, least: int, threshold: float) -> DataFrame:
     """(a, b): links that unite classes, as many in each block as classes go together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         alphabet = chars.Alphabet()
         for group in _groups(batches):
             ids, classes, texts = group.column("id").to_numpy(), group.column("class").to_pylist(), group.column("text")
