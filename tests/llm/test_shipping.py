@@ -10,7 +10,7 @@ SCRIPT = """
 import sys
 sys.path.append(sys.argv[1])
 import __spark_entry__
-from textscore.session import local_session
+from textscore.session import local_session, release
 spark = local_session(4, 4)
 spark.sparkContext.setLogLevel("ERROR")
 def known(rows):
@@ -22,6 +22,7 @@ def known(rows):
 assert not spark.sparkContext.parallelize([1], 1).mapPartitions(known).collect()
 for name, query in __spark_entry__.LLM.items():
     query(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    release(spark)
     print("ran", name)
 """
 
