@@ -25,7 +25,33 @@ def test_block_equals_all_products(n, width, scale):
     assert rows == brute(ids, items.tolist(), ids[own], items[own].tolist(), 20)
 
 
+def test_bounds_hold_at_every_depth():
+    rng = np.random.default_rng(8)
+    items, queries = rng.integers(-20, 21, (80, 7)), rng.integers(-9, 10, (12, 7))
+    lists, exact = top_k.Lists(np.arange(80), items), queries @ items.T
+    last = None
+    for depth in range(1, 81):
+        low, high = (lists.bounds(queries, depth, np.float64, lower) for lower in (True, False))
+        assert (low <= exact).all() and (exact <= high).all()
+        assert last is None or ((low >= last[0]).all() and (high <= last[1]).all())
+        last = low, high
+    assert (last[0] == exact).all() and (last[1] == exact).all()
+
+
+def test_reading_stops_before_the_end(spark):
+    """With a border at hand, fewer entries are read than the lists hold, and the winners are the same."""
+    rng = np.random.default_rng(9)
+    items = np.concatenate([rng.integers(-20, 21, (2000, 8)), rng.integers(60, 90, (30, 8))])
+    lists, queries, ids = top_k.Lists(np.arange(len(items)), items), rng.integers(1, 9, (40, 8)), np.arange(10**6, 10**6 + 40)
+    best = top_k.Best(40, 20)
+    for _ in range(2):  # the second block has the first one's border
+        top_k.read_lists(lists, np.arange(40), ids, queries, best)
+    assert best.read < 0.8 * 2 * items.size * 40
+    assert (best.scores[:, 0] == (queries @ items.T).max(axis=1)).all()
+
+
 def test_blocks_on_spark(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK", 30)
     monkeypatch.setattr(top_k, "ITEMS", 150)
     monkeypatch.setattr(top_k, "QUERIES", 20)
     rng = np.random.default_rng(2)
