@@ -879,12 +879,6 @@ def group_gaussians(spark, folder):
     return rounded(embeddings.gaussian_distances(table, "label", "mean"))
 
 
-@query
-def group_gaussians_whole(spark, folder):
-    """The same of whole vectors, every label against label 0."""
-    return rounded(embeddings.gaussian_distances(given(spark, folder, "embeddings"), "label", "embedding", against=0))
-
-
 # ---- sketches -------------------------------------------------------------------
 
 
