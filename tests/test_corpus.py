@@ -241,3 +241,19 @@ def test_merge(spark):
     assert {tuple(r) for r in joins.merge_on(left, right, "id", null_keys_match=True).collect()} == {(1, "a", 1, "p"), (None, "b", 2, "q")}
     outer = joins.merge_on(left, right, "id", how="outer", null_keys_match=True)
     assert {r["id"] for r in outer.collect()} == {1, None, 3, 4} and outer.count() == 4
+
+
+def test_vectors_travel_once_for_a_block_of_texts(spark, monkeypatch):
+    """Tokens of many texts are joined once per block; small blocks, and ids that come twice, change no score."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(50)], k=40)), " ".join(rng.choices([f"w{j}" for j in range(60)], k=5))) for i in range(64)]
+    df = spark.createDataFrame(rows, "id long, text string, ref string").coalesce(1)
+    vectors = spark.createDataFrame([(f"w{j}", [rng.gauss(0, 1) for _ in range(8)]) for j in range(45)], "token string, vector array<double>")
+    pairs = df.select("id", similarity.tokens(F.col("text")).alias("c"), similarity.tokens(F.col("ref")).alias("r"))
+    blocks = similarity._blocks(pairs, "id", 100)
+    assert blocks.where("token IS NOT NULL").count() <= 60
+    wanted = {r.id: r[1:] for r in similarity.greedy_similarity(df, "id", "text", "ref", vectors).collect()}
+    for size, given in ((8 * 8 * 47, df.union(df)), (1, df)):
+        monkeypatch.setattr(similarity, "BLOCK_BYTES", size)
+        got = similarity.greedy_similarity(given, "id", "text", "ref", vectors, budget=0).collect()
+        assert len(got) == 64 and all(r[1:] == pytest.approx(wanted[r.id], abs=1e-12) for r in got)
