@@ -257,3 +257,14 @@ def test_vectors_travel_once_for_a_block_of_texts(spark, monkeypatch):
         monkeypatch.setattr(similarity, "BLOCK_BYTES", size)
         got = similarity.greedy_similarity(given, "id", "text", "ref", vectors, budget=0).collect()
         assert len(got) == 64 and all(r[1:] == pytest.approx(wanted[r.id], abs=1e-12) for r in got)
+
+
+def test_formality_sends_distinct_tokens(spark):
+    """A token travels once per text with its count; texts without tokens keep their row."""
+    df = spark.createDataFrame([(1, "go go quickly the the the"), (2, " "), (3, None), (4, "***"), (None, "walking")], "id long, text string")
+    rows = sorted(map(tuple, entities._counted_tokens(df, "id", "text").collect()), key=str)
+    assert rows == sorted([(1, True, "go", 2, "NOUN"), (1, True, "quickly", 1, "ADV"), (1, True, "the", 3, "NOUN"), (2, False, None, 0, None), (3, False, None, 0, None), (4, True, None, 0, None), (None, True, "walking", 1, "VERB")], key=str)
+    lexicon = spark.createDataFrame([("go", "VERB"), ("the", None)], "token string, pos string")
+    for budget in (joins.BROADCAST_BYTES, 0):
+        got = dict(map(tuple, entities.formality_by_table(df, "id", "text", lexicon, budget).collect()))
+        assert got == {1: 1.0, 2: None, 3: None, 4: 0.0, None: 0.0}
