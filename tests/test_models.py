@@ -93,3 +93,17 @@ def test_left_context_of_a_language_model(spark):
     df = spark.createDataFrame([(1, [str(i) for i in range(40)])], "id long, items array<string>")
     (row,) = df.select(models.by_model(F.col("items"), make, "double", window=10, overlap=4, left_only=True).alias("v")).collect()
     assert row.v[:10] == [float(i) for i in range(10)] and all(x >= 4 for x in row.v[10:])
+
+
+def test_runs_are_found_without_copying_those_before(spark):
+    """Many runs in one text; the expression holds no growing list."""
+    given = [(["a", "b", "c", "d", "e", "f"], ["X", "X", "Y", "O", "X", None]), ([], []), (["a", "b"], ["X"]), (None, ["X"]), (["a"], ["O"])]
+    df = spark.createDataFrame(given, "w array<string>, l array<string>")
+    runs = models.labelled_runs(F.col("w"), F.col("l"), ["X", "Y"])
+    assert [None if r.r is None else [tuple(x) for x in r.r] for r in df.select(runs.alias("r")).collect()] == [[("X", "a b"), ("Y", "c"), ("X", "e")], [], [("X", "a")], None, []]
+    assert "aggregate" not in df.select(runs.alias("r"))._jdf.queryExecution().analyzed().toString()
+    n = 100_000
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("w"))
+    found = models.labelled_runs(F.col("w"), F.transform("w", lambda w, i: F.when(i % 2 == 0, "X").otherwise("O")), ["X"])
+    first = long.select(found.alias("r")).select(F.size("r"), F.col("r")[1]["span"]).first()
+    assert tuple(first) == (n // 2, "w3")

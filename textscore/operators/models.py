@@ -122,24 +122,28 @@ def mood_by_model(text: Column, make: Callable[[], Model], imperative: str = "IM
 
 
 def labelled_runs(words: Column, labels: Column, wanted: Sequence[str]) -> Column:
-    """array<struct<label, span>>: the maximal runs of tokens of one wanted label, joined by a space, in order."""
-    empty = F.array().cast("array<struct<label:string,span:string>>")
-
-    def step(held: Column, x: Column) -> Column:
-        label = F.when(x["label"].isin(*wanted), x["label"])
-        last = F.try_element_at(held["runs"], F.lit(-1))
-        grown = F.struct(last["label"].alias("label"), F.concat(last["span"], F.lit(" "), x["word"]).alias("span"))
-        fresh = F.struct(label.alias("label"), x["word"].alias("span"))
-        runs = (
-            F.when(label.isNull(), held["runs"])
-            .when(held["open"].eqNullSafe(label), F.concat(F.slice(held["runs"], 1, F.array_size(held["runs"]) - 1), F.array(grown)))
-            .otherwise(F.concat(held["runs"], F.array(fresh)))
-        )
-        return F.struct(runs.alias("runs"), label.alias("open"))
-
-    start = F.struct(empty.alias("runs"), F.lit(None).cast("string").alias("open"))
-    pairs = F.transform(words, lambda w, i: F.struct(w.alias("word"), F.get(labels, i).alias("label")))
-    return F.aggregate(pairs, start, step, lambda held: held["runs"])
+    """array<struct<label, span>>: the maximal runs of tokens of one wanted label, joined by a space, in order; linear in the tokens."""
+
+    def runs(x: Column) -> Column:
+        tag = lambda i: F.get(x["tags"], i)
+        # the place of each token that begins a run, and of each that ends one: as many, in the same order
+        edge = lambda step: F.filter(F.transform(x["tags"], lambda t, i: F.when(t.isNotNull() & ~t.eqNullSafe(tag(i + step)), i)), lambda i: i.isNotNull())
+
+        def cut(edges: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                span = F.slice(x["words"], start + 1, F.get(edges["last"], k) - start + 1)
+                return F.struct(tag(start).alias("label"), F.array_join(span, " ").alias("span"))
+
+            return F.transform(edges["first"], run)
+
+        return let(F.struct(edge(-1).alias("first"), edge(1).alias("last")), cut)
+
+    def tagged(x: Column) -> Column:
+        label = lambda w, i: F.get(x["labels"], i)
+        tags = F.transform(x["words"], lambda w, i: F.when(label(w, i).isin(*wanted), label(w, i)))
+        return let(F.struct(x["words"].alias("words"), tags.alias("tags")), runs)
+
+    return let(F.struct(words.alias("words"), labels.alias("labels")), tagged)
 
 
 def entity_density_by_model(text: Column, make: Callable[[], Model], labels: Sequence[str] = ENTITY_LABELS, **cut) -> Column:
