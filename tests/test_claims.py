@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,21 @@ def test_summary_and_precision(pairs):
     assert got == {1: 2 / 3, 2: 1.0, 3: None, 4: 0.0, 5: None, 6: None}
     direct = pairs.select("id", claims.evaluate_factuality(F.col("c"), F.lit("costs rise")).alias("v"))
     assert {r["id"]: r["v"] for r in direct.collect()} == {1: 2 / 3, 2: 0.0, 3: None, 4: 0.0, 5: None, 6: 0.0}
+
+
+def test_batches_are_judged_in_slices():
+    """Arrow batches of any length: results leave in slices of rows, equal to those of single rows."""
+    rows = [[{"claims": [f"c{i}"] * (i % 3), "premises": ["c1", f"c{i} x"]}] for i in range(150)]
+    kind = pa.list_(pa.struct([("claims", pa.list_(pa.string())), ("premises", pa.list_(pa.string()))]))
+    score = lambda left, right: [float(a == b) for a, b in zip(left, right)]
+    parts = list(claims._judge_batches(score, iter([pa.array(rows, kind), pa.array([], kind)])))
+    assert [len(x) for x in parts] == [64, 64, 22]
+    assert [v for x in parts for v in x.to_pylist()] == [v for r in rows for x in claims._judge_batches(score, iter([pa.array([r], kind)])) for v in x.to_pylist()]
+
+
+def test_index_support_leaves_in_slices():
+    texts = pa.array([[["a", f"w{i}"]] * (i % 3) for i in range(600)], pa.list_(pa.list_(pa.string())))
+    parts = list(claims._index_support.func(iter([(texts, texts)])))
+    assert [len(x) for x in parts] == [256, 256, 88]
+    assert [len(r) for x in parts for r in x.to_pylist()] == [i % 3 for i in range(600)]
+    assert all(v["p"] == 1.0 and v["at"] == 1 for x in parts for r in x.to_pylist() for v in r)
