@@ -6,6 +6,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,30 @@ def test_bigrams_travel_as_multisets(spark):
     assert [r.surprisal_std for r in surprisal.text_surprisal(same, "id", "text").orderBy("id").collect()][1] == 0
 
 
+def test_bigrams_travel_once_for_each_block(spark, monkeypatch):
+    texts = pa.array([["a", "b", "a", "b"]] * 40 + [None, [], ["c"]])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["id", "t"])
+    assert [len(x) for x in surprisal._block_slices(batch, 64)] == [16, 16, 11]
+    assert [len(x) for x in surprisal._block_slices(batch, 0)][:40] == [1] * 40
+    rows = pa.Table.from_batches(surprisal._block(batch, 0, True, True))
+    of = {kind: rows.filter(pc.equal(rows["kind"], kind)) for kind in (surprisal.TEXT, surprisal.BIGRAM, surprisal.CONTEXT)}
+    assert [len(x) for x in of.values()] == [len(texts), 2, 3]
+    assert sorted(sum(of[surprisal.BIGRAM]["counts"].to_pylist(), [])) == [40, 80]
+    assert surprisal._totals(rows, surprisal.CONTEXT, True)[1:] == (3, 0)
+    # tokens of one hash are told, so that they are hashed anew
+    monkeypatch.setattr(surprisal, "_hashes", lambda names, seed: np.zeros(len(names), np.int64))
+    rows = pa.Table.from_batches(surprisal._block(batch, 0, True, True))
+    assert surprisal._totals(rows, surprisal.CONTEXT, True)[2] > 0
+    # an id of any name, shared ids, and more groups than one
+    monkeypatch.setattr(surprisal, "ROWS", 1)
+    df = spark.createDataFrame([("x", "a b a b"), ("x", "b a"), (None, "a b"), ("z", "c"), ("n", None)], "counts string, text string")
+    got = {r.counts: r for r in surprisal.text_surprisal(df, "counts", "text").collect()}
+    ab, ba = -math.log((3 + 1) / (3 + 3)), -math.log((2 + 1) / (2 + 3))
+    assert {k: r.n_scored for k, r in got.items()} == {"x": 4, None: 1, "z": 0, "n": 0}
+    assert got["x"].surprisal_mean == pytest.approx((2 * ab + 2 * ba) / 4) and got[None].surprisal_mean == pytest.approx(ab)
+    assert got["z"].surprisal_mean is None
+
+
 @pytest.mark.parametrize("budget", [joins.BROADCAST_BYTES, 0])
 def test_lookup_keeps_every_row(spark, monkeypatch, budget):
     monkeypatch.setattr(joins, "partitions", lambda _: 12)

@@ -4,16 +4,19 @@ Declared rule: tokens of the whole text (or its first ``max_tokens``), add-one
 smoothing over V distinct corpus tokens, p(b|a) = (c(a,b) + 1) / (c(a,.) + V),
 surprisal -ln p in nats; the first token of a text has no score.
 
-A text travels as the multiset of its bigrams, (id, a, b, n), never token by token. The
-model that scores its own training texts is pruned: bigrams seen once are not stored,
-since a bigram that occurs in such a text and is not in the model was seen once.
+Texts are scored in blocks. A block's distinct bigrams, as pairs of 64-bit hashes that are checked
+to tell all tokens apart, meet those of the other blocks in one shuffle, and their counts come back to the block.
+In a model that scores its own training texts, counts of bigrams seen once do not come back,
+since a bigram that occurs in such a text and has no count was seen once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -21,12 +24,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import store
-from .joins import BROADCAST_BYTES, fits, hot_keys, split_hot_lookup
 
-#: Texts whose bigrams are counted together in a task.
+#: Most texts whose bigrams are counted together in a task.
 TEXTS = 1024
-#: Bytes that a row of the model takes in a broadcast, and one of the context counts.
-MODEL_BYTES, CONTEXT_BYTES = 128, 96
+#: Bigrams of blocks that a task counts together; they are dealt to 2^BUCKET_BITS buckets at most.
+ROWS, BUCKET_BITS = 1 << 18, 12
+#: Bytes that a token takes while its block is counted, and those of a block's tokens together.
+TOKEN_BYTES, BLOCK_BYTES = 64, 64 * 1024 * 1024
 
 
 class _Bigrams:
@@ -104,6 +108,128 @@ def bigram_counts(df: DataFrame, text: str, max_tokens: int | None = None) -> Da
     return slices.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
+#: What a row of a block holds: a text, the first token of each of its bigrams, bigrams of a bucket, tokens of a bucket.
+TEXT, FIRST, BIGRAM, CONTEXT = range(4)
+BLOCK = ["block", "kind", "bucket", "__id", "places", "counts", "a", "b", "tokens"]
+
+
+def _hashes(names: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit hash of each token."""
+    key = f"{seed:016d}"
+    return pd.util.hash_array(names.to_numpy(zero_copy_only=False), hash_key=key, categorize=False).view(np.int64)
+
+
+def _block_slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of up to ``TEXTS`` texts, of about ``most`` tokens or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        after = min(start + TEXTS, max(start + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(start, after - start)
+        start = after
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _block(batch: pa.RecordBatch, seed: int, scored: bool, trains: bool) -> Iterator[pa.RecordBatch]:
+    found = _Bigrams(batch.column(1))
+    width, block = max(1, len(found.names)), uuid.uuid4().int >> 65
+    keys, place = np.unique(found.a * width + found.b, return_inverse=True)
+    first, second = keys // width, keys % width
+    hashes = _hashes(found.names, seed)
+
+    def rows(kind: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns = {"block": pa.array(np.full(n, block if scored else -1)), "kind": pa.array(np.full(n, kind, np.int32)), **columns}
+        types = [pa.int64(), pa.int32(), pa.int32(), batch.column(0).type, *[pa.list_(x) for x in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())]]
+        return pa.RecordBatch.from_arrays([columns[x].cast(t) if x in columns else pa.nulls(n, t) for x, t in zip(BLOCK, types, strict=True)], names=BLOCK)
+
+    if scored:
+        ends = np.searchsorted(found.text, np.arange(batch.num_rows + 1))
+        lists = {x: _lists(ends, pa.array(v, pa.int32())) for x, v in (("places", place), ("counts", found.n))}
+        yield rows(TEXT, batch.num_rows, __id=batch.column(0), **lists)
+        yield rows(FIRST, 1, places=_lists(np.array([0, len(first)]), pa.array(first, pa.int32())))
+    mixed = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    both = {"a": hashes[first], "b": hashes[second]}
+    for kind, spot, n, values in (
+        (BIGRAM, mixed[first] + hashes.view(np.uint64)[second], np.bincount(place, found.n, len(keys)), both),
+        (CONTEXT, mixed, np.bincount(found.a, found.n, len(found.names)), {"a": hashes, "tokens": found.names}),
+    ):
+        bucket = (spot >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(starts, len(order))
+        values = values | {"places": np.arange(len(order)), "counts": n if trains else np.zeros(len(n))}
+        lists = {x: _lists(ends, v.take(pa.array(order)) if isinstance(v, pa.Array) else pa.array(v[order].astype(np.int64))) for x, v in values.items()}
+        yield rows(kind, len(starts), bucket=pa.array(bucket[starts]), **lists)
+
+
+def _blocks(df: DataFrame, id_col: str, text: str, max_tokens: int | None, seed: int, most: int, scored: bool, trains: bool) -> DataFrame:
+    """Texts in blocks, stored: distinct bigrams and tokens of a block by bucket, with their places and how often
+    each occurs or is followed; and of texts to be scored (others are of block -1) each text's bigrams.
+    """
+    kinds = ["long", "int", "int", df.schema[id_col].dataType.simpleString(), "array<int>", "array<int>", "array<long>", "array<long>", "array<string>"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _block_slices(batch, most):
+                yield from _block(part, seed, scored, trains)
+
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in zip(BLOCK, kinds, strict=True))
+    return store(df.select(F.col(id_col), _tokens(text, max_tokens)).mapInArrow(run, schema), "bigram-blocks")
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks().flatten()
+
+
+def _totals(group: pa.Table, kind: int, own: bool) -> tuple[pa.Table, int, int]:
+    """The counts, over the whole corpus, of what a bucket's rows hold, given back by block; of tokens also how many
+    distinct ones the corpus has, and how many hashes stand for several."""
+    part = group.filter(pc.equal(group["kind"], kind)).combine_chunks()
+    rows, a, place, n = part["block"].to_numpy(), *(_flat(part[x]).to_numpy() for x in ("a", "places", "counts"))
+    row = np.repeat(np.arange(len(rows)), pc.list_value_length(part["places"]).to_numpy())
+    b = _flat(part["b"]).to_numpy() if kind == BIGRAM else np.zeros_like(a)
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+    key = np.empty(len(a), np.int64)
+    key[order] = np.cumsum(new) - 1
+    total = np.bincount(key, n).astype(np.int64)[key]
+    distinct = shared = 0
+    if kind == CONTEXT and len(a):
+        codes = _flat(part["tokens"]).dictionary_encode().indices.to_numpy()[order]
+        shared = int(((np.diff(codes) != 0) & ~new[1:]).sum())
+        distinct = len(np.unique(key if own else key[rows[row] < 0]))
+    # a bigram of a training text that was seen once needs no count
+    kept = (rows[row] >= 0) & (total > (1 if own and kind == BIGRAM else 0))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, kept, len(rows)))]).astype(np.int64)
+    lists = [_lists(ends, pa.array(x[kept], t)) for x, t in ((place, pa.int32()), (total, pa.int64()))]
+    out = pa.table([pa.array(rows, pa.int64()), pa.array(np.full(len(rows), kind, np.int32)), *lists], names=["block", "kind", "places", "counts"])
+    return out.filter(pc.greater(pc.list_value_length(out["places"]), 0)), distinct, shared
+
+
+def _counted(rows: DataFrame, own: bool) -> DataFrame:
+    """(block, kind, places, counts) of scored blocks, and a row per group with its distinct tokens and shared hashes."""
+    rows = rows.where(F.col("kind").isin(BIGRAM, CONTEXT))
+    size = rows.agg(F.sum(F.array_size("places"))).scalar()
+    groups = F.greatest(F.lit(1), F.least(F.lit(1 << BUCKET_BITS), F.coalesce(size, F.lit(0)) / ROWS)).cast("int")
+
+    def run(group: pa.Table) -> pa.Table:
+        found = [_totals(group, kind, own) for kind in (BIGRAM, CONTEXT)]
+        out = pa.concat_tables([x for x, *_ in found])
+        out = out.append_column("v", pa.nulls(len(out), pa.int64())).append_column("shared", pa.nulls(len(out), pa.int64()))
+        told = {"block": None, "kind": None, "places": None, "counts": None, "v": found[1][1], "shared": found[1][2]}
+        return pa.concat_tables([out, pa.Table.from_pylist([told], out.schema)])
+
+    schema = "block long, kind int, places array<int>, counts array<long>, v long, shared long"
+    dealt = rows.select(F.pmod("bucket", groups).alias("group"), "block", "kind", "places", "counts", "a", "b", "tokens")
+    return store(dealt.groupBy("group").applyInArrow(run, schema), "bigram-counts")
+
+
 def text_surprisal(
     df: DataFrame,
     id_col: str,
@@ -111,49 +237,58 @@ def text_surprisal(
     train: DataFrame | None = None,
     train_text: str | None = None,
     max_tokens: int | None = None,
-    budget: int = BROADCAST_BYTES,
+    budget: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Mean and population deviation of token surprisal per text; NULL under 2 tokens.
 
     The model is trained on ``train``, or on ``df`` itself. A bigram the training
-    table never saw scores as a zero count in its context. The counts are stored once in the
-    shared folder, bigrams and contexts from one shuffle, and the training texts are not read
-    again for them. A model whose counted size fits ``budget`` is broadcast, and only a row per
-    text leaves the task that reads it; a larger one is met by a shuffle of
-    (id, a, b, n), with the hot bigrams split off. Mean and deviation come from weighted sums.
+    table never saw scores as a zero count in its context. Every text is read once: its block
+    is stored in the shared folder. A bigram travels once for each block that holds it, so no
+    key has more rows than there are blocks; ``budget`` is the memory that a block's tokens
+    may take (or one text's). Mean and deviation come from weighted sums.
     """
-    own = train is None
-    kept = F.col("b").isNull() | (F.col("n") > (1 if own else 0))
-    counts = store(bigram_counts(df if own else train, text if own else train_text or text, max_tokens).where(kept), "bigram-counts")
-    context = counts.where("b IS NULL").select("a", F.col("n").alias("context_n"))
-    model = counts.where("b IS NOT NULL").select("a", "b", F.col("n").alias("seen"))
-    vocabulary = context.agg(F.count(F.lit(1)).alias("v")).scalar()
-
-    bigrams = text_bigrams(df, id_col, text, max_tokens)
-    if fits(model, MODEL_BYTES, budget):
-        bigrams = bigrams.join(F.broadcast(model), ["a", "b"], "left")
-    else:
-        # hot bigrams of the texts to score, which need not be those of the training texts
-        frequency = counts if own else store(bigram_counts(df, text, max_tokens), "scored-bigrams")
-        hot = hot_keys(frequency.where("b IS NOT NULL"), ["a", "b"], "texts")
-        bigrams = split_hot_lookup(bigrams, model, ["a", "b"], hot, spread_by=[id_col])
-    if fits(context, CONTEXT_BYTES, budget):
-        bigrams = bigrams.join(F.broadcast(context), "a", "left")
-    else:
-        frequency = counts if own else store(bigram_counts(df, text, max_tokens), "scored-bigrams")
-        hot = hot_keys(frequency.where("b IS NULL"), ["a"], "n")
-        bigrams = split_hot_lookup(bigrams, context, ["a"], hot, spread_by=[id_col, "b"])
-
-    # less the surprisal of an unknown bigram, so that the squares stay small
-    times = F.coalesce("seen", F.lit(1 if own else 0)) + 1
-    score = F.ln((F.coalesce("context_n", F.lit(0)) + vocabulary) / (times * F.greatest(vocabulary, F.lit(1))))
-    scored = bigrams.select(id_col, "n", F.when(F.col("b").isNotNull(), score).alias("s"))
-    sums = scored.groupBy(id_col).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("s")).alias("s"), F.sum(F.col("n") * F.col("s") * F.col("s")).alias("q"))
+    own, most, seed = train is None, budget // TOKEN_BYTES, 0
+    while True:
+        blocks = rows = _blocks(df, id_col, text, max_tokens, seed, most, True, own)
+        if not own:
+            corpus = train.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), F.col(train_text or text).alias(text))
+            rows = blocks.unionByName(_blocks(corpus, id_col, text, max_tokens, seed, most, False, True))
+        counted = _counted(rows, own)
+        seen = counted.agg(F.sum("v").alias("v"), F.sum("shared").alias("shared")).first()
+        if not seen["shared"]:
+            break
+        seed += 1  # two tokens of one hash: all are hashed anew
+    vocabulary, unseen = seen["v"] or 0, 1 if own else 0
+    texts = blocks.where(F.col("kind").isin(TEXT, FIRST)).select("block", "kind", "__id", "places", "counts")
+    counted = counted.where(F.col("block").isNotNull()).select("block", "kind", "places", "counts")
+
+    def score(block: pa.Table, counted: pa.Table) -> pa.Table:
+        def of(table: pa.Table, kind: int) -> pa.Table:
+            return table.filter(pc.equal(table["kind"], kind))
+
+        texts, firsts = of(block, TEXT), _flat(of(block, FIRST)["places"]).to_numpy()
+        times, follow = np.full(len(firsts), unseen, np.int64), np.zeros(firsts.max(initial=-1) + 1, np.int64)
+        for kind, into in ((BIGRAM, times), (CONTEXT, follow)):
+            place, n = (_flat(of(counted, kind)[x]).to_numpy() for x in ("places", "counts"))
+            known = place < len(into)  # a token that begins no bigram has no place in ``follow``
+            into[place[known]] = n[known]
+        # less the surprisal of an unknown bigram, so that the squares stay small
+        s = np.log((follow[firsts] + vocabulary) / ((times + 1) * max(vocabulary, 1)))
+        places, n = (_flat(texts[x]).to_numpy() for x in ("places", "counts"))
+        sizes = pc.list_value_length(texts["places"]).to_numpy()
+        row, s, n = np.repeat(np.arange(len(sizes)), sizes), s[places], n.astype(np.int64)
+        sums = [np.bincount(row, x, len(sizes)) for x in (n, n * s, n * s * s)]
+        columns = [texts["__id"], pa.array(sums[0].astype(np.int64)), *[pa.array(x.astype(np.float64), mask=sizes == 0) for x in sums[1:]]]
+        return pa.table(columns, names=["__id", "n", "s", "q"])
+
+    schema = f"__id {df.schema[id_col].dataType.simpleString()}, n long, s double, q double"
+    scored = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, schema)
+    sums = scored.groupBy("__id").agg(*[F.sum(x).alias(x) for x in ("n", "s", "q")])
     mean, square = F.try_divide(F.col("s"), F.col("n").cast("double")), F.try_divide(F.col("q"), F.col("n").cast("double"))
     spread = square - mean * mean
     return sums.select(
-        id_col,
-        (mean + F.ln(F.greatest(vocabulary, F.lit(1)))).alias("surprisal_mean"),
+        F.col("__id").alias(id_col),
+        (mean + F.ln(F.lit(max(vocabulary, 1)))).alias("surprisal_mean"),
         # what is below the rounding of the sums is no deviation
         F.sqrt(F.when(spread > square * 1e-14, spread).otherwise(spread * 0)).alias("surprisal_std"),
         F.col("n").alias("n_scored"),
