@@ -174,6 +174,18 @@ def test_bigrams_travel_once_for_each_block(spark, monkeypatch):
     assert got["z"].surprisal_mean is None
 
 
+def test_overlap_counts_many_texts_at_once(spark):
+    pairs = [("a b a", "a c"), ("", "a"), (None, "a"), ("a", None), ("É é x", "é"), ("!", "?")] * 3
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id long, c string, r string").coalesce(1)
+    scored = df.select("id", similarity.token_overlap(F.col("c"), F.col("r")).alias("s"))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "sort_array" not in plan
+    got = [r.s and tuple(r.s) for r in scored.orderBy("id").collect()]
+    expected = [(2 / 3, 1 / 2, 4 / 7), (0, 0, 0), None, None, (2 / 3, 1, 4 / 5), (0, 0, 0)] * 3
+    assert [g is None for g in got] == [e is None for e in expected]
+    assert [x for g in got if g for x in g] == pytest.approx([x for e in expected if e for x in e])
+
+
 @pytest.mark.parametrize("budget", [joins.BROADCAST_BYTES, 0])
 def test_lookup_keeps_every_row(spark, monkeypatch, budget):
     monkeypatch.setattr(joins, "partitions", lambda _: 12)
