@@ -164,6 +164,7 @@ def test_bigrams_travel_once_for_each_block(spark, monkeypatch):
     monkeypatch.setattr(surprisal, "_hashes", lambda names, seed: np.zeros(len(names), np.int64))
     rows = pa.Table.from_batches(surprisal._block(batch, 0, True, True))
     assert surprisal._totals(rows, surprisal.CONTEXT, True)[2] > 0
+    monkeypatch.undo()
     # an id of any name, shared ids, and more groups than one
     monkeypatch.setattr(surprisal, "ROWS", 1)
     df = spark.createDataFrame([("x", "a b a b"), ("x", "b a"), (None, "a b"), ("z", "c"), ("n", None)], "counts string, text string")
