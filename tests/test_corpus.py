@@ -3,7 +3,10 @@
 import math
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textscore import functions as ts
+from textscore import session
 from textscore.operators import automaton, entities, joins, similarity, surprisal
 
 
@@ -175,6 +179,74 @@ def test_bigrams_travel_once_for_each_block(spark, monkeypatch):
     assert got["z"].surprisal_mean is None
 
 
+def test_bigrams_take_little_disk(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.zipf(1.3, 60_000) % 30_000]
+    rows = [(i, " ".join(words[300 * i : 300 * i + 300])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(2)
+    expected, since = brute_surprisal([t for _, t in rows], rows), len(session._STORED)
+    monkeypatch.setattr(surprisal, "ROWS", 2000)
+    for budget in (surprisal.BLOCK_BYTES, 5000 * surprisal.TOKEN_BYTES):
+        got = surprisal.text_surprisal(df, "id", "text", budget=budget)
+        stored = [f for path in session._STORED[since:] for f in Path(urlparse(path).path).glob("*.parquet")]
+        if budget == surprisal.BLOCK_BYTES:
+            assert sum(f.stat().st_size for f in stored) < 6 * len(words)
+        for r in got.collect():
+            assert tuple(r)[1:] == pytest.approx(expected[r["id"]], abs=1e-9)
+    session.release(spark, since)
+
+
+def test_packed_rows_come_back():
+    texts = pa.array([["a", "b", "a", "c", "\u00e9"], None, [], ["b", "a", "b"]])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), texts], names=["id", "t"])
+    for seed in (0, 1):
+        rows = list(surprisal._block(batch, seed, False, True, 3, 2, {"a": 5}))
+        packed = pa.Table.from_batches([surprisal._packed(x) for x in rows])
+        for kind, was, names in ((surprisal.BIGRAM, rows[0], ["block", "bucket", "counts", "a", "b"]), (surprisal.CONTEXT, rows[1], ["block", "bucket", "counts", "tokens"])):
+            back = surprisal._unpacked(packed, kind)
+            assert [back[x].to_pylist() for x in names] == [was[x].to_pylist() for x in names]
+    for arrays in ([np.zeros(0, np.int64)], [np.array([0, 255, 256]), np.array([2**64 - 1], np.uint64), np.zeros(3, np.uint8)]):
+        assert [x.tolist() for x in surprisal._unpack(surprisal._pack(*arrays))] == [x.tolist() for x in arrays]
+    # pairs that mix to one value are still told apart
+    a, b = np.array([1, 2, 1, 2]), np.array([0, 7046029254386353131, 0, 7046029254386353131])
+    assert surprisal._same(a, b).tolist() == [0, 1, 0, 1]
+
+
+def test_bigrams_of_a_frequent_token_go_to_several_buckets():
+    texts = pa.array([[x for i in range(200) for x in ("the", f"w{i}")], ["the", "w1", "w2"]])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2)), texts], names=["id", "t"])
+    the = surprisal._hashes(pa.array(["the"]), 0)[0]
+
+    def buckets(batch, parts):
+        rows = next(surprisal._block(batch, 0, False, True, parts=parts)).to_pylist()
+        return {b: r["bucket"] for r in rows for a, b in zip(r["a"], r["b"]) if a == the}
+
+    assert len(set(buckets(batch, None).values())) == 1
+    spread = buckets(batch, {"a": 3, "the": 20})
+    assert 10 < len(set(spread.values())) <= 20
+    assert buckets(batch.slice(1), {"the": 20}).items() <= spread.items()
+
+
+def test_stored_once_leaves_no_shuffle_files(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in held for f in Path(d).rglob("shuffle_*.data")}
+
+    def left(before):
+        for _ in range(50):
+            if files() <= before:
+                break
+            time.sleep(0.2)
+        return files() - before
+
+    before, since, df = files(), len(session._STORED), spark.range(1000).repartition(3, "id")
+    stored = session.store(df, "once", once=True)
+    assert not left(before) and stored.count() == 1000
+    assert spark.conf.get(session.DROP_SHUFFLES_KEY) == "false"
+    session.release(spark, since)
+
+
 def test_overlap_counts_many_texts_at_once(spark):
     pairs = [("a b a", "a c"), ("", "a"), (None, "a"), ("a", None), ("É é x", "é"), ("!", "?")] * 3
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id long, c string, r string").coalesce(1)

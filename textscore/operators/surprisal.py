@@ -4,16 +4,17 @@ Declared rule: tokens of the whole text (or its first ``max_tokens``), add-one
 smoothing over V distinct corpus tokens, p(b|a) = (c(a,b) + 1) / (c(a,.) + V),
 surprisal -ln p in nats; the first token of a text has no score.
 
-Texts are scored in blocks. A block's distinct bigrams, as pairs of 64-bit hashes that are checked
-to tell all tokens apart, meet those of the other blocks in one shuffle, and their counts come back to the block.
-In a model that scores its own training texts, counts of bigrams seen once do not come back,
-since a bigram that occurs in such a text and has no count was seen once.
+Texts are scored in blocks. A block is stored as the codes of its tokens and the tokens themselves, compressed.
+Its distinct bigrams, as pairs of 56-bit hashes that are checked to tell all tokens apart, meet those of the
+other blocks in one shuffle, each first token once for its bigrams, and only what the other blocks add to a
+count comes back, in the order in which the block dealt its bigrams.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,22 +28,30 @@ from ..session import store
 
 #: Most texts whose bigrams are counted together in a task.
 TEXTS = 1024
-#: Bigrams of blocks that a task counts together; they are dealt to 2^BUCKET_BITS buckets at most.
-ROWS, BUCKET_BITS = 1 << 18, 12
+#: Most slices of texts in a block.
+SLICES = 64
+#: Tokens of blocks whose bigrams a task counts together; they are dealt to 2^BUCKET_BITS buckets at most.
+ROWS, BUCKET_BITS = 1 << 20, 12
 #: Bytes that a token takes while its block is counted, and those of a block's tokens together.
-TOKEN_BYTES, BLOCK_BYTES = 64, 64 * 1024 * 1024
+TOKEN_BYTES, BLOCK_BYTES = 64, 128 * 1024 * 1024
+#: Rounds in which the buckets are dealt, so that not all of them are on the disks at once.
+ROUNDS = 2
+#: The bigrams of a token that is more than one in so many tokens are dealt to several buckets.
+SHARE = 1024
 
 
 class _Bigrams:
-    """The distinct bigrams of each of some token lists, as codes into ``names``, and how often each occurs."""
+    """The distinct bigrams of each of some token lists (or of all together), as codes into ``names``, and how often each occurs."""
 
-    def __init__(self, lists: pa.ListArray) -> None:
+    def __init__(self, lists: pa.ListArray, each: bool = True) -> None:
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         coded = lists.flatten().dictionary_encode()
         codes, self.names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         width, text = len(self.names), np.repeat(np.arange(len(sizes)), sizes)
         inner = text[1:] == text[:-1]
-        keys = (text[:-1][inner] * width + codes[:-1][inner]) * width + codes[1:][inner]
+        keys = codes[:-1][inner] * width + codes[1:][inner]
+        if each:
+            keys += text[:-1][inner] * (width * width)
         keys.sort()
         first = np.flatnonzero(np.diff(keys, prepend=-1))
         self.n = np.diff(np.append(first, len(keys)))
@@ -114,9 +123,44 @@ BLOCK = ["block", "kind", "bucket", "__id", "places", "counts", "a", "b", "token
 
 
 def _hashes(names: pa.Array, seed: int) -> np.ndarray:
-    """A 64-bit hash of each token."""
+    """A hash of each token, of 56 bits or, after a first try, of 64."""
     key = f"{seed:016d}"
-    return pd.util.hash_array(names.to_numpy(zero_copy_only=False), hash_key=key, categorize=False).view(np.int64)
+    hashes = pd.util.hash_array(names.to_numpy(zero_copy_only=False), hash_key=key, categorize=False)
+    return (hashes if seed else hashes >> np.uint64(8)).view(np.int64)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers from 0 on in few bytes: no wider than needed, first bytes, second bytes and so on together, compressed."""
+    arrays = [x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in arrays]
+    head = np.array([len(arrays), *(v for x in arrays for v in (x.itemsize, len(x)))], np.int32)
+    planes = b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
+    return head.tobytes() + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    """The arrays of :func:`_pack`, of unsigned integers."""
+    n = int(np.frombuffer(data, np.int32, 1)[0])
+    shapes = np.frombuffer(data, np.int32, 2 * n, 4).reshape(n, 2).astype(np.int64)
+    planes = pa.decompress(data[4 + 8 * n :], int(shapes.prod(axis=1).sum()), "zstd", asbytes=True)
+    out, at = [], 0
+    for width, length in shapes.tolist():
+        part = np.frombuffer(planes, np.uint8, width * length, at).reshape(width, length)
+        out.append(np.ascontiguousarray(part.T).view(f"u{width}").ravel())
+        at += width * length
+    return out
+
+
+def _letters(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as their lengths and their bytes."""
+    return pc.binary_length(names).to_numpy(zero_copy_only=False), np.frombuffer("".join(names.to_pylist()).encode(), np.uint8)
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _names(lengths: np.ndarray, letters: np.ndarray) -> pa.Array:
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(_ends(lengths).astype(np.int32)), pa.py_buffer(letters))
 
 
 def _block_slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
@@ -130,19 +174,42 @@ def _block_slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         start = after
 
 
+def _block_texts(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The texts of a block: slices put together up to ``most`` tokens."""
+    held, size = [], 0
+    for batch in batches:
+        for part in _block_slices(batch, most):
+            n = pc.sum(pc.list_value_length(part.column(1))).as_py() or 0
+            if held and (size + n > most or len(held) == SLICES):
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-def _block(batch: pa.RecordBatch, seed: int, scored: bool, trains: bool) -> Iterator[pa.RecordBatch]:
-    found = _Bigrams(batch.column(1))
-    width, block = max(1, len(found.names)), uuid.uuid4().int >> 65
-    keys, place = np.unique(found.a * width + found.b, return_inverse=True)
+def _block(
+    batch: pa.RecordBatch, seed: int, scored: bool, trains: bool, block: int = 0, buckets: int = 1 << BUCKET_BITS, parts: dict[str, int] | None = None
+) -> Iterator[pa.RecordBatch]:
+    """By bucket, a block's distinct bigrams (those of a first token together) and its tokens, with their places and, if
+    it trains, how often each occurs or is followed; before them, if it is to be scored, each text's bigrams.
+
+    Bigrams go by their first token; those of a token in ``parts`` to so many buckets, by the second.
+    """
+    found = _Bigrams(batch.column(1), scored)
+    width = max(1, len(found.names))
+    keys = found.a * width + found.b
+    keys, place = np.unique(keys, return_inverse=True) if scored else (keys, np.arange(len(keys)))
     first, second = keys // width, keys % width
     hashes = _hashes(found.names, seed)
 
     def rows(kind: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
-        columns = {"block": pa.array(np.full(n, block if scored else -1)), "kind": pa.array(np.full(n, kind, np.int32)), **columns}
+        columns = {"block": pa.array(np.full(n, block)), "kind": pa.array(np.full(n, kind, np.int32)), **columns}
         types = [pa.int64(), pa.int32(), pa.int32(), batch.column(0).type, *[pa.list_(x) for x in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())]]
         return pa.RecordBatch.from_arrays([columns[x].cast(t) if x in columns else pa.nulls(n, t) for x, t in zip(BLOCK, types, strict=True)], names=BLOCK)
 
@@ -151,15 +218,17 @@ def _block(batch: pa.RecordBatch, seed: int, scored: bool, trains: bool) -> Iter
         lists = {x: _lists(ends, pa.array(v, pa.int32())) for x, v in (("places", place), ("counts", found.n))}
         yield rows(TEXT, batch.num_rows, __id=batch.column(0), **lists)
         yield rows(FIRST, 1, places=_lists(np.array([0, len(first)]), pa.array(first, pa.int32())))
-    mixed = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    both = {"a": hashes[first], "b": hashes[second]}
+    spots, shares = hashes.view(np.uint64), np.ones(len(hashes), np.uint64)
+    if parts:
+        known = pc.index_in(found.names, pa.array(list(parts), pa.string()))
+        shares = pc.fill_null(pa.array(list(parts.values()), pa.uint64()).take(known), 1).to_numpy()
     for kind, spot, n, values in (
-        (BIGRAM, mixed[first] + hashes.view(np.uint64)[second], np.bincount(place, found.n, len(keys)), both),
-        (CONTEXT, mixed, np.bincount(found.a, found.n, len(found.names)), {"a": hashes, "tokens": found.names}),
+        (BIGRAM, spots[first] + spots[second] % shares[first], np.bincount(place, found.n, len(keys)), {"a": hashes[first], "b": hashes[second]}),
+        (CONTEXT, spots, np.bincount(found.a, found.n, len(found.names)), {"tokens": found.names}),
     ):
-        bucket = (spot >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        bucket = (spot * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16) % np.uint16(buckets)
         order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
+        bucket = bucket[order].astype(np.int32)
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(starts, len(order))
         values = values | {"places": np.arange(len(order)), "counts": n if trains else np.zeros(len(n))}
@@ -167,67 +236,152 @@ def _block(batch: pa.RecordBatch, seed: int, scored: bool, trains: bool) -> Iter
         yield rows(kind, len(starts), bucket=pa.array(bucket[starts]), **lists)
 
 
-def _blocks(df: DataFrame, id_col: str, text: str, max_tokens: int | None, seed: int, most: int, scored: bool, trains: bool) -> DataFrame:
-    """Texts in blocks, stored: distinct bigrams and tokens of a block by bucket, with their places and how often
-    each occurs or is followed; and of texts to be scored (others are of block -1) each text's bigrams.
+def _blocks(df: DataFrame, id_col: str, text: str, max_tokens: int | None, most: int, scored: bool) -> DataFrame:
+    """Texts in blocks, stored: their ids, and packed each text's size, the codes of its tokens and the block's distinct
+    tokens; also which tokens are frequent in the block. Texts that are not to be scored are of block -1.
     """
-    kinds = ["long", "int", "int", df.schema[id_col].dataType.simpleString(), "array<int>", "array<int>", "array<long>", "array<long>", "array<string>"]
+    kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _block_slices(batch, most):
-                yield from _block(part, seed, scored, trains)
-
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in zip(BLOCK, kinds, strict=True))
+        for texts in _block_texts(batches, most):
+            sizes = pc.fill_null(pc.list_value_length(texts.column(1)), 0).to_numpy()
+            coded = texts.column(1).flatten().dictionary_encode()
+            codes, names = coded.indices.to_numpy(), coded.dictionary
+            n = np.bincount(codes, minlength=len(names))
+            often = np.flatnonzero(n * SHARE >= len(codes))
+            columns = [
+                pa.array([uuid.uuid4().int >> 65 if scored else -1], pa.int64()),
+                _lists(np.array([0, texts.num_rows]), texts.column(0)),
+                pa.array([_pack(sizes, codes, *_letters(names))], pa.binary()),
+                pa.array([len(codes)], pa.int64()),
+                _lists(np.array([0, len(often)]), names.take(pa.array(often))),
+                _lists(np.array([0, len(often)]), pa.array(n[often], pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "data", "size", "often", "n"])
+
+    schema = f"block long, ids array<{kind}>, data binary, size long, often array<string>, n array<long>"
     return store(df.select(F.col(id_col), _tokens(text, max_tokens)).mapInArrow(run, schema), "bigram-blocks")
 
 
+def _texts(data: bytes, ids: pa.Array | None = None) -> pa.RecordBatch:
+    """The ids and the tokens of a stored block's texts."""
+    sizes, codes, *names = _unpack(data)
+    coded = pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int32)), _names(*names))
+    return pa.RecordBatch.from_arrays([pa.nulls(len(sizes)) if ids is None else ids, _lists(_ends(sizes), coded)], names=["__id", "t"])
+
+
+PACKED = ["block", "kind", "bucket", "data"]
+
+
+def _packed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of buckets, packed: of bigrams each run of one first token, the second tokens and the counts; of tokens the letters and the counts."""
+    ends = rows["counts"].offsets.to_numpy()
+    counts, out = rows["counts"].values.to_numpy(), []
+    bigrams = len(rows) > 0 and rows["kind"][0].as_py() == BIGRAM
+    if bigrams:
+        a, b = (rows[x].values.to_numpy().view(np.uint64) for x in ("a", "b"))
+    else:
+        names = rows["tokens"].values
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if bigrams:
+            starts = lo + np.flatnonzero(np.append(True, a[lo + 1 : hi] != a[lo : hi - 1]))
+            held = (a[starts], np.diff(np.append(starts, hi)), b[lo:hi])
+        else:
+            held = _letters(names.slice(lo, hi - lo))
+        out.append(_pack(counts[lo:hi], *held))
+    return pa.RecordBatch.from_arrays([*[rows[x] for x in PACKED[:3]], pa.array(out, pa.binary())], names=PACKED)
+
+
+def _unpacked(group: pa.Table, kind: int) -> pa.Table:
+    """The rows of :func:`_packed` of one kind as they were, but for the places."""
+    group = group.filter(pc.equal(group["kind"], kind)).combine_chunks()
+    found = [_unpack(x) for x in group["data"].to_pylist()]
+    ends = _ends([len(x[0]) for x in found])
+
+    def whole(arrays: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate(arrays).astype(np.int64) if arrays else np.zeros(0, np.int64)
+
+    columns = {"counts": whole([x[0] for x in found])}
+    if kind == BIGRAM:
+        columns |= {"a": whole([np.repeat(x[1], x[2]) for x in found]), "b": whole([x[3] for x in found])}
+    else:
+        columns |= {"tokens": pa.concat_arrays([pa.nulls(0, pa.string()), *[_names(*x[1:]) for x in found]])}
+    return pa.table([*[group[x] for x in PACKED[:3]], *[_lists(ends, x if isinstance(x, pa.Array) else pa.array(x)) for x in columns.values()]], names=[*PACKED[:3], *columns])
+
+
 def _flat(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks().flatten()
 
 
-def _totals(group: pa.Table, kind: int, own: bool) -> tuple[pa.Table, int, int]:
-    """The counts, over the whole corpus, of what a bucket's rows hold, given back by block; of tokens also how many
-    distinct ones the corpus has, and how many hashes stand for several."""
-    part = group.filter(pc.equal(group["kind"], kind)).combine_chunks()
-    rows, a, place, n = part["block"].to_numpy(), *(_flat(part[x]).to_numpy() for x in ("a", "places", "counts"))
-    row = np.repeat(np.arange(len(rows)), pc.list_value_length(part["places"]).to_numpy())
-    b = _flat(part["b"]).to_numpy() if kind == BIGRAM else np.zeros_like(a)
-    order = np.lexsort((b, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each distinct pair."""
+    mixed = a * np.int64(-7046029254386353131) + b
+    order = np.argsort(mixed)
+    for again in (False, True):
+        new = np.ones(len(a), bool)
+        new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        if again or not (new[1:] & (np.diff(mixed[order]) == 0)).any():
+            break
+        order = np.lexsort((b, a))  # pairs that mix to the same value may not stand together
     key = np.empty(len(a), np.int64)
     key[order] = np.cumsum(new) - 1
-    total = np.bincount(key, n).astype(np.int64)[key]
+    return key
+
+
+def _totals(group: pa.Table, kind: int, own: bool, seed: int = 0) -> tuple[pa.Table, int, int]:
+    """What the other blocks add to the counts that a bucket's rows hold, row by row; of tokens also how many
+    distinct ones the corpus has, and how many hashes stand for several."""
+    part = group.filter(pc.equal(group["kind"], kind)).combine_chunks()
+    rows, n = part["block"].to_numpy(), _flat(part["counts"]).to_numpy()
+    sizes = pc.list_value_length(part["counts"]).to_numpy()
     distinct = shared = 0
-    if kind == CONTEXT and len(a):
-        codes = _flat(part["tokens"]).dictionary_encode().indices.to_numpy()[order]
-        shared = int(((np.diff(codes) != 0) & ~new[1:]).sum())
-        distinct = len(np.unique(key if own else key[rows[row] < 0]))
-    # a bigram of a training text that was seen once needs no count
-    kept = (rows[row] >= 0) & (total > (1 if own and kind == BIGRAM else 0))
-    ends = np.concatenate([[0], np.cumsum(np.bincount(row, kept, len(rows)))]).astype(np.int64)
-    lists = [_lists(ends, pa.array(x[kept], t)) for x, t in ((place, pa.int32()), (total, pa.int64()))]
-    out = pa.table([pa.array(rows, pa.int64()), pa.array(np.full(len(rows), kind, np.int32)), *lists], names=["block", "kind", "places", "counts"])
-    return out.filter(pc.greater(pc.list_value_length(out["places"]), 0)), distinct, shared
-
-
-def _counted(rows: DataFrame, own: bool) -> DataFrame:
-    """(block, kind, places, counts) of scored blocks, and a row per group with its distinct tokens and shared hashes."""
-    rows = rows.where(F.col("kind").isin(BIGRAM, CONTEXT))
-    size = rows.agg(F.sum(F.array_size("places"))).scalar()
-    groups = F.greatest(F.lit(1), F.least(F.lit(1 << BUCKET_BITS), F.coalesce(size, F.lit(0)) / ROWS)).cast("int")
+    if kind == BIGRAM:
+        key = _same(*(_flat(part[x]).to_numpy() for x in ("a", "b")))
+    else:
+        coded = _flat(part["tokens"]).dictionary_encode()
+        key, names = coded.indices.to_numpy(), coded.dictionary
+        shared = len(names) - len(np.unique(_hashes(names, seed)))
+        distinct = len(names if own else np.unique(key[np.repeat(rows < 0, sizes)]))
+    others = np.bincount(key, n).astype(np.int64)[key] - n
+    lists = _lists(_ends(sizes), pa.array(others, pa.int64()))
+    out = pa.table([part["block"], part["kind"], part["bucket"], lists], names=[*PACKED[:3], "counts"])
+    return out.filter(pc.greater_equal(out["block"], 0)), distinct, shared
+
+
+def _counted(rows: DataFrame, own: bool, seed: int, buckets: int, parts: dict[str, int]) -> DataFrame:
+    """(block, kind, bucket, data) of scored blocks, and a row per bucket with its distinct tokens and shared hashes."""
+    rounds = min(ROUNDS, buckets)
+
+    def dealer(turn: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, data in zip(batch["block"].to_pylist(), batch["data"], strict=True):
+                    for dealt in _block(_texts(data.as_py()), seed, False, own or block < 0, block, buckets, parts):
+                        yield _packed(dealt.filter(pa.array(dealt["bucket"].to_numpy() % rounds == turn)))
+
+        return deal
 
     def run(group: pa.Table) -> pa.Table:
-        found = [_totals(group, kind, own) for kind in (BIGRAM, CONTEXT)]
+        found = [_totals(_unpacked(group, kind), kind, own, seed) for kind in (BIGRAM, CONTEXT)]
         out = pa.concat_tables([x for x, *_ in found])
-        out = out.append_column("v", pa.nulls(len(out), pa.int64())).append_column("shared", pa.nulls(len(out), pa.int64()))
-        told = {"block": None, "kind": None, "places": None, "counts": None, "v": found[1][1], "shared": found[1][2]}
-        return pa.concat_tables([out, pa.Table.from_pylist([told], out.schema)])
+        data = [_pack(x.values.to_numpy()) for x in out["counts"]]
+        told = {x: pa.nulls(len(out), pa.int64()) for x in ("v", "shared")}
+        out = pa.table({x: out[x] for x in PACKED[:3]} | {"data": pa.array(data, pa.binary())} | told)
+        return pa.concat_tables([out, pa.Table.from_pylist([{"v": found[1][1], "shared": found[1][2]}], out.schema)])
+
+    tables = []
+    for turn in range(rounds):
+        dealt = rows.select("block", "data").mapInArrow(dealer(turn), "block long, kind int, bucket int, data binary")
+        schema = "block long, kind int, bucket int, data binary, v long, shared long"
+        tables.append(store(dealt.groupBy("bucket").applyInArrow(run, schema), "bigram-counts", once=True))
+    return reduce(DataFrame.unionByName, tables)
 
-    schema = "block long, kind int, places array<int>, counts array<long>, v long, shared long"
-    dealt = rows.select(F.pmod("bucket", groups).alias("group"), "block", "kind", "places", "counts", "a", "b", "tokens")
-    return store(dealt.groupBy("group").applyInArrow(run, schema), "bigram-counts")
+
+def _frequent(rows: DataFrame, total: int) -> dict[str, int]:
+    """Tokens that are more than one in ``SHARE``, and to how many buckets the bigrams of each go. A token
+    that no block has so often is not among them, nor are there more than ``SHARE``."""
+    found = rows.select(F.explode(F.arrays_zip("often", "n")).alias("x")).groupBy("x.often").agg(F.sum("x.n").alias("n"))
+    return {r["often"]: 1 + r["n"] * SHARE // total for r in found.where(F.col("n") * SHARE > total).orderBy("often").collect()}
 
 
 def text_surprisal(
@@ -245,35 +399,43 @@ def text_surprisal(
     table never saw scores as a zero count in its context. Every text is read once: its block
     is stored in the shared folder. A bigram travels once for each block that holds it, so no
     key has more rows than there are blocks; ``budget`` is the memory that a block's tokens
-    may take (or one text's). Mean and deviation come from weighted sums.
+    may take (or one text's). Buckets are counted in rounds, and what a round shuffled leaves
+    the disks at its end. Mean and deviation come from weighted sums.
     """
     own, most, seed = train is None, budget // TOKEN_BYTES, 0
+    blocks = rows = _blocks(df, id_col, text, max_tokens, most, True)
+    if not own:
+        corpus = train.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), F.col(train_text or text).alias(text))
+        rows = blocks.unionByName(_blocks(corpus, id_col, text, max_tokens, most, False))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    buckets, parts = max(1, min(1 << BUCKET_BITS, total // ROWS)), _frequent(rows, total)
     while True:
-        blocks = rows = _blocks(df, id_col, text, max_tokens, seed, most, True, own)
-        if not own:
-            corpus = train.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), F.col(train_text or text).alias(text))
-            rows = blocks.unionByName(_blocks(corpus, id_col, text, max_tokens, seed, most, False, True))
-        counted = _counted(rows, own)
+        counted = _counted(rows, own, seed, buckets, parts)
         seen = counted.agg(F.sum("v").alias("v"), F.sum("shared").alias("shared")).first()
         if not seen["shared"]:
             break
         seed += 1  # two tokens of one hash: all are hashed anew
-    vocabulary, unseen = seen["v"] or 0, 1 if own else 0
-    texts = blocks.where(F.col("kind").isin(TEXT, FIRST)).select("block", "kind", "__id", "places", "counts")
-    counted = counted.where(F.col("block").isNotNull()).select("block", "kind", "places", "counts")
+    vocabulary = seen["v"] or 0
 
     def score(block: pa.Table, counted: pa.Table) -> pa.Table:
+        found = pa.Table.from_batches(_block(_texts(block["data"][0].as_py(), _flat(block["ids"])), seed, True, own, 0, buckets, parts))
+
         def of(table: pa.Table, kind: int) -> pa.Table:
-            return table.filter(pc.equal(table["kind"], kind))
-
-        texts, firsts = of(block, TEXT), _flat(of(block, FIRST)["places"]).to_numpy()
-        times, follow = np.full(len(firsts), unseen, np.int64), np.zeros(firsts.max(initial=-1) + 1, np.int64)
-        for kind, into in ((BIGRAM, times), (CONTEXT, follow)):
-            place, n = (_flat(of(counted, kind)[x]).to_numpy() for x in ("places", "counts"))
-            known = place < len(into)  # a token that begins no bigram has no place in ``follow``
-            into[place[known]] = n[known]
+            return table.filter(pc.equal(table["kind"], kind)).combine_chunks()
+
+        texts, firsts, sums = of(found, TEXT), _flat(of(found, FIRST)["places"]).to_numpy(), {}
+        for kind in (BIGRAM, CONTEXT):
+            held, others = of(found, kind), of(counted, kind)
+            place, n = (_flat(held[x]).to_numpy() for x in ("places", "counts"))
+            ends, row = _ends(pc.list_value_length(held["places"]).to_numpy()), {x: i for i, x in enumerate(held["bucket"].to_pylist())}
+            n = n.astype(np.int64)
+            for bucket, data in zip(others["bucket"].to_pylist(), others["data"], strict=True):
+                i = row[bucket]
+                n[ends[i] : ends[i + 1]] += _unpack(data.as_py())[0].astype(np.int64)
+            sums[kind] = np.zeros(len(n), np.int64)
+            sums[kind][place] = n
         # less the surprisal of an unknown bigram, so that the squares stay small
-        s = np.log((follow[firsts] + vocabulary) / ((times + 1) * max(vocabulary, 1)))
+        s = np.log((sums[CONTEXT][firsts] + vocabulary) / ((sums[BIGRAM] + 1) * max(vocabulary, 1)))
         places, n = (_flat(texts[x]).to_numpy() for x in ("places", "counts"))
         sizes = pc.list_value_length(texts["places"]).to_numpy()
         row, s, n = np.repeat(np.arange(len(sizes)), sizes), s[places], n.astype(np.int64)
@@ -281,6 +443,8 @@ def text_surprisal(
         columns = [texts["__id"], pa.array(sums[0].astype(np.int64)), *[pa.array(x.astype(np.float64), mask=sizes == 0) for x in sums[1:]]]
         return pa.table(columns, names=["__id", "n", "s", "q"])
 
+    texts = blocks.select("block", "ids", "data")
+    counted = counted.where(F.col("block").isNotNull()).select("block", "kind", "bucket", "data")
     schema = f"__id {df.schema[id_col].dataType.simpleString()}, n long, s double, q double"
     scored = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, schema)
     sums = scored.groupBy("__id").agg(*[F.sum(x).alias(x) for x in ("n", "s", "q")])
